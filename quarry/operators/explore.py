@@ -41,6 +41,18 @@ def sort_by(df: DataFrame, col: str, ascending: bool = True) -> DataFrame:
     return df.orderBy(key.asc_nulls_last() if ascending else key.desc_nulls_last())
 
 
+def sort_position(df: DataFrame, col: str, ascending: bool = True, out: str = "pos") -> DataFrame:
+    """O1 with each row's place in the order: 1 + the number of rows that sort
+    strictly before it (ties share a place); missing values come last.  Uses
+    the distributed rank of A8, not a single-partition window."""
+    from quarry.operators.rank import average_rank
+
+    require_columns(df, [col])
+    ranked = average_rank(df, col, out=out, method="min", ascending=ascending)
+    n_present = df.agg(F.count(clean_value(df, col))).scalar()
+    return ranked.withColumn(out, F.coalesce(F.col(out), n_present + 1).cast("bigint"))
+
+
 def next_direction(state: dict, col: str) -> tuple[bool, dict]:
     """O2: the sort toggle.  First click on a column sorts ascending; each
     further click flips.  Returns (ascending, new_state) without mutating."""

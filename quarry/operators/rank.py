@@ -55,11 +55,10 @@ def value_ranks(df: DataFrame, value: Column, by: list[str] | None = None,
         if by:
             cuts = counts.groupBy(*by).agg(cut_expr)
             with_cuts = counts.join(cuts, by, "left")
-            cut_col = F.col("__cuts")
         else:
-            with_cuts = counts
-            cut_col = counts.agg(cut_expr).scalar()
-        bucket = F.size(F.filter(cut_col, lambda c: c < F.col("__v")))
+            # one array of ``buckets - 1`` values, read as a scalar subquery
+            with_cuts = counts.withColumn("__cuts", counts.agg(cut_expr).scalar())
+        bucket = F.size(F.filter(F.col("__cuts"), lambda c: c < F.col("__v")))
     else:
         with_cuts, bucket = counts, F.lit(0)
     bucketed = with_cuts.select(*by, "__v", "__cnt", bucket.alias("__b"))

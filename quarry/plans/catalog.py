@@ -6,7 +6,7 @@ import importlib
 
 from quarry.plans.registry import REGISTRY
 
-MODULES = ["regression"]
+MODULES = ["regression", "explore", "cleaning"]
 
 
 def load_all():

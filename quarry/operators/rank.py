@@ -13,12 +13,12 @@
 4. Bucket offsets: running sum over bucket totals (``buckets`` rows per group).
 5. rank = offset + before + (count + 1) / 2 (``average``), or + 1 (``min``),
    or + count (``max``).
-6. Join back to the data rows on (group, value).  Hot values, those with at
-   least N / ``hot_slots`` rows, number at most ``hot_slots``: their ranks
-   are broadcast (a proven bound).  The remaining join is a shuffle join on
-   (group, value, salt): cold rows carry salt 0 and find their rank; rows of
-   hot values carry a spread salt, so a hot value is split over ``salts``
-   tasks instead of one, and keep the broadcast rank.
+6. Join back to the data rows on (group, value, salt) in one shuffle join.
+   Hot values, those with at least N / ``hot_slots`` rows, number at most
+   ``hot_slots``: only their keys are broadcast (a proven bound), so each
+   data row knows whether its value is hot.  Rows of a hot value take a salt
+   in 1..``salts`` and the hot value's rank row is replicated per salt, so a
+   value holding a third of all rows is spread over ``salts`` tasks.
 """
 
 from __future__ import annotations
@@ -41,20 +41,23 @@ def _default_buckets(df: DataFrame) -> int:
     return max(DEFAULT_BUCKETS, 4 * parts)
 
 
-def value_ranks(df: DataFrame, value: Column, by: list[str] | None = None,
-                buckets: int | None = None, accuracy: int = 10_000) -> DataFrame:
-    """Rank table: one row per distinct (by..., __v) with ``__cnt``,
-    ``__before`` (rows strictly before the value within its group)."""
+def value_counts(df: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:
+    """One row per distinct (by..., __v) with ``__cnt`` (map-side combined)."""
+    by = by or []
+    return (df.select(*by, value.alias("__v")).where(F.col("__v").isNotNull())
+            .groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__cnt")))
+
+
+def value_ranks(counts: DataFrame, by: list[str] | None = None, buckets: int = DEFAULT_BUCKETS,
+                accuracy: int = 10_000) -> DataFrame:
+    """Rank table from ``value_counts``: adds ``__before``, the number of rows
+    strictly before the value within its group."""
     by = by or []
-    buckets = buckets or _default_buckets(df)
-    counts = (df.select(*by, value.alias("__v")).where(F.col("__v").isNotNull())
-              .groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__cnt")))
     fractions = [i / buckets for i in range(1, buckets)]
     if buckets > 1:
         cut_expr = F.percentile_approx("__v", fractions, accuracy).alias("__cuts")
         if by:
-            cuts = counts.groupBy(*by).agg(cut_expr)
-            with_cuts = counts.join(cuts, by, "left")
+            with_cuts = counts.join(counts.groupBy(*by).agg(cut_expr), by, "left")
         else:
             # one array of ``buckets - 1`` values, read as a scalar subquery
             with_cuts = counts.withColumn("__cuts", counts.agg(cut_expr).scalar())
@@ -84,29 +87,47 @@ def rank_expr(method: str) -> Column:
     raise ValueError("method must be average, min or max")
 
 
-def attach_ranks(df: DataFrame, value: Column, ranks: DataFrame, out: str,
+def attach_ranks(df: DataFrame, value: Column, counts: DataFrame, ranks: DataFrame, out: str,
                  method: str = "average", by: list[str] | None = None,
-                 hot_slots: int = HOT_SLOTS, salts: int = SALTS) -> DataFrame:
-    """Join a rank table back to data rows, splitting hot values (see module
-    docstring).  Rows with a missing value get a null rank."""
+                 hot_slots: int = HOT_SLOTS, salts: int = SALTS,
+                 hot_counts: DataFrame | None = None) -> DataFrame:
+    """Join the rank table back to data rows in one shuffle join on
+    (by..., value, salt).
+
+    Hot values (at least N / ``hot_slots`` rows, so at most ``hot_slots`` of
+    them) are found from ``counts`` and broadcast as a key set; their data
+    rows take a salt in 1..``salts`` and their rank rows are replicated once
+    per salt, so a value holding a third of all rows is spread over
+    ``salts`` tasks.  Cold values keep salt 0 and a single rank row.
+    Rows with a missing value get a null rank.  ``hot_counts`` gives the
+    number of rows of ``df`` per key when ``df`` is not the table the ranks
+    were counted on (for example a table of weighted combinations).
+    """
     by = by or []
-    table = ranks.select(*by, "__v", "__cnt", rank_expr(method).alias("__r"))
-    total = table.agg(F.sum("__cnt")).scalar()
+    counts = hot_counts if hot_counts is not None else counts
+    total = counts.agg(F.sum("__cnt")).scalar()
     threshold = F.greatest(F.ceil(total / F.lit(hot_slots)), F.lit(1))
-    hot = table.where(F.col("__cnt") >= threshold).select(
-        *[F.col(k).alias(f"__hk_{k}") for k in by], F.col("__v").alias("__hv"), F.col("__r").alias("__hr"))
-    cold = table.where(F.col("__cnt") < threshold).select(
-        *[F.col(k).alias(f"__ck_{k}") for k in by], F.col("__v").alias("__cv"),
-        F.lit(0).alias("__cs"), F.col("__r").alias("__cr"))
+    # at most ``hot_slots`` keys: a proven bound for the broadcast
+    hot = F.broadcast(counts.where(F.col("__cnt") >= threshold).select(
+        *[F.col(k).alias(f"__hk_{k}") for k in by], F.col("__v").alias("__hv"), F.lit(True).alias("__hot")))
+
+    def flag(frame: DataFrame, v: Column) -> DataFrame:
+        cond = [frame[k].eqNullSafe(F.col(f"__hk_{k}")) for k in by] + [v == F.col("__hv")]
+        return frame.join(hot, cond, "left")
+
     data = df.withColumn("__v", value)
-    hot_cond = [data[k].eqNullSafe(F.col(f"__hk_{k}")) for k in by] + [data["__v"] == F.col("__hv")]
-    flagged = data.join(F.broadcast(hot), hot_cond, "left")
+    data = flag(data, data["__v"])
     spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int") + 1
-    flagged = flagged.withColumn("__s", F.when(F.col("__hr").isNull(), F.lit(0)).otherwise(spread))
-    cold_cond = ([flagged[k].eqNullSafe(F.col(f"__ck_{k}")) for k in by]
-                 + [flagged["__v"] == F.col("__cv"), flagged["__s"] == F.col("__cs")])
-    joined = flagged.join(cold, cold_cond, "left")
-    return joined.select(*df.columns, F.coalesce(F.col("__hr"), F.col("__cr")).alias(out))
+    data = data.withColumn("__s", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(spread))
+    table = flag(ranks, ranks["__v"])
+    salt = F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(1), F.lit(salts)))
+                     .otherwise(F.array(F.lit(0))))
+    table = table.select(*[F.col(k).alias(f"__rk_{k}") for k in by], F.col("__v").alias("__rv"),
+                         rank_expr(method).alias("__r"), salt.alias("__rs"))
+    cond = ([data[k].eqNullSafe(F.col(f"__rk_{k}")) for k in by]
+            + [data["__v"] == F.col("__rv"), data["__s"] == F.col("__rs")])
+    joined = data.join(table, cond, "left")
+    return joined.select(*df.columns, F.col("__r").alias(out))
 
 
 def average_rank(df: DataFrame, col: str, by: list[str] | None = None, out: str = "rank",
@@ -119,5 +140,6 @@ def average_rank(df: DataFrame, col: str, by: list[str] | None = None, out: str
     value = clean_value(df, col)
     if not ascending:
         value = -value.cast("double")
-    ranks = value_ranks(df, value, by, buckets)
-    return attach_ranks(df, value, ranks, out, method, by)
+    counts = value_counts(df, value, by)
+    ranks = value_ranks(counts, by, buckets or _default_buckets(df))
+    return attach_ranks(df, value, counts, ranks, out, method, by)

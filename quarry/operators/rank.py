@@ -61,7 +61,17 @@ def value_ranks(counts: DataFrame, by: list[str] | None = None, buckets: int = D
         else:
             # one array of ``buckets - 1`` values, read as a scalar subquery
             with_cuts = counts.withColumn("__cuts", counts.agg(cut_expr).scalar())
-        bucket = F.size(F.filter(F.col("__cuts"), lambda c: c < F.col("__v")))
+        # number of cut points below the value: a binary search over the
+        # sorted cut array in log2(buckets) compiled steps (a higher-order
+        # function's lambda would be interpreted per row)
+        with_cuts = with_cuts.withColumn("__b", F.lit(0))
+        step = 1 << ((buckets - 1).bit_length() - 1)
+        while step >= 1:
+            probe = F.try_element_at(F.col("__cuts"), F.col("__b") + step)
+            with_cuts = with_cuts.withColumn("__b", F.when(
+                F.coalesce(probe < F.col("__v"), F.lit(False)), F.col("__b") + step).otherwise(F.col("__b")))
+            step //= 2
+        bucket = F.col("__b")
     else:
         with_cuts, bucket = counts, F.lit(0)
     bucketed = with_cuts.select(*by, "__v", "__cnt", bucket.alias("__b"))

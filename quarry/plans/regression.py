@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import outliers, regress
-from quarry.plans.registry import DOCUMENTS_WORDS_SQL, documents_words, register, rounded
+from quarry.plans.registry import DOCUMENTS_WORDS_SQL, documents_words, register, rounded, table
 
 _Z = """
 d AS ({docs}),
@@ -106,3 +106,73 @@ def residuals(spark, sf):
     fit = regress.ols(kept, "n_words", "n_chars", with_pvalue=False)
     res = regress.residuals(kept, "n_words", "n_chars", fit)
     return rounded(res.select("doc_id", "y_hat", "residual"))
+
+
+# ------------------------------------------------------------ several x
+
+def _normal2_sql(src: str, x1: str, x2: str, y: str) -> str:
+    """Two-predictor least squares from centred moments, in SQL."""
+    return f"""
+WITH s AS (SELECT count(*) AS n, avg({x1}) AS m1, avg({x2}) AS m2, avg({y}) AS my,
+                  var_pop({x1}) AS s11, var_pop({x2}) AS s22, covar_pop({x1}, {x2}) AS s12,
+                  covar_pop({x1}, {y}) AS s1y, covar_pop({x2}, {y}) AS s2y, var_pop({y}) AS syy FROM {src}),
+b AS (SELECT *, (s22 * s1y - s12 * s2y) / (s11 * s22 - s12 * s12) AS b1,
+                (s11 * s2y - s12 * s1y) / (s11 * s22 - s12 * s12) AS b2 FROM s),
+f AS (SELECT *, my - b1 * m1 - b2 * m2 AS b0, (b1 * s1y + b2 * s2y) / syy AS r2 FROM b)"""
+
+
+def _coef_sql(src, x1, x2, y):
+    return _normal2_sql(src, x1, x2, y) + f"""
+SELECT v AS variable, round(c, 6) + 0.0 AS coefficient, round(r2, 6) + 0.0 AS r2, n::BIGINT AS n, 'ok' AS status
+FROM f CROSS JOIN LATERAL (VALUES ('__intercept__', b0), ('{x1}', b1), ('{x2}', b2)) t(v, c)"""
+
+
+@register("ols_multiple", sql=_coef_sql("part", "p_partkey", "p_size", "p_retailprice"))
+def ols_multiple(spark, sf):
+    part = table(spark, sf, "part")
+    return rounded(regress.ols_multiple(part, ["p_partkey", "p_size"], "p_retailprice"))
+
+
+@register("ols_multiple_lineitem", sql=_coef_sql("lineitem", "l_quantity", "l_discount", "l_extendedprice"))
+def ols_multiple_lineitem(spark, sf):
+    li = table(spark, sf, "lineitem")
+    return rounded(regress.ols_multiple(li, ["l_quantity", "l_discount"], "l_extendedprice"))
+
+
+@register("ols_multiple_by_group", sql="""
+WITH s AS (SELECT p_size % 5 AS g, count(*) AS n, avg(p_partkey) AS m1, avg(p_retailprice) AS my,
+                  var_pop(p_partkey) AS s11, covar_pop(p_partkey, p_retailprice) AS s1y,
+                  var_pop(p_retailprice) AS syy FROM part GROUP BY 1)
+SELECT g, v AS variable, round(c, 6) + 0.0 AS coefficient, round(s1y * s1y / s11 / syy, 6) + 0.0 AS r2,
+       n::BIGINT AS n, 'ok' AS status
+FROM s CROSS JOIN LATERAL (VALUES ('__intercept__', my - s1y / s11 * m1), ('p_partkey', s1y / s11)) t(v, c)""")
+def ols_multiple_by_group(spark, sf):
+    part = table(spark, sf, "part").withColumn("g", F.col("p_size") % 5)
+    return rounded(regress.ols_multiple(part, ["p_partkey"], "p_retailprice", by=["g"]))
+
+
+@register("ols_predict", sql=_normal2_sql("part", "p_partkey", "p_size", "p_retailprice") + """
+SELECT p_partkey, round(b0 + b1 * p_partkey + b2 * p_size, 6) + 0.0 AS y_hat FROM part CROSS JOIN f""")
+def ols_predict(spark, sf):
+    part = table(spark, sf, "part")
+    model = regress.ols_multiple(part, ["p_partkey", "p_size"], "p_retailprice")
+    pred = regress.ols_predict(part, ["p_partkey", "p_size"], model)
+    return rounded(pred.select("p_partkey", "y_hat"))
+
+
+@register("r2_score", sql=_normal2_sql("part", "p_partkey", "p_size", "p_retailprice") + """,
+p AS (SELECT p_retailprice AS y, b0 + b1 * p_partkey + b2 * p_size AS y_hat FROM part CROSS JOIN f)
+SELECT round(1 - sum(power(y - y_hat, 2)) / (var_pop(y) * count(y)), 6) + 0.0 AS r2 FROM p""")
+def r2_score(spark, sf):
+    part = table(spark, sf, "part")
+    model = regress.ols_multiple(part, ["p_partkey", "p_size"], "p_retailprice")
+    pred = regress.ols_predict(part, ["p_partkey", "p_size"], model)
+    return rounded(regress.r2_score(pred, "p_retailprice", "y_hat"))
+
+
+@register("require_numeric")
+def require_numeric(spark, sf):
+    """The numeric check as a table: each column of part and whether it
+    may be used as X or Y."""
+    from quarry.operators.explore import list_columns
+    return list_columns(table(spark, sf, "part")).select("name", F.col("is_numeric").alias("usable"))

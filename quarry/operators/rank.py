@@ -41,17 +41,27 @@ def _default_buckets(df: DataFrame) -> int:
     return max(DEFAULT_BUCKETS, 4 * parts)
 
 
-def value_counts(df: DataFrame, value: Column, by: list[str] | None = None) -> DataFrame:
-    """One row per distinct (by..., __v) with ``__cnt`` (map-side combined)."""
+def value_counts(df: DataFrame, value: Column, by: list[str] | None = None,
+                 then: list[Column] | None = None) -> DataFrame:
+    """One row per distinct (by..., __v, __o0...) with ``__cnt`` (map-side
+    combined).  ``then`` are further order columns (tie-breakers) after
+    ``value``."""
     by = by or []
-    return (df.select(*by, value.alias("__v")).where(F.col("__v").isNotNull())
-            .groupBy(*by, "__v").agg(F.count(F.lit(1)).alias("__cnt")))
+    extra = [c.alias(f"__o{i}") for i, c in enumerate(then or [])]
+    names = [f"__o{i}" for i in range(len(extra))]
+    return (df.select(*by, value.alias("__v"), *extra).where(F.col("__v").isNotNull())
+            .groupBy(*by, "__v", *names).agg(F.count(F.lit(1)).alias("__cnt")))
+
+
+def _then_names(counts: DataFrame) -> list[str]:
+    return [c for c in counts.columns if c.startswith("__o")]
 
 
 def value_ranks(counts: DataFrame, by: list[str] | None = None, buckets: int = DEFAULT_BUCKETS,
                 accuracy: int = 10_000) -> DataFrame:
     """Rank table from ``value_counts``: adds ``__before``, the number of rows
-    strictly before the value within its group."""
+    strictly before the value within its group, and ``__total``, the
+    group's number of rows."""
     by = by or []
     fractions = [i / buckets for i in range(1, buckets)]
     if buckets > 1:
@@ -74,16 +84,19 @@ def value_ranks(counts: DataFrame, by: list[str] | None = None, buckets: int = D
         bucket = F.col("__b")
     else:
         with_cuts, bucket = counts, F.lit(0)
-    bucketed = with_cuts.select(*by, "__v", "__cnt", bucket.alias("__b"))
-    inner = Window.partitionBy(*by, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
+    then = _then_names(counts)
+    bucketed = with_cuts.select(*by, "__v", *then, "__cnt", bucket.alias("__b"))
+    inner = Window.partitionBy(*by, "__b").orderBy("__v", *then).rowsBetween(Window.unboundedPreceding, -1)
     within = bucketed.withColumn("__in", F.coalesce(F.sum("__cnt").over(inner), F.lit(0)))
     totals = bucketed.groupBy(*by, "__b").agg(F.sum("__cnt").alias("__bt"))
     # ``buckets`` rows per group: bounded, whatever the data size
     outer = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*by, "__b", F.coalesce(F.sum("__bt").over(outer), F.lit(0)).alias("__off"))
+    offsets = totals.select(*by, "__b", F.coalesce(F.sum("__bt").over(outer), F.lit(0)).alias("__off"),
+                            F.sum("__bt").over(Window.partitionBy(*by)).alias("__total"))
     offsets = F.broadcast(offsets) if not by else offsets
     ranked = within.join(offsets, by + ["__b"], "inner")
-    return ranked.select(*by, "__v", "__cnt", (F.col("__off") + F.col("__in")).alias("__before"))
+    return ranked.select(*by, "__v", *then, "__cnt", (F.col("__off") + F.col("__in")).alias("__before"),
+                         "__total")
 
 
 def rank_expr(method: str) -> Column:
@@ -100,7 +113,8 @@ def rank_expr(method: str) -> Column:
 def attach_ranks(df: DataFrame, value: Column, counts: DataFrame, ranks: DataFrame, out: str,
                  method: str = "average", by: list[str] | None = None,
                  hot_slots: int = HOT_SLOTS, salts: int = SALTS,
-                 hot_counts: DataFrame | None = None) -> DataFrame:
+                 hot_counts: DataFrame | None = None, then: list[Column] | None = None,
+                 total_out: str | None = None) -> DataFrame:
     """Join the rank table back to data rows in one shuffle join on
     (by..., value, salt).
 
@@ -114,18 +128,22 @@ def attach_ranks(df: DataFrame, value: Column, counts: DataFrame, ranks: DataFra
     were counted on (for example a table of weighted combinations).
     """
     by = by or []
+    then = then or []
+    tn = [f"__o{i}" for i in range(len(then))]
     counts = hot_counts if hot_counts is not None else counts
     total = counts.agg(F.sum("__cnt")).scalar()
     threshold = F.greatest(F.ceil(total / F.lit(hot_slots)), F.lit(1))
     # at most ``hot_slots`` keys: a proven bound for the broadcast
     hot = F.broadcast(counts.where(F.col("__cnt") >= threshold).select(
-        *[F.col(k).alias(f"__hk_{k}") for k in by], F.col("__v").alias("__hv"), F.lit(True).alias("__hot")))
+        *[F.col(k).alias(f"__hk_{k}") for k in by], F.col("__v").alias("__hv"),
+        *[F.col(n).alias(f"__h{n}") for n in tn], F.lit(True).alias("__hot")))
 
     def flag(frame: DataFrame, v: Column) -> DataFrame:
-        cond = [frame[k].eqNullSafe(F.col(f"__hk_{k}")) for k in by] + [v == F.col("__hv")]
+        cond = ([frame[k].eqNullSafe(F.col(f"__hk_{k}")) for k in by] + [v == F.col("__hv")]
+                + [frame[n].eqNullSafe(F.col(f"__h{n}")) for n in tn])
         return frame.join(hot, cond, "left")
 
-    data = df.withColumn("__v", value)
+    data = df.withColumns({"__v": value, **{n: c for n, c in zip(tn, then)}})
     data = flag(data, data["__v"])
     spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int") + 1
     data = data.withColumn("__s", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(spread))
@@ -133,11 +151,14 @@ def attach_ranks(df: DataFrame, value: Column, counts: DataFrame, ranks: DataFra
     salt = F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(1), F.lit(salts)))
                      .otherwise(F.array(F.lit(0))))
     table = table.select(*[F.col(k).alias(f"__rk_{k}") for k in by], F.col("__v").alias("__rv"),
-                         rank_expr(method).alias("__r"), salt.alias("__rs"))
+                         *[F.col(n).alias(f"__r{n}") for n in tn],
+                         rank_expr(method).alias("__r"), F.col("__total").alias("__rt"), salt.alias("__rs"))
     cond = ([data[k].eqNullSafe(F.col(f"__rk_{k}")) for k in by]
-            + [data["__v"] == F.col("__rv"), data["__s"] == F.col("__rs")])
+            + [data["__v"] == F.col("__rv"), data["__s"] == F.col("__rs")]
+            + [data[n].eqNullSafe(F.col(f"__r{n}")) for n in tn])
     joined = data.join(table, cond, "left")
-    return joined.select(*df.columns, F.col("__r").alias(out))
+    extra = [F.col("__rt").alias(total_out)] if total_out else []
+    return joined.select(*df.columns, F.col("__r").alias(out), *extra)
 
 
 def average_rank(df: DataFrame, col: str, by: list[str] | None = None, out: str = "rank",

@@ -6,7 +6,7 @@ import importlib
 
 from quarry.plans.registry import REGISTRY
 
-MODULES = ["regression", "explore", "cleaning", "statistics"]
+MODULES = ["regression", "explore", "cleaning", "statistics", "timeseries"]
 
 
 def load_all():

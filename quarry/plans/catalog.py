@@ -6,7 +6,7 @@ import importlib
 
 from quarry.plans.registry import REGISTRY
 
-MODULES = ["regression", "explore", "cleaning", "statistics", "timeseries", "models"]
+MODULES = ["regression", "explore", "cleaning", "statistics", "timeseries", "models", "io", "charts"]
 
 
 def load_all():

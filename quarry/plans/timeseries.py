@@ -85,3 +85,10 @@ UNION ALL
 SELECT user_id, 'forecast' AS kind, n + step AS t, {_FC_TS} AS ts, round(yhat, 6) + 0.0 AS y FROM {_FC_LAST}""")
 def series_with_forecast(spark, sf):
     return rounded(fc.series_with_forecast(_series(spark, sf), "user_id", 10))
+
+
+@register("arima_refine")
+def arima_refine(spark, sf):
+    """conditional-sum-of-squares refinement of every series' F3 fit
+    (iterative; no SQL form)."""
+    return fc.arima_refine(_series(spark, sf), "user_id", iterations=6)

@@ -98,3 +98,15 @@ def test_parse_time_strict_and_lenient(spark):
     assert ok[0].s == dt.datetime(2024, 1, 2, 3, 4, 5) and ok[1].s is None
     with pytest.raises(Exception):
         fc.parse_time(df, "s").collect()
+
+
+def test_refine_lowers_cost_and_ignores_block_size(spark):
+    df = _frame(spark, {1: _arima_series(0.5, 0.8, 1500, 21), 2: _arima_series(0.6, 0.3, 800, 22)})
+    s = fc.as_series(df, "ts", "y", "key", "id")
+    a = {r.key: r for r in fc.arima_refine(s, "key", 5).collect()}
+    b = {r.key: r for r in fc.arima_refine(s, "key", 5, block_rows=97).collect()}
+    for k in (1, 2):
+        assert a[k].css <= a[k].css_start
+        assert abs(a[k].phi - b[k].phi) < 1e-9 and abs(a[k].theta - b[k].theta) < 1e-9
+        assert abs(a[k].css - b[k].css) < 1e-6
+    assert abs(a[1].theta - 0.8) < 0.08

@@ -4,10 +4,10 @@ Every scaler and filter follows one pattern: a single ``agg`` computes all
 column statistics in one pass (partial aggregation map-side, one tiny final
 exchange), and each data row then reads them.
 
-* Without ``by`` the statistics are one row.  They are read as scalar
-  subqueries (``DataFrame.scalar()``): Catalyst merges all of them into one
-  aggregation job, runs it once and inlines the values into the projection,
-  so the data side needs no join and no shuffle.
+* Without ``by`` the statistics are one row.  They are read as one scalar
+  subquery (``DataFrame.scalar()`` of a struct): Spark runs it once before
+  the main job and inlines the value, so the data side needs no join and no
+  shuffle.
 * With ``by`` they are one row per group, and the number of groups is not
   bounded, so they are joined on the keys and the strategy is left to the
   planner: AQE turns the join into a broadcast at run time when the measured
@@ -18,6 +18,7 @@ exchange), and each data row then reads them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +34,12 @@ def attach(df: DataFrame, stats: DataFrame, by: list[str] | None = None
     """Return ``(frame, stat)``: ``frame`` is ``df`` (joined to the statistics
     when grouped) and ``stat(name)`` is the Column holding that statistic."""
     if not by:
-        return df, lambda name: stats.select(name).scalar()
+        # one scalar subquery holding every statistic as a struct, projected
+        # once: later references are field accesses on a column, so chained
+        # operators do not copy the subquery into each expression
+        col = f"__stats_{uuid.uuid4().hex[:10]}"
+        frame = df.withColumn(col, stats.select(F.struct(*stats.columns)).scalar())
+        return frame, lambda name: F.col(col)[name]
     renamed = stats.withColumnsRenamed({k: f"__by_{k}" for k in by})
     # null group keys form a group of their own, as in groupBy
     cond = [df[k].eqNullSafe(renamed[f"__by_{k}"]) for k in by]

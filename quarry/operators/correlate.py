@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import as_double, require_numeric, safe_div
 from quarry.operators._stats import grouped_agg
 from quarry.operators.rank import _default_buckets, attach_ranks, value_ranks
+from quarry.session import cut_lineage
 
 METHODS = ("pearson", "spearman")
 
@@ -88,13 +89,34 @@ def _spearman(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     keys = by + ["p"]
     cells = (base.select(*by, recs.alias("__rec")).select(*by, "__rec.p", "__rec.a", "__rec.b")
              .groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("w")))
+    # the cells feed six consumers (counts, hot keys, subqueries, joins):
+    # written once to the shared checkpoint folder instead of recomputed
+    cells = cut_lineage(cells)
+    complete = base.agg(F.count_if(F.greatest(*[F.col(n).isNull().cast("int") for n in names]) > 0)).first()[0] == 0
     ranked = cells
-    for side in ("a", "b"):
-        # pairwise-complete ranks: the weights summed per value of this side
-        counts = cells.groupBy(*keys, F.col(side).alias("__v")).agg(F.sum("w").alias("__cnt"))
-        hot = cells.groupBy(*keys, F.col(side).alias("__v")).agg(F.count(F.lit(1)).alias("__cnt"))
-        ranked = attach_ranks(ranked, F.col(side), counts, value_ranks(counts, keys, buckets),
-                              f"r{side}", "average", keys, hot_counts=hot)
+    if complete:
+        # no missing value: every pair sees the same rows, so each column is
+        # ranked once, all columns in one rank pass keyed by column index
+        long = base.select(*by, F.explode(F.array(*[
+            F.struct(F.lit(i).alias("ci"), F.col(n).alias("v")) for i, n in enumerate(names)])).alias("__c"))
+        long = long.select(*by, "__c.ci", "__c.v")
+        ckeys = by + ["ci"]
+        counts = long.groupBy(*ckeys, F.col("v").alias("__v")).agg(F.count(F.lit(1)).alias("__cnt"))
+        ranks = value_ranks(counts, ckeys, buckets)
+        side_col = F.create_map(*[x for p, (i, j) in enumerate(pairs) for x in (F.lit(p), F.array(F.lit(i), F.lit(j)))])
+        ranked = ranked.withColumn("__ij", side_col[F.col("p")])
+        for k, side in enumerate(("a", "b")):
+            ranked = ranked.withColumn("ci", F.col("__ij")[k])
+            hot = ranked.groupBy(*ckeys, F.col(side).alias("__v")).agg(F.count(F.lit(1)).alias("__cnt"))
+            ranked = attach_ranks(ranked, F.col(side), counts, ranks, f"r{side}", "average", ckeys,
+                                  hot_counts=hot).drop("ci")
+    else:
+        for side in ("a", "b"):
+            # pairwise-complete ranks: the weights summed per value of this side
+            counts = cells.groupBy(*keys, F.col(side).alias("__v")).agg(F.sum("w").alias("__cnt"))
+            hot = cells.groupBy(*keys, F.col(side).alias("__v")).agg(F.count(F.lit(1)).alias("__cnt"))
+            ranked = attach_ranks(ranked, F.col(side), counts, value_ranks(counts, keys, buckets),
+                                  f"r{side}", "average", keys, hot_counts=hot)
     w, ra, rb = F.col("w").cast("double"), F.col("ra"), F.col("rb")
     sums = ranked.groupBy(*keys).agg(
         F.sum(w).alias("W"), F.sum(w * ra).alias("Sa"), F.sum(w * rb).alias("Sb"),

@@ -50,7 +50,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared folder (survives executor loss,
-    unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder
+    and read it back: one job, lineage cut, and the files survive executor
+    loss (unlike a local checkpoint).  ``DataFrame.checkpoint`` would compute
+    the data twice unless it were also persisted."""
+    import uuid
+
+    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{root}/quarry-cut-{uuid.uuid4().hex}"
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.parquet(path)

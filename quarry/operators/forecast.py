@@ -185,23 +185,26 @@ def _apply_steps(df: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
 
 def _fit_state(series: DataFrame, key=None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     keys = _keys(key)
+    if not keys:
+        # a single series: a constant key keeps every step a keyed join
+        return _fit_state(series.withColumn("__one", F.lit(0)), ["__one"], block_rows).drop("__one")
     lagged = with_lags(series, keys, LAGS, block_rows)
     gaps = F.timestamp_diff("MICROSECOND", F.col("ts1"), F.col("ts"))
     rows = lagged.select(*keys, "t", "n", "ts", "y", gaps.alias("gap"),
                          *[F.expr(e).alias(n) for n, e in diff_columns()])
     aggs = [F.expr(a) for a in moment_aggregates()] + [F.min("gap").alias("gap_min"), F.max("gap").alias("gap_max")]
-    sums = rows.groupBy(*keys).agg(*aggs) if keys else rows.agg(*aggs)
+    sums = rows.groupBy(*keys).agg(*aggs)
     fitted = _apply_steps(sums, fit_steps("spark"))
     params = fitted.select(*keys, *FIT_COLUMNS, "y_last", "d_last", "ts_last", "gap_min", "gap_max")
-    # last shock from each series' tail only (bounded rows per key)
+    # last shock from each series' tail only (at most TAIL rows per key)
     tail = rows.where((F.col("n") - F.col("t") < TAIL) & F.col("d0").isNotNull()).select(
         *keys, "t", "n", "d0", "d1")
     coef = params.select(*keys, F.col("phi").alias("__phi"), F.col("theta").alias("__theta"))
-    tail = tail.join(coef, keys, "inner") if keys else tail.crossJoin(F.broadcast(coef))
+    tail = tail.join(coef, keys, "inner")
     w = F.pow(-F.col("__theta"), (F.col("n") - F.col("t")).cast("double"))
     shock_term = w * (F.col("d0") - F.col("__phi") * F.coalesce(F.col("d1"), F.lit(0.0)))
-    shocks = (tail.groupBy(*keys) if keys else tail.groupBy()).agg(F.sum(shock_term).alias("e_last"))
-    return params.join(shocks, keys, "left") if keys else params.crossJoin(shocks)
+    shocks = tail.groupBy(*keys).agg(F.sum(shock_term).alias("e_last"))
+    return params.join(shocks, keys, "left")
 
 
 def arima_fit(series: DataFrame, key=None, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -110,3 +110,10 @@ def test_refine_lowers_cost_and_ignores_block_size(spark):
         assert abs(a[k].phi - b[k].phi) < 1e-9 and abs(a[k].theta - b[k].theta) < 1e-9
         assert abs(a[k].css - b[k].css) < 1e-6
     assert abs(a[1].theta - 0.8) < 0.08
+
+
+def test_single_series_without_key(spark):
+    df = _frame(spark, {1: _arima_series(0.5, 0.2, 200, 8)})
+    keyed = fc.arima_forecast(fc.as_series(df, "ts", "y", "key", "id"), "key", 5).orderBy("step").collect()
+    alone = fc.arima_forecast(fc.as_series(df.drop("key"), "ts", "y", None, "id"), None, 5).orderBy("step").collect()
+    assert [round(r.yhat, 9) for r in keyed] == [round(r.yhat, 9) for r in alone]

@@ -347,8 +347,9 @@ def arima_refine(series: DataFrame, key=None, iterations: int = 8, block_rows: i
     input is checkpointed to the shared folder once, and the per-key state
     after each iteration, so lineage stays short.
     """
-    from quarry.session import cut_lineage
+    from quarry.session import cut_lineage, ship_package
 
+    ship_package(series.sparkSession)
     keys = _keys(key)
     kcols = [f"__k_{k}" for k in keys] or ["__k_all"]
     lagged = with_lags(series, keys, 2, block_rows)

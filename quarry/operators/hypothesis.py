@@ -11,6 +11,7 @@ from quarry.functions.columns import as_double, require_columns, require_numeric
 from quarry.functions.pvalues import chi2_pvalue, t_pvalue
 from quarry.operators._stats import grouped_agg
 from quarry.operators.explore import crosstab
+from quarry.session import ship_package
 
 
 def _t_from_moments(n1, m1, v1, n2, m2, v2):
@@ -38,6 +39,7 @@ def ttest_ind(df: DataFrame, a: str, b: str, by: list[str] | None = None,
                    F.col("n1").cast("bigint").alias("n1"), F.col("n2").cast("bigint").alias("n2"),
                    F.when(~complete, "missing_values").when(dof < 1, "too_few_rows").otherwise("ok").alias("status"))
     if with_pvalue:
+        ship_package(df.sparkSession)
         out = out.withColumn("p", t_pvalue(F.col("t"), F.col("dof")))
     return out
 
@@ -59,6 +61,7 @@ def ttest_groups(df: DataFrame, value: str, group: str, first, second,
     out = m.select(t.alias("t"), dof.cast("bigint").alias("dof"),
                    F.col("n1").cast("bigint").alias("n1"), F.col("n2").cast("bigint").alias("n2"))
     if with_pvalue:
+        ship_package(df.sparkSession)
         out = out.withColumn("p", t_pvalue(F.col("t"), F.col("dof")))
     return out
 
@@ -104,6 +107,7 @@ def chi_square(df: DataFrame, a: str, b: str, correction: bool = True,
     stat = F.when(dof == 0, F.lit(0.0)).when((dof == 1) & F.lit(correction), yates).otherwise(plain)
     out = agg.select(stat.alias("stat"), dof.alias("dof"), N.cast("bigint").alias("n"))
     if with_pvalue:
+        ship_package(df.sparkSession)
         out = out.withColumn("p", chi2_pvalue(F.col("stat"), F.col("dof")))
     return out
 

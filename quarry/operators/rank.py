@@ -29,16 +29,20 @@ from pyspark.sql import functions as F
 from quarry.functions.columns import clean_value, require_columns
 
 DEFAULT_BUCKETS = 64
+MIN_BUCKETS = 16
+MAX_BUCKETS = 4096
 HOT_SLOTS = 10_000
 SALTS = 64
 
 
 def _default_buckets(df: DataFrame) -> int:
+    """One bucket per shuffle partition (so the bucket windows use every
+    task), clamped to 16..4096."""
     try:
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     except Exception:  # pragma: no cover
         parts = 200
-    return max(DEFAULT_BUCKETS, 4 * parts)
+    return max(MIN_BUCKETS, min(parts, MAX_BUCKETS))
 
 
 def value_counts(df: DataFrame, value: Column, by: list[str] | None = None,

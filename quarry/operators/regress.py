@@ -24,6 +24,7 @@ from quarry.functions.columns import as_double, require_numeric, safe_div
 from quarry.functions.pvalues import t_pvalue
 from quarry.operators._stats import attach, grouped_agg
 from quarry.operators.outliers import KEEP, with_outlier_mask
+from quarry.session import ship_package
 
 SINGLE_COLUMNS = ["n", "r2", "intercept", "slope", "slope_se", "slope_t"]
 
@@ -74,6 +75,7 @@ def ols(df: DataFrame, x: str, y: str, by: list[str] | None = None,
         F.when(~blocked, safe_div(b, se)).alias("slope_t"),
         status.alias("status"))
     if with_pvalue:
+        ship_package(df.sparkSession)
         out = out.withColumn("slope_p", t_pvalue(F.col("slope_t"), (F.col("n") - 2)))
     return out
 
@@ -177,6 +179,7 @@ def ols_multiple(df: DataFrame, xs: list[str], y: str, by: list[str] | None = No
     if not xs:
         raise ValueError("select at least one predictor")
     require_numeric(df, xs + [y])
+    ship_package(df.sparkSession)
     by = by or []
     k = len(xs)
     moments = _moments(df, xs, y, by)

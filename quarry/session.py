@@ -36,6 +36,35 @@ def build_session(master: str | None = "local[*]", shuffle_partitions: int = 8,
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable in the Python workers: zip the package once
+    per application and hand it to ``SparkContext.addPyFile``, which
+    distributes it to every executor (grouped pandas functions and pandas
+    UDFs are pickled by module reference)."""
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import quarry
+
+    pkg = os.path.dirname(os.path.abspath(quarry.__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="quarry-code-"), "quarry.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, names in os.walk(pkg):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(dirpath, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
     ``spark.checkpoint.dir``.  Only when it is unset (local tests) is a
@@ -46,6 +75,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         current = tempfile.mkdtemp(prefix="quarry-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)
+    ship_package(spark)
     return sc.getCheckpointDir() or current
 
 

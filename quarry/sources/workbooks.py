@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from quarry.session import ship_package
+
 _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "r": "http://schemas.openxmlformats.org/officeDocument/2006/relationships",
        "p": "http://schemas.openxmlformats.org/package/2006/relationships"}
@@ -96,6 +98,7 @@ def _convert(value, dtype: T.DataType):
 def read_workbooks(spark: SparkSession, path: str, schema: T.StructType,
                    glob: str = "*.xlsx") -> DataFrame:
     """Rows of the first sheet of every workbook under ``path``."""
+    ship_package(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("content")
     fields = schema.fields
 

@@ -68,14 +68,25 @@ def profile_shape(df: DataFrame) -> DataFrame:
         "n_rows", F.lit(len(df.columns)).cast("bigint").alias("n_cols"))
 
 
-def list_columns(df: DataFrame) -> DataFrame:
-    """``(pos, name, type, is_numeric)`` from the schema (no data read)."""
+def list_columns(df: DataFrame, with_counts: bool = False) -> DataFrame:
+    """``(pos, name, type, is_numeric)`` from the schema (no data read);
+    with ``with_counts`` also ``n_present``, the non-missing cells of each
+    column (one aggregation)."""
     rows = [(i, f.name, f.dataType.simpleString(), is_numeric_type(f.dataType))
             for i, f in enumerate(df.schema.fields)]
     schema = T.StructType([
         T.StructField("pos", T.IntegerType()), T.StructField("name", T.StringType()),
         T.StructField("type", T.StringType()), T.StructField("is_numeric", T.BooleanType())])
-    return df.sparkSession.createDataFrame(rows, schema)
+    listing = df.sparkSession.createDataFrame(rows, schema)
+    if not with_counts:
+        return listing
+    from quarry.functions.columns import is_missing
+
+    counts = df.agg(*[F.count_if(~is_missing(df, c)).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    present = counts.select(F.inline(F.array(*[
+        F.struct(F.lit(i).alias("pos"), F.col(f"c{i}").cast("bigint").alias("n_present"))
+        for i in range(len(df.columns))])))
+    return listing.join(present, "pos", "left")
 
 
 def preview(df: DataFrame, n: int = 100, order_by: list[str] | None = None,

@@ -55,7 +55,7 @@ def profile_shape(spark, sf):
 
 @register("list_columns")
 def list_columns(spark, sf):
-    return explore.list_columns(table(spark, sf, "lineitem"))
+    return explore.list_columns(table(spark, sf, "lineitem"), with_counts=True)
 
 
 _PART_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]

@@ -27,23 +27,14 @@ def read_csv_inferred(spark, sf):
     return files.read_csv(spark, path)
 
 
-@register("read_workbooks", sql="SELECT * FROM nation")
+@register("read_workbooks", sql="SELECT * FROM customer")
 def read_workbooks(spark, sf):
-    """nation written as one workbook per region (nation is a fixed 25-row
-    table, so writing the test inputs from the driver is bounded), then read
-    back with one task per file."""
-    import os
-
-    nation = table(spark, sf, "nation")
+    """customer written as workbooks by the executors (one per partition),
+    then read back with one task per file."""
+    cust = table(spark, sf, "customer")
     root = files.scratch_path(spark, "xlsx")
-    local = root.removeprefix("file:")
-    os.makedirs(local, exist_ok=True)
-    rows = nation.orderBy("n_nationkey").collect()
-    for region in sorted({r["n_regionkey"] for r in rows}):
-        part = [tuple(r) for r in rows if r["n_regionkey"] == region]
-        with open(f"{local}/region_{region}.xlsx", "wb") as fh:
-            fh.write(workbooks.workbook_bytes(nation.columns, part))
-    return workbooks.read_workbooks(spark, root, nation.schema)
+    workbooks.write_workbooks(cust.repartition(4), root)
+    return workbooks.read_workbooks(spark, root, cust.schema)
 
 
 @register("encrypt_table")

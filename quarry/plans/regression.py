@@ -175,4 +175,5 @@ def require_numeric(spark, sf):
     """The numeric check as a table: each column of part and whether it
     may be used as X or Y."""
     from quarry.operators.explore import list_columns
-    return list_columns(table(spark, sf, "part")).select("name", F.col("is_numeric").alias("usable"))
+    cols = list_columns(table(spark, sf, "part"), with_counts=True)
+    return cols.select("name", F.col("is_numeric").alias("usable"), "n_present")

@@ -10,12 +10,14 @@ first row is the header; cells are matched to schema fields by header name.
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.session import ship_package
@@ -175,3 +177,35 @@ def workbook_bytes(columns: list[str], rows: list[tuple]) -> bytes:
         for name, text in parts.items():
             z.writestr(name, text)
     return buf.getvalue()
+
+
+def write_workbooks(df: DataFrame, path: str) -> int:
+    """Write ``df`` as one workbook per partition under ``path`` (any
+    filesystem pyarrow can open: local, HDFS, S3), from the executors; the
+    driver receives one count per partition.  Returns the number of rows.
+    Used to produce workbook inputs at scale."""
+    import uuid
+
+    ship_package(df.sparkSession)
+    columns = df.columns
+    tag = uuid.uuid4().hex[:8]
+
+    def write(batches):
+        from pyarrow import fs as pafs
+        from pyspark import TaskContext
+
+        rows = []
+        for pdf in batches:
+            rows.extend(tuple(None if pd.isna(v) else (v.item() if hasattr(v, "item") else v) for v in r)
+                        for r in pdf.itertuples(index=False, name=None))
+        part = TaskContext.get().partitionId()
+        if rows:
+            uri = path if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", path) else f"file://{path}"
+            filesystem, base = pafs.FileSystem.from_uri(uri)
+            filesystem.create_dir(base, recursive=True)
+            with filesystem.open_output_stream(f"{base}/part-{part:05d}-{tag}.xlsx") as out:
+                out.write(workbook_bytes(columns, rows))
+        yield pd.DataFrame({"rows": [len(rows)]})
+
+    written = df.mapInPandas(write, "rows long").agg(F.sum("rows")).first()[0]
+    return int(written or 0)

@@ -76,3 +76,10 @@ def test_jdbc_partitioned_read_in_process_derby(spark):
     assert rows(df.toDF(*cust.columns)) == rows(cust)
     q = jdbc.read_jdbc(spark, url, 'SELECT "c_custkey" FROM CUST WHERE "c_acctbal" > 0', properties=props)
     assert q.count() == cust.where(F.col("c_acctbal") > 0).count()
+
+
+def test_workbooks_written_by_executors_round_trip(spark):
+    cust = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    root = files.scratch_path(spark, "wb")
+    assert workbooks.write_workbooks(cust.repartition(3), root) == cust.count()
+    assert rows(workbooks.read_workbooks(spark, root, cust.schema)) == rows(cust)

@@ -29,7 +29,7 @@ def with_outlier_mask(df: DataFrame, cols: list[str], threshold: float = 3.0,
     for i, c in enumerate(cols):
         x = as_double(df, c)
         exprs += [F.avg(x).alias(f"__m_{i}"), F.stddev_samp(x).alias(f"__s_{i}")]
-    frame, stat = attach(df, grouped_agg(df, by, exprs), by)
+    frame, stat = attach(df, grouped_agg(df, by, exprs, rows=True), by)
     tests: list[Column] = [
         F.abs(safe_div(as_double(df, c) - stat(f"__m_{i}"), stat(f"__s_{i}"))) <= F.lit(float(threshold))
         for i, c in enumerate(cols)]

@@ -36,8 +36,9 @@ def scatter_bins(df: DataFrame, cols: list[str], bins: int = 50, by: list[str] |
     for v in vals.values():
         present = v.isNotNull() if present is None else present & v.isNotNull()
     base = df.where(present)
-    span = grouped_agg(base, by, [e for i, c in enumerate(cols)
-                                  for e in (F.min(vals[c]).alias(f"__lo{i}"), F.max(vals[c]).alias(f"__hi{i}"))])
+    edges = [e for i, c in enumerate(cols)
+             for e in (F.min(vals[c]).alias(f"__lo{i}"), F.max(vals[c]).alias(f"__hi{i}"))]
+    span = grouped_agg(base, by, edges, rows=True)
     frame, stat = attach(base, span, by)
     keyed = frame.select(*by, *[_bin(vals[c], stat(f"__lo{i}"), stat(f"__hi{i}"), bins).alias(f"b{i}")
                                 for i, c in enumerate(cols)],

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import clean_value, require_columns
+from quarry.operators._lookup import lookup_join
 
 DEFAULT_BUCKETS = 64
 MIN_BUCKETS = 16
@@ -71,7 +72,10 @@ def value_ranks(counts: DataFrame, by: list[str] | None = None, buckets: int = D
     if buckets > 1:
         cut_expr = F.percentile_approx("__v", fractions, accuracy).alias("__cuts")
         if by:
-            with_cuts = counts.join(counts.groupBy(*by).agg(cut_expr), by, "left")
+            # per-group cut points, attached skew-safely (one group may hold
+            # most distinct values)
+            per_group = counts.groupBy(*by).agg(cut_expr, F.count(F.lit(1)).alias("__w"))
+            with_cuts = lookup_join(counts, per_group.drop("__w"), by, per_group.select(*by, "__w"))
         else:
             # one array of ``buckets - 1`` values, read as a scalar subquery
             with_cuts = counts.withColumn("__cuts", counts.agg(cut_expr).scalar())

@@ -87,3 +87,33 @@ def test_correlation_needs_two_columns(spark):
     df = spark.createDataFrame([(1.0,)], "a double")
     with pytest.raises(ValueError):
         correlate.correlation(df, ["a"])
+
+
+def test_lookup_join_splits_hot_group(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators._lookup import lookup_join
+
+    data = spark.createDataFrame([("hot" if i % 3 else f"k{i % 50}", i) for i in range(3000)] + [(None, -1)],
+                                 "g string, v long")
+    table = data.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
+    from quarry.operators._lookup import split_hot
+
+    weights = table.select("g", F.col("n").alias("__w"))
+    hot, cold = split_hot(table, ["g"], weights, hot_slots=4)
+    assert [r[0] for r in hot.collect()] == ["hot"] and cold.count() == table.count() - 1
+    out = lookup_join(data, table, ["g"], weights, hot_slots=4, salts=5)
+    t2 = table.withColumnRenamed("g", "tg")
+    want = data.join(t2, data["g"].eqNullSafe(t2["tg"]), "left").select("g", "v", "n", "s")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_grouped_scaling_with_hot_group(spark):
+    from quarry.operators import clean
+
+    data = [("hot", float(i)) for i in range(2000)] + [("cold", 1.0), ("cold", 3.0)]
+    df = spark.createDataFrame(data, "g string, x double")
+    out = clean.normalize(df, ["x"], by=["g"])
+    got = {r.g: (r.min, r.max) for r in out.groupBy("g").agg({"x": "min"}).join(
+        out.groupBy("g").agg({"x": "max"}), "g").withColumnsRenamed({"min(x)": "min", "max(x)": "max"}).collect()}
+    assert got == {"hot": (0.0, 1.0), "cold": (0.0, 1.0)}

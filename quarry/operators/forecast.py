@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.columns import as_double, require_columns
+from quarry.operators._lookup import lookup_join
 from quarry.operators.rank import _default_buckets, attach_ranks, value_counts, value_ranks
 
 # Fixed method constants.
@@ -358,6 +359,8 @@ def arima_refine(series: DataFrame, key=None, iterations: int = 8, block_rows: i
         "t", (F.col("y") - F.col("y1")).alias("d0"), (F.col("y1") - F.col("y2")).alias("d1"),
         F.floor((F.col("t") - 2) / F.lit(block_rows)).cast("long").alias("blk"))
     data = cut_lineage(data)
+    # rows per key, for the skew-safe join of per-key parameters to the rows
+    weights = cut_lineage(data.groupBy(*kcols).agg(F.count(F.lit(1)).alias("__w")))
     init = start if start is not None else arima_fit(series, keys, block_rows)
     init = init.select(*[F.col(k).alias(f"__k_{k}") for k in keys] or [F.lit(0).alias("__k_all")],
                        F.col("phi").alias("s_phi"), F.col("theta").alias("s_theta"))
@@ -373,7 +376,7 @@ def arima_refine(series: DataFrame, key=None, iterations: int = 8, block_rows: i
     first_cost = None
     for it in range(iterations + 1):
         params = state.select(*kcols, F.col("s_phi").alias("__phi"), F.col("s_theta").alias("__theta"))
-        blocks = (data.join(params, kcols, "inner").groupBy(*kcols, "blk")
+        blocks = (lookup_join(data, params, kcols, weights).groupBy(*kcols, "blk")
                   .applyInPandas(_block_pass, block_schema))
         stepped = (blocks.join(state, kcols, "inner").groupBy(*kcols)
                    .applyInPandas(_chain_and_step, state_schema))

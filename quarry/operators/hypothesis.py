@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import as_double, require_columns, require_numeric, safe_div
 from quarry.functions.pvalues import chi2_pvalue, t_pvalue
+from quarry.operators._lookup import lookup_join
 from quarry.operators._stats import grouped_agg
 from quarry.operators.explore import crosstab
 from quarry.session import ship_package
@@ -69,9 +70,12 @@ def ttest_groups(df: DataFrame, value: str, group: str, first, second,
 def _margins(df: DataFrame, a: str, b: str) -> DataFrame:
     """Observed cells with their row total, column total and N."""
     cells = crosstab(df, a, b).select(F.col(a).alias("__a"), F.col(b).alias("__b"), F.col("n").alias("__o"))
-    rows = cells.groupBy("__a").agg(F.sum("__o").alias("__ra"))
-    cols = cells.groupBy("__b").agg(F.sum("__o").alias("__cb"))
-    return cells.join(rows, "__a").join(cols, "__b")
+    # one category may own most cells: margins are attached skew-safely,
+    # weighted by the number of cells per category
+    rows = cells.groupBy("__a").agg(F.sum("__o").alias("__ra"), F.count(F.lit(1)).alias("__w"))
+    cols = cells.groupBy("__b").agg(F.sum("__o").alias("__cb"), F.count(F.lit(1)).alias("__w"))
+    with_rows = lookup_join(cells, rows.drop("__w"), ["__a"], rows.select("__a", "__w"))
+    return lookup_join(with_rows, cols.drop("__w"), ["__b"], cols.select("__b", "__w"))
 
 
 def chi_square(df: DataFrame, a: str, b: str, correction: bool = True,
@@ -120,6 +124,6 @@ def expected_counts(df: DataFrame, a: str, b: str, max_cells: int = 1_000_000) -
     rows = dense.groupBy(a).agg(F.sum("n").alias("__ra"))
     cols = dense.groupBy(b).agg(F.sum("n").alias("__cb"))
     N = dense.agg(F.sum("n").cast("double")).scalar()
-    j = dense.join(rows, a).join(cols, b)
+    j = lookup_join(lookup_join(dense, rows, [a]), cols, [b])
     return j.select(a, b, F.col("n").alias("observed"), (F.col("__ra") * F.col("__cb") / N).alias("expected"))
 

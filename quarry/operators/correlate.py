@@ -102,7 +102,7 @@ def _spearman(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
         long = long.select(*by, "__c.ci", "__c.v")
         ckeys = by + ["ci"]
         counts = long.groupBy(*ckeys, F.col("v").alias("__v")).agg(F.count(F.lit(1)).alias("__cnt"))
-        ranks = value_ranks(counts, ckeys, buckets)
+        ranks = value_ranks(counts, ckeys, buckets, max_groups=None if by else len(cols))
         side_col = F.create_map(*[x for p, (i, j) in enumerate(pairs) for x in (F.lit(p), F.array(F.lit(i), F.lit(j)))])
         ranked = ranked.withColumn("__ij", side_col[F.col("p")])
         for k, side in enumerate(("a", "b")):
@@ -115,7 +115,8 @@ def _spearman(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
             # pairwise-complete ranks: the weights summed per value of this side
             counts = cells.groupBy(*keys, F.col(side).alias("__v")).agg(F.sum("w").alias("__cnt"))
             hot = cells.groupBy(*keys, F.col(side).alias("__v")).agg(F.count(F.lit(1)).alias("__cnt"))
-            ranked = attach_ranks(ranked, F.col(side), counts, value_ranks(counts, keys, buckets),
+            ranks = value_ranks(counts, keys, buckets, max_groups=None if by else len(pairs))
+            ranked = attach_ranks(ranked, F.col(side), counts, ranks,
                                   f"r{side}", "average", keys, hot_counts=hot)
     w, ra, rb = F.col("w").cast("double"), F.col("ra"), F.col("rb")
     sums = ranked.groupBy(*keys).agg(

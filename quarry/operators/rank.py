@@ -63,10 +63,12 @@ def _then_names(counts: DataFrame) -> list[str]:
 
 
 def value_ranks(counts: DataFrame, by: list[str] | None = None, buckets: int = DEFAULT_BUCKETS,
-                accuracy: int = 10_000) -> DataFrame:
+                accuracy: int = 10_000, max_groups: int | None = None) -> DataFrame:
     """Rank table from ``value_counts``: adds ``__before``, the number of rows
     strictly before the value within its group, and ``__total``, the
-    group's number of rows."""
+    group's number of rows.  ``max_groups``: a bound on the number of groups
+    known when the plan is built (for example one group per selected
+    column); the per-group tables are then broadcast outright."""
     by = by or []
     fractions = [i / buckets for i in range(1, buckets)]
     if buckets > 1:
@@ -75,7 +77,10 @@ def value_ranks(counts: DataFrame, by: list[str] | None = None, buckets: int = D
             # per-group cut points, attached skew-safely (one group may hold
             # most distinct values)
             per_group = counts.groupBy(*by).agg(cut_expr, F.count(F.lit(1)).alias("__w"))
-            with_cuts = lookup_join(counts, per_group.drop("__w"), by, per_group.select(*by, "__w"))
+            if max_groups is not None and max_groups <= 10_000:
+                with_cuts = counts.join(F.broadcast(per_group.drop("__w")), by, "left")
+            else:
+                with_cuts = lookup_join(counts, per_group.drop("__w"), by, per_group.select(*by, "__w"))
         else:
             # one array of ``buckets - 1`` values, read as a scalar subquery
             with_cuts = counts.withColumn("__cuts", counts.agg(cut_expr).scalar())
@@ -101,7 +106,9 @@ def value_ranks(counts: DataFrame, by: list[str] | None = None, buckets: int = D
     outer = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "__b", F.coalesce(F.sum("__bt").over(outer), F.lit(0)).alias("__off"),
                             F.sum("__bt").over(Window.partitionBy(*by)).alias("__total"))
-    offsets = F.broadcast(offsets) if not by else offsets
+    # ``buckets`` rows per group: broadcast when the groups are bounded too
+    bounded = not by or (max_groups is not None and max_groups * buckets <= 1_000_000)
+    offsets = F.broadcast(offsets) if bounded else offsets
     ranked = within.join(offsets, by + ["__b"], "inner")
     return ranked.select(*by, "__v", *then, "__cnt", (F.col("__off") + F.col("__in")).alias("__before"),
                          "__total")

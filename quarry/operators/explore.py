@@ -128,8 +128,8 @@ def crosstab(df: DataFrame, a: str, b: str, dense: bool = False,
     pairs are returned (absent pairs count 0 implicitly), which is what every
     consumer here needs.  ``dense=True`` also emits the zero cells, the
     display form: it first checks that |a| × |b| ≤ ``max_cells``, then expands
-    each row key by the bounded, broadcast list of column keys (an array
-    literal, not a join).
+    the keys of the larger side by the list of the smaller side's keys (at
+    most √max_cells values, an array literal, not a join).
     """
     require_columns(df, [a, b])
     base = df.select(clean_value(df, a).alias("__a"), clean_value(df, b).alias("__b")).where(
@@ -139,10 +139,13 @@ def crosstab(df: DataFrame, a: str, b: str, dense: bool = False,
         sizes = observed.agg(F.count_distinct("__a").alias("ra"), F.count_distinct("__b").alias("rb")).first()
         if sizes["ra"] * sizes["rb"] > max_cells:
             raise ValueError(f"dense crosstab of {sizes['ra']} x {sizes['rb']} exceeds {max_cells} cells")
-        col_keys = [r[0] for r in observed.select("__b").distinct().collect()]
-        btype = observed.schema["__b"].dataType
-        grid = observed.select("__a").distinct().select(
-            "__a", F.explode(F.array(*[F.lit(k).cast(btype) for k in col_keys])).alias("__b"))
+        # collect the smaller key list (at most sqrt(max_cells) values) and
+        # expand the distinct keys of the other side by it
+        small, large = ("__a", "__b") if sizes["ra"] <= sizes["rb"] else ("__b", "__a")
+        keys = [r[0] for r in observed.select(small).distinct().collect()]
+        ktype = observed.schema[small].dataType
+        grid = observed.select(large).distinct().select(
+            large, F.explode(F.array(*[F.lit(k).cast(ktype) for k in keys])).alias(small))
         observed = grid.join(observed, ["__a", "__b"], "left").select(
             "__a", "__b", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     return observed.select(F.col("__a").alias(a), F.col("__b").alias(b), "n")

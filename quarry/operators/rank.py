@@ -101,7 +101,9 @@ def value_ranks(counts: DataFrame, by: list[str] | None = None, buckets: int = D
     bucketed = with_cuts.select(*by, "__v", *then, "__cnt", bucket.alias("__b"))
     inner = Window.partitionBy(*by, "__b").orderBy("__v", *then).rowsBetween(Window.unboundedPreceding, -1)
     within = bucketed.withColumn("__in", F.coalesce(F.sum("__cnt").over(inner), F.lit(0)))
-    totals = bucketed.groupBy(*by, "__b").agg(F.sum("__cnt").alias("__bt"))
+    # from the window's output, already hash-partitioned by (group, bucket):
+    # the totals need no further shuffle
+    totals = within.groupBy(*by, "__b").agg(F.sum("__cnt").alias("__bt"))
     # ``buckets`` rows per group: bounded, whatever the data size
     outer = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "__b", F.coalesce(F.sum("__bt").over(outer), F.lit(0)).alias("__off"),

@@ -179,9 +179,9 @@ FIT_COLUMNS = ["phi", "theta", "sigma2", "n", "status"]
 
 
 def _apply_steps(df: DataFrame, steps: list[tuple[str, str]]) -> DataFrame:
-    for name, expr in steps:
-        df = df.withColumn(name, F.expr(expr))
-    return df
+    """All steps in one projection: each step may name earlier ones (lateral
+    column aliases), so the plan is analysed once, not once per step."""
+    return df.selectExpr("*", *[f"{expr} AS {name}" for name, expr in steps])
 
 
 def _fit_state(series: DataFrame, key=None, block_rows: int = BLOCK_ROWS) -> DataFrame:

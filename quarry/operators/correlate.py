@@ -10,13 +10,14 @@ pair's complete rows; ``corr`` itself throws on a constant column under
 ANSI, this form gives null (as pandas gives NaN).
 
 Spearman: Pearson on average ranks (A8), ranks taken per pair after
-dropping that pair's missing rows.  The data is read once: each row becomes
-one record per column pair with both values present, combined map-side into
-weighted distinct cells (pair, a, b, w).  Ranks of each side come from the
-weights summed per value (so they are the pair's complete-row ranks), are
-joined to the cells, and the correlation is the weighted Pearson of the
-rank pairs.  Nothing after the first aggregation is larger than the number
-of distinct value pairs.
+dropping that pair's missing rows.  One aggregate row tells whether any
+selected value is missing.  If none is, each column is ranked once (one rank
+pass for all columns), the ranks are attached to the rows and the Pearson
+aggregation above runs on them.  Otherwise each row becomes one record per
+column pair with both values present, combined map-side into weighted
+distinct cells (pair, a, b, w); ranks of each side come from the weights
+summed per value (so they are the pair's complete-row ranks), and the
+correlation is the weighted Pearson of the rank pairs.
 """
 
 from __future__ import annotations
@@ -80,44 +81,51 @@ def _spearman(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     names = [f"__x{i}" for i in range(len(cols))]
     base = df.select(*by, *[as_double(df, c).alias(n) for c, n in zip(cols, names)])
     buckets = _default_buckets(df)
+    any_missing = base.agg(F.max(F.greatest(*[F.col(n).isNull().cast("int") for n in names]))).first()[0]
+    if not any_missing:
+        return _spearman_complete(base, cols, names, by, buckets)
+    return _spearman_pairwise(base, cols, names, by, buckets)
+
+
+def _spearman_complete(base: DataFrame, cols: list[str], names: list[str], by: list[str],
+                       buckets: int) -> DataFrame:
+    """No missing value: every pair sees the same rows, so each column is
+    ranked once (all columns in one rank pass keyed by column index), the
+    ranks are attached to the rows, and one Pearson aggregation follows."""
+    long = base.select(*by, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("ci"), F.col(n).alias("v")) for i, n in enumerate(names)])).alias("__c"))
+    counts = (long.select(*by, "__c.ci", F.col("__c.v").alias("__v"))
+              .groupBy(*by, "ci", "__v").agg(F.count(F.lit(1)).alias("__cnt")))
+    ranks = value_ranks(counts, by + ["ci"], buckets, max_groups=None if by else len(cols))
+    ranked = base
+    for i, n in enumerate(names):
+        ci = counts.where(F.col("ci") == i).drop("ci")
+        ri = ranks.where(F.col("ci") == i).drop("ci")
+        ranked = attach_ranks(ranked, F.col(n), ci, ri, f"{n}_r", "average", by)
+    return _pearson_matrix(ranked, cols, {c: F.col(f"{n}_r") for c, n in zip(cols, names)}, by)
+
+
+def _spearman_pairwise(base: DataFrame, cols: list[str], names: list[str], by: list[str],
+                       buckets: int) -> DataFrame:
+    """Missing values: ranks per pair over that pair's complete rows.  Each
+    row becomes one record per column pair with both values present,
+    combined map-side into weighted distinct cells (pair, a, b, w); the
+    weights summed per value give each side's pairwise-complete ranks."""
     pairs = list(combinations(range(len(cols)), 2))
-    # one scan: each row becomes one record per column pair with both values
-    # present, combined map-side into weighted distinct (pair, a, b) cells
     recs = F.explode(F.filter(F.array(*[
         F.struct(F.lit(p).alias("p"), F.col(names[i]).alias("a"), F.col(names[j]).alias("b"))
         for p, (i, j) in enumerate(pairs)]), lambda s: s["a"].isNotNull() & s["b"].isNotNull()))
     keys = by + ["p"]
     cells = (base.select(*by, recs.alias("__rec")).select(*by, "__rec.p", "__rec.a", "__rec.b")
              .groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("w")))
-    # the cells feed six consumers (counts, hot keys, subqueries, joins):
-    # written once to the shared checkpoint folder instead of recomputed
+    # the cells feed several consumers: written once to the shared folder
     cells = cut_lineage(cells)
-    complete = base.agg(F.count_if(F.greatest(*[F.col(n).isNull().cast("int") for n in names]) > 0)).first()[0] == 0
     ranked = cells
-    if complete:
-        # no missing value: every pair sees the same rows, so each column is
-        # ranked once, all columns in one rank pass keyed by column index
-        long = base.select(*by, F.explode(F.array(*[
-            F.struct(F.lit(i).alias("ci"), F.col(n).alias("v")) for i, n in enumerate(names)])).alias("__c"))
-        long = long.select(*by, "__c.ci", "__c.v")
-        ckeys = by + ["ci"]
-        counts = long.groupBy(*ckeys, F.col("v").alias("__v")).agg(F.count(F.lit(1)).alias("__cnt"))
-        ranks = value_ranks(counts, ckeys, buckets, max_groups=None if by else len(cols))
-        side_col = F.create_map(*[x for p, (i, j) in enumerate(pairs) for x in (F.lit(p), F.array(F.lit(i), F.lit(j)))])
-        ranked = ranked.withColumn("__ij", side_col[F.col("p")])
-        for k, side in enumerate(("a", "b")):
-            ranked = ranked.withColumn("ci", F.col("__ij")[k])
-            hot = ranked.groupBy(*ckeys, F.col(side).alias("__v")).agg(F.count(F.lit(1)).alias("__cnt"))
-            ranked = attach_ranks(ranked, F.col(side), counts, ranks, f"r{side}", "average", ckeys,
-                                  hot_counts=hot).drop("ci")
-    else:
-        for side in ("a", "b"):
-            # pairwise-complete ranks: the weights summed per value of this side
-            counts = cells.groupBy(*keys, F.col(side).alias("__v")).agg(F.sum("w").alias("__cnt"))
-            hot = cells.groupBy(*keys, F.col(side).alias("__v")).agg(F.count(F.lit(1)).alias("__cnt"))
-            ranks = value_ranks(counts, keys, buckets, max_groups=None if by else len(pairs))
-            ranked = attach_ranks(ranked, F.col(side), counts, ranks,
-                                  f"r{side}", "average", keys, hot_counts=hot)
+    for side in ("a", "b"):
+        counts = cells.groupBy(*keys, F.col(side).alias("__v")).agg(F.sum("w").alias("__cnt"))
+        hot = cells.groupBy(*keys, F.col(side).alias("__v")).agg(F.count(F.lit(1)).alias("__cnt"))
+        ranks = value_ranks(counts, keys, buckets, max_groups=None if by else len(pairs))
+        ranked = attach_ranks(ranked, F.col(side), counts, ranks, f"r{side}", "average", keys, hot_counts=hot)
     w, ra, rb = F.col("w").cast("double"), F.col("ra"), F.col("rb")
     sums = ranked.groupBy(*keys).agg(
         F.sum(w).alias("W"), F.sum(w * ra).alias("Sa"), F.sum(w * rb).alias("Sb"),

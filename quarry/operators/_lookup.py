@@ -5,8 +5,8 @@ A plain shuffle join sends every row of a key to one task, so a key holding
 a third of the data makes one task do a third of the work.  Here the keys
 are split by how many data rows they hold:
 
-* hot keys, with at least N / ``hot_slots`` rows, number at most
-  ``hot_slots`` (a proven bound), so their lookup rows are broadcast and the
+* hot keys, with at least N / ``hot_slots`` rows (and at least
+  ``min_hot_rows``), number at most ``hot_slots`` (a proven bound), so their lookup rows are broadcast and the
   data rows take their values without a shuffle;
 * the rest are joined by a shuffle join in which no key holds more than
   N / ``hot_slots`` rows.  Rows of hot keys travel through it with a spread
@@ -24,17 +24,18 @@ from pyspark.sql import functions as F
 
 HOT_SLOTS = 10_000
 SALTS = 64
+MIN_HOT_ROWS = 100_000   # a key with fewer rows cannot make one task a bottleneck
 
 
-def split_hot(table: DataFrame, keys: list[str], weights: DataFrame, hot_slots: int = HOT_SLOTS
-              ) -> tuple[DataFrame, DataFrame]:
+def split_hot(table: DataFrame, keys: list[str], weights: DataFrame, hot_slots: int = HOT_SLOTS,
+              min_hot_rows: int = MIN_HOT_ROWS) -> tuple[DataFrame, DataFrame]:
     """``(hot, cold)``: the lookup rows of keys with at least N / hot_slots
     data rows, and the others.  Columns are renamed ``__tk_*`` / ``__tv_*``
     so that no join here is a self-join on shared attributes."""
     values = [c for c in table.columns if c not in keys]
     w = weights.select(*[F.col(k).alias(f"__wk_{k}") for k in keys], "__w")
     total = w.agg(F.sum("__w")).scalar()
-    threshold = F.greatest(F.ceil(total / F.lit(hot_slots)), F.lit(1))
+    threshold = F.greatest(F.ceil(total / F.lit(hot_slots)), F.lit(max(1, min_hot_rows)))
     hot_keys = w.where(F.col("__w") >= threshold).drop("__w")
     t = table.select(*[F.col(k).alias(f"__tk_{k}") for k in keys], *[F.col(v).alias(f"__tv_{v}") for v in values])
     cond = [F.col(f"__tk_{k}").eqNullSafe(F.col(f"__wk_{k}")) for k in keys]
@@ -42,13 +43,13 @@ def split_hot(table: DataFrame, keys: list[str], weights: DataFrame, hot_slots:
 
 
 def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], weights: DataFrame | None = None,
-                hot_slots: int = HOT_SLOTS, salts: int = SALTS) -> DataFrame:
+                hot_slots: int = HOT_SLOTS, salts: int = SALTS, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """``df`` left-joined with ``table`` (unique on ``keys``; null keys match
     null keys).  ``weights`` is ``(keys..., __w)``: rows of ``df`` per key."""
     if weights is None:
         weights = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__w"))
     values = [c for c in table.columns if c not in keys]
-    hot, cold = split_hot(table, keys, weights, hot_slots)
+    hot, cold = split_hot(table, keys, weights, hot_slots, min_hot_rows)
     hot = F.broadcast(hot.select(*[F.col(f"__tk_{k}").alias(f"__hk_{k}") for k in keys],
                                  *[F.col(f"__tv_{v}").alias(f"__hv_{v}") for v in values],
                                  F.lit(True).alias("__hot")))

@@ -14,8 +14,9 @@
 5. rank = offset + before + (count + 1) / 2 (``average``), or + 1 (``min``),
    or + count (``max``).
 6. Join back to the data rows on (group, value, salt) in one shuffle join.
-   Hot values, those with at least N / ``hot_slots`` rows, number at most
-   ``hot_slots``: only their keys are broadcast (a proven bound), so each
+   Hot values, those with at least N / ``hot_slots`` rows (and at least
+   ``min_hot_rows``), number at most ``hot_slots``: only their keys are
+   broadcast (a proven bound), so each
    data row knows whether its value is hot.  Rows of a hot value take a salt
    in 1..``salts`` and the hot value's rank row is replicated per salt, so a
    value holding a third of all rows is spread over ``salts`` tasks.
@@ -34,6 +35,7 @@ MIN_BUCKETS = 16
 MAX_BUCKETS = 4096
 HOT_SLOTS = 10_000
 SALTS = 64
+MIN_HOT_ROWS = 100_000   # a key with fewer rows cannot make one task a bottleneck
 
 
 def _default_buckets(df: DataFrame) -> int:
@@ -131,7 +133,7 @@ def attach_ranks(df: DataFrame, value: Column, counts: DataFrame, ranks: DataFra
                  method: str = "average", by: list[str] | None = None,
                  hot_slots: int = HOT_SLOTS, salts: int = SALTS,
                  hot_counts: DataFrame | None = None, then: list[Column] | None = None,
-                 total_out: str | None = None) -> DataFrame:
+                 total_out: str | None = None, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
     """Join the rank table back to data rows in one shuffle join on
     (by..., value, salt).
 
@@ -149,7 +151,7 @@ def attach_ranks(df: DataFrame, value: Column, counts: DataFrame, ranks: DataFra
     tn = [f"__o{i}" for i in range(len(then))]
     counts = hot_counts if hot_counts is not None else counts
     total = counts.agg(F.sum("__cnt")).scalar()
-    threshold = F.greatest(F.ceil(total / F.lit(hot_slots)), F.lit(1))
+    threshold = F.greatest(F.ceil(total / F.lit(hot_slots)), F.lit(max(1, min_hot_rows)))
     # at most ``hot_slots`` keys: a proven bound for the broadcast
     hot = F.broadcast(counts.where(F.col("__cnt") >= threshold).select(
         *[F.col(k).alias(f"__hk_{k}") for k in by], F.col("__v").alias("__hv"),

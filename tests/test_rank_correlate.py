@@ -25,7 +25,7 @@ def test_hot_value_goes_through_salted_join(spark):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, x double")
     counts = rank.value_counts(df, df["x"])
     ranks = rank.value_ranks(counts, None, 8)
-    out = rank.attach_ranks(df, df["x"], counts, ranks, "r", hot_slots=2, salts=7)
+    out = rank.attach_ranks(df, df["x"], counts, ranks, "r", hot_slots=2, salts=7, min_hot_rows=1)
     got = {r.id: r.r for r in out.collect()}
     want = _avg_rank(vals)
     assert len(got) == len(vals)
@@ -100,9 +100,9 @@ def test_lookup_join_splits_hot_group(spark):
     from quarry.operators._lookup import split_hot
 
     weights = table.select("g", F.col("n").alias("__w"))
-    hot, cold = split_hot(table, ["g"], weights, hot_slots=4)
+    hot, cold = split_hot(table, ["g"], weights, hot_slots=4, min_hot_rows=1)
     assert [r[0] for r in hot.collect()] == ["hot"] and cold.count() == table.count() - 1
-    out = lookup_join(data, table, ["g"], weights, hot_slots=4, salts=5)
+    out = lookup_join(data, table, ["g"], weights, hot_slots=4, salts=5, min_hot_rows=1)
     t2 = table.withColumnRenamed("g", "tg")
     want = data.join(t2, data["g"].eqNullSafe(t2["tg"]), "left").select("g", "v", "n", "s")
     assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)

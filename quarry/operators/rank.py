@@ -6,9 +6,11 @@
    so a value held by a third of all rows is a single row from here on.
 2. Cut points: ``percentile_approx`` over the distinct values gives
    ``buckets - 1`` cut points per group; each distinct value gets the bucket
-   number of cut points below it.  Buckets hold about equal numbers of
-   distinct values, so every window below is bounded by
-   distinct / buckets rows, not by the data size.
+   number of cut points below it (a compiled binary search).  Buckets hold
+   about equal numbers of distinct values, so every window below is bounded
+   by distinct / buckets rows, not by the data size.  Per-group cut points
+   are attached by a skew-safe lookup join, or broadcast when the number of
+   groups is bounded by the plan (one group per selected column).
 3. Inside each (group, bucket): running sum of counts before the value.
 4. Bucket offsets: running sum over bucket totals (``buckets`` rows per group).
 5. rank = offset + before + (count + 1) / 2 (``average``), or + 1 (``min``),
@@ -16,10 +18,10 @@
 6. Join back to the data rows on (group, value, salt) in one shuffle join.
    Hot values, those with at least N / ``hot_slots`` rows (and at least
    ``min_hot_rows``), number at most ``hot_slots``: only their keys are
-   broadcast (a proven bound), so each
-   data row knows whether its value is hot.  Rows of a hot value take a salt
-   in 1..``salts`` and the hot value's rank row is replicated per salt, so a
-   value holding a third of all rows is spread over ``salts`` tasks.
+   broadcast (a proven bound), so each data row knows whether its value is
+   hot.  Rows of a hot value take a salt in 1..``salts`` and the hot value's
+   rank row is replicated per salt, so a value holding a third of all rows
+   is spread over ``salts`` tasks.
 """
 
 from __future__ import annotations

@@ -73,11 +73,12 @@ def parse_time(df: DataFrame, col: str, fmt: str | None = None, strict: bool = T
 
 
 def as_series(df: DataFrame, time: str, value: str, key=None, tiebreak: str | None = None,
-              buckets: int | None = None) -> DataFrame:
+              buckets: int | None = None, materialize: bool = False) -> DataFrame:
     """``(keys..., t, n, ts, y)``: position ``t`` (1..n) of each row in its
     series ordered by (time, tiebreak), series length ``n``.  Rows with a
     missing time are left out.  Without ``tiebreak``, rows with equal key and
-    time are ordered by value."""
+    time are ordered by value.  ``materialize`` writes the result to the
+    shared checkpoint folder (worth it when several operators read it)."""
     keys = _keys(key)
     require_columns(df, keys + [time, value] + ([tiebreak] if tiebreak else []))
     timed = parse_time(df, time)
@@ -87,8 +88,15 @@ def as_series(df: DataFrame, time: str, value: str, key=None, tiebreak: str | No
     counts = value_counts(base, F.col("ts"), keys, then)
     ranks = value_ranks(counts, keys, buckets or _default_buckets(df))
     pos = attach_ranks(base, F.col("ts"), counts, ranks, "t", "min", keys, then=then, total_out="n")
-    return pos.where(F.col("t").isNotNull()).select(
+    out = pos.where(F.col("t").isNotNull()).select(
         *keys, F.col("t").cast("long").alias("t"), F.col("n").cast("long").alias("n"), "ts", "y")
+    if materialize:
+        # fit, forecast and history all read the series: write it once to
+        # the shared checkpoint folder instead of recomputing the positions
+        from quarry.session import cut_lineage
+
+        out = cut_lineage(out)
+    return out
 
 
 def with_lags(series: DataFrame, key=None, lags: int = LAGS, block_rows: int = BLOCK_ROWS) -> DataFrame:

@@ -80,6 +80,16 @@ def ols(df: DataFrame, x: str, y: str, by: list[str] | None = None,
     return out
 
 
+def _one_row(model: DataFrame, cols: list[str]) -> list:
+    """The values of a one-row fitted model (a proven bound: one row).  A
+    fitted model is applied like an MLlib transformer: its few numbers are
+    read once and become literals, so the data plan does not carry the fit."""
+    rows = model.select(*cols).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"expected a one-row model, got {len(rows)} rows")
+    return list(rows[0])
+
+
 def regression_line(df: DataFrame, x: str, model: DataFrame, n_points: int = 100,
                     by: list[str] | None = None) -> DataFrame:
     """``n_points`` evenly spaced x from min to max of the *full* data
@@ -90,8 +100,8 @@ def regression_line(df: DataFrame, x: str, model: DataFrame, n_points: int = 100
     if by:
         both = span.join(coef, by, "inner")
     else:
-        both = span.select("*", coef.select("intercept").scalar().alias("intercept"),
-                           coef.select("slope").scalar().alias("slope"))
+        a, b = _one_row(coef, ["intercept", "slope"])
+        both = span.select("*", F.lit(a).cast("double").alias("intercept"), F.lit(b).cast("double").alias("slope"))
     i = F.explode(F.sequence(F.lit(0), F.lit(n_points - 1))).alias("i")
     pts = both.select(*by, "__lo", "__hi", "intercept", "slope", i)
     step = safe_div(F.col("__hi") - F.col("__lo"), F.lit(float(max(n_points - 1, 1))))
@@ -105,7 +115,11 @@ def residuals(df: DataFrame, x: str, y: str, model: DataFrame, by: list[str] | N
     single-predictor model (one row, or one per group)."""
     by = by or []
     coef = model.select(*by, "intercept", "slope")
-    frame, stat = attach(df, coef, by)
+    if by:
+        frame, stat = attach(df, coef, by)
+    else:
+        vals = dict(zip(["intercept", "slope"], _one_row(coef, ["intercept", "slope"])))
+        frame, stat = df, (lambda name: F.lit(vals[name]).cast("double"))
     yhat = stat("intercept") + stat("slope") * as_double(df, x)
     return frame.select(*df.columns, yhat.alias("y_hat"), (as_double(df, y) - yhat).alias("residual"))
 
@@ -211,7 +225,12 @@ def ols_predict(df: DataFrame, xs: list[str], model: DataFrame, by: list[str] |
     """Fitted values over the table from an R5 model."""
     by = by or []
     wide = coefficients_wide(model, xs, by)
-    frame, stat = attach(df, wide, by)
+    if by:
+        frame, stat = attach(df, wide, by)
+    else:
+        names = ["intercept"] + [f"b_{j}" for j in range(len(xs))]
+        vals = dict(zip(names, _one_row(wide, names)))
+        frame, stat = df, (lambda name: F.lit(vals[name]).cast("double"))
     yhat = stat("intercept")
     for j, c in enumerate(xs):
         yhat = yhat + stat(f"b_{j}") * as_double(df, c)

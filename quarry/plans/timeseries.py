@@ -11,7 +11,7 @@ from quarry.plans.registry import register, rounded, table
 
 def _series(spark, sf):
     ev = table(spark, sf, "events")
-    return fc.as_series(ev, "ts", "value", key="user_id", tiebreak="event_id")
+    return fc.as_series(ev, "ts", "value", key="user_id", tiebreak="event_id", materialize=True)
 
 
 _LAGS = ", ".join(f"lag(value, {j}) OVER w AS y{j}" for j in range(1, fc.LAGS + 1))

@@ -91,14 +91,15 @@ def value_ranks(counts: DataFrame, by: list[str] | None = None, buckets: int = D
         # number of cut points below the value: a binary search over the
         # sorted cut array in log2(buckets) compiled steps (a higher-order
         # function's lambda would be interpreted per row)
-        with_cuts = with_cuts.withColumn("__b", F.lit(0))
-        step = 1 << ((buckets - 1).bit_length() - 1)
+        # (one projection; each step names the previous one as a lateral alias)
+        steps, prev, step = [], "0", 1 << ((buckets - 1).bit_length() - 1)
         while step >= 1:
-            probe = F.try_element_at(F.col("__cuts"), F.col("__b") + step)
-            with_cuts = with_cuts.withColumn("__b", F.when(
-                F.coalesce(probe < F.col("__v"), F.lit(False)), F.col("__b") + step).otherwise(F.col("__b")))
-            step //= 2
-        bucket = F.col("__b")
+            cur = f"__bs{step}"
+            steps.append(f"CASE WHEN coalesce(try_element_at(__cuts, {prev} + {step}) < __v, false) "
+                         f"THEN {prev} + {step} ELSE {prev} END AS {cur}")
+            prev, step = cur, step // 2
+        with_cuts = with_cuts.selectExpr("*", *steps)
+        bucket = F.col(prev)
     else:
         with_cuts, bucket = counts, F.lit(0)
     then = _then_names(counts)

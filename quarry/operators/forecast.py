@@ -114,10 +114,17 @@ def with_lags(series: DataFrame, key=None, lags: int = LAGS, block_rows: int = B
     return lagged.where(F.col("__off") == 0).drop("__off")
 
 
-def difference(series: DataFrame, key=None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """first difference ``dy = y_t − y_{t−1}`` (null at t = 1)."""
-    lagged = with_lags(series, key, 1, block_rows)
-    return lagged.select(*series.columns, (F.col("y") - F.col("y1")).alias("dy"))
+def difference(series: DataFrame, key=None, d: int = 1, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """difference of order ``d`` (the middle term of ARIMA's order),
+    ``dy = Σ_k (−1)^k C(d, k) y_{t−k}``; null for the first ``d`` points."""
+    from math import comb
+
+    if d < 1:
+        raise ValueError("d must be at least 1")
+    lagged = with_lags(series, key, d, block_rows)
+    terms = [F.col("y")] + [F.col(f"y{k}") for k in range(1, d + 1)]
+    dy = sum(((-1) ** k * comb(d, k)) * t for k, t in enumerate(terms))
+    return lagged.select(*series.columns, dy.alias("dy"))
 
 
 # ------------------------------------------------- shared SQL arithmetic

@@ -39,14 +39,14 @@ def read_workbooks(spark, sf):
 
 @register("encrypt_table")
 def encrypt_table(spark, sf):
-    return crypto.encrypt_table(table(spark, sf, "customer"), KEY, ["c_name", "c_acctbal"])
+    return crypto.encrypt_table(table(spark, sf, "customer"), ["c_name", "c_acctbal"], KEY)
 
 
 @register("decrypt_table", sql="SELECT * FROM customer")
 def decrypt_table(spark, sf):
     cust = table(spark, sf, "customer")
     path = files.scratch_path(spark, "enc")
-    crypto.encrypt_table(cust, KEY).write.parquet(path)
+    crypto.encrypt_table(cust, None, KEY).write.parquet(path)
     return crypto.decrypt_table(spark.read.parquet(path), cust.schema, KEY)
 
 

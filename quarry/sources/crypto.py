@@ -22,8 +22,9 @@ def _key(key: bytes | str):
     return F.lit(bytearray(raw))
 
 
-def encrypt_table(df: DataFrame, key: bytes | str, cols: list[str] | None = None) -> DataFrame:
-    """The chosen columns (all by default) become encrypted binary."""
+def encrypt_table(df: DataFrame, cols: list[str] | None, key: bytes | str) -> DataFrame:
+    """The chosen columns (all when ``cols`` is None) become encrypted
+    binary."""
     cols = cols if cols is not None else df.columns
     require_columns(df, cols)
     k = _key(key)

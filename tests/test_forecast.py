@@ -117,3 +117,12 @@ def test_single_series_without_key(spark):
     keyed = fc.arima_forecast(fc.as_series(df, "ts", "y", "key", "id"), "key", 5).orderBy("step").collect()
     alone = fc.arima_forecast(fc.as_series(df.drop("key"), "ts", "y", None, "id"), None, 5).orderBy("step").collect()
     assert [round(r.yhat, 9) for r in keyed] == [round(r.yhat, 9) for r in alone]
+
+
+def test_difference_orders(spark):
+    ys = [1.0, 4.0, 9.0, 16.0, 25.0, 36.0]
+    df = _frame(spark, {1: ys})
+    s = fc.as_series(df, "ts", "y", "key", "id")
+    d1 = [r.dy for r in fc.difference(s, "key").orderBy("t").collect()]
+    d2 = [r.dy for r in fc.difference(s, "key", d=2).orderBy("t").collect()]
+    assert d1 == [None, 3.0, 5.0, 7.0, 9.0, 11.0] and d2 == [None, None, 2.0, 2.0, 2.0, 2.0]

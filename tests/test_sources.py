@@ -38,11 +38,11 @@ def test_workbooks_one_task_per_file(spark, tmp_path):
 
 def test_encrypt_decrypt_round_trip(spark):
     nation = spark.read.parquet(f"{SF_SMALL}/nation.parquet")
-    enc = crypto.encrypt_table(nation, b"k" * 16, ["n_name", "n_regionkey"])
+    enc = crypto.encrypt_table(nation, ["n_name", "n_regionkey"], b"k" * 16)
     assert enc.schema["n_name"].dataType == T.BinaryType()
     assert rows(crypto.decrypt_table(enc, nation.schema, b"k" * 16, ["n_name", "n_regionkey"])) == rows(nation)
     with pytest.raises(ValueError):
-        crypto.encrypt_table(nation, b"short")
+        crypto.encrypt_table(nation, None, b"short")
 
 
 def test_history_undo_redo_and_truncation(spark):

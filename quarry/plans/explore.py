@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import render_text
 from quarry.operators import explore, rank
-from quarry.plans.registry import register, rounded, table
+from quarry.plans.registry import column_listing_sql, register, rounded, table
 
 _CUSTOMER_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
@@ -53,7 +53,11 @@ def profile_shape(spark, sf):
     return explore.profile_shape(table(spark, sf, "lineitem"))
 
 
-@register("list_columns")
+_LINEITEM_COLS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                  "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
+
+
+@register("list_columns", sql=column_listing_sql("lineitem", _LINEITEM_COLS))
 def list_columns(spark, sf):
     return explore.list_columns(table(spark, sf, "lineitem"), with_counts=True)
 

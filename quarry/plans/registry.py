@@ -75,3 +75,22 @@ DOCUMENTS_WORDS_SQL = """
 SELECT doc_id, lang, CAST(len(string_split(text, ' ')) AS DOUBLE) AS n_words,
        CAST(n_chars AS DOUBLE) AS n_chars
 FROM documents"""
+
+
+# DuckDB's names for the Spark types of the supplied tables.
+DUCKDB_TYPE_NAMES = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string",
+                     "TIMESTAMP": "timestamp_ntz", "BOOLEAN": "boolean", "FLOAT": "float"}
+NUMERIC_DUCKDB_TYPES = ["BIGINT", "INTEGER", "DOUBLE", "BOOLEAN", "FLOAT"]
+
+
+def column_listing_sql(table_name: str, columns: list[str]) -> str:
+    """Oracle form of ``list_columns(..., with_counts=True)``."""
+    mapping = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DUCKDB_TYPE_NAMES.items())
+    numeric = ", ".join(f"'{t}'" for t in NUMERIC_DUCKDB_TYPES)
+    counts = " UNION ALL ".join(f"SELECT '{c}' AS name, count({c})::BIGINT AS n_present FROM {table_name}"
+                                for c in columns)
+    return f"""
+SELECT (c.ordinal_position - 1)::INTEGER AS pos, c.column_name AS name,
+       CASE c.data_type {mapping} END AS type, c.data_type IN ({numeric}) AS is_numeric, n.n_present
+FROM information_schema.columns c JOIN ({counts}) n ON c.column_name = n.name
+WHERE c.table_name = '{table_name}'"""

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import outliers, regress
-from quarry.plans.registry import DOCUMENTS_WORDS_SQL, documents_words, register, rounded, table
+from quarry.plans.registry import DOCUMENTS_WORDS_SQL, column_listing_sql, documents_words, register, rounded, table
 
 _Z = """
 d AS ({docs}),
@@ -170,7 +170,9 @@ def r2_score(spark, sf):
     return rounded(regress.r2_score(pred, "p_retailprice", "y_hat"))
 
 
-@register("require_numeric")
+@register("require_numeric", sql="SELECT name, is_numeric AS usable, n_present FROM ("
+          + column_listing_sql("part", ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"])
+          + ") c")
 def require_numeric(spark, sf):
     """The numeric check as a table: each column of part and whether it
     may be used as X or Y."""

@@ -85,21 +85,31 @@ def safe_div(num: Column, den: Column) -> Column:
 
 
 def render_text(df: DataFrame, name: str) -> Column:
-    """P10: a cell as display text, the way a Python ``str`` prints it.
+    """P10: a cell as display text, the way Python's ``str`` prints it.
 
-    Doubles print in plain positional form (Spark's cast would give
-    ``1.0E7``): through decimal(38,18), trailing zeros stripped, keeping one
-    digit after the point.  Booleans print ``True``/``False``; timestamps print
+    Doubles print positionally for 1e-4 ≤ |x| < 1e16 (through decimal(38,21),
+    trailing zeros stripped, one digit kept after the point) and in Python's
+    scientific form outside that range (``1e+16``, ``1.5e-05``), rebuilt from
+    Spark's own ``1.0E16`` form; Spark's plain cast would give ``1.0E7`` for
+    ten million.  Booleans print ``True``/``False``; timestamps
     ``YYYY-MM-DD HH:MM:SS[.ffffff]``.  Missing stays null (callers choose the
     marker).
     """
     dt = field_type(df, name)
     c = clean_value(df, name)
     if is_float_type(dt):
-        dec = F.regexp_replace(F.regexp_replace(
-            c.try_cast("decimal(38,18)").cast("string"), "0+$", ""), r"\.$", ".0")
-        # values beyond decimal(38,18) fall back to Spark's own rendering
-        return F.coalesce(dec, c.cast("string"))
+        x = c.cast("double")
+        positional = F.regexp_replace(F.regexp_replace(
+            x.try_cast("decimal(38,21)").cast("string"), "0+$", ""), r"\.$", ".0")
+        java = x.cast("string")                                  # e.g. 1.5E-5
+        mantissa = F.regexp_replace(F.regexp_extract(java, r"^(-?[0-9.]+)E", 1), r"\.0$", "")
+        exponent = F.regexp_extract(java, r"E(-?[0-9]+)$", 1).cast("int")
+        scientific = F.concat(mantissa, F.lit("e"), F.when(exponent < 0, "-").otherwise("+"),
+                              F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+        ax = F.abs(x)
+        return (F.when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").when(java == "-0.0", "-0.0")
+                .when((ax >= 1e16) | ((ax < 1e-4) & (ax > 0)), scientific)
+                .otherwise(positional))
     if isinstance(dt, T.BooleanType):
         return F.when(c, F.lit("True")).when(~c, F.lit("False"))
     return c.cast("string")

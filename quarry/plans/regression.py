@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators import outliers, regress
-from quarry.plans.registry import DOCUMENTS_WORDS_SQL, column_listing_sql, documents_words, register, rounded, table
+from quarry.plans.registry import (DOCUMENTS_WORDS_SQL, column_listing_sql, documents_words, register, rounded,
+                                   table)
 
 _Z = """
 d AS ({docs}),

@@ -17,7 +17,8 @@ def test_filter_any_text_literal_and_case(spark):
 
 
 def test_render_text_matches_python_str(spark):
-    vals = [0.1, 1e7, 1e-4, 123.456, 2.0, -955.91]
+    vals = [0.1, 1e7, 1e-4, 123.456, 2.0, -955.91, 1e16, -2.5e20, 1.5e-05, 1.234e-07,
+            0.00012345678901234567, 123456789.123, 0.0, -0.0, 9999999999999998.0, float("inf")]
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = [r[0] for r in df.select(render_text(df, "x")).collect()]
     assert got == [str(v) for v in vals]

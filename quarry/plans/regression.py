@@ -180,3 +180,16 @@ def require_numeric(spark, sf):
     from quarry.operators.explore import list_columns
     cols = list_columns(table(spark, sf, "part"), with_counts=True)
     return cols.select("name", F.col("is_numeric").alias("usable"), "n_present")
+
+
+@register("outlier_count_by_group", sql=f"""
+WITH d AS ({DOCUMENTS_WORDS_SQL}),
+s AS (SELECT lang AS g, avg(n_words) AS mx, stddev_samp(n_words) AS sx,
+             avg(n_chars) AS my, stddev_samp(n_chars) AS sy FROM d GROUP BY lang),
+m AS (SELECT d.lang, coalesce(abs((n_words - mx) / sx) <= 3.0 AND abs((n_chars - my) / sy) <= 3.0, false) AS keep
+      FROM d JOIN s ON d.lang = s.g)
+SELECT lang, count(*) FILTER (WHERE NOT keep)::BIGINT AS n_excluded FROM m GROUP BY lang""")
+def outlier_count_by_group(spark, sf):
+    """P6 with z-scores per language (the grouped statistics are attached by
+    the skew-safe lookup join)."""
+    return outliers.outlier_count(documents_words(spark, sf), ["n_words", "n_chars"], 3.0, by=["lang"])

@@ -128,3 +128,41 @@ SELECT l_returnflag, l_linestatus, o::BIGINT AS observed,
 FROM c JOIN ra USING (l_returnflag) JOIN cb USING (l_linestatus)""")
 def expected_counts(spark, sf):
     return rounded(hypothesis.expected_counts(table(spark, sf, "lineitem"), "l_returnflag", "l_linestatus"))
+
+
+def _grouped_matrix_sql(src: str, cols: list[str], group: str) -> str:
+    parts = []
+    for a in cols:
+        for b in cols:
+            r = (f"covar_pop({a}, {b}) / sqrt(var_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) "
+                 f"* var_pop(CASE WHEN {a} IS NOT NULL THEN {b} END))")
+            parts.append(f"SELECT {group}, '{a}' AS var_a, '{b}' AS var_b, round({r}, 6) + 0.0 AS r "
+                         f"FROM {src} GROUP BY {group}")
+    return " UNION ALL ".join(parts)
+
+
+_GCOLS = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@register("corr_pearson_by_group", sql=_grouped_matrix_sql("lineitem", _GCOLS, "l_returnflag"))
+def corr_pearson_by_group(spark, sf):
+    return rounded(correlate.correlation(table(spark, sf, "lineitem"), _GCOLS, "pearson", by=["l_returnflag"]))
+
+
+@register("corr_spearman_by_group", sql="WITH rk AS (SELECT l_returnflag, " + ", ".join(
+    f"rank() OVER (PARTITION BY l_returnflag ORDER BY {c}) "
+    f"+ (count(*) OVER (PARTITION BY l_returnflag, {c}) - 1) / 2.0 AS {c}" for c in _GCOLS)
+    + " FROM lineitem) " + _grouped_matrix_sql("rk", _GCOLS, "l_returnflag"))
+def corr_spearman_by_group(spark, sf):
+    return rounded(correlate.correlation(table(spark, sf, "lineitem"), _GCOLS, "spearman", by=["l_returnflag"]))
+
+
+@register("ttest_by_group", sql="""
+WITH m AS (SELECT l_linestatus, count(l_discount) AS n1, avg(l_discount) AS m1, var_samp(l_discount) AS v1,
+                  count(l_tax) AS n2, avg(l_tax) AS m2, var_samp(l_tax) AS v2 FROM lineitem GROUP BY 1)
+SELECT l_linestatus,
+       round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 6) + 0.0 AS t,
+       (n1 + n2 - 2)::BIGINT AS dof, n1::BIGINT AS n1, n2::BIGINT AS n2, 'ok' AS status FROM m""")
+def ttest_by_group(spark, sf):
+    return rounded(hypothesis.ttest_ind(table(spark, sf, "lineitem"), "l_discount", "l_tax", by=["l_linestatus"],
+                                        with_pvalue=False))

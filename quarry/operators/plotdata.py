@@ -113,3 +113,16 @@ def analysis_report(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def write_report(report: DataFrame, path: str, fmt: str = "parquet") -> str:
+    """G6 sink: write the report rows as one Parquet or CSV file (the report
+    has 2 + 6 rows per column, so one file is the right size)."""
+    if fmt not in ("parquet", "csv"):
+        raise ValueError("fmt must be parquet or csv")
+    writer = report.coalesce(1).write.mode("overwrite")
+    if fmt == "csv":
+        writer.option("header", True).csv(path)
+    else:
+        writer.parquet(path)
+    return path

@@ -36,3 +36,15 @@ def test_entry_contract(spark):
     assert out.count() == 1 and "slope" in out.columns
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 70
+
+
+def test_report_written_as_parquet_and_csv(spark):
+    from quarry.sources.files import read_csv, scratch_path
+
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    rep = plotdata.analysis_report(ev, ["value", "event_type"])
+    p = plotdata.write_report(rep, scratch_path(spark, "report"))
+    assert spark.read.parquet(p).count() == rep.count()
+    c = plotdata.write_report(rep, scratch_path(spark, "report_csv"), "csv")
+    back = {(r.section, r.name, r.metric): r.value for r in read_csv(spark, c).collect()}
+    assert back[("shape", "table", "n_rows")] == ev.count()

@@ -103,13 +103,17 @@ def preview(df: DataFrame, n: int = 100, order_by: list[str] | None = None,
 
 def column_stats(df: DataFrame, cols: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
     """A1: count, mean, sample std, min, max per numeric column, long form
-    ``(by..., column, count, mean, std, min, max)``, from a single aggregation."""
+    ``(by..., column, count, mean, std, min, max)``, from a single aggregation.
+    Decimal columns get an exact mean."""
     targets = [c for c in numeric_columns(df, cols) if c not in (by or [])]
     exprs = []
     for i, c in enumerate(targets):
         x = as_double(df, c)
-        exprs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"a{i}"), F.stddev_samp(x).alias(f"s{i}"),
-                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        # a decimal column's mean is exact (rounded half-up at scale + 4), so
+        # it does not depend on summation order
+        exact = F.col(c) if isinstance(df.schema[c].dataType, T.DecimalType) else x
+        exprs += [F.count(x).alias(f"n{i}"), F.avg(exact).cast("double").alias(f"a{i}"),
+                  F.stddev_samp(x).alias(f"s{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
     wide = grouped_agg(df, by, exprs)
     rows = [F.struct(F.lit(c).alias("column"), F.col(f"n{i}").cast("bigint").alias("count"),
                      F.col(f"a{i}").alias("mean"), F.col(f"s{i}").alias("std"),

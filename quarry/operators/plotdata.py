@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.columns import as_double, numeric_columns, require_columns, require_numeric, safe_div
 from quarry.operators._stats import attach, grouped_agg
@@ -74,13 +75,17 @@ def scatter3_points(df: DataFrame, x: str, y: str, z: str, n: int = 10_000) -> D
 
 def line_series(df: DataFrame, time: str, value: str, unit: str = "hour", key=None) -> DataFrame:
     """Value over time in ``unit`` buckets (``date_trunc`` units):
-    ``(key..., bucket, n, min, max, avg)``."""
+    ``(key..., bucket, n, min, max, avg)`` as doubles.  A decimal column is
+    aggregated exactly (its average rounded half-up to the decimal's scale
+    + 4), so the result does not depend on summation order."""
     keys = [key] if isinstance(key, str) else list(key or [])
     require_columns(df, keys + [time, value])
     bucket = F.date_trunc(unit, F.col(time).cast("timestamp_ntz")).cast("timestamp_ntz")
-    v = as_double(df, value)
-    return df.groupBy(*keys, bucket.alias("bucket")).agg(
+    exact = isinstance(df.schema[value].dataType, T.DecimalType)
+    v = F.col(value) if exact else as_double(df, value)
+    out = df.groupBy(*keys, bucket.alias("bucket")).agg(
         F.count(v).cast("bigint").alias("n"), F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("avg"))
+    return out.select(*keys, "bucket", "n", *[F.col(c).cast("double").alias(c) for c in ("min", "max", "avg")])
 
 
 def residual_points(residuals: DataFrame, bins: int = 50) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from quarry.operators import outliers, plotdata, regress
-from quarry.plans.registry import DOCUMENTS_WORDS_SQL, documents_words, register, rounded, table
+from quarry.plans.registry import (DOCUMENTS_WORDS_SQL, as_money, documents_words, exact_mean_sql, register,
+                                   rounded, table)
 
 
 def _bins_sql(src: str, cols: list[str], bins: int = 20) -> str:
@@ -43,11 +46,18 @@ def scatter3_points(spark, sf):
 
 
 @register("line_series", sql="""
-SELECT event_type, date_trunc('hour', ts) AS bucket, count(value)::BIGINT AS n,
-       round(min(value), 6) + 0.0 AS min, round(max(value), 6) + 0.0 AS max, round(avg(value), 6) + 0.0 AS avg
-FROM events GROUP BY 1, 2""")
+WITH b AS (SELECT event_type, date_trunc('hour', ts) AS bucket, count(value)::BIGINT AS n,
+                  min(value) AS min, max(value) AS max,
+                  CAST(sum(CAST(value AS DECIMAL(18,2))) * 100 AS HUGEINT) AS cents FROM events GROUP BY 1, 2)
+SELECT event_type, bucket, n, min, max,
+       CAST(CAST((2 * cents * 10000 + n) // (2 * n) AS DECIMAL(38,0)) * CAST(0.000001 AS DECIMAL(18,6)) AS DOUBLE) AS avg
+FROM b""")
 def line_series(spark, sf):
-    return rounded(plotdata.line_series(table(spark, sf, "events"), "ts", "value", "hour", "event_type"))
+    """G3 on events.value, a two-decimal amount, read as DECIMAL(18,2) so
+    that sums and the average are exact (values are non-negative, so the
+    oracle's integer half-up rounding applies)."""
+    ev = table(spark, sf, "events").withColumn("value", F.col("value").cast("decimal(18,2)"))
+    return plotdata.line_series(ev, "ts", "value", "hour", "event_type")
 
 
 _RESID = f"""
@@ -75,7 +85,7 @@ def _report_sql() -> str:
     parts = ["SELECT 'shape' AS section, 'table' AS name, 'n_rows' AS metric, count(*)::DOUBLE AS value FROM lineitem",
              f"SELECT 'shape', 'table', 'n_cols', {len(_REPORT_COLS)}.0"]
     for c in num:
-        for m, e in (("count", f"count({c})::DOUBLE"), ("mean", f"avg({c})"), ("std", f"stddev_samp({c})"),
+        for m, e in (("count", f"count({c})::DOUBLE"), ("mean", exact_mean_sql(c)), ("std", f"stddev_samp({c})"),
                      ("min", f"min({c})"), ("max", f"max({c})")):
             parts.append(f"SELECT 'statistics', '{c}', '{m}', {e} FROM lineitem")
     for c in _REPORT_COLS:
@@ -86,4 +96,5 @@ def _report_sql() -> str:
 
 @register("analysis_report", sql=_report_sql())
 def analysis_report(spark, sf):
-    return rounded(plotdata.analysis_report(table(spark, sf, "lineitem"), _REPORT_COLS))
+    li = as_money(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    return rounded(plotdata.analysis_report(li, _REPORT_COLS))

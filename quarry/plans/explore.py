@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import render_text
 from quarry.operators import explore, rank
-from quarry.plans.registry import column_listing_sql, register, rounded, table
+from quarry.plans.registry import as_money, column_listing_sql, exact_mean_sql, register, rounded, table
 
 _CUSTOMER_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
@@ -72,24 +72,29 @@ def preview(spark, sf):
     return explore.preview(table(spark, sf, "part"), 20, ["p_partkey"])
 
 
+# lineitem's amounts have two decimals: read as DECIMAL(18,2), their means are
+# exact in both engines (a double mean can sit on a rounding tie)
 _STAT_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 _STATS_SQL = " UNION ALL ".join(
-    f"""SELECT '{c}' AS "column", count({c})::BIGINT AS count, round(avg({c}), 6) + 0.0 AS mean,
+    f"""SELECT '{c}' AS "column", count({c})::BIGINT AS count, round({exact_mean_sql(c)}, 6) + 0.0 AS mean,
        round(stddev_samp({c}), 6) + 0.0 AS std, round(min({c}), 6) + 0.0 AS min,
        round(max({c}), 6) + 0.0 AS max FROM lineitem""" for c in _STAT_COLS)
 
 
 @register("column_stats", sql=_STATS_SQL)
 def column_stats(spark, sf):
-    return rounded(explore.column_stats(table(spark, sf, "lineitem"), _STAT_COLS))
+    li = as_money(table(spark, sf, "lineitem"), _STAT_COLS)
+    return rounded(explore.column_stats(li, _STAT_COLS))
 
 
 @register("column_stats_by_group", sql=" UNION ALL ".join(
-    f"""SELECT l_returnflag, '{c}' AS "column", count({c})::BIGINT AS count, round(avg({c}), 6) + 0.0 AS mean,
-       round(stddev_samp({c}), 6) + 0.0 AS std, round(min({c}), 6) + 0.0 AS min,
-       round(max({c}), 6) + 0.0 AS max FROM lineitem GROUP BY l_returnflag""" for c in _STAT_COLS))
+    f"""SELECT l_returnflag, '{c}' AS "column", count({c})::BIGINT AS count,
+       round({exact_mean_sql(c)}, 6) + 0.0 AS mean, round(stddev_samp({c}), 6) + 0.0 AS std,
+       round(min({c}), 6) + 0.0 AS min, round(max({c}), 6) + 0.0 AS max
+       FROM lineitem GROUP BY l_returnflag""" for c in _STAT_COLS))
 def column_stats_by_group(spark, sf):
-    return rounded(explore.column_stats(table(spark, sf, "lineitem"), _STAT_COLS, by=["l_returnflag"]))
+    li = as_money(table(spark, sf, "lineitem"), _STAT_COLS)
+    return rounded(explore.column_stats(li, _STAT_COLS, by=["l_returnflag"]))
 
 
 @register("crosstab", sql="""

@@ -94,3 +94,19 @@ SELECT (c.ordinal_position - 1)::INTEGER AS pos, c.column_name AS name,
        CASE c.data_type {mapping} END AS type, c.data_type IN ({numeric}) AS is_numeric, n.n_present
 FROM information_schema.columns c JOIN ({counts}) n ON c.column_name = n.name
 WHERE c.table_name = '{table_name}'"""
+
+
+def exact_mean_sql(col: str) -> str:
+    """The half-up 6-decimal mean of a non-negative two-decimal column,
+    computed exactly (integer cents), as a DOUBLE: the oracle twin of Spark's
+    average over DECIMAL(18,2)."""
+    cents = f"CAST(sum(CAST({col} AS DECIMAL(18,2))) * 100 AS HUGEINT)"
+    n = f"count({col})"
+    return (f"CAST(CAST((2 * {cents} * 10000 + {n}) // (2 * {n}) AS DECIMAL(38,0)) "
+            f"* CAST(0.000001 AS DECIMAL(18,6)) AS DOUBLE)")
+
+
+def as_money(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Two-decimal amounts read as DECIMAL(18,2), so that sums and means are
+    exact."""
+    return df.withColumns({c: F.col(c).cast("decimal(18,2)") for c in cols})

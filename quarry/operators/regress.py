@@ -182,6 +182,9 @@ def _solver(k: int, by: list[str]):
     return solve
 
 
+MAX_SQL_PREDICTORS = 32   # above this, k(k+1)/2 covariance columns give way to MLlib's Gram matrix
+
+
 def ols_multiple(df: DataFrame, xs: list[str], y: str, by: list[str] | None = None) -> DataFrame:
     """Fit y on k ≥ 1 predictors with an intercept.
 
@@ -193,9 +196,13 @@ def ols_multiple(df: DataFrame, xs: list[str], y: str, by: list[str] | None = No
     if not xs:
         raise ValueError("select at least one predictor")
     require_numeric(df, xs + [y])
-    ship_package(df.sparkSession)
     by = by or []
     k = len(xs)
+    if k > MAX_SQL_PREDICTORS:
+        if by:
+            raise ValueError(f"by-group fits support up to {MAX_SQL_PREDICTORS} predictors")
+        return _ols_multiple_wide(df, xs, y)
+    ship_package(df.sparkSession)
     moments = _moments(df, xs, y, by)
     if not by:
         moments = moments.withColumn("__g", F.lit(0))
@@ -211,6 +218,28 @@ def ols_multiple(df: DataFrame, xs: list[str], y: str, by: list[str] | None = No
     return out.drop("__g") if not by else out
 
 
+def _ols_multiple_wide(df: DataFrame, xs: list[str], y: str) -> DataFrame:
+    """R5 for many predictors (MLlib's normal equations: the Gram matrix is
+    one tree aggregation over assembled vectors, up to 4,096 predictors).
+    Same output as ``ols_multiple``; the fitted numbers are k + 1 rows."""
+    from pyspark.sql import types as T2
+
+    n_missing = df.agg(F.count_if(F.greatest(*[as_double(df, c).isNull().cast("int") for c in xs + [y]]) > 0)
+                       ).first()[0]
+    schema = T2.StructType([T2.StructField("variable", T2.StringType()),
+                            T2.StructField("coefficient", T2.DoubleType()), T2.StructField("r2", T2.DoubleType()),
+                            T2.StructField("n", T2.LongType()), T2.StructField("status", T2.StringType())])
+    if n_missing:
+        rows = [(v, None, None, 0, "missing_values") for v in ["__intercept__", *xs]]
+        return df.sparkSession.createDataFrame(rows, schema)
+    model = ols_multiple_mllib(df, xs, y)
+    s = model.summary
+    r2, n = float(s.r2), int(s.numInstances)
+    rows = [("__intercept__", float(model.intercept), r2, n, "ok")]
+    rows += [(c, float(b), r2, n, "ok") for c, b in zip(xs, model.coefficients)]
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def coefficients_wide(model: DataFrame, xs: list[str], by: list[str] | None = None) -> DataFrame:
     """The long R5 model as one row per group: ``(by..., intercept, b_0.., r2)``."""
     by = by or []

@@ -121,3 +121,18 @@ def test_ols_multiple_missing_and_singular(spark):
     sing = spark.createDataFrame([(1.0, 2.0, 3.0), (2.0, 4.0, 5.0), (3.0, 6.0, 7.5), (4.0, 8.0, 9.0)],
                                  "a double, b double, y double")
     assert {r.status for r in regress.ols_multiple(sing, ["a", "b"], "y").collect()} == {"singular"}
+
+
+def test_ols_multiple_many_predictors_uses_gram_matrix(spark):
+    rng = np.random.default_rng(9)
+    k = 40
+    X = rng.normal(size=(400, k))
+    beta = rng.normal(size=k)
+    y = X @ beta + 2.0 + 0.1 * rng.normal(size=400)
+    cols = [f"x{i}" for i in range(k)]
+    df = spark.createDataFrame([tuple(map(float, list(r) + [t])) for r, t in zip(X, y)],
+                               ", ".join(f"{c} double" for c in cols) + ", y double")
+    m = {r.variable: r.coefficient for r in regress.ols_multiple(df, cols, "y").collect()}
+    want = np.linalg.lstsq(np.column_stack([np.ones(400), X]), y, rcond=None)[0]
+    assert abs(m["__intercept__"] - want[0]) < 1e-6
+    assert all(abs(m[c] - w) < 1e-6 for c, w in zip(cols, want[1:]))

@@ -348,7 +348,7 @@ def _chain_and_step(pdf):
 
 
 def arima_refine(series: DataFrame, key=None, iterations: int = 8, block_rows: int = BLOCK_ROWS,
-                 start: DataFrame | None = None) -> DataFrame:
+                 start: DataFrame | None = None, tol: float = 1e-9) -> DataFrame:
     """refine φ, θ by conditional sum of squares (Gauss–Newton, started
     from F3, cost never allowed to rise): ``(keys..., phi, theta, sigma2, n,
     status, css_start, css)``.
@@ -361,7 +361,8 @@ def arima_refine(series: DataFrame, key=None, iterations: int = 8, block_rows: i
     blocks of each key (one small row per block) and the sums of squares
     follow by linearity.  One pass over the data per iteration; the lagged
     input is checkpointed to the shared folder once, and the per-key state
-    after each iteration, so lineage stays short.
+    after each iteration, so lineage stays short.  Iteration stops early
+    when no series' next step exceeds ``tol``.
     """
     from quarry.session import cut_lineage, ship_package
 
@@ -398,6 +399,11 @@ def arima_refine(series: DataFrame, key=None, iterations: int = 8, block_rows: i
         state = cut_lineage(stepped)
         if it == 0:
             first_cost = state.select(*kcols, F.col("s_best").alias("css_start"))
+        # stop once no key would move: one aggregate row of the stored state
+        move = state.agg(F.max(F.greatest(F.abs(F.col("s_scale") * F.col("s_dphi")),
+                                          F.abs(F.col("s_scale") * F.col("s_dtheta"))))).first()[0]
+        if it > 0 and (move is None or move < tol):
+            break
     out = state.join(first_cost, kcols, "left").select(
         *[F.col(f"__k_{k}").alias(k) for k in keys],
         F.col("s_bphi").alias("phi"), F.col("s_btheta").alias("theta"),

@@ -1,5 +1,5 @@
-"""Streaming forms of A1, A9, G3 and of the per-row operators (A3/A4, P4,
-C4, R4/R6) with statistics fitted on a batch table."""
+"""Streaming forms of A1, A9, R1, G3 and of the per-row operators (A3/A4,
+P4, C4, R4/R6) with statistics fitted on a batch table."""
 
 from __future__ import annotations
 
@@ -41,6 +41,15 @@ def running_crosstab(stream: DataFrame, a: str, b: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
 
 
+def running_ols(stream: DataFrame, x: str, y: str, by: list[str] | None = None) -> DataFrame:
+    """R1 over a stream: slope, intercept and R² of y on x, refitted as rows
+    arrive (``regr_*`` aggregates kept as streaming state per group)."""
+    xv, yv = as_double(stream, x), as_double(stream, y)
+    return stream.groupBy(*(by or [])).agg(
+        F.regr_count(yv, xv).alias("n"), F.regr_slope(yv, xv).alias("slope"),
+        F.regr_intercept(yv, xv).alias("intercept"), F.regr_r2(yv, xv).alias("r2"))
+
+
 def windowed_line_series(stream: DataFrame, time: str, value: str, window: str = "1 hour",
                          watermark: str = "2 hours", key: str | None = None) -> DataFrame:
     """G3 over a stream: per event-time window count/min/max/avg; windows

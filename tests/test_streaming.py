@@ -57,3 +57,15 @@ def test_frozen_operators_on_stream(spark, events_stream):
     assert set(r.cluster for r in cl.collect()) <= {0, 1}
     lm = _run(inc.apply_linear_model(stream, 1.0, {"value": 2.0}), "lm", "append")
     assert lm.where(F.abs(F.col("y_hat") - (1 + 2 * F.col("value"))) > 1e-9).count() == 0
+
+
+def test_running_ols_equals_batch(spark, events_stream):
+    from quarry.operators import regress
+
+    batch, stream = events_stream
+    got = {r.event_type: r for r in _run(inc.running_ols(stream, "user_id", "value", ["event_type"]),
+                                         "rols", "complete").collect()}
+    want = {r.event_type: r for r in regress.ols(batch, "user_id", "value", by=["event_type"]).collect()}
+    assert set(got) == set(want)
+    for k in got:
+        assert got[k].n == want[k].n and abs(got[k].slope - want[k].slope) < 1e-9

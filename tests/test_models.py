@@ -58,3 +58,13 @@ def test_full_tree_accuracy_duplicates(spark):
     df = spark.createDataFrame([(1.0, "a"), (1.0, "a"), (1.0, "b"), (2.0, "b")], "x double, y string")
     r = tree.full_tree_accuracy(df, ["x"], "y").first()
     assert r.accuracy == 0.75 and r.n_vectors == 2
+
+
+def test_tree_holdout_scores_unseen_rows(spark):
+    rng = np.random.default_rng(2)
+    data = [(i, float(x), "hi" if x > 0.5 else "lo") for i, x in enumerate(rng.random(400))]
+    df = spark.createDataFrame(data, "id long, x double, y string")
+    pred, _ = tree.decision_tree(df, ["x"], "y", holdout=0.3, seed=7)
+    n = pred.count()
+    assert 60 < n < 180                       # only the held-out share is scored
+    assert tree.accuracy(pred, "y", "prediction").first().accuracy > 0.9

@@ -12,7 +12,7 @@ from quarry.functions.pvalues import chi2_pvalue, t_pvalue
 from quarry.operators._lookup import lookup_join
 from quarry.operators._stats import grouped_agg
 from quarry.operators.explore import crosstab
-from quarry.session import ship_package
+from quarry.session import cut_lineage, ship_package
 
 
 def _t_from_moments(n1, m1, v1, n2, m2, v2):
@@ -70,6 +70,10 @@ def ttest_groups(df: DataFrame, value: str, group: str, first, second,
 def _margins(df: DataFrame, a: str, b: str) -> DataFrame:
     """Observed cells with their row total, column total and N."""
     cells = crosstab(df, a, b).select(F.col(a).alias("__a"), F.col(b).alias("__b"), F.col("n").alias("__o"))
+    # the observed cells (one row per distinct pair) feed both margins, both
+    # lookup joins and three scalar subqueries: written once to the shared
+    # checkpoint folder rather than recomputed from the data each time
+    cells = cut_lineage(cells)
     # one category may own most cells: margins are attached skew-safely,
     # weighted by the number of cells per category
     rows = cells.groupBy("__a").agg(F.sum("__o").alias("__ra"), F.count(F.lit(1)).alias("__w"))

@@ -67,11 +67,15 @@ def ship_package(spark: SparkSession) -> None:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``.  Only when it is unset (local tests) is a
-    private temporary folder created and registered."""
+    ``spark.checkpoint.dir``.  Only where it is unset and the master is a
+    single local process (tests) is a private temporary folder registered;
+    on a cluster an unset folder is an error, as executors could not read
+    each other's files."""
     sc = spark.sparkContext
     current = sc.getConf().get(CHECKPOINT_CONF, None) or sc.getCheckpointDir()
     if not current:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="quarry-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(current)

@@ -1,7 +1,7 @@
 """Packing documents into sequences of at most ``max_len`` tokens.
 
 Pattern packing by non-negative least squares: piece lengths are grouped into
-classes, every pattern of at most three classes that fills a sequence is
+classes, every pattern of two or three classes that can fill a sequence is
 enumerated, and the patterns' repeat counts are fitted to the class histogram
 by non-negative least squares and rounded down.  The patterns are then filled
 with real lengths, and what is left goes to the fullest sequence it fits
@@ -20,7 +20,7 @@ an empty result.
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 
 import numpy as np
@@ -35,7 +35,7 @@ from quarry.session import cut_lineage
 
 #: Length classes of the fit: a class is ``max_len / CLASSES`` tokens wide.
 CLASSES = 64
-#: Classes up to this one are left to fill gaps.
+#: Lengths under so many class widths are left to fill gaps.
 GAP_CLASSES = 2
 
 
@@ -107,14 +107,20 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def patterns(classes: int, smallest: int) -> list[tuple[int, ...]]:
-    """Up to three classes, at least ``smallest``, that fill a sequence."""
-    out = [(classes,)]
-    for a in range(smallest, classes // 2 + 1):
-        out.append((classes - a, a))
-        for b in range(smallest, min(a, classes - 2 * a) + 1) if classes - a - smallest >= a else ():
-            if classes - a - b >= a:
-                out.append((classes - a - b, a, b))
-    return sorted({tuple(sorted(p, reverse=True)) for p in out}, reverse=True)
+    """Two or three classes, at least ``smallest``, longest first, whose
+    lengths can fill a sequence: class c holds lengths from c widths up to
+    under c + 1, so the classes of k lengths add up to ``classes - k + 1``
+    (or one less, never more than ``classes``)."""
+    out = []
+    for total in (classes, classes - 1, classes - 2):
+        for a in range(classes - 1, smallest - 1, -1):
+            for b in range(min(a, total - a), smallest - 1, -1):
+                if a + b == total and total >= classes - 1:
+                    out.append((a, b))
+                c = total - a - b
+                if smallest <= c <= b and total < classes:
+                    out.append((a, b, c))
+    return out
 
 
 class _Plan:
@@ -144,22 +150,34 @@ class _Plan:
         self.sequences += n
 
     def fill_patterns(self, repeats: list[tuple[tuple[int, ...], int]], width: int) -> None:
-        """Fill class patterns with real lengths, the longest of a class
-        first; every step uses up a length or a pattern."""
-        by_class: dict[int, list[int]] = defaultdict(list)
-        for length in sorted(self.left):
-            by_class[-(-length // width)].append(length)
+        """Fill class patterns with real lengths: the longest of each class
+        but the last, for which the longest that still fits is taken, from
+        its class or the next ones.  Every step uses up a length or a
+        pattern."""
+        lengths = sorted(k for k, n in self.left.items() if n)
+
+        def longest(most: int, least: int, chosen: dict[int, int]) -> int | None:
+            k = bisect_right(lengths, most) - 1
+            while k >= 0 and lengths[k] >= least:
+                x = lengths[k]
+                if not self.left[x]:
+                    lengths.pop(k)
+                elif self.left[x] > chosen.get(x, 0):
+                    return x
+                k -= 1
+            return None
+
         for pattern, times in repeats:
             while times:
                 chosen: dict[int, int] = {}
-                for c in pattern:
-                    options = by_class[c]
-                    while options and not self.left[options[-1]]:
-                        options.pop()
-                    pick = next((x for x in reversed(options) if self.left[x] > chosen.get(x, 0)), None)
-                    if pick is None:
+                room = self.max_len
+                for k, c in enumerate(pattern):
+                    last = k == len(pattern) - 1
+                    x = longest(room if last else min(room, c * width + width - 1), max(1, (c - last) * width), chosen)
+                    if x is None:
                         break
-                    chosen[pick] = chosen.get(pick, 0) + 1
+                    chosen[x] = chosen.get(x, 0) + 1
+                    room -= x
                 if sum(chosen.values()) < len(pattern):
                     break
                 n = min(times, min(self.left[x] // k for x, k in chosen.items()))
@@ -213,18 +231,19 @@ def plan_from_histogram(counts: dict[int, int], max_len: int) -> tuple[list[tupl
     if full := plan.left.get(max_len, 0):
         plan.new_run([max_len], full)
     width = -(-max_len // CLASSES)
-    classes = max_len // width
-    found = patterns(classes, GAP_CLASSES + 1)
-    a = np.zeros((classes + 1, len(found)))
-    for k, p in enumerate(found):
-        for c in p:
-            a[c, k] += 1
-    b = np.zeros(classes + 1)
-    for length, n in plan.left.items():
-        b[min(classes, -(-length // width))] += n
-    b[: GAP_CLASSES + 1] = 0
-    times = np.floor(nnls(a, b) + 1e-9).astype(int)
-    plan.fill_patterns([(p, int(n)) for p, n in zip(found, times, strict=True) if n > 0], width)
+    classes = -(-max_len // width)
+    found = patterns(classes, GAP_CLASSES)
+    if found:
+        a = np.zeros((classes + 1, len(found)))
+        for k, p in enumerate(found):
+            for c in p:
+                a[c, k] += 1
+        b = np.zeros(classes + 1)
+        for length, n in plan.left.items():
+            b[length // width] += n
+        b[:GAP_CLASSES] = 0
+        times = np.floor(nnls(a, b) + 1e-9).astype(int)
+        plan.fill_patterns([(p, int(n)) for p, n in zip(found, times, strict=True) if n > 0], width)
     plan.best_fit()
     return plan.rows, plan.sequences
 

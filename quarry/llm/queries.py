@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe_codec, packing, token_counts
+from quarry.llm import bpe_codec, packing, quality_rules, token_counts
 from quarry.llm._common import prepare
 
 QUERIES: dict = {}
@@ -30,6 +30,11 @@ def op1_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+@_register
+def op2_quality_rules(spark, sf_dir):
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 @_register
 def op4_bpe_codec(spark, sf_dir):
     return bpe_codec.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

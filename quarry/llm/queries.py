@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe_codec, packing, quality_rules, token_counts
+from quarry.llm import bpe_codec, packing, quality_rules, secret_scan, token_counts
 from quarry.llm._common import prepare
 
 QUERIES: dict = {}
@@ -43,3 +43,8 @@ def op4_bpe_codec(spark, sf_dir):
 @_register
 def op8_pattern_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_register
+def op9_secret_scan(spark, sf_dir):
+    return secret_scan.scan_digests(table(spark, sf_dir, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe_codec, packing, quality_rules, secret_scan, simhash_dedup, token_counts
+from quarry.llm import bpe_codec, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts
 from quarry.llm._common import prepare
 
 QUERIES: dict = {}
@@ -40,6 +40,11 @@ def op4_bpe_codec(spark, sf_dir):
     return bpe_codec.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@_register
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
 @_register
 def op7_simhash_dedup(spark, sf_dir):
     return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import bpe_codec, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts
+from quarry.llm import bpe_codec, embedding_dedup, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts
 from quarry.llm._common import prepare
 
 QUERIES: dict = {}
@@ -58,3 +58,8 @@ def op8_pattern_packing(spark, sf_dir):
 @_register
 def op9_secret_scan(spark, sf_dir):
     return secret_scan.scan_digests(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op10_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))

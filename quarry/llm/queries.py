@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quarry.llm import bpe_codec, embedding_dedup, packing, quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts
+from quarry.llm import (bpe_codec, chat_format, embedding_dedup, packing, quality_rules, secret_scan, simhash_dedup,
+                        suffix_dedup, token_counts, warc_fixity)
 from quarry.llm._common import prepare
 
 QUERIES: dict = {}
@@ -35,6 +37,11 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+@_register
+def op3_chat_format(spark, sf_dir):
+    return chat_format.format_chats(table(spark, sf_dir, "conversations"))
+
+
 @_register
 def op4_bpe_codec(spark, sf_dir):
     return bpe_codec.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -45,6 +52,33 @@ def op5_suffix_dedup(spark, sf_dir):
     return suffix_dedup.removal_digests(table(spark, sf_dir, "documents"))
 
 
+@_register
+def op6_warc_fixity(spark, sf_dir):
+    """The pages as WARC records, against a replica in which the first byte of
+    some records is changed and others are lost (a rule on the page id, the
+    same in the SQL)."""
+    records = warc_fixity.warc_records(table(spark, sf_dir, "pages"))
+    damaged = F.concat(F.lit("X").cast("binary"), F.expr("substring(record, 2)"))
+    replica = records.filter("page_id is null or page_id % 41 != 7").withColumn(
+        "record", F.when(F.col("page_id") % 37 == 5, damaged).otherwise(F.col("record")))
+    return warc_fixity.fixity_report(records, replica).select("page_id", "length", "record_sha256", "status")
+
+
+ORACLES["op6_warc_fixity"] = r"""
+WITH r AS (
+  SELECT page_id, md5(coalesce(CAST(page_id AS VARCHAR), '') || ' ' || coalesce(url, '')) AS n, coalesce(url, '') AS url,
+         coalesce(html, '') AS body FROM pages),
+w AS (
+  SELECT page_id, 'WARC/1.1' || e'\r\n' || 'WARC-Type: resource' || e'\r\n' || 'WARC-Record-ID: <urn:uuid:'
+    || n[1:8] || '-' || n[9:12] || '-' || n[13:16] || '-' || n[17:20] || '-' || n[21:32] || '>' || e'\r\n'
+    || 'WARC-Target-URI: ' || regexp_replace(url, '[\r\n]', ' ', 'g') || e'\r\n' || 'WARC-Date: 1970-01-01T00:00:00Z' || e'\r\n'
+    || 'Content-Type: text/html' || e'\r\n' || 'Content-Length: ' || CAST(strlen(body) AS VARCHAR) || e'\r\n\r\n'
+    || body || e'\r\n\r\n' AS rec FROM r)
+SELECT page_id, CAST(strlen(rec) AS BIGINT) AS length, sha256(rec) AS record_sha256,
+       CASE WHEN page_id % 41 = 7 THEN 'missing' WHEN page_id % 37 = 5 THEN 'corrupt' ELSE 'intact' END AS status
+FROM w"""
+
+
 @_register
 def op7_simhash_dedup(spark, sf_dir):
     return simhash_dedup.simhash_groups(table(spark, sf_dir, "documents"))

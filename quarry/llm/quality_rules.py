@@ -86,7 +86,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def with_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """Add the base counts, as one struct column ``_q``."""
+    """Add the base counts, as one struct column ``_quarry_q``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def counts(words):
@@ -104,7 +104,7 @@ def with_counts(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
             F.length(F.regexp_replace(text, "[^\\p{Lu}]+", "")).cast("long").alias("n_capitals"),
             F.length(F.regexp_replace(text, "[^!?]+", "")).cast("long").alias("n_bangs"))
 
-    return docs.withColumn("_q", _let(word_array(text), counts))
+    return docs.withColumn("_quarry_q", _let(word_array(text), counts))
 
 
 def rates() -> dict[str, Column]:
@@ -112,16 +112,16 @@ def rates() -> dict[str, Column]:
     def per_mille(part: str, whole: str) -> Column:
         return F.floor(1000 * F.col(part) / F.greatest(F.col(whole), F.lit(1)))
 
-    return {"symbol_rate": per_mille("_q.n_symbols", "_q.word_chars"),
-            "dup_line_rate": per_mille("_q.lines.dup", "_q.lines.n"),
-            "repeat_rate": per_mille("_q.n_repeat_words", "_q.n_words"),
-            "capital_rate": per_mille("_q.n_capitals", "_q.word_chars"),
-            "bang_rate": per_mille("_q.n_bangs", "_q.word_chars"),
-            "word_length": per_mille("_q.word_chars", "_q.n_words")}
+    return {"symbol_rate": per_mille("_quarry_q.n_symbols", "_quarry_q.word_chars"),
+            "dup_line_rate": per_mille("_quarry_q.lines.dup", "_quarry_q.lines.n"),
+            "repeat_rate": per_mille("_quarry_q.n_repeat_words", "_quarry_q.n_words"),
+            "capital_rate": per_mille("_quarry_q.n_capitals", "_quarry_q.word_chars"),
+            "bang_rate": per_mille("_quarry_q.n_bangs", "_quarry_q.word_chars"),
+            "word_length": per_mille("_quarry_q.word_chars", "_quarry_q.n_words")}
 
 
 def base_failed() -> Column:
-    return (F.col("_q.n_words") < MIN_WORDS) | (100 * F.col("_q.n_repeat_words") > REPEAT_PERCENT * F.col("_q.n_words"))
+    return (F.col("_quarry_q.n_words") < MIN_WORDS) | (100 * F.col("_quarry_q.n_repeat_words") > REPEAT_PERCENT * F.col("_quarry_q.n_words"))
 
 
 def _key(col: str) -> Column:
@@ -186,18 +186,18 @@ BROADCAST_GROUPS = 50_000
 
 
 def _judge(counted: DataFrame, lang_col: str, source_col: str, spread: float) -> DataFrame:
-    """Counted rows (written already) with ``_base_failed`` and ``_kept``."""
+    """Counted rows (written already) with ``_quarry_base_failed`` and ``_quarry_kept``."""
     fence = cut_lineage(fences(sketches(counted, lang_col=lang_col, source_col=source_col), spread=spread))
-    fence = fence.withColumnsRenamed({"lang": "_lang", "source": "_source", "fence": "_fence"})
+    fence = fence.withColumnsRenamed({"lang": "_quarry_lang", "source": "_quarry_source", "fence": "_quarry_fence"})
     if fence.count() <= BROADCAST_GROUPS:
         fence = F.broadcast(fence)
-    joined = counted.withColumns({"_lang": _key(lang_col), "_source": _key(source_col)}).join(
-        fence, ["_lang", "_source"], "left")
+    joined = counted.withColumns({"_quarry_lang": _key(lang_col), "_quarry_source": _key(source_col)}).join(
+        fence, ["_quarry_lang", "_quarry_source"], "left")
     within = F.lit(True)
     for name, rate in rates().items():
-        within = within & F.coalesce(rate <= F.col(f"_fence.{name}"), F.lit(True))
-    return (joined.withColumn("_base_failed", base_failed())
-            .withColumn("_kept", ~F.col("_base_failed") & within).drop("_lang", "_source", "_fence"))
+        within = within & F.coalesce(rate <= F.col(f"_quarry_fence.{name}"), F.lit(True))
+    return (joined.withColumn("_quarry_base_failed", base_failed())
+            .withColumn("_quarry_kept", ~F.col("_quarry_base_failed") & within).drop("_quarry_lang", "_quarry_source", "_quarry_fence"))
 
 
 def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", source_col: str = "source",
@@ -209,8 +209,8 @@ def quality_rules(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "l
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"),
                        F.col(source_col).alias("source"), F.col(text_col).alias("text"))
     out = _judge(cut_lineage(with_counts(slim).drop("text")), "lang", "source", spread)
-    return out.select("doc_id", "_q.n_words", "_q.word_chars", "_q.n_symbols", F.col("_q.lines.dup").alias("n_dup_lines"),
-                      "_q.n_repeat_words", F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    return out.select("doc_id", "_quarry_q.n_words", "_quarry_q.word_chars", "_quarry_q.n_symbols", F.col("_quarry_q.lines.dup").alias("n_dup_lines"),
+                      "_quarry_q.n_repeat_words", F.col("_quarry_base_failed").alias("base_failed"), F.col("_quarry_kept").alias("kept"))
 
 
 def keep_good(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "source", text_col: str = "text",
@@ -220,4 +220,4 @@ def keep_good(docs: DataFrame, *, lang_col: str = "lang", source_col: str = "sou
     neither counted twice nor shuffled."""
     prepare(docs.sparkSession)
     counted = cut_lineage(with_counts(docs, text_col=text_col))
-    return _judge(counted, lang_col, source_col, spread).filter("_kept").select(*docs.columns)
+    return _judge(counted, lang_col, source_col, spread).filter("_quarry_kept").select(*docs.columns)

@@ -54,14 +54,14 @@ def _matches(text: Column, kind: str, pattern: str, group: int) -> Column:
 
 
 def candidates(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_found``, the matches of every pattern, and ``_uid``.
+    """``docs`` with ``_quarry_found``, the matches of every pattern, and ``_quarry_uid``.
     To be written before further use: the written number is what later steps
     join on."""
     text = text_or_empty(text_col)
     kinds = [_matches(text, k, *p) for k, p in (*BASE.items(), ("owned", OPAQUE))]
     none = F.array().cast("array<struct<kind:string,nth:int,gap:int,length:int,value:string>>")
-    return docs.withColumns({"_found": F.concat(*[F.coalesce(k, none) for k in kinds]),
-                             "_uid": F.monotonically_increasing_id()})
+    return docs.withColumns({"_quarry_found": F.concat(*[F.coalesce(k, none) for k in kinds]),
+                             "_quarry_uid": F.monotonically_increasing_id()})
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -74,32 +74,32 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def spans_of(found: DataFrame, *, owner_col: str, repository_cols: tuple[str, ...], most_owners: int = MOST_OWNERS) -> DataFrame:
-    """``_uid, kind, start, end, owners, repositories, copied``: base spans and
+    """``_quarry_uid, kind, start, end, owners, repositories, copied``: base spans and
     the owned ones that are kept.  ``found``: written ``candidates``."""
     def name(c):
         return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("-"))
 
-    flat = found.select("_uid", name(owner_col).alias("owner"),
+    flat = found.select("_quarry_uid", name(owner_col).alias("owner"),
                         F.sha2(F.concat_ws("\n", *[name(c) for c in repository_cols]), 256).alias("repository"),
-                        F.explode("_found").alias("m")).select("_uid", "owner", "repository", "m.*")
-    upto = Window.partitionBy("_uid", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+                        F.explode("_quarry_found").alias("m")).select("_quarry_uid", "owner", "repository", "m.*")
+    upto = Window.partitionBy("_quarry_uid", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     placed = flat.withColumn("end", F.sum(F.col("gap") + F.col("length")).over(upto)).withColumn(
         "start", F.col("end") - F.col("length"))
     placed = placed.filter((F.col("kind") != "assign") | (F.length("value") >= SHORTEST_ASSIGNED))
     base = F.col("kind") != "owned"
-    ordered = Window.partitionBy("_uid").orderBy("start", "end")
+    ordered = Window.partitionBy("_quarry_uid").orderBy("start", "end")
     before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(1, Window.unboundedFollowing)
     covered = ((F.coalesce(F.max(F.when(base, F.col("end"))).over(before), F.lit(-1)) > F.col("start"))
                | (F.coalesce(F.min(F.when(base, F.col("start"))).over(after), F.lit(1 << 62)) < F.col("end")))
     live = ((F.size(F.array_distinct(F.split("value", ""))) >= LIVE_CHARACTERS)
             & F.col("value").rlike("[0-9]") & F.col("value").rlike("[A-Za-z]"))
     placed = placed.withColumn("_covered", covered).filter(base | (~F.col("_covered") & live))
-    placed = cut_lineage(placed.select("_uid", "kind", F.col("start").cast("long").alias("start"),
+    placed = cut_lineage(placed.select("_quarry_uid", "kind", F.col("start").cast("long").alias("start"),
                                        F.col("end").cast("long").alias("end"),
                                        F.sha2("value", 256).alias("hash"), "owner", "repository"))
     known = placed.join(ownership(placed), "hash")
     known = known.withColumn("copied", F.col("owners") > most_owners)
-    return known.filter(base | ~F.col("copied")).select("_uid", "kind", "start", "end", "owners", "repositories", "copied")
+    return known.filter(base | ~F.col("copied")).select("_quarry_uid", "kind", "start", "end", "owners", "repositories", "copied")
 
 
 def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
@@ -115,10 +115,10 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     spans = spans_of(found, owner_col=f"_k_{owner_col}", repository_cols=tuple(f"_k_{c}" for c in repository_cols),
                      most_owners=most_owners)
     number = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")).cast("int")
-    per_row = spans.groupBy("_uid").agg(F.sort_array(F.collect_list(
+    per_row = spans.groupBy("_quarry_uid").agg(F.sort_array(F.collect_list(
         F.struct("start", number.alias("number"), "end", "kind", "copied"))).alias("spans"))
     empty = F.array().cast(per_row.schema["spans"].dataType)
-    return (found.select("_uid", F.col("_id").alias("doc_id")).join(per_row, "_uid", "left")
+    return (found.select("_quarry_uid", F.col("_id").alias("doc_id")).join(per_row, "_quarry_uid", "left")
             .select("doc_id", F.coalesce("spans", empty).alias("spans")))
 
 
@@ -149,12 +149,12 @@ def redact(docs: DataFrame, *, text_col: str = "text", owner_col: str = "source"
     prepare(docs.sparkSession)
     found = cut_lineage(candidates(docs, text_col=text_col))
     spans = spans_of(found, owner_col=owner_col, repository_cols=repository_cols, most_owners=most_owners)
-    ordered = Window.partitionBy("_uid").orderBy("start", F.desc("end"))
+    ordered = Window.partitionBy("_quarry_uid").orderBy("start", F.desc("end"))
     earlier = F.max("end").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
     runs = (spans.withColumn("_new", F.coalesce(F.col("start") > earlier, F.lit(True)).cast("int"))
             .withColumn("_run", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
-            .groupBy("_uid", "_run").agg(F.min("start").cast("int").alias("s"), F.max("end").cast("int").alias("e"))
-            .groupBy("_uid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("_runs")))
+            .groupBy("_quarry_uid", "_run").agg(F.min("start").cast("int").alias("s"), F.max("end").cast("int").alias("e"))
+            .groupBy("_quarry_uid").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("_quarry_runs")))
     text = F.col(text_col)
 
     def clean(runs):
@@ -162,6 +162,6 @@ def redact(docs: DataFrame, *, text_col: str = "text", owner_col: str = "source"
             i == 0, 0).otherwise(F.get(runs, i - 1)["e"])), F.lit(mark)))
         return F.concat(F.array_join(parts, ""), text.substr(F.element_at(runs, -1)["e"] + 1, F.length(text)))
 
-    hit = found.filter(F.size("_found") > 0).join(runs, "_uid", "left").withColumn(
-        text_col, F.when(F.col("_runs").isNull(), text).otherwise(clean(F.col("_runs"))))
-    return found.filter(F.size("_found") == 0).select(*docs.columns).unionByName(hit.select(*docs.columns))
+    hit = found.filter(F.size("_quarry_found") > 0).join(runs, "_quarry_uid", "left").withColumn(
+        text_col, F.when(F.col("_quarry_runs").isNull(), text).otherwise(clean(F.col("_quarry_runs"))))
+    return found.filter(F.size("_quarry_found") == 0).select(*docs.columns).unionByName(hit.select(*docs.columns))

@@ -234,12 +234,12 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs``, all columns as they are, without near-duplicates:
     of each component the row with the smallest id stays (of equal ids, one)."""
     prepare(docs.sparkSession)
-    numbered = cut_lineage(docs.withColumn("_uid", F.monotonically_increasing_id()))
+    numbered = cut_lineage(docs.withColumn("_quarry_uid", F.monotonically_increasing_id()))
     prints = cut_lineage(fingerprints(
-        numbered.select("_uid", F.col(id_col).alias("_id"), F.col(text_col).alias("text")), words=words))
+        numbered.select("_quarry_uid", F.col(id_col).alias("_id"), F.col(text_col).alias("text")), words=words))
     # null ids come last
-    first = F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id"), F.col("_uid"))).alias("first")
+    first = F.min(F.struct(F.col("_id").isNull().alias("z"), F.col("_id"), F.col("_quarry_uid"))).alias("first")
     classes = prints.groupBy("fp").agg(first)
     kept = (classes.join(fingerprint_components(prints, max_bits), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-            .groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._uid").alias("_uid")))
-    return numbered.join(kept, "_uid", "left_semi").select(*docs.columns)
+            .groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._quarry_uid").alias("_quarry_uid")))
+    return numbered.join(kept, "_quarry_uid", "left_semi").select(*docs.columns)

@@ -1,20 +1,13 @@
-"""Skew-safe lookup join: attach a table holding one row per key to the
-rows of a (possibly skewed) DataFrame.
-
-A plain shuffle join sends every row of a key to one task, so a key holding
-a third of the data makes one task do a third of the work.  Here the keys
-are split by how many data rows they hold:
-
-* hot keys, with at least N / ``hot_slots`` rows (and at least
-  ``min_hot_rows``), number at most ``hot_slots`` (a proven bound), so their lookup rows are broadcast and the
-  data rows take their values without a shuffle;
-* the rest are joined by a shuffle join in which no key holds more than
-  N / ``hot_slots`` rows.  Rows of hot keys travel through it with a spread
-  salt that matches nothing, so they are split over ``salts`` tasks instead
-  of landing in one.
-
-One pass over the data; the weight table (rows per key) is usually a
-by-product of the aggregation that built the lookup table.
+"""Lookup join: attach a table holding one row per key to the rows of a
+DataFrame.
+
+A left join that null keys take part in.  Spark's adaptive execution picks the
+form from the sizes it has measured: a small lookup table (its own broadcast
+limit, ``spark.sql.autoBroadcastJoinThreshold``) is broadcast, otherwise both
+sides are shuffled and a partition that one key has blown up is split over
+several tasks (``spark.sql.adaptive.skewJoin.enabled``), in pieces of
+``spark.sql.adaptive.advisoryPartitionSizeInBytes``, so the number of pieces
+follows the rows of the key.
 """
 
 from __future__ import annotations
@@ -22,43 +15,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_SLOTS = 10_000
-SALTS = 64
-MIN_HOT_ROWS = 100_000   # a key with fewer rows cannot make one task a bottleneck
-
-
-def split_hot(table: DataFrame, keys: list[str], weights: DataFrame, hot_slots: int = HOT_SLOTS,
-              min_hot_rows: int = MIN_HOT_ROWS) -> tuple[DataFrame, DataFrame]:
-    """``(hot, cold)``: the lookup rows of keys with at least N / hot_slots
-    data rows, and the others.  Columns are renamed ``__tk_*`` / ``__tv_*``
-    so that no join here is a self-join on shared attributes."""
-    values = [c for c in table.columns if c not in keys]
-    w = weights.select(*[F.col(k).alias(f"__wk_{k}") for k in keys], "__w")
-    total = w.agg(F.sum("__w")).scalar()
-    threshold = F.greatest(F.ceil(total / F.lit(hot_slots)), F.lit(max(1, min_hot_rows)))
-    hot_keys = w.where(F.col("__w") >= threshold).drop("__w")
-    t = table.select(*[F.col(k).alias(f"__tk_{k}") for k in keys], *[F.col(v).alias(f"__tv_{v}") for v in values])
-    cond = [F.col(f"__tk_{k}").eqNullSafe(F.col(f"__wk_{k}")) for k in keys]
-    return t.join(hot_keys, cond, "left_semi"), t.join(hot_keys, cond, "left_anti")
-
 
-def lookup_join(df: DataFrame, table: DataFrame, keys: list[str], weights: DataFrame | None = None,
-                hot_slots: int = HOT_SLOTS, salts: int = SALTS, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def lookup_join(df: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
     """``df`` left-joined with ``table`` (unique on ``keys``; null keys match
-    null keys).  ``weights`` is ``(keys..., __w)``: rows of ``df`` per key."""
-    if weights is None:
-        weights = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__w"))
+    null keys)."""
     values = [c for c in table.columns if c not in keys]
-    hot, cold = split_hot(table, keys, weights, hot_slots, min_hot_rows)
-    hot = F.broadcast(hot.select(*[F.col(f"__tk_{k}").alias(f"__hk_{k}") for k in keys],
-                                 *[F.col(f"__tv_{v}").alias(f"__hv_{v}") for v in values],
-                                 F.lit(True).alias("__hot")))
-    flagged = df.join(hot, [F.col(k).eqNullSafe(F.col(f"__hk_{k}")) for k in keys], "left")
-    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int") + 1
-    flagged = flagged.withColumn("__salt", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(spread))
-    cold = cold.select(*[F.col(f"__tk_{k}").alias(f"__ck_{k}") for k in keys],
-                       *[F.col(f"__tv_{v}").alias(f"__cv_{v}") for v in values], F.lit(0).alias("__csalt"))
-    cond = [F.col(k).eqNullSafe(F.col(f"__ck_{k}")) for k in keys] + [F.col("__salt") == F.col("__csalt")]
-    joined = flagged.join(cold, cond, "left")
-    return joined.select(*df.columns, *[F.coalesce(F.col(f"__hv_{v}"), F.col(f"__cv_{v}")).alias(v)
-                                        for v in values])
+    right = table.select(*[F.col(k).alias(f"__tk_{k}") for k in keys], *[F.col(v).alias(f"__tv_{v}") for v in values])
+    joined = df.join(right, [df[k].eqNullSafe(right[f"__tk_{k}"]) for k in keys], "left")
+    return joined.select(*df.columns, *[F.col(f"__tv_{v}").alias(v) for v in values])

@@ -9,10 +9,8 @@ exchange), and each data row then reads them.
   the main job and inlines the value, so the data side needs no join and no
   shuffle.
 * With ``by`` they are one row per group, and the number of groups is not
-  bounded, so they are attached by ``lookup_join``: groups holding at least
-  1/10,000 of the rows (at most 10,000 of them) are broadcast, the rest go
-  through a shuffle join in which a hot group's rows are salted over many
-  tasks.
+  bounded, so they are attached by ``lookup_join``, whose form adaptive
+  execution picks from the measured sizes.
 """
 
 from __future__ import annotations
@@ -37,18 +35,9 @@ def attach(df: DataFrame, stats: DataFrame, by: list[str] | None = None
         col = f"__stats_{uuid.uuid4().hex[:10]}"
         frame = df.withColumn(col, stats.select(F.struct(*stats.columns)).scalar())
         return frame, lambda name: F.col(col)[name]
-    # one row per group: a skew-safe lookup join (hot groups broadcast, the
-    # rest shuffled with hot rows salted away from any single task)
-    weights = stats.select(*by, F.col("__rows").alias("__w")) if "__rows" in stats.columns else None
-    table = stats.drop("__rows") if "__rows" in stats.columns else stats
-    return lookup_join(df, table, by, weights), F.col
-
-
-def grouped_agg(df: DataFrame, by: list[str] | None, exprs: list[Column], rows: bool = False) -> DataFrame:
-    """Aggregate per group (or over the table).  With ``rows`` grouped results
-    also carry ``__rows`` (data rows per group), which ``attach`` uses to
-    split hot groups."""
-    if by:
-        extra = [F.count(F.lit(1)).alias("__rows")] if rows else []
-        return df.groupBy(*by).agg(*exprs, *extra)
-    return df.agg(*exprs)
+    return lookup_join(df, stats, by), F.col
+
+
+def grouped_agg(df: DataFrame, by: list[str] | None, exprs: list[Column]) -> DataFrame:
+    """Aggregate per group (or over the table)."""
+    return df.groupBy(*by).agg(*exprs) if by else df.agg(*exprs)

@@ -63,7 +63,7 @@ def fill_mean(df: DataFrame, cols: list[str] | None = None, by: list[str] | None
     if not targets:
         return df
     means = [F.avg(as_double(df, c)).alias(f"__mean_{i}") for i, c in enumerate(targets)]
-    stats = grouped_agg(df, by, means, rows=True)
+    stats = grouped_agg(df, by, means)
     joined, stat = attach(df, stats, by)
     out = {c: F.coalesce(as_double(df, c), stat(f"__mean_{i}")) for i, c in enumerate(targets)}
     return joined.select(*[out[c].alias(c) if c in out else F.col(c) for c in df.columns])
@@ -82,7 +82,7 @@ def _scale(df: DataFrame, cols, by, kind: str) -> DataFrame:
             exprs += [F.avg(x).alias(f"__a_{i}"), F.stddev_pop(x).alias(f"__b_{i}")]
         else:
             exprs += [F.min(x).alias(f"__a_{i}"), (F.max(x) - F.min(x)).alias(f"__b_{i}")]
-    joined, stat = attach(df, grouped_agg(df, by, exprs, rows=True), by)
+    joined, stat = attach(df, grouped_agg(df, by, exprs), by)
     out = {}
     for i, c in enumerate(targets):
         v = safe_div(as_double(df, c) - stat(f"__a_{i}"), stat(f"__b_{i}"))

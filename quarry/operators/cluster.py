@@ -13,6 +13,8 @@ reproducible and checked against SQL.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import add, and_
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -63,15 +65,19 @@ def cluster_assign(df: DataFrame, cols: list[str], centres: list[list[float]],
 
 def cluster_assign_table(df: DataFrame, cols: list[str], centres: DataFrame, id_col: str = "cluster",
                          out: str = "cluster") -> DataFrame:
-    """C4 with centres given as a small DataFrame ``(id_col, cols...)``.
-    The centres are collected only after checking there are at most 1,000."""
-    n = centres.count()
-    if n > 1000:
-        raise ValueError(f"{n} centres: too many to assign by expression")
-    rows = centres.orderBy(id_col).collect()
-    labelled = cluster_assign(df, cols, [[float(r[c]) for c in cols] for r in rows], "__idx")
-    ids = F.array(*[F.lit(r[id_col]) for r in rows])
-    return labelled.withColumn(out, F.element_at(ids, F.col("__idx") + 1)).drop("__idx")
+    """C4 with centres given as a DataFrame ``(id_col, cols...)``: one array of
+    them, read as a scalar subquery; ties go to the lower id."""
+    require_numeric(df, cols)
+    point = F.struct(F.col(id_col).alias("id"), *[as_double(centres, c).alias(f"c{i}") for i, c in enumerate(cols)])
+    all_centres = centres.agg(F.sort_array(F.collect_list(point))).scalar()
+    feats = [as_double(df, c) for c in cols]
+    present = reduce(and_, [f.isNotNull() for f in feats])
+
+    def distance(centre: Column) -> Column:
+        return reduce(add, [F.pow(f - centre[f"c{i}"], 2) for i, f in enumerate(feats)])
+
+    near = F.array_min(F.transform(F.col("__centres"), lambda x: F.struct(distance(x).alias("d"), x["id"].alias("id"))))["id"]
+    return df.withColumn("__centres", all_centres).select(*df.columns, F.when(present, near).alias(out))
 
 
 def kmeans(df: DataFrame, cols: list[str] | None = None, k: int = 3, seed: int = 42, n_init: int = 1,

@@ -99,9 +99,8 @@ def _spearman_complete(base: DataFrame, cols: list[str], names: list[str], by: l
     ranks = value_ranks(counts, by + ["ci"], buckets, max_groups=None if by else len(cols))
     ranked = base
     for i, n in enumerate(names):
-        ci = counts.where(F.col("ci") == i).drop("ci")
         ri = ranks.where(F.col("ci") == i).drop("ci")
-        ranked = attach_ranks(ranked, F.col(n), ci, ri, f"{n}_r", "average", by)
+        ranked = attach_ranks(ranked, F.col(n), ri, f"{n}_r", "average", by)
     return _pearson_matrix(ranked, cols, {c: F.col(f"{n}_r") for c, n in zip(cols, names)}, by)
 
 
@@ -123,9 +122,8 @@ def _spearman_pairwise(base: DataFrame, cols: list[str], names: list[str], by: l
     ranked = cells
     for side in ("a", "b"):
         counts = cells.groupBy(*keys, F.col(side).alias("__v")).agg(F.sum("w").alias("__cnt"))
-        hot = cells.groupBy(*keys, F.col(side).alias("__v")).agg(F.count(F.lit(1)).alias("__cnt"))
         ranks = value_ranks(counts, keys, buckets, max_groups=None if by else len(pairs))
-        ranked = attach_ranks(ranked, F.col(side), counts, ranks, f"r{side}", "average", keys, hot_counts=hot)
+        ranked = attach_ranks(ranked, F.col(side), ranks, f"r{side}", "average", keys)
     w, ra, rb = F.col("w").cast("double"), F.col("ra"), F.col("rb")
     sums = ranked.groupBy(*keys).agg(
         F.sum(w).alias("W"), F.sum(w * ra).alias("Sa"), F.sum(w * rb).alias("Sb"),

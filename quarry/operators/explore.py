@@ -6,10 +6,11 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import cut_lineage
 from quarry.functions.columns import (as_double, clean_value, is_numeric_type, numeric_columns,
                                       render_text, require_columns)
 from quarry.operators._stats import grouped_agg
@@ -33,12 +34,29 @@ def filter_any_text(df: DataFrame, text: str, cols: list[str] | None = None) ->
     return df.where(reduce(or_, tests))
 
 
-def sort_by(df: DataFrame, col: str, ascending: bool = True) -> DataFrame:
+def sort_by(df: DataFrame, col: str, ascending: bool = True, then: list[str] | None = None) -> DataFrame:
     """O1: sort by one column, missing last in both directions (NaN counts as
-    missing).  A global sort: range-partitioned by Spark, no single task."""
-    require_columns(df, [col])
+    missing), ties by the columns ``then``, ascending.  A global sort:
+    range-partitioned by Spark, no single task."""
+    require_columns(df, [col, *(then or [])])
     key = clean_value(df, col)
-    return df.orderBy(key.asc_nulls_last() if ascending else key.desc_nulls_last())
+    order = [key.asc_nulls_last() if ascending else key.desc_nulls_last()]
+    return df.orderBy(*order, *[clean_value(df, c).asc_nulls_last() for c in then or []])
+
+
+def sorted_positions(df: DataFrame, col: str, ascending: bool = True, then: list[str] | None = None,
+                     out: str = "pos") -> DataFrame:
+    """The rows of ``sort_by`` with their consecutive place 1..n in it, read
+    off the sorted partitions: the place inside its partition plus the rows of
+    the partitions before (one small row per partition)."""
+    placed = cut_lineage(sort_by(df, col, ascending, then).withColumn("__id", F.monotonically_increasing_id()))
+    part = F.shiftright("__id", 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", F.coalesce(F.sum("__n").over(
+        Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.col("__id").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return placed.withColumn("__part", part).join(F.broadcast(before), "__part").select(
+        *df.columns, (F.col("__before") + inside).cast("bigint").alias(out))
 
 
 def sort_position(df: DataFrame, col: str, ascending: bool = True, out: str = "pos") -> DataFrame:
@@ -122,34 +140,24 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, by: list[str] | N
     return wide.select(*(by or []), F.inline(F.array(*rows)))
 
 
-def crosstab(df: DataFrame, a: str, b: str, dense: bool = False,
-             max_cells: int = 1_000_000) -> DataFrame:
+def crosstab(df: DataFrame, a: str, b: str, dense: bool = False) -> DataFrame:
     """Long contingency table ``(a, b, n)``; rows with a missing key are
     dropped.
 
     The observed counts come from one partial+final aggregation, so a hot
     pair costs one row per task, never a hot task.  By default only observed
-    pairs are returned (absent pairs count 0 implicitly), which is what every
-    consumer here needs.  ``dense=True`` also emits the zero cells, the
-    display form: it first checks that |a| × |b| ≤ ``max_cells``, then expands
-    the keys of the larger side by the list of the smaller side's keys (at
-    most √max_cells values, an array literal, not a join).
+    pairs are returned; ``dense=True`` also emits the zero cells: every
+    distinct key of ``a`` is expanded by the array of the distinct keys of
+    ``b`` (a scalar subquery), which is the size of one row of the table that
+    is asked for.
     """
     require_columns(df, [a, b])
     base = df.select(clean_value(df, a).alias("__a"), clean_value(df, b).alias("__b")).where(
         F.col("__a").isNotNull() & F.col("__b").isNotNull())
     observed = base.groupBy("__a", "__b").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     if dense:
-        sizes = observed.agg(F.count_distinct("__a").alias("ra"), F.count_distinct("__b").alias("rb")).first()
-        if sizes["ra"] * sizes["rb"] > max_cells:
-            raise ValueError(f"dense crosstab of {sizes['ra']} x {sizes['rb']} exceeds {max_cells} cells")
-        # collect the smaller key list (at most sqrt(max_cells) values) and
-        # expand the distinct keys of the other side by it
-        small, large = ("__a", "__b") if sizes["ra"] <= sizes["rb"] else ("__b", "__a")
-        keys = [r[0] for r in observed.select(small).distinct().collect()]
-        ktype = observed.schema[small].dataType
-        grid = observed.select(large).distinct().select(
-            large, F.explode(F.array(*[F.lit(k).cast(ktype) for k in keys])).alias(small))
+        keys = base.agg(F.collect_set("__b")).scalar()
+        grid = base.select("__a").distinct().select("__a", F.explode(keys).alias("__b"))
         observed = grid.join(observed, ["__a", "__b"], "left").select(
             "__a", "__b", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     return observed.select(F.col("__a").alias(a), F.col("__b").alias(b), "n")

@@ -87,7 +87,7 @@ def as_series(df: DataFrame, time: str, value: str, key=None, tiebreak: str | No
     then = [F.col("__tb"), F.col("y")]
     counts = value_counts(base, F.col("ts"), keys, then)
     ranks = value_ranks(counts, keys, buckets or _default_buckets(df))
-    pos = attach_ranks(base, F.col("ts"), counts, ranks, "t", "min", keys, then=then, total_out="n")
+    pos = attach_ranks(base, F.col("ts"), ranks, "t", "min", keys, then=then, total_out="n")
     out = pos.where(F.col("t").isNotNull()).select(
         *keys, F.col("t").cast("long").alias("t"), F.col("n").cast("long").alias("n"), "ts", "y")
     if materialize:
@@ -375,8 +375,6 @@ def arima_refine(series: DataFrame, key=None, iterations: int = 8, block_rows: i
         "t", (F.col("y") - F.col("y1")).alias("d0"), (F.col("y1") - F.col("y2")).alias("d1"),
         F.floor((F.col("t") - 2) / F.lit(block_rows)).cast("long").alias("blk"))
     data = cut_lineage(data)
-    # rows per key, for the skew-safe join of per-key parameters to the rows
-    weights = cut_lineage(data.groupBy(*kcols).agg(F.count(F.lit(1)).alias("__w")))
     init = start if start is not None else arima_fit(series, keys, block_rows)
     init = init.select(*[F.col(k).alias(f"__k_{k}") for k in keys] or [F.lit(0).alias("__k_all")],
                        F.col("phi").alias("s_phi"), F.col("theta").alias("s_theta"))
@@ -392,7 +390,7 @@ def arima_refine(series: DataFrame, key=None, iterations: int = 8, block_rows: i
     first_cost = None
     for it in range(iterations + 1):
         params = state.select(*kcols, F.col("s_phi").alias("__phi"), F.col("s_theta").alias("__theta"))
-        blocks = (lookup_join(data, params, kcols, weights).groupBy(*kcols, "blk")
+        blocks = (lookup_join(data, params, kcols).groupBy(*kcols, "blk")
                   .applyInPandas(_block_pass, block_schema))
         stepped = (blocks.join(state, kcols, "inner").groupBy(*kcols)
                    .applyInPandas(_chain_and_step, state_schema))

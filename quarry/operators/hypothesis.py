@@ -4,15 +4,14 @@ result rows only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import as_double, require_columns, require_numeric, safe_div
 from quarry.functions.pvalues import chi2_pvalue, t_pvalue
-from quarry.operators._lookup import lookup_join
 from quarry.operators._stats import grouped_agg
 from quarry.operators.explore import crosstab
-from quarry.session import cut_lineage, ship_package
+from quarry.session import ship_package
 
 
 def _t_from_moments(n1, m1, v1, n2, m2, v2):
@@ -67,19 +66,13 @@ def ttest_groups(df: DataFrame, value: str, group: str, first, second,
     return out
 
 
-def _margins(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Observed cells with their row total, column total and N."""
-    cells = crosstab(df, a, b).select(F.col(a).alias("__a"), F.col(b).alias("__b"), F.col("n").alias("__o"))
-    # the observed cells (one row per distinct pair) feed both margins, both
-    # lookup joins and three scalar subqueries: written once to the shared
-    # checkpoint folder rather than recomputed from the data each time
-    cells = cut_lineage(cells)
-    # one category may own most cells: margins are attached skew-safely,
-    # weighted by the number of cells per category
-    rows = cells.groupBy("__a").agg(F.sum("__o").alias("__ra"), F.count(F.lit(1)).alias("__w"))
-    cols = cells.groupBy("__b").agg(F.sum("__o").alias("__cb"), F.count(F.lit(1)).alias("__w"))
-    with_rows = lookup_join(cells, rows.drop("__w"), ["__a"], rows.select("__a", "__w"))
-    return lookup_join(with_rows, cols.drop("__w"), ["__b"], cols.select("__b", "__w"))
+def _with_margins(cells: DataFrame) -> DataFrame:
+    """Observed cells (``__a, __b, __o``, one row per distinct pair) with their
+    row total, column total, and the number of observed cells in their row and
+    column.  Windows over the cells, so the data is read once."""
+    of_a, of_b = Window.partitionBy("__a"), Window.partitionBy("__b")
+    return cells.select("*", F.sum("__o").over(of_a).alias("__ra"), F.count(F.lit(1)).over(of_a).alias("__ka")).select(
+        "*", F.sum("__o").over(of_b).alias("__cb"), F.count(F.lit(1)).over(of_b).alias("__kb"))
 
 
 def chi_square(df: DataFrame, a: str, b: str, correction: bool = True,
@@ -88,46 +81,41 @@ def chi_square(df: DataFrame, a: str, b: str, correction: bool = True,
     ``(stat, dof, p, n)``.  Yates' correction when dof = 1 (as the reference's
     library does by default).
 
-    Works on the sparse table of observed cells: an absent cell has O = 0, so
-    it contributes E, and Σ_all E = N gives Σ_absent E = N − Σ_observed E.  For
-    a 2 × 2 table every cell has the same |O − E| = D, so the corrected
-    statistic is (D − min(½, D))² · Σ 1/E, with Σ 1/E = N · Σ 1/R · Σ 1/C.
+    Works on the sparse table of observed cells: with E = R·C/N, the sum of
+    (O − E)²/E over all cells, absent ones included, is N·(Σ O²/(R·C) − 1),
+    and Σ O²/(R·C) − 1 = Σ (O²/(R·C) − O/N).  In a 2 × 2 table every cell has
+    the same |O − E| = D, so the corrected statistic is (D − min(½, D))² · Σ 1/E,
+    with Σ 1/E = N · Σ 1/R · Σ 1/C.  One scan and one aggregation of the data.
     """
     require_columns(df, [a, b])
-    m = _margins(df, a, b)
-    totals = m.agg(F.sum("__o").cast("double").alias("N"))
-    # per observed cell, with N attached as a scalar subquery
-    N = totals.select("N").scalar()
-    e = F.col("__ra") * F.col("__cb") / N
-    cell = m.select("__a", "__b", "__o", "__ra", "__cb", e.alias("__e"))
-    agg = cell.agg(
-        F.count_distinct("__a").alias("r"), F.count_distinct("__b").alias("c"),
-        F.sum(F.pow(F.col("__o") - F.col("__e"), 2) / F.col("__e")).alias("obs_part"),
-        F.sum("__e").alias("obs_e"),
-        F.max(F.abs(F.col("__o") - F.col("__e"))).alias("D"))
-    # Σ 1/R over rows and Σ 1/C over columns, for the 2 × 2 form
-    inv_r = m.select("__a", "__ra").distinct().agg(F.sum(1.0 / F.col("__ra")).alias("ir")).select("ir").scalar()
-    inv_c = m.select("__b", "__cb").distinct().agg(F.sum(1.0 / F.col("__cb")).alias("ic")).select("ic").scalar()
-    dof = ((F.col("r") - 1) * (F.col("c") - 1)).cast("bigint")
-    plain = F.col("obs_part") + (N - F.col("obs_e"))
-    d = F.col("D")
-    yates = F.pow(d - F.least(d, F.lit(0.5)), 2) * N * inv_r * inv_c
-    stat = F.when(dof == 0, F.lit(0.0)).when((dof == 1) & F.lit(correction), yates).otherwise(plain)
-    out = agg.select(stat.alias("stat"), dof.alias("dof"), N.cast("bigint").alias("n"))
+    cells = crosstab(df, a, b).select(F.col(a).alias("__a"), F.col(b).alias("__b"), F.col("n").alias("__o"))
+    o, r, c = (F.col(x).cast("double") for x in ("__o", "__ra", "__cb"))
+    agg = _with_margins(cells).agg(
+        F.sum("__o").cast("double").alias("N"),
+        F.sum(F.lit(1.0) / F.col("__ka")).alias("r"), F.sum(F.lit(1.0) / F.col("__kb")).alias("c"),
+        F.sum(o * (o / (r * c))).alias("q"),
+        F.sum(F.lit(1.0) / (r * F.col("__ka"))).alias("ir"), F.sum(F.lit(1.0) / (c * F.col("__kb"))).alias("ic"),
+        F.min(F.struct("__a", "__b", o.alias("o"), r.alias("r"), c.alias("c"))).alias("one"))
+    agg = agg.select("*", ((F.round("r") - 1) * (F.round("c") - 1)).cast("bigint").alias("dof"))
+    N = F.col("N")
+    d = F.abs(F.col("one.o") - F.col("one.r") * F.col("one.c") / N)
+    yates = F.pow(d - F.least(d, F.lit(0.5)), 2) * N * F.col("ir") * F.col("ic")
+    plain = F.greatest(N * (F.col("q") - 1.0), F.lit(0.0))
+    stat = F.when(F.col("dof") == 0, F.lit(0.0)).when((F.col("dof") == 1) & F.lit(correction), yates).otherwise(plain)
+    out = agg.select(stat.alias("stat"), F.col("dof"), N.cast("bigint").alias("n"))
     if with_pvalue:
         ship_package(df.sparkSession)
         out = out.withColumn("p", chi2_pvalue(F.col("stat"), F.col("dof")))
     return out
 
 
-def expected_counts(df: DataFrame, a: str, b: str, max_cells: int = 1_000_000) -> DataFrame:
-    """``(a, b, observed, expected)`` for every cell of the table
-    (dense, so bounded by ``max_cells``), expected = row total × column total / N."""
+def expected_counts(df: DataFrame, a: str, b: str) -> DataFrame:
+    """``(a, b, observed, expected)`` for every cell of the table, absent
+    pairs included, expected = row total × column total / N.  In the dense
+    table a row holds every column once, so N is the sum of its column
+    totals."""
     require_columns(df, [a, b])
-    dense = crosstab(df, a, b, dense=True, max_cells=max_cells)
-    rows = dense.groupBy(a).agg(F.sum("n").alias("__ra"))
-    cols = dense.groupBy(b).agg(F.sum("n").alias("__cb"))
-    N = dense.agg(F.sum("n").cast("double")).scalar()
-    j = lookup_join(lookup_join(dense, rows, [a]), cols, [b])
-    return j.select(a, b, F.col("n").alias("observed"), (F.col("__ra") * F.col("__cb") / N).alias("expected"))
-
+    of_a, of_b = Window.partitionBy(F.col(a)), Window.partitionBy(F.col(b))
+    dense = crosstab(df, a, b, dense=True).select("*", F.sum("n").over(of_b).cast("double").alias("__cb"))
+    full = dense.select("*", F.sum("n").over(of_a).alias("__ra"), F.sum("__cb").over(of_a).alias("__N"))
+    return full.select(a, b, F.col("n").alias("observed"), (F.col("__ra") * F.col("__cb") / F.col("__N")).alias("expected"))

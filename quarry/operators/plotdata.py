@@ -2,11 +2,9 @@
 (3-D scatter), G3 (line over time), G5 (residual points), G6 (report).
 G4 (heatmap cells) is in ``correlate``.
 
-A chart of a billion points is not drawn point by point, so each scatter
-comes in two bounded forms: equal-width bins with counts (``*_bins``, an
-aggregation whose size is bins², whatever the data size), or a
-deterministic sample of at most ``n`` rows, the rows with the smallest hash
-of their content (a distributed top-n, the same rows on every run).
+A chart of a billion points is not drawn point by point, so scatters come as
+equal-width bins with counts: an aggregation over all rows whose size is
+bins², whatever the data size.
 """
 
 from __future__ import annotations
@@ -39,7 +37,7 @@ def scatter_bins(df: DataFrame, cols: list[str], bins: int = 50, by: list[str] |
     base = df.where(present)
     edges = [e for i, c in enumerate(cols)
              for e in (F.min(vals[c]).alias(f"__lo{i}"), F.max(vals[c]).alias(f"__hi{i}"))]
-    span = grouped_agg(base, by, edges, rows=True)
+    span = grouped_agg(base, by, edges)
     frame, stat = attach(base, span, by)
     keyed = frame.select(*by, *[_bin(vals[c], stat(f"__lo{i}"), stat(f"__hi{i}"), bins).alias(f"b{i}")
                                 for i, c in enumerate(cols)],
@@ -57,22 +55,6 @@ def scatter_bins(df: DataFrame, cols: list[str], bins: int = 50, by: list[str] |
     return counted.select(*by, *[f"b{i}" for i in range(len(cols))], *edges, "n")
 
 
-def scatter_points(df: DataFrame, x: str, y: str, n: int = 10_000) -> DataFrame:
-    """G1 sampled: at most ``n`` (x, y) rows, chosen by smallest content hash."""
-    require_numeric(df, [x, y])
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.select(as_double(df, x).alias(x), as_double(df, y).alias(y), h.alias("__h")).orderBy(
-        "__h").limit(n).drop("__h")
-
-
-def scatter3_points(df: DataFrame, x: str, y: str, z: str, n: int = 10_000) -> DataFrame:
-    """G2 sampled: at most ``n`` (x, y, z) rows."""
-    require_numeric(df, [x, y, z])
-    h = F.xxhash64(*[F.col(c) for c in df.columns])
-    return df.select(as_double(df, x).alias(x), as_double(df, y).alias(y), as_double(df, z).alias(z),
-                     h.alias("__h")).orderBy("__h").limit(n).drop("__h")
-
-
 def line_series(df: DataFrame, time: str, value: str, unit: str = "hour", key=None) -> DataFrame:
     """Value over time in ``unit`` buckets (``date_trunc`` units):
     ``(key..., bucket, n, min, max, avg)`` as doubles.  A decimal column is

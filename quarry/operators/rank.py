@@ -15,39 +15,28 @@
 4. Bucket offsets: running sum over bucket totals (``buckets`` rows per group).
 5. rank = offset + before + (count + 1) / 2 (``average``), or + 1 (``min``),
    or + count (``max``).
-6. Join back to the data rows on (group, value, salt) in one shuffle join.
-   Hot values, those with at least N / ``hot_slots`` rows (and at least
-   ``min_hot_rows``), number at most ``hot_slots``: only their keys are
-   broadcast (a proven bound), so each data row knows whether its value is
-   hot.  Rows of a hot value take a salt in 1..``salts`` and the hot value's
-   rank row is replicated per salt, so a value holding a third of all rows
-   is spread over ``salts`` tasks.
+6. Join back to the data rows on (group, value), one shuffle join; a hot
+   value's partition is split by adaptive execution.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.columns import clean_value, require_columns
 from quarry.operators._lookup import lookup_join
+from quarry.session import cut_lineage
 
 DEFAULT_BUCKETS = 64
 MIN_BUCKETS = 16
-MAX_BUCKETS = 4096
-HOT_SLOTS = 10_000
-SALTS = 64
-MIN_HOT_ROWS = 100_000   # a key with fewer rows cannot make one task a bottleneck
 
 
 def _default_buckets(df: DataFrame) -> int:
-    """One bucket per shuffle partition (so the bucket windows use every
-    task), clamped to 16..4096."""
-    try:
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    except Exception:  # pragma: no cover
-        parts = 200
-    return max(MIN_BUCKETS, min(parts, MAX_BUCKETS))
+    """One bucket per shuffle partition, so that the bucket windows follow the
+    same sizing as every other shuffle."""
+    return max(MIN_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def value_counts(df: DataFrame, value: Column, by: list[str] | None = None,
@@ -75,16 +64,22 @@ def value_ranks(counts: DataFrame, by: list[str] | None = None, buckets: int = D
     column); the per-group tables are then broadcast outright."""
     by = by or []
     fractions = [i / buckets for i in range(1, buckets)]
-    if buckets > 1:
+    if isinstance(counts.schema["__v"].dataType, (T.StringType, T.BinaryType)):
+        # no approximate percentile: the buckets are Spark's own range
+        # partitions, written so that every later read sees the same ones
+        order = [*by, "__v", *_then_names(counts)]
+        with_cuts = cut_lineage(counts.repartitionByRange(buckets, *order).withColumn("__range", F.spark_partition_id()))
+        bucket = F.col("__range")
+    elif buckets > 1:
         cut_expr = F.percentile_approx("__v", fractions, accuracy).alias("__cuts")
         if by:
             # per-group cut points, attached skew-safely (one group may hold
             # most distinct values)
-            per_group = counts.groupBy(*by).agg(cut_expr, F.count(F.lit(1)).alias("__w"))
+            per_group = counts.groupBy(*by).agg(cut_expr)
             if max_groups is not None and max_groups <= 10_000:
-                with_cuts = counts.join(F.broadcast(per_group.drop("__w")), by, "left")
+                with_cuts = counts.join(F.broadcast(per_group), by, "left")
             else:
-                with_cuts = lookup_join(counts, per_group.drop("__w"), by, per_group.select(*by, "__w"))
+                with_cuts = lookup_join(counts, per_group, by)
         else:
             # one array of ``buckets - 1`` values, read as a scalar subquery
             with_cuts = counts.withColumn("__cuts", counts.agg(cut_expr).scalar())
@@ -121,8 +116,11 @@ def value_ranks(counts: DataFrame, by: list[str] | None = None, buckets: int = D
                          "__total")
 
 
-def rank_expr(method: str) -> Column:
-    before, cnt = F.col("__before").cast("double"), F.col("__cnt").cast("double")
+def rank_expr(method: str, ascending: bool = True) -> Column:
+    cnt = F.col("__cnt").cast("double")
+    before = F.col("__before").cast("double")
+    if not ascending:                    # rows that come before in the other direction
+        before = F.col("__total").cast("double") - before - cnt
     if method == "average":
         return before + (cnt + 1.0) / 2.0
     if method == "min":
@@ -132,51 +130,22 @@ def rank_expr(method: str) -> Column:
     raise ValueError("method must be average, min or max")
 
 
-def attach_ranks(df: DataFrame, value: Column, counts: DataFrame, ranks: DataFrame, out: str,
-                 method: str = "average", by: list[str] | None = None,
-                 hot_slots: int = HOT_SLOTS, salts: int = SALTS,
-                 hot_counts: DataFrame | None = None, then: list[Column] | None = None,
-                 total_out: str | None = None, min_hot_rows: int = MIN_HOT_ROWS) -> DataFrame:
+def attach_ranks(df: DataFrame, value: Column, ranks: DataFrame, out: str, method: str = "average",
+                 by: list[str] | None = None, then: list[Column] | None = None, total_out: str | None = None,
+                 ascending: bool = True) -> DataFrame:
     """Join the rank table back to data rows in one shuffle join on
-    (by..., value, salt).
-
-    Hot values (at least N / ``hot_slots`` rows, so at most ``hot_slots`` of
-    them) are found from ``counts`` and broadcast as a key set; their data
-    rows take a salt in 1..``salts`` and their rank rows are replicated once
-    per salt, so a value holding a third of all rows is spread over
-    ``salts`` tasks.  Cold values keep salt 0 and a single rank row.
-    Rows with a missing value get a null rank.  ``hot_counts`` gives the
-    number of rows of ``df`` per key when ``df`` is not the table the ranks
-    were counted on (for example a table of weighted combinations).
-    """
+    (by..., value).  The table has one row per distinct value; a value that a
+    large part of all rows hold makes a skewed partition, which adaptive
+    execution splits (see ``_lookup``).  Rows with a missing value get a null
+    rank."""
     by = by or []
     then = then or []
     tn = [f"__o{i}" for i in range(len(then))]
-    counts = hot_counts if hot_counts is not None else counts
-    total = counts.agg(F.sum("__cnt")).scalar()
-    threshold = F.greatest(F.ceil(total / F.lit(hot_slots)), F.lit(max(1, min_hot_rows)))
-    # at most ``hot_slots`` keys: a proven bound for the broadcast
-    hot = F.broadcast(counts.where(F.col("__cnt") >= threshold).select(
-        *[F.col(k).alias(f"__hk_{k}") for k in by], F.col("__v").alias("__hv"),
-        *[F.col(n).alias(f"__h{n}") for n in tn], F.lit(True).alias("__hot")))
-
-    def flag(frame: DataFrame, v: Column) -> DataFrame:
-        cond = ([frame[k].eqNullSafe(F.col(f"__hk_{k}")) for k in by] + [v == F.col("__hv")]
-                + [frame[n].eqNullSafe(F.col(f"__h{n}")) for n in tn])
-        return frame.join(hot, cond, "left")
-
-    data = df.withColumns({"__v": value, **{n: c for n, c in zip(tn, then)}})
-    data = flag(data, data["__v"])
-    spread = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(salts)).cast("int") + 1
-    data = data.withColumn("__s", F.when(F.col("__hot").isNull(), F.lit(0)).otherwise(spread))
-    table = flag(ranks, ranks["__v"])
-    salt = F.explode(F.when(F.col("__hot").isNotNull(), F.sequence(F.lit(1), F.lit(salts)))
-                     .otherwise(F.array(F.lit(0))))
-    table = table.select(*[F.col(k).alias(f"__rk_{k}") for k in by], F.col("__v").alias("__rv"),
+    data = df.withColumns({"__v": value, **dict(zip(tn, then, strict=True))})
+    table = ranks.select(*[F.col(k).alias(f"__rk_{k}") for k in by], F.col("__v").alias("__rv"),
                          *[F.col(n).alias(f"__r{n}") for n in tn],
-                         rank_expr(method).alias("__r"), F.col("__total").alias("__rt"), salt.alias("__rs"))
-    cond = ([data[k].eqNullSafe(F.col(f"__rk_{k}")) for k in by]
-            + [data["__v"] == F.col("__rv"), data["__s"] == F.col("__rs")]
+                         rank_expr(method, ascending).alias("__r"), F.col("__total").alias("__rt"))
+    cond = ([data[k].eqNullSafe(F.col(f"__rk_{k}")) for k in by] + [data["__v"] == F.col("__rv")]
             + [data[n].eqNullSafe(F.col(f"__r{n}")) for n in tn])
     joined = data.join(table, cond, "left")
     extra = [F.col("__rt").alias(total_out)] if total_out else []
@@ -188,11 +157,9 @@ def average_rank(df: DataFrame, col: str, by: list[str] | None = None, out: str
                  buckets: int | None = None) -> DataFrame:
     """``df`` plus ``out``, the rank of ``col`` within ``by`` groups,
     ties averaged (``method='average'``).  Missing values get null ranks and
-    are not counted.  ``ascending=False`` ranks the largest value first."""
+    are not counted.  ``ascending=False`` ranks the largest value first, for
+    any type that has an order."""
     require_columns(df, [col] + (by or []))
     value = clean_value(df, col)
-    if not ascending:
-        value = -value.cast("double")
-    counts = value_counts(df, value, by)
-    ranks = value_ranks(counts, by, buckets or _default_buckets(df))
-    return attach_ranks(df, value, counts, ranks, out, method, by)
+    ranks = value_ranks(value_counts(df, value, by), by, buckets or _default_buckets(df))
+    return attach_ranks(df, value, ranks, out, method, by, ascending=ascending)

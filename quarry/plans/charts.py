@@ -33,12 +33,6 @@ def scatter_points(spark, sf):
     return rounded(plotdata.scatter_bins(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"], 20))
 
 
-@register("scatter_sample")
-def scatter_sample(spark, sf):
-    """G1 as a bounded deterministic sample of 1,000 points."""
-    return plotdata.scatter_points(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", 1000)
-
-
 @register("scatter3_points", sql=_bins_sql(_LI, ["l_quantity", "l_discount", "l_extendedprice"]))
 def scatter3_points(spark, sf):
     return rounded(plotdata.scatter_bins(table(spark, sf, "lineitem"),

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import render_text
 from quarry.operators import explore, rank
-from quarry.plans.registry import as_money, column_listing_sql, exact_mean_sql, register, rounded, table
+from quarry.plans.registry import (EVENTS_WITH_NULLS_SQL, as_money, column_listing_sql, events_with_nulls, exact_mean_sql,
+                                    register, rounded, table)
 
 _CUSTOMER_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
 
@@ -40,12 +41,48 @@ def text_rendering(spark, sf):
 
 
 @register("sort_by", sql="""
-SELECT p_partkey, p_retailprice, rank() OVER (ORDER BY p_retailprice DESC NULLS LAST)::BIGINT AS pos
+SELECT p_partkey, p_retailprice, row_number() OVER (ORDER BY p_retailprice DESC NULLS LAST, p_partkey)::BIGINT AS pos
 FROM part""")
 def sort_by(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_retailprice")
-    return explore.sort_position(explore.sort_by(p, "p_retailprice", ascending=False),
-                                 "p_retailprice", ascending=False)
+    return explore.sorted_positions(p, "p_retailprice", ascending=False, then=["p_partkey"])
+
+
+@register("sort_by_text", sql="""
+SELECT p_partkey, p_brand, row_number() OVER (ORDER BY p_brand DESC NULLS LAST, p_partkey)::BIGINT AS pos FROM part""")
+def sort_by_text(spark, sf):
+    return explore.sorted_positions(table(spark, sf, "part").select("p_partkey", "p_brand"), "p_brand", ascending=False,
+                                    then=["p_partkey"])
+
+
+@register("sort_by_time", sql="""
+SELECT event_id, ts, row_number() OVER (ORDER BY ts ASC NULLS LAST, event_id)::BIGINT AS pos FROM events""")
+def sort_by_time(spark, sf):
+    return explore.sorted_positions(table(spark, sf, "events").select("event_id", "ts"), "ts", then=["event_id"])
+
+
+@register("sort_by_missing", sql=f"""
+SELECT event_id, value, row_number() OVER (ORDER BY value DESC NULLS LAST, event_id)::BIGINT AS pos
+FROM ({EVENTS_WITH_NULLS_SQL}) e""")
+def sort_by_missing(spark, sf):
+    return explore.sorted_positions(events_with_nulls(spark, sf).select("event_id", "value"), "value", ascending=False,
+                                    then=["event_id"])
+
+
+@register("sort_position", sql="""
+SELECT p_partkey, p_name, rank() OVER (ORDER BY p_name DESC NULLS LAST)::BIGINT AS pos FROM part""")
+def sort_position(spark, sf):
+    """Shared places of equal keys, descending over text."""
+    return explore.sort_position(table(spark, sf, "part").select("p_partkey", "p_name"), "p_name", ascending=False)
+
+
+@register("crosstab_absent", sql="""
+SELECT a.p_brand, s.p_size, count(p.p_partkey)::BIGINT AS n
+FROM (SELECT DISTINCT p_brand FROM part) a CROSS JOIN (SELECT DISTINCT p_size FROM part) s
+LEFT JOIN part p ON p.p_brand = a.p_brand AND p.p_size = s.p_size GROUP BY 1, 2""")
+def crosstab_absent(spark, sf):
+    """A9 with its zero cells: many pairs of brand and size do not occur."""
+    return explore.crosstab(table(spark, sf, "part"), "p_brand", "p_size", dense=True)
 
 
 @register("profile_shape", sql="SELECT count(*)::BIGINT AS n_rows, 11::BIGINT AS n_cols FROM lineitem")

@@ -27,6 +27,14 @@ def read_csv_inferred(spark, sf):
     return files.read_csv(spark, path)
 
 
+@register("read_csv_quoted", sql="SELECT doc_id, text, lang, source, n_chars FROM documents")
+def read_csv_quoted(spark, sf):
+    """documents, whose texts hold quotes, commas and line breaks."""
+    docs = table(spark, sf, "documents")
+    path = files.write_csv(docs, files.scratch_path(spark, "csv"))
+    return files.read_csv(spark, path, schema=docs.schema, na_values=[], multi_line=True)
+
+
 @register("read_workbooks", sql="SELECT * FROM customer")
 def read_workbooks(spark, sf):
     """customer written as workbooks by the executors (one per partition),

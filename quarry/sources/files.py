@@ -24,6 +24,10 @@ NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
 
 _TRUE = ["true", "True", "TRUE"]
 _FALSE = ["false", "False", "FALSE"]
+#: A number as text: no Java suffix such as 1d or 3f.
+_NUMBER = r"^\s*[+-]?(\d|\.\d|[iI]nf|[nN]a[nN]).*[^dDfF]$|^\s*[+-]?\d$"
+#: A timestamp needs its date; a time of day alone stays text.
+_DATED = r"^\s*\d{4}-"
 
 
 def _na_to_null(c, tokens):
@@ -31,11 +35,15 @@ def _na_to_null(c, tokens):
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             na_values: list[str] | None = None, sep: str = ",") -> DataFrame:
+             na_values: list[str] | None = None, sep: str = ",", multi_line: bool = False) -> DataFrame:
     """Read CSV file(s) with a header.  With ``schema`` the types are taken
-    as given; otherwise they are inferred after missing tokens are nulled."""
+    as given; otherwise they are inferred after missing tokens are nulled.
+    A quote inside a quoted field is doubled.  ``multi_line`` lets quoted
+    fields hold line breaks; a file is then read by one task, as its records
+    can only be told apart from the start."""
     tokens = NA_TOKENS if na_values is None else na_values
     raw = (spark.read.option("header", True).option("sep", sep).option("inferSchema", False)
+           .option("quote", '"').option("escape", '"').option("multiLine", multi_line)
            .option("nullValue", None).option("emptyValue", "").option("mode", "FAILFAST").csv(path))
     cleaned = raw.select(*[_na_to_null(F.col(c), tokens).alias(c) for c in raw.columns])
     if schema is not None:
@@ -52,9 +60,9 @@ def infer_types(df: DataFrame) -> DataFrame:
         present = x.isNotNull()
         checks += [
             F.count_if(present & x.try_cast("long").isNull()).alias(f"l{i}"),
-            F.count_if(present & x.try_cast("double").isNull()).alias(f"d{i}"),
+            F.count_if(present & (x.try_cast("double").isNull() | ~x.rlike(_NUMBER))).alias(f"d{i}"),
             F.count_if(present & ~x.isin(_TRUE + _FALSE)).alias(f"b{i}"),
-            F.count_if(present & F.try_to_timestamp(x).isNull()).alias(f"t{i}"),
+            F.count_if(present & (x.try_cast("timestamp_ntz").isNull() | ~x.rlike(_DATED))).alias(f"t{i}"),
             F.count_if(present).alias(f"n{i}"),
         ]
     if not df.columns:
@@ -72,7 +80,7 @@ def infer_types(df: DataFrame) -> DataFrame:
         elif r[f"b{i}"] == 0:
             out.append(x.isin(_TRUE).alias(c))
         elif r[f"t{i}"] == 0:
-            out.append(F.to_timestamp_ntz(x).alias(c))
+            out.append(x.cast("timestamp_ntz").alias(c))
         else:
             out.append(x)
     return df.select(*out)
@@ -80,7 +88,7 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Write with a header; no index column is added, so a round trip is exact."""
-    df.write.mode(mode).option("header", True).csv(path)
+    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').csv(path)
     return path
 
 

@@ -14,13 +14,6 @@ def test_bins_cover_every_row(spark):
     assert all(0 <= r.b0 < 10 and 0 <= r.b1 < 10 and r.lo0 <= r.hi0 for r in b)
 
 
-def test_sample_is_bounded_and_deterministic(spark):
-    li = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
-    a = plotdata.scatter_points(li, "l_quantity", "l_extendedprice", 100).collect()
-    b = plotdata.scatter_points(li.repartition(7), "l_quantity", "l_extendedprice", 100).collect()
-    assert len(a) == 100 and sorted(a) == sorted(b)
-
-
 def test_line_series_and_report(spark):
     ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
     ls = plotdata.line_series(ev, "ts", "value", "day")

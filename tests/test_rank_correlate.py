@@ -19,19 +19,26 @@ def test_average_rank_matches_brute_force(spark, buckets):
     assert all(abs(got[i] - want[i]) < 1e-9 for i in range(len(vals)))
 
 
-def test_hot_value_goes_through_salted_join(spark):
-    # one value holds a third of the rows; with few hot slots it is "hot"
+def test_hot_value(spark):
+    # one value holds a third of the rows
     vals = [5.0] * 300 + [float(i) for i in range(600)]
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, x double")
-    counts = rank.value_counts(df, df["x"])
-    ranks = rank.value_ranks(counts, None, 8)
-    out = rank.attach_ranks(df, df["x"], counts, ranks, "r", hot_slots=2, salts=7, min_hot_rows=1)
+    out = rank.attach_ranks(df, df["x"], rank.value_ranks(rank.value_counts(df, df["x"]), None, 8), "r")
     got = {r.id: r.r for r in out.collect()}
     want = _avg_rank(vals)
     assert len(got) == len(vals)
     assert all(abs(got[i] - want[i]) < 1e-9 for i in range(len(vals)))
 
 
+def test_descending_any_type(spark):
+    rows = [("b", 9007199254740992, "2024-01-02 00:00:00"), ("a", 9007199254740993, "2024-01-01 00:00:00"),
+            ("b", 3, "2024-01-03 00:00:00"), (None, None, None)]
+    df = spark.createDataFrame(rows, "s string, n long, t string").selectExpr("s", "n", "cast(t as timestamp) as t")
+    for col, want in (("s", [1.5, 3.0, 1.5, None]), ("n", [2.0, 1.0, 3.0, None]), ("t", [2.0, 3.0, 1.0, None])):
+        got = {(r.s, r.n): r.rank for r in rank.average_rank(df, col, ascending=False).collect()}
+        assert [got[r[0], r[1]] for r in rows] == want, col
+
+
 def test_rank_by_group_and_nulls(spark):
     data = [("a", 3.0), ("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", None), ("b", 1.0)]
     df = spark.createDataFrame(data, "g string, x double")
@@ -89,7 +96,7 @@ def test_correlation_needs_two_columns(spark):
         correlate.correlation(df, ["a"])
 
 
-def test_lookup_join_splits_hot_group(spark):
+def test_lookup_join_with_a_hot_and_a_null_group(spark):
     from pyspark.sql import functions as F
 
     from quarry.operators._lookup import lookup_join
@@ -97,23 +104,9 @@ def test_lookup_join_splits_hot_group(spark):
     data = spark.createDataFrame([("hot" if i % 3 else f"k{i % 50}", i) for i in range(3000)] + [(None, -1)],
                                  "g string, v long")
     table = data.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"))
-    from quarry.operators._lookup import split_hot
-
-    weights = table.select("g", F.col("n").alias("__w"))
-    hot, cold = split_hot(table, ["g"], weights, hot_slots=4, min_hot_rows=1)
-    assert [r[0] for r in hot.collect()] == ["hot"] and cold.count() == table.count() - 1
-    out = lookup_join(data, table, ["g"], weights, hot_slots=4, salts=5, min_hot_rows=1)
-    t2 = table.withColumnRenamed("g", "tg")
-    want = data.join(t2, data["g"].eqNullSafe(t2["tg"]), "left").select("g", "v", "n", "s")
-    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
-
-
-def test_grouped_scaling_with_hot_group(spark):
-    from quarry.operators import clean
-
-    data = [("hot", float(i)) for i in range(2000)] + [("cold", 1.0), ("cold", 3.0)]
-    df = spark.createDataFrame(data, "g string, x double")
-    out = clean.normalize(df, ["x"], by=["g"])
-    got = {r.g: (r.min, r.max) for r in out.groupBy("g").agg({"x": "min"}).join(
-        out.groupBy("g").agg({"x": "max"}), "g").withColumnsRenamed({"min(x)": "min", "max(x)": "max"}).collect()}
-    assert got == {"hot": (0.0, 1.0), "cold": (0.0, 1.0)}
+    out = lookup_join(data, table, ["g"])
+    sums, n = {}, {}
+    for g, v in data.collect():
+        sums[g], n[g] = sums.get(g, 0) + v, n.get(g, 0) + 1
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(
+        ((g, v, n[g], sums[g]) for g, v in data.collect()), key=str)

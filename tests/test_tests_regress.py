@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -49,7 +51,20 @@ def test_ttest_two_samples(spark):
 def test_pvalue_functions():
     assert abs(pvalues.t_two_sided(1.8676, 8) - 0.0988) < 1e-4
     assert abs(pvalues.chi2_upper(3.0, 2) - np.exp(-1.5)) < 1e-12
-    assert abs(pvalues.betainc_reg(2, 3, 0.4) - 0.5248) < 1e-12
+    # closed forms: chi-square with even dof and dof 1, t with dof 1 and 2
+    term = total = 1.0
+    for k in range(1, 30):
+        term *= 30.0 / k
+        total += term
+    assert abs(pvalues.chi2_upper(60.0, 60) - np.exp(-30.0) * total) < 1e-12
+    assert abs(pvalues.chi2_upper(3.84, 1) - math.erfc(math.sqrt(1.92))) < 1e-12
+    assert abs(pvalues.t_two_sided(12.0, 1) - 2 * math.atan2(1, 12) / math.pi) < 1e-12
+    assert abs(pvalues.t_two_sided(1.0, 2) - (1 - 1 / math.sqrt(3))) < 1e-12
+    # large dof: the normal limit with its skewness term
+    for dof in (1e6, 1e8, 1e12):
+        assert abs(1 - pvalues.chi2_upper(dof + math.sqrt(2 * dof), dof) - 0.8413447460685429) < 1e-6
+        assert abs(pvalues.t_two_sided(1.959963984540054, dof) - 0.05) < 3e-7
+    assert pvalues.chi2_upper(1e5, 3) == 0.0 and 0 <= pvalues.t_two_sided(1e300, 5) < 1e-200
 
 
 def test_ols_line4(spark):

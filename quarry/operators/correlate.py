@@ -3,11 +3,9 @@
 Output is long: ``(by..., var_a, var_b, r)`` with all k² cells (mirrored,
 diagonal included), the form a heatmap or any later join wants.
 
-Pearson: every pair in one aggregation, pairwise-complete (a row counts for
-a pair when both of its values are present), in the ANSI-safe form
-``covar_pop / sqrt(var_pop · var_pop)`` with both variances taken over the
-pair's complete rows; ``corr`` itself throws on a constant column under
-ANSI, this form gives null (as pandas gives NaN).
+Pearson: pairwise-complete (a row counts for a pair when both of its values
+are present), from the pair sums of ``_gram.pair_moments``: one pass for the
+means and one for all products, whatever the number of columns.
 
 Spearman: Pearson on average ranks (A8), ranks taken per pair after
 dropping that pair's missing rows.  One aggregate row tells whether any
@@ -28,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import as_double, require_numeric, safe_div
+from quarry.operators._gram import pair_moments
 from quarry.operators._stats import grouped_agg
 from quarry.operators.rank import _default_buckets, attach_ranks, value_ranks
 from quarry.session import cut_lineage
@@ -35,31 +34,24 @@ from quarry.session import cut_lineage
 METHODS = ("pearson", "spearman")
 
 
-def _pair_r(a: Column, b: Column) -> Column:
-    a2, b2 = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
-    return safe_div(F.covar_pop(a2, b2), F.sqrt(F.var_pop(a2) * F.var_pop(b2)))
-
-
 def _self_r(a: Column) -> Column:
     return safe_div(F.var_pop(a), F.var_pop(a))
 
 
-def _long(wide: DataFrame, names: list[str], by: list[str]) -> DataFrame:
-    cells = []
-    for i, a in enumerate(names):
-        for j, b in enumerate(names):
-            key = f"r_{min(i, j)}_{max(i, j)}"
-            cells.append(F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"), F.col(key).alias("r")))
-    return wide.select(*by, F.inline(F.array(*cells)))
-
-
-def _pearson_matrix(df: DataFrame, names: list[str], values: dict[str, Column], by: list[str]) -> DataFrame:
-    exprs = []
-    for i, a in enumerate(names):
-        exprs.append(_self_r(values[a]).alias(f"r_{i}_{i}"))
-        for j in range(i + 1, len(names)):
-            exprs.append(_pair_r(values[a], values[names[j]]).alias(f"r_{i}_{j}"))
-    return _long(grouped_agg(df, by, exprs), names, by)
+def _pearson_matrix(df: DataFrame, names: list[str], values: list[Column], by: list[str]) -> DataFrame:
+    """All cells from the pair sums of ``pair_moments``; null where a column
+    is constant over the pair's rows."""
+    m = pair_moments(df, values, by)
+    varied = (F.col("n") > 0) & ~F.col("flat_i") & ~F.col("flat_j") & (F.col("sii") > 0) & (F.col("sjj") > 0)
+    r = F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(
+        F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("sij") / (F.sqrt("sii") * F.sqrt("sjj")))))
+    upper = m.select(*by, "i", "j", F.when(varied, r).alias("r"))
+    label = F.array(*[F.lit(c) for c in names])
+    # a cell and its mirror from one row
+    cells = upper.select(*by, "r", F.explode(F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b"))))
+                                             .otherwise(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")),
+                                                                F.struct(F.col("j").alias("a"), F.col("i").alias("b"))))).alias("c"))
+    return cells.select(*by, F.get(label, F.col("c.a")).alias("var_a"), F.get(label, F.col("c.b")).alias("var_b"), "r")
 
 
 def correlation(df: DataFrame, cols: list[str], method: str = "pearson",
@@ -72,8 +64,7 @@ def correlation(df: DataFrame, cols: list[str], method: str = "pearson",
     require_numeric(df, cols)
     by = by or []
     if method == "pearson":
-        base = df.select(*by, *[as_double(df, c).alias(f"__x{i}") for i, c in enumerate(cols)])
-        return _pearson_matrix(base, cols, {c: F.col(f"__x{i}") for i, c in enumerate(cols)}, by)
+        return _pearson_matrix(df, cols, [as_double(df, c) for c in cols], by)
     return _spearman(df, cols, by)
 
 
@@ -101,7 +92,7 @@ def _spearman_complete(base: DataFrame, cols: list[str], names: list[str], by: l
     for i, n in enumerate(names):
         ri = ranks.where(F.col("ci") == i).drop("ci")
         ranked = attach_ranks(ranked, F.col(n), ri, f"{n}_r", "average", by)
-    return _pearson_matrix(ranked, cols, {c: F.col(f"{n}_r") for c, n in zip(cols, names)}, by)
+    return _pearson_matrix(ranked, cols, [F.col(f"{n}_r") for n in names], by)
 
 
 def _spearman_pairwise(base: DataFrame, cols: list[str], names: list[str], by: list[str],

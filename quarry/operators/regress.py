@@ -15,13 +15,14 @@ Arrow-batched grouped pandas function whose input is one row per group.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.functions.columns import as_double, require_numeric, safe_div
 from quarry.functions.pvalues import t_pvalue
+from quarry.operators._gram import pair_moments
+from quarry.operators._lookup import lookup_join
 from quarry.operators._stats import attach, grouped_agg
 from quarry.operators.outliers import KEEP, with_outlier_mask
 from quarry.session import ship_package
@@ -126,63 +127,28 @@ def residuals(df: DataFrame, x: str, y: str, model: DataFrame, by: list[str] | N
 
 # ---------------------------------------------------------------- several x
 
-def _moments(df: DataFrame, xs: list[str], y: str, by: list[str]) -> DataFrame:
-    """One aggregation: n, means, all covariances among xs and with y, var y,
-    over rows complete in every variable."""
-    names = xs + [y]
-    cols = {c: as_double(df, c) for c in names}
-    complete = None
-    for c in names:
-        complete = cols[c].isNotNull() if complete is None else complete & cols[c].isNotNull()
-    v = {c: F.when(complete, cols[c]) for c in names}
-    aggs = [F.count_if(complete).cast("bigint").alias("n"),
-            F.count_if(~complete).cast("bigint").alias("n_missing")]
-    aggs += [F.avg(v[c]).alias(f"mean_{i}") for i, c in enumerate(names)]
-    for i, a in enumerate(names):
-        for j in range(i, len(names)):
-            aggs.append(F.covar_pop(v[a], v[names[j]]).alias(f"c_{i}_{j}"))
-    return grouped_agg(df, by, aggs)
-
-
-def _solver(k: int, by: list[str]):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for _, r in pdf.iterrows():
-            base = {b: r[b] for b in by}
-            n = int(r["n"]) if pd.notna(r["n"]) else 0
-            cov = np.full((k + 1, k + 1), np.nan)
-            for i in range(k + 1):
-                for j in range(i, k + 1):
-                    cov[i, j] = cov[j, i] = r[f"c_{i}_{j}"] if pd.notna(r[f"c_{i}_{j}"]) else np.nan
-            means = np.array([r[f"mean_{i}"] for i in range(k + 1)], dtype=float)
-            sxx, sxy, syy = cov[:k, :k], cov[:k, k], cov[k, k]
-            status, beta, r2 = "ok", np.full(k, np.nan), np.nan
-            if int(r["n_missing"]) > 0:
-                status = "missing_values"
-            elif n <= k:
-                status = "too_few_rows"
-            else:
-                try:
-                    if not np.all(np.isfinite(sxx)) or np.linalg.matrix_rank(sxx) < k:
-                        raise np.linalg.LinAlgError("singular")
-                    beta = np.linalg.solve(sxx, sxy)
-                    r2 = float(beta @ sxy / syy) if syy > 0 else np.nan
-                except np.linalg.LinAlgError:
-                    status = "singular"
-            intercept = means[k] - float(beta @ means[:k]) if status == "ok" else np.nan
-            rows.append({**base, "variable": "__intercept__", "coefficient": intercept,
-                         "r2": r2, "n": n, "status": status})
-            for j in range(k):
-                rows.append({**base, "variable": f"x{j}", "coefficient": beta[j],
-                             "r2": r2, "n": n, "status": status})
-        out = pd.DataFrame(rows, columns=by + ["variable", "coefficient", "r2", "n", "status"])
-        for c in ("coefficient", "r2"):
-            out[c] = out[c].astype("float64").where(out[c].notna(), None)
-        return out
-    return solve
-
-
-MAX_SQL_PREDICTORS = 32   # above this, k(k+1)/2 covariance columns give way to MLlib's Gram matrix
+def _solve(mean: np.ndarray, s: np.ndarray) -> tuple[float, np.ndarray, float, str]:
+    """Least squares from the centred products ``s`` of k predictors and y (last):
+    intercept, coefficients, R², status.
+
+    The predictors are brought to unit spread first, so scales that differ by
+    many powers of ten are no obstacle.  Where predictors depend on each other
+    (status ``collinear``) the coefficients with the least norm are returned,
+    the fit itself being the same for all choices."""
+    k = len(mean) - 1
+    size = np.sqrt(np.diag(s)[:k])
+    unit = np.where(size > 0, size, 1.0)
+    r, c = s[:k, :k] / np.outer(unit, unit), s[:k, k] / unit
+    values, vectors = np.linalg.eigh(r)
+    used = values > max(values.max(initial=0.0), 1e-300) * 1e-11
+    beta = (vectors[:, used] @ ((vectors[:, used].T @ c) / values[used])) / unit
+    status = "ok"
+    if not used.all():
+        status = "collinear"
+        free, _ = np.linalg.qr(vectors[:, ~used] / unit[:, None])
+        beta = beta - free @ (free.T @ beta)
+    r2 = float(beta @ s[:k, k] / s[k, k]) if s[k, k] > 0 else float("nan")
+    return float(mean[k] - beta @ mean[:k]), beta, r2, status
 
 
 def ols_multiple(df: DataFrame, xs: list[str], y: str, by: list[str] | None = None) -> DataFrame:
@@ -191,53 +157,60 @@ def ols_multiple(df: DataFrame, xs: list[str], y: str, by: list[str] | None = No
     Returns long rows ``(by..., variable, coefficient, r2, n, status)``; the
     intercept is the row whose variable is ``__intercept__``.  A missing value
     in any selected column gives ``status='missing_values'`` and null
-    estimates (the reference refuses to fit).
+    estimates (the reference refuses to fit).  ``collinear``: the predictors
+    depend on each other and the least-norm coefficients are given.
+
+    One path for any number of predictors and groups: the normal equations'
+    sums come from ``_gram.pair_moments``, and the groups are solved in
+    batches, one row per group.
     """
     if not xs:
         raise ValueError("select at least one predictor")
     require_numeric(df, xs + [y])
     by = by or []
     k = len(xs)
-    if k > MAX_SQL_PREDICTORS:
-        if by:
-            raise ValueError(f"by-group fits support up to {MAX_SQL_PREDICTORS} predictors")
-        return _ols_multiple_wide(df, xs, y)
     ship_package(df.sparkSession)
-    moments = _moments(df, xs, y, by)
-    if not by:
-        moments = moments.withColumn("__g", F.lit(0))
-    keys = by or ["__g"]
-    schema = T.StructType(
-        [moments.schema[b] for b in keys]
-        + [T.StructField("variable", T.StringType()), T.StructField("coefficient", T.DoubleType()),
-           T.StructField("r2", T.DoubleType()), T.StructField("n", T.LongType()),
-           T.StructField("status", T.StringType())])
-    solved = moments.groupBy(*keys).applyInPandas(_solver(k, keys), schema)
-    names = F.create_map(*[x for j, c in enumerate(xs) for x in (F.lit(f"x{j}"), F.lit(c))])
-    out = solved.withColumn("variable", F.coalesce(names[F.col("variable")], F.col("variable")))
-    return out.drop("__g") if not by else out
-
-
-def _ols_multiple_wide(df: DataFrame, xs: list[str], y: str) -> DataFrame:
-    """R5 for many predictors (MLlib's normal equations: the Gram matrix is
-    one tree aggregation over assembled vectors, up to 4,096 predictors).
-    Same output as ``ols_multiple``; the fitted numbers are k + 1 rows."""
-    from pyspark.sql import types as T2
-
-    n_missing = df.agg(F.count_if(F.greatest(*[as_double(df, c).isNull().cast("int") for c in xs + [y]]) > 0)
-                       ).first()[0]
-    schema = T2.StructType([T2.StructField("variable", T2.StringType()),
-                            T2.StructField("coefficient", T2.DoubleType()), T2.StructField("r2", T2.DoubleType()),
-                            T2.StructField("n", T2.LongType()), T2.StructField("status", T2.StringType())])
-    if n_missing:
-        rows = [(v, None, None, 0, "missing_values") for v in ["__intercept__", *xs]]
-        return df.sparkSession.createDataFrame(rows, schema)
-    model = ols_multiple_mllib(df, xs, y)
-    s = model.summary
-    r2, n = float(s.r2), int(s.numInstances)
-    rows = [("__intercept__", float(model.intercept), r2, n, "ok")]
-    rows += [(c, float(b), r2, n, "ok") for c, b in zip(xs, model.coefficients)]
-    return df.sparkSession.createDataFrame(rows, schema)
+    columns = [*xs, y]
+    pairs = pair_moments(df, [as_double(df, c) for c in columns], by)
+    rows = grouped_agg(df, by, [F.count(F.lit(1)).alias("__rows")])
+    cells = F.collect_list(F.struct("i", "j", "n", "mean_i", "mean_j", "sii", "sjj", "sij", "flat_i"))
+    if by:
+        groups = lookup_join(rows, pairs.groupBy(*by).agg(cells.alias("__cells")), by)
+    else:
+        groups = rows.withColumn("__cells", pairs.agg(cells).scalar())
+    names = ["__intercept__", *xs]
+
+    def run(batches):
+        for b in batches:
+            out = {c: [] for c in ("which", "variable", "coefficient", "r2", "n", "status")}
+            for g, (total, found) in enumerate(zip(b.column("__rows").to_pylist(), b.column("__cells").to_pylist(), strict=True)):
+                s, mean, least = np.zeros((k + 1, k + 1)), np.full(k + 1, np.nan), total
+                for c in found or ():
+                    i, j = c["i"], c["j"]
+                    least = min(least, c["n"])
+                    if c["n"]:
+                        s[i, j] = s[j, i] = (0.0 if c["flat_i"] else c["sii"]) if i == j else c["sij"]
+                        if i == j:
+                            mean[i] = c["mean_i"]
+                if not total or least < total:
+                    fit = (None, [None] * k, None, "missing_values" if total else "too_few_rows")
+                elif total < 2:
+                    fit = (None, [None] * k, None, "too_few_rows")
+                else:
+                    fit = _solve(mean, s)
+                r2 = None if fit[2] is None or np.isnan(fit[2]) else fit[2]
+                for name, value in zip(names, [fit[0], *fit[1]], strict=True):
+                    for col, v in zip(out, (g, name, value, r2, least if fit[3] != "missing_values" else total, fit[3]), strict=True):
+                        out[col].append(v)
+            which = pa.array(out["which"], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[b.column(c).take(which) for c in by], pa.array(out["variable"], pa.string()),
+                 pa.array([None if v is None else float(v) for v in out["coefficient"]], pa.float64()),
+                 pa.array(out["r2"], pa.float64()), pa.array(out["n"], pa.int64()), pa.array(out["status"], pa.string())],
+                names=[*by, "variable", "coefficient", "r2", "n", "status"])
+
+    keys = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in by)
+    return groups.mapInArrow(run, keys + "variable string, coefficient double, r2 double, n bigint, status string")
 
 
 def coefficients_wide(model: DataFrame, xs: list[str], by: list[str] | None = None) -> DataFrame:

@@ -135,7 +135,7 @@ def test_ols_multiple_missing_and_singular(spark):
     assert {r.status for r in regress.ols_multiple(df, ["a", "b"], "y").collect()} == {"missing_values"}
     sing = spark.createDataFrame([(1.0, 2.0, 3.0), (2.0, 4.0, 5.0), (3.0, 6.0, 7.5), (4.0, 8.0, 9.0)],
                                  "a double, b double, y double")
-    assert {r.status for r in regress.ols_multiple(sing, ["a", "b"], "y").collect()} == {"singular"}
+    assert {r.status for r in regress.ols_multiple(sing, ["a", "b"], "y").collect()} == {"collinear"}
 
 
 def test_ols_multiple_many_predictors_uses_gram_matrix(spark):
@@ -151,3 +151,36 @@ def test_ols_multiple_many_predictors_uses_gram_matrix(spark):
     want = np.linalg.lstsq(np.column_stack([np.ones(400), X]), y, rcond=None)[0]
     assert abs(m["__intercept__"] - want[0]) < 1e-6
     assert all(abs(m[c] - w) < 1e-6 for c, w in zip(cols, want[1:]))
+
+
+def test_scales_and_collinear_predictors(spark):
+    rng = np.random.default_rng(4)
+    a, b, e = rng.normal(size=(3, 300))
+    a, b = a * 1e9, b * 1e-3
+    y = 3e-9 * a + 2e3 * b + 0.1 * e + 5
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, 2 * b, y)], "a double, b double, c double, y double")
+    fit = {r.variable: r for r in regress.ols_multiple(df, ["a", "b"], "y").collect()}
+    x = np.column_stack([np.ones(300), a / 1e9, b * 1e3])
+    want = np.linalg.lstsq(x, y, rcond=None)[0]
+    assert fit["a"].status == "ok" and abs(fit["a"].coefficient * 1e9 - want[1]) < 1e-8
+    assert abs(fit["b"].coefficient / 1e3 - want[2]) < 1e-8 and abs(fit["__intercept__"].coefficient - want[0]) < 1e-8
+    both = {r.variable: r for r in regress.ols_multiple(df, ["b", "c"], "y").collect()}
+    one = {r.variable: r for r in regress.ols_multiple(df, ["b"], "y").collect()}
+    assert both["b"].status == "collinear" and abs(both["b"].r2 - one["b"].r2) < 1e-9
+    assert abs(both["c"].coefficient - 2 * both["b"].coefficient) < 1e-6        # least norm along (1, 2)
+    assert abs(both["b"].coefficient * 5 - one["b"].coefficient) < 1e-6
+
+
+def test_many_columns(spark):
+    import pandas as pd
+
+    from quarry.operators import correlate
+
+    x = np.random.default_rng(8).normal(size=(400, 100))
+    x[::7, 3] = np.nan
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(100)])
+    got = {(r.var_a, r.var_b): r.r for r in correlate.correlation(spark.createDataFrame(pdf), list(pdf.columns)).collect()}
+    want = pdf.corr()
+    assert max(abs(got[a, b] - want.loc[a, b]) for a in pdf.columns for b in pdf.columns) < 1e-9
+    fit = regress.ols_multiple(spark.createDataFrame(pdf.drop(columns="c3")), [f"c{i}" for i in range(1, 100) if i != 3], "c0").collect()
+    assert len(fit) == 99 and {r.status for r in fit} == {"ok"}

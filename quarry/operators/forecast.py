@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 
 from quarry.functions.columns import as_double, require_columns
 from quarry.operators._lookup import lookup_join
-from quarry.operators.rank import _default_buckets, attach_ranks, value_counts, value_ranks
+from quarry.operators.rank import _default_buckets, value_counts, value_ranks
 
 # Fixed method constants.
 AR_ORDER = 6            # order of the long autoregression (first stage)
@@ -76,7 +76,7 @@ def as_series(df: DataFrame, time: str, value: str, key=None, tiebreak: str | No
               buckets: int | None = None, materialize: bool = False) -> DataFrame:
     """``(keys..., t, n, ts, y)``: position ``t`` (1..n) of each row in its
     series ordered by (time, tiebreak), series length ``n``.  Rows with a
-    missing time are left out.  Without ``tiebreak``, rows with equal key and
+    missing time are left out; equal rows take consecutive positions.  Without ``tiebreak``, rows with equal key and
     time are ordered by value.  ``materialize`` writes the result to the
     shared checkpoint folder (worth it when several operators read it)."""
     keys = _keys(key)
@@ -87,9 +87,12 @@ def as_series(df: DataFrame, time: str, value: str, key=None, tiebreak: str | No
     then = [F.col("__tb"), F.col("y")]
     counts = value_counts(base, F.col("ts"), keys, then)
     ranks = value_ranks(counts, keys, buckets or _default_buckets(df))
-    pos = attach_ranks(base, F.col("ts"), ranks, "t", "min", keys, then=then, total_out="n")
-    out = pos.where(F.col("t").isNotNull()).select(
-        *keys, F.col("t").cast("long").alias("t"), F.col("n").cast("long").alias("n"), "ts", "y")
+    # a series row is fully described by its distinct values, so copies are
+    # counted out of the rank table instead of joining it back to the rows
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__cnt").cast("long")))
+    out = ranks.select("*", copy.alias("__copy")).select(
+        *keys, (F.col("__before") + F.col("__copy")).cast("long").alias("t"), F.col("__total").cast("long").alias("n"),
+        F.col("__v").alias("ts"), F.col("__o1").alias("y"))
     if materialize:
         # fit, forecast and history all read the series: write it once to
         # the shared checkpoint folder instead of recomputing the positions

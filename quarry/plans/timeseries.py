@@ -51,6 +51,18 @@ def parse_time(spark, sf):
     return fc.parse_time(ev, "ts")
 
 
+@register("series_order_ties", sql="""
+SELECT event_type, row_number() OVER w AS t, count(*) OVER (PARTITION BY event_type) AS n, ts, value AS y
+FROM (SELECT event_type, date_trunc('day', ts) AS ts, floor(value) AS value FROM events UNION ALL
+      SELECT event_type, date_trunc('day', ts) AS ts, floor(value) AS value FROM events) e
+WINDOW w AS (PARTITION BY event_type ORDER BY ts, value)""")
+def series_order_ties(spark, sf):
+    """F1 without a tiebreak, over rows that occur many times."""
+    ev = table(spark, sf, "events").select("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("ts"),
+                                           F.floor("value").cast("double").alias("value"))
+    return fc.as_series(ev.unionAll(ev), "ts", "value", key="event_type")
+
+
 @register("series_order", sql="""
 SELECT user_id, row_number() OVER w AS t, count(*) OVER (PARTITION BY user_id) AS n, ts, value AS y
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")

@@ -50,7 +50,7 @@ from quarry.session import cut_lineage
 GRAM = 20
 #: Text bytes of a block, and of a bucket's contents.
 BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 1 << 20
 #: Keys that a bucket of the first step gets.
 BUCKET_KEYS = 1 << 20
 #: A key that more documents than this have is dealt window by window.
@@ -105,85 +105,103 @@ def window_keys(raw: np.ndarray, min_len: int) -> np.ndarray:
     return _sliding_min(_gram_hashes(raw, gram), min_len - gram + 1)
 
 
-def segments(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and numbers of windows of the runs of equal keys."""
-    if not len(keys):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    start = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1])
-    n = np.diff(np.append(start, len(keys)))
-    if n.max() > LONGEST_RUN:
-        parts = -(-n // LONGEST_RUN)
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        start, n = np.repeat(start, parts) + nth * LONGEST_RUN, np.minimum(
-            np.repeat(n, parts) - nth * LONGEST_RUN, LONGEST_RUN)
-    return start, n
+def _cut_runs(start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows in pieces of ``LONGEST_RUN`` at most."""
+    if not len(n) or n.max() <= LONGEST_RUN:
+        return start, n
+    parts = -(-n // LONGEST_RUN)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    return np.repeat(start, parts) + nth * LONGEST_RUN, np.minimum(np.repeat(n, parts) - nth * LONGEST_RUN, LONGEST_RUN)
 
 
 # ---- the transform ---------------------------------------------------------
 
-def suffix_order(text: np.ndarray, separators: np.ndarray) -> np.ndarray:
-    """Suffix array of ``text`` by prefix doubling.  Separators (positions)
-    are smaller than all characters and differ from each other, so no common
-    prefix runs past one."""
+def _sorted_places(key: np.ndarray, key_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in the order of their keys, and the ordered keys.  Key and
+    position are sorted as one number where they fit one."""
+    n = len(key)
+    place_bits = n.bit_length()
+    if key_bits + place_bits <= 63:
+        both = np.sort(key << place_bits | np.arange(n))
+        return both & ((1 << place_bits) - 1), both >> place_bits
+    order = np.argsort(key)
+    return order, key[order]
+
+
+def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
+    """Positions of ``text`` (small whole numbers) in the order of the strings
+    that start there, compared over their first ``depth`` characters at least,
+    by prefix doubling from strings that fit one number."""
     n = len(text)
-    rank = text.astype(np.int64) + len(separators)
-    rank[separators] = np.arange(len(separators))
-    width = 1
+    lowest = int(text.min(initial=0))
+    used = np.bincount(text - lowest) > 0
+    codes = np.cumsum(used)[text - lowest]           # from 1; past the end: 0
+    bits, rank_bits = int(codes.max(initial=1)).bit_length(), (n + 1).bit_length()
+    width = max(1, (63 - n.bit_length()) // bits)
+    rank = np.zeros(n, np.int64)
+    for k in range(width):
+        rank <<= bits
+        rank[: max(0, n - k)] |= codes[k:]
+    key_bits = bits * width
     while True:
-        second = np.full(n, -1, np.int64)
-        second[: n - width] = rank[width:]
-        # ranks are below n + 256, so a pair fits one number
-        pair = rank * (n + 512) + second + 1
-        order = np.argsort(pair, kind="quicksort")
-        ordered = pair[order]
-        new = np.concatenate([[0], (ordered[1:] != ordered[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
-        width *= 2
-        if rank[order[-1]] == n - 1:
+        order, ordered = _sorted_places(rank, key_bits)
+        if width >= depth:
             return order
+        new = np.empty(n, np.int64)
+        new[order] = np.cumsum(np.concatenate([[1], ordered[1:] != ordered[:-1]]))
+        rank = new << rank_bits
+        rank[: max(0, n - width)] |= new[width:]
+        key_bits = 2 * rank_bits
+        width *= 2
 
 
 def equal_windows(contents: list[bytes], min_len: int) -> tuple[np.ndarray, np.ndarray]:
-    """For every position of the contents, laid out one after another with one
+    """For every position of the contents, laid out one after another with a
     separator behind each, the number of its class of equal ``min_len``-byte
     strings (-1 where no such string starts).  Second, where each content
-    starts."""
+    starts.
+
+    ``border`` marks the rows of the transform's matrix whose common prefix
+    with the row above is shorter than the value reached so far.  Extending an
+    interval backwards by a character maps its rows to neighbouring rows, so a
+    row splits from the one above in the round after the rows they came from
+    were split.  Where these are neighbours too (a run of the transform), a new
+    border hands itself on; the other rows compare the number of borders above
+    the two."""
     sizes = np.array([len(c) for c in contents], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
-    text = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
-    n = len(text)
-    separators = starts + sizes
-    order = suffix_order(text, separators)
+    n = int((sizes + 1).sum())
+    text = np.empty(n, np.int16)
+    text[:] = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
+    text[starts + sizes] = -1
+    order = suffix_order(text, min_len)
     place = np.empty(n, np.int32)
     place[order] = np.arange(n, dtype=np.int32)
-    is_separator = np.zeros(n, bool)
-    is_separator[separators] = True
-    # The transform's character at row i is text[order[i] - 1]; extending row
-    # i's interval backwards by it leads to row place[order[i] - 1].  ``follow``
-    # is the way back: the row of a row's suffix without its first character.
-    follow = place[np.minimum(order + 1, n - 1)]
+    follow = place[np.minimum(order + 1, n - 1)]     # the row without its first character
+    extend = place[np.maximum(order - 1, 0)]         # the row with the transform's character in front
     first = text[order]
-    same = np.zeros(n, bool)                    # row and row above begin alike
-    same[1:] = (first[1:] == first[:-1]) & ~is_separator[order[1:]] & ~is_separator[order[:-1]]
-    border = ~same                              # common prefix with the row above is below the current value
-    open_rows = np.nonzero(same)[0]
-    for _ in range(1, min_len):
-        # An interval splits where the intervals its rows came from are apart.
-        seen = np.cumsum(border, dtype=np.int32)
-        split = seen[follow[open_rows]] != seen[follow[open_rows - 1]]
-        if not split.any():
+    same = np.zeros(n, bool)
+    same[1:] = first[1:] == first[:-1]
+    border = ~same
+    handed = same.copy()
+    handed[1:] &= follow[1:] == follow[:-1] + 1
+    waiting = np.nonzero(same & ~handed)[0]
+    upper, lower = follow[waiting - 1], follow[waiting]
+    new = np.nonzero(border)[0]
+    for _ in range(1, min_len):                      # the value of the common prefix
+        if not len(new):
             break
-        border[open_rows[split]] = True
-        open_rows = open_rows[~split]
-    long_enough = np.zeros(n, bool)
-    at = np.arange(n)
-    owner = np.repeat(np.arange(len(contents)), sizes + 1)
-    long_enough[:] = at + min_len <= separators[owner]
-    classes = np.cumsum(border) - 1
-    out = np.full(n, -1, np.int64)
-    out[order] = classes
-    out[~long_enough] = -1
+        seen = np.cumsum(border, dtype=np.int32)
+        split = seen[lower] != seen[upper]
+        at = extend[new]
+        at = at[handed[at] & (follow[at] == new) & ~border[at]]
+        new = np.concatenate([at, waiting[split]])
+        border[new] = True
+        waiting, upper, lower = waiting[~split], upper[~split], lower[~split]
+    out = np.empty(n, np.int64)
+    out[order] = np.cumsum(border) - 1
+    end = np.repeat(starts + sizes, sizes + 1)
+    out[np.arange(n) + min_len > end] = -1
     return out, starts
 
 
@@ -255,64 +273,99 @@ def copies(blocks: DataFrame, min_len: int) -> DataFrame:
     return rows.join(least, "hashes").filter("ids > least").select("block", "nth")
 
 
+#: Bytes of texts whose keys are computed together (small enough for a cache).
+_TOGETHER = 1 << 18
+
+
+def text_segments(texts: list[bytes], rows: list[int], min_len: int):
+    """Key, row, start and number of windows of the segments of ``texts`` at
+    ``rows``."""
+    out, part, size = [], [], 0
+
+    def flush():
+        raw = np.frombuffer(b"".join([texts[k] for k in part]), np.uint8)
+        sizes = np.array([len(texts[k]) for k in part], np.int64)
+        first = np.cumsum(sizes) - sizes
+        keys = window_keys(raw, min_len)
+        # windows over the border of two texts are none
+        inside = np.ones(len(keys), bool)
+        for end in (first[1:]).tolist():
+            inside[max(0, end - min_len + 1) : end] = False
+        fresh = np.ones(len(keys), bool)
+        fresh[1:] = (keys[1:] != keys[:-1]) | ~inside[:-1]
+        start = np.nonzero(fresh & inside)[0]
+        # a segment ends where the next run, or what is none, begins
+        stop = np.nonzero(np.append(inside[:-1] & (fresh[1:] | ~inside[1:]), inside[-1:]))[0] + 1
+        start, n = _cut_runs(start, stop - start)
+        row = np.searchsorted(first, start, side="right") - 1
+        out.append((keys[start], np.array(part, np.int64)[row], start - first[row], n))
+
+    for k in rows:
+        if len(texts[k]) < min_len:
+            continue
+        part.append(k)
+        size += len(texts[k])
+        if size >= _TOGETHER:
+            flush()
+            part, size = [], 0
+    if part:
+        flush()
+    if not out:
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64) for _ in range(3))
+    return tuple(np.concatenate([o[k] for o in out]) for k in range(4))
+
+
 class _Block:
     """A block's texts with their segments."""
 
-    def __init__(self, ids: list, data: bytes, min_len: int, skip=frozenset()):
+    def __init__(self, ids: list, data: bytes, min_len: int):
         self.min_len, self.ids = min_len, ids
         self.batch = _read_batch(data)
         self.texts = _texts(self.batch)
-        key, start, n, row = [], [], [], []
-        for k, t in enumerate(self.texts):
-            if ids[k] is None or k in skip or len(t) < min_len:
-                continue
-            keys = window_keys(np.frombuffer(t, np.uint8), min_len)
-            s, c = segments(keys)
-            key.append(keys[s])
-            start.append(s)
-            n.append(c)
-            row.append(np.full(len(s), k, np.int64))
-        empty = [np.empty(0, np.int64)]
-        self.key = np.concatenate(key or [np.empty(0, np.uint64)])
-        self.start, self.n, self.row = (np.concatenate(x or empty) for x in (start, n, row))
+        self.key, self.row, self.start, self.n = text_segments(
+            self.texts, [k for k, i in enumerate(ids) if i is not None], min_len)
 
     def distinct_keys(self, buckets: int):
         """Distinct keys by bucket, then low bits; and for each the number of
         documents."""
-        bucket = (self.key >> _U(40)) % _U(buckets)
-        packed = np.stack([bucket, self.key & _LOW]).astype(np.int64)
-        whole = packed[0] << 40 | packed[1] if buckets < 1 << 22 else None
-        distinct, inverse = (np.unique(whole, return_inverse=True) if whole is not None
-                             else np.unique(packed, axis=1, return_inverse=True))
-        pairs = np.unique(inverse * (len(self.texts) + 1) + self.row) // (len(self.texts) + 1)
-        docs = np.bincount(pairs, minlength=len(np.atleast_1d(distinct)) if whole is not None else distinct.shape[1])
-        if whole is not None:
-            return distinct >> 40, distinct & ((1 << 40) - 1), docs, inverse
-        return distinct[0], distinct[1], docs, inverse
+        bucket = ((self.key >> _U(40)) % _U(buckets)).astype(np.int64)
+        order = np.lexsort((self.key & _LOW, bucket)) if buckets >= 1 << 22 else np.argsort(
+            bucket << 40 | (self.key & _LOW).astype(np.int64))
+        bucket, low, row = bucket[order], (self.key[order] & _LOW).astype(np.int64), self.row[order]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (low[1:] != low[:-1]) | (bucket[1:] != bucket[:-1])
+        number = np.cumsum(fresh) - 1
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = number
+        # documents per key: its distinct rows
+        pair = np.sort(number * (len(self.texts) + 1) + row)
+        pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)]]
+        docs = np.bincount(pair // (len(self.texts) + 1), minlength=int(fresh.sum()))
+        return bucket[fresh], low[fresh], docs, inverse
 
     def contents(self, status: np.ndarray, inverse: np.ndarray, buckets: int):
         """Distinct contents by bucket, as (bucket, content, smallest id), and
         per segment or window that was sent (row, first window, windows,
         number of its content)."""
         of_segment = status[inverse] if len(status) else np.empty(0, np.int64)
+        chosen = np.nonzero(of_segment)[0]
         found: dict[bytes, int] = {}
         bucket_of, least, places = [], [], []
-        width = self.min_len
-        for k in np.nonzero(of_segment)[0].tolist():
-            row, start, n = int(self.row[k]), int(self.start[k]), int(self.n[k])
+        more = self.min_len - 1
+        # a key's bucket; crowded ones are dealt by the window itself
+        with np.errstate(over="ignore"):
+            dealt = ((self.key[chosen] * _MIX) >> _U(20)) % _U(buckets)
+        for status_k, row, start, n, bucket in zip(of_segment[chosen].tolist(), self.row[chosen].tolist(), self.start[chosen].tolist(),
+                                                   self.n[chosen].tolist(), dealt.astype(np.int64).tolist(), strict=True):
             text, doc = self.texts[row], self.ids[row]
-            if of_segment[k] == 1:
-                cuts = ((start, n),)
-            else:                                     # window by window
-                cuts = tuple((start + w, 1) for w in range(n))
-            for s, c in cuts:
-                content = text[s : s + c + width - 1]
-                at = found.setdefault(content, len(found))
+            for s, c in ((start, n),) if status_k == 1 else [(start + w, 1) for w in range(n)]:
+                content = text[s : s + c + more]
+                at = found.setdefault(content, len(least))
                 if at == len(least):
                     least.append(doc)
-                    spread = (int(self.key[k]) if of_segment[k] == 1
-                              else int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little"))
-                    bucket_of.append((spread * 0xD6E8FEB86659FD93 % (1 << 64) >> 20) % buckets)
+                    if status_k != 1:
+                        bucket = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little") % buckets
+                    bucket_of.append(bucket)
                 elif doc < least[at]:
                     least[at] = doc
                 places.append((row, s, c, at))
@@ -367,7 +420,10 @@ def answer_keys(asked: DataFrame, crowd: int) -> DataFrame:
         block, keys, docs = (table.column(c).to_pylist() for c in ("block", "keys", "docs"))
         parts = [_from_five(k) for k in keys]
         key = np.concatenate(parts)
-        _, inverse = np.unique(key, return_inverse=True)
+        order = np.argsort(key)
+        fresh = np.concatenate([[True], key[order[1:]] != key[order[:-1]]])
+        inverse = np.empty(len(key), np.int64)
+        inverse[order] = np.cumsum(fresh) - 1
         # counts per block stop at 255, enough to tell one document from several
         total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(d, np.uint8) for d in docs]))
         status = ((total > 1).astype(np.uint8) + (total > crowd))[inverse]

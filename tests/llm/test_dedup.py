@@ -86,8 +86,12 @@ def test_equal_windows_have_equal_keys():
     by = {}
     for k, key in enumerate(keys.tolist()):
         assert by.setdefault(raw[k : k + 50], key) == key
-    start, n = suffix_dedup.segments(suffix_dedup.window_keys(np.frombuffer(b"a" * 5000, np.uint8), 50))
-    assert n.max() <= suffix_dedup.LONGEST_RUN and n.sum() == 4951 and start.tolist() == [0, *np.cumsum(n)[:-1]]
+    texts = [b"a" * 5000, b"ab" * 20, bytes(r.choice(b"abc") for _ in range(700)), b"", b"b" * 50]
+    key, row, start, n = suffix_dedup.text_segments(texts, [0, 1, 2, 3, 4], 50)
+    assert n.max() <= suffix_dedup.LONGEST_RUN
+    whole = [(k, s + w, x) for k, s, c, x in zip(row.tolist(), start.tolist(), n.tolist(), key.tolist(), strict=True) for w in range(c)]
+    assert whole == [(k, w, x) for k, t in enumerate(texts)
+                     for w, x in enumerate(suffix_dedup.window_keys(np.frombuffer(t, np.uint8), 50).tolist())]
 
 
 @pytest.mark.parametrize("crowd", [50_000, 3])

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import as_double, require_numeric
 from quarry.operators.clean import assert_complete, zscore_population
+from quarry.session import cut_lineage
 
 
 @dataclass
@@ -80,6 +81,18 @@ def cluster_assign_table(df: DataFrame, cols: list[str], centres: DataFrame, id_
     return df.withColumn("__centres", all_centres).select(*df.columns, F.when(present, near).alias(out))
 
 
+def lloyd_steps(df: DataFrame, cols: list[str], centres: DataFrame, steps: int, id_col: str = "cluster") -> DataFrame:
+    """C2 from given centres ``(id_col, cols...)``: after ``steps`` rounds of
+    assignment and averaging, the centres as ``(id_col, cols...)``.  A centre
+    without rows stays where it is."""
+    for _ in range(steps):
+        near = cluster_assign_table(df.select(*cols), cols, centres, id_col, "__near").filter(F.col("__near").isNotNull())
+        moved = near.groupBy(F.col("__near").alias(id_col)).agg(*[F.avg(as_double(df, c)).alias(f"__n_{c}") for c in cols])
+        centres = cut_lineage(centres.join(moved, id_col, "left").select(
+            id_col, *[F.coalesce(F.col(f"__n_{c}"), F.col(c)).alias(c) for c in cols]))
+    return centres
+
+
 def kmeans(df: DataFrame, cols: list[str] | None = None, k: int = 3, seed: int = 42, n_init: int = 1,
            max_iter: int = 300, scale: bool = True, vector_col: str | None = None,
            tol: float = 1e-4) -> KMeansResult:

@@ -52,9 +52,13 @@ def decision_tree(df: DataFrame, xs: list[str], y: str, max_depth: int = 30, max
         train, test = prepared.randomSplit([1 - holdout, holdout], seed)
     else:
         train, test = prepared, prepared
+    # rows with equal features and label are one weighted row: never more than
+    # the input, and combined before the shuffle
+    cells = [f"__x{i}" for i in range(len(xs))]
+    train = vec.transform(train.groupBy(*cells, "__label").agg(F.count(F.lit(1)).cast("double").alias("__w")))
     train = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = DecisionTreeClassifier(featuresCol="__vec", labelCol="__label", predictionCol="__pred",
+        model = DecisionTreeClassifier(featuresCol="__vec", labelCol="__label", predictionCol="__pred", weightCol="__w",
                                        impurity="gini", maxDepth=min(max_depth, 30), maxBins=max_bins,
                                        seed=seed).fit(train)
     finally:

@@ -50,6 +50,19 @@ def encrypt_table(spark, sf):
     return crypto.encrypt_table(table(spark, sf, "customer"), ["c_name", "c_acctbal"], KEY)
 
 
+@register("encrypt_lengths", sql="""
+SELECT c_custkey, (12 + strlen(c_name) + 16)::INTEGER AS cell_bytes, true AS hidden, c_name FROM customer""")
+def encrypt_lengths(spark, sf):
+    """S4 cell by cell: a random nonce, as many bytes as the text and a tag,
+    none of the text in it, and the text comes back."""
+    cust = table(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_name").alias("clear"))
+    sealed = crypto.encrypt_table(cust, ["c_name"], KEY)
+    back = crypto.decrypt_table(sealed, cust.schema, KEY, ["c_name"]).select("c_custkey", "c_name")
+    cells = sealed.select(F.col("c_custkey").alias("k"), F.octet_length("c_name").alias("cell_bytes"),
+                          (F.expr("instr(hex(c_name), hex(clear))") == 0).alias("hidden"))
+    return cells.join(back, cells["k"] == back["c_custkey"]).select("c_custkey", "cell_bytes", "hidden", "c_name")
+
+
 @register("decrypt_table", sql="SELECT * FROM customer")
 def decrypt_table(spark, sf):
     cust = table(spark, sf, "customer")

@@ -26,6 +26,31 @@ def cluster_assign(spark, sf):
     return cluster.cluster_assign_table(z, _CUST, centres).select("c_custkey", "cluster")
 
 
+def _lloyd_sql(steps: int) -> str:
+    """The same rounds in SQL, from the segment means."""
+    ctes, prev = [], "c0"
+    for k in range(1, steps + 1):
+        ctes.append(f"""
+a{k} AS (SELECT any_value(za) AS za, any_value(zn) AS zn, arg_min(seg, power(za - ca, 2) + power(zn - cn, 2)) AS seg
+        FROM z CROSS JOIN {prev} GROUP BY c_custkey),
+m{k} AS (SELECT seg, avg(za) AS ca, avg(zn) AS cn FROM a{k} GROUP BY 1),
+c{k} AS (SELECT o.seg, coalesce(m.ca, o.ca) AS ca, coalesce(m.cn, o.cn) AS cn FROM {prev} o LEFT JOIN m{k} m USING (seg))""")
+        prev = f"c{k}"
+    return f"""
+WITH s AS (SELECT avg(c_acctbal) ma, stddev_pop(c_acctbal) sa, avg(c_nationkey) mn, stddev_pop(c_nationkey) sn FROM customer),
+z AS (SELECT c_custkey, c_mktsegment, (c_acctbal - ma) / sa AS za, (c_nationkey - mn) / sn AS zn FROM customer CROSS JOIN s),
+c0 AS (SELECT c_mktsegment AS seg, avg(za) AS ca, avg(zn) AS cn FROM z GROUP BY 1),{",".join(ctes)}
+SELECT seg AS cluster, round(ca, 6) + 0.0 AS c_acctbal, round(cn, 6) + 0.0 AS c_nationkey FROM {prev}"""
+
+
+@register("kmeans_lloyd", sql=_lloyd_sql(4))
+def kmeans_lloyd(spark, sf):
+    """C2 from fixed start centres, the scaled segment means: four rounds."""
+    z = clean.zscore_population(table(spark, sf, "customer"), _CUST)
+    start = z.groupBy(F.col("c_mktsegment").alias("cluster")).agg(*[F.avg(c).alias(c) for c in _CUST])
+    return rounded(cluster.lloyd_steps(z, _CUST, start, 4))
+
+
 @register("kmeans")
 def kmeans(spark, sf):
     res = cluster.kmeans(table(spark, sf, "customer"), _CUST, k=3, seed=42)
@@ -57,6 +82,17 @@ def decision_tree_accuracy(spark, sf):
     return tree.accuracy(pred, "l_returnflag", "prediction")
 
 
+@register("decision_tree_rule", sql="""
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN l_quantity <= 24 THEN 'low' WHEN l_discount <= 0.05 THEN 'mid' ELSE 'high' END AS prediction FROM lineitem""")
+def decision_tree_rule(spark, sf):
+    """M1 on a label that two splits separate: the tree must find the rule."""
+    li = table(spark, sf, "lineitem").withColumn("label", F.when(F.col("l_quantity") <= 24, "low").when(
+        F.col("l_discount") <= 0.05, "mid").otherwise("high"))
+    pred, _ = tree.decision_tree(li, ["l_quantity", "l_discount"], "label", max_bins=64)
+    return pred.select("l_orderkey", "l_linenumber", "prediction")
+
+
 @register("accuracy", sql="""
 SELECT round(avg(CASE WHEN l_returnflag = (CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'A' END) THEN 1.0 ELSE 0.0 END), 6)
        + 0.0 AS accuracy, count(*)::BIGINT AS n FROM lineitem""")

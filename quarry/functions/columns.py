@@ -112,4 +112,8 @@ def render_text(df: DataFrame, name: str) -> Column:
                 .otherwise(positional))
     if isinstance(dt, T.BooleanType):
         return F.when(c, F.lit("True")).when(~c, F.lit("False"))
+    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+        # a fraction prints all six digits, none prints nothing
+        whole = F.date_trunc("second", c) == c
+        return F.when(whole, c.cast("string")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
     return c.cast("string")

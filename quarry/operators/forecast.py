@@ -37,6 +37,9 @@ from quarry.functions.columns import as_double, require_columns
 from quarry.operators._lookup import lookup_join
 from quarry.operators.rank import _default_buckets, value_counts, value_ranks
 
+# Forms of date and time besides ISO that are tried in turn.
+TIME_FORMATS = ["M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy/M/d", "yyyy/M/d H:mm:ss", "d-MMM-yyyy",
+                "d MMM yyyy", "MMM d, yyyy", "yyyyMMdd"]
 # Fixed method constants.
 AR_ORDER = 6            # order of the long autoregression (first stage)
 LAGS = AR_ORDER + 2     # y lags needed for d_t .. d_{t-7}
@@ -55,7 +58,8 @@ def _keys(key) -> list[str]:
 def parse_time(df: DataFrame, col: str, fmt: str | None = None, strict: bool = True,
                out: str | None = None) -> DataFrame:
     """The column as ``timestamp_ntz``.  Strict parsing raises on a bad
-    value (ANSI); ``strict=False`` turns it into null."""
+    value (ANSI); ``strict=False`` turns it into null.  Without ``fmt`` a text
+    may be in ISO form or one of ``TIME_FORMATS``, the month first."""
     require_columns(df, [col])
     dt = df.schema[col].dataType
     c = F.col(col)
@@ -65,10 +69,14 @@ def parse_time(df: DataFrame, col: str, fmt: str | None = None, strict: bool = T
         parsed = c.cast("timestamp_ntz")
     else:
         s = c.cast("string")
-        if strict:
-            parsed = F.to_timestamp_ntz(s, F.lit(fmt)) if fmt else F.to_timestamp_ntz(s)
+        if fmt:
+            parsed = F.try_to_timestamp(s, F.lit(fmt)).cast("timestamp_ntz")
         else:
-            parsed = (F.try_to_timestamp(s, F.lit(fmt)) if fmt else F.try_to_timestamp(s)).cast("timestamp_ntz")
+            parsed = F.coalesce(s.try_cast("timestamp_ntz"), *[
+                F.try_to_timestamp(F.trim(s), F.lit(f)).cast("timestamp_ntz") for f in TIME_FORMATS])
+        if strict:
+            bad = F.raise_error(F.concat(F.lit(f"{col}: not a time: "), s)).cast("timestamp_ntz")
+            parsed = F.when(s.isNotNull() & parsed.isNull(), bad).otherwise(parsed)
     return df.withColumn(out or col, parsed)
 
 

@@ -45,6 +45,14 @@ def read_workbooks(spark, sf):
     return workbooks.read_workbooks(spark, root, cust.schema)
 
 
+@register("read_workbooks_inferred", sql="""
+SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
+def read_workbooks_inferred(spark, sf):
+    root = files.scratch_path(spark, "xlsx")
+    workbooks.write_workbooks(table(spark, sf, "customer").repartition(4), root)
+    return workbooks.read_workbooks(spark, root)
+
+
 @register("encrypt_table")
 def encrypt_table(spark, sf):
     return crypto.encrypt_table(table(spark, sf, "customer"), ["c_name", "c_acctbal"], KEY)

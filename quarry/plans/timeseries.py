@@ -51,6 +51,15 @@ def parse_time(spark, sf):
     return fc.parse_time(ev, "ts")
 
 
+@register("parse_time_text", sql="""
+SELECT event_id, date_trunc('second', ts) AS a, date_trunc('day', ts) AS b, date_trunc('day', ts) AS c FROM events""")
+def parse_time_text(spark, sf):
+    """P9 from texts that are not ISO, no format given."""
+    ev = table(spark, sf, "events").select("event_id", F.date_format("ts", "M/d/yyyy H:mm:ss").alias("a"),
+                                           F.date_format("ts", "MMM d, yyyy").alias("b"), F.date_format("ts", "M/d/yyyy").alias("c"))
+    return fc.parse_time(fc.parse_time(fc.parse_time(ev, "a"), "b"), "c")
+
+
 @register("series_order_ties", sql="""
 SELECT event_type, row_number() OVER w AS t, count(*) OVER (PARTITION BY event_type) AS n, ts, value AS y
 FROM (SELECT event_type, date_trunc('day', ts) AS ts, floor(value) AS value FROM events UNION ALL

@@ -27,6 +27,7 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main",
        "p": "http://schemas.openxmlformats.org/package/2006/relationships"}
 # Fixed value: day zero of spreadsheet serial dates (1900 date system).
 _EPOCH = datetime(1899, 12, 30)
+_EPOCH_1904 = datetime(1904, 1, 1)
 
 
 def _col_index(ref: str) -> int:
@@ -41,6 +42,13 @@ def _text(node) -> str:
     return "".join(t.text or "" for t in node.iter(f"{{{_NS['m']}}}t"))
 
 
+def date_base(content: bytes) -> datetime:
+    """Day zero of the workbook's serial dates."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        props = ET.fromstring(z.read("xl/workbook.xml")).find("m:workbookPr", _NS)
+    return _EPOCH_1904 if props is not None and props.get("date1904") in ("1", "true") else _EPOCH
+
+
 def first_sheet_rows(content: bytes) -> list[list]:
     """All rows of the first worksheet as lists of Python values (None for
     an empty cell)."""
@@ -60,30 +68,33 @@ def first_sheet_rows(content: bytes) -> list[list]:
     rows = []
     for row in ws.findall("m:sheetData/m:row", _NS):
         cells = {}
+        at = -1
         for c in row.findall("m:c", _NS):
             kind = c.get("t", "n")
+            # a cell without a reference follows the one before it
+            at = _col_index(c.get("r")) if c.get("r") else at + 1
             v = c.find("m:v", _NS)
             if kind == "s":
                 val = shared[int(v.text)] if v is not None else None
             elif kind == "inlineStr":
                 val = _text(c)
-            elif kind in ("str", "e"):
+            elif kind in ("str", "e", "d"):
                 val = v.text if v is not None else None
             elif kind == "b":
                 val = (v.text == "1") if v is not None else None
             else:
                 val = float(v.text) if v is not None and v.text not in (None, "") else None
-            cells[_col_index(c.get("r"))] = val
+            cells[at] = val
         width = max(cells) + 1 if cells else 0
         rows.append([cells.get(i) for i in range(width)])
     return rows
 
 
-def _convert(value, dtype: T.DataType):
+def _convert(value, dtype: T.DataType, base: datetime = _EPOCH):
     if value is None:
         return None
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return _EPOCH + timedelta(days=float(value)) if isinstance(value, float) else pd.Timestamp(value)
+        return base + timedelta(days=float(value)) if isinstance(value, float) else pd.Timestamp(value)
     if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
         return int(float(value))
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
@@ -97,10 +108,28 @@ def _convert(value, dtype: T.DataType):
     return value
 
 
-def read_workbooks(spark: SparkSession, path: str, schema: T.StructType,
+def _header(batches):
+    for pdf in batches:
+        for content in pdf["content"]:
+            rows = first_sheet_rows(bytes(content))
+            yield pd.DataFrame({"name": [str(h) for h in (rows[0] if rows else []) if h is not None]})
+
+
+def read_workbooks(spark: SparkSession, path: str, schema: T.StructType | None = None,
                    glob: str = "*.xlsx") -> DataFrame:
-    """Rows of the first sheet of every workbook under ``path``."""
+    """Rows of the first sheet of every workbook under ``path``.  Without a
+    schema the columns are those of one workbook's header and their types are
+    inferred, as for CSV."""
     ship_package(spark)
+    # files differ in size: a batch for Python is bounded by bytes
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
+    if schema is None:
+        from quarry.sources.files import NA_TOKENS, infer_types
+
+        one = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("content").limit(1)
+        head = one.mapInPandas(_header, "name string").collect()          # one row per column
+        text = read_workbooks(spark, path, T.StructType([T.StructField(r["name"], T.StringType()) for r in head]), glob)
+        return infer_types(text.select(*[F.when(~F.col(f"`{c}`").isin(NA_TOKENS), F.col(f"`{c}`")).alias(c) for c in text.columns]))
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("content")
     fields = schema.fields
 
@@ -110,12 +139,13 @@ def read_workbooks(spark: SparkSession, path: str, schema: T.StructType,
                 rows = first_sheet_rows(bytes(content))
                 if not rows:
                     continue
+                base = date_base(bytes(content))
                 header = [str(h) if h is not None else "" for h in rows[0]]
                 pos = {h: i for i, h in enumerate(header)}
                 missing = [f.name for f in fields if f.name not in pos]
                 if missing:
                     raise ValueError(f"workbook lacks columns {missing}")
-                out = {f.name: [_convert(r[pos[f.name]] if pos[f.name] < len(r) else None, f.dataType)
+                out = {f.name: [_convert(r[pos[f.name]] if pos[f.name] < len(r) else None, f.dataType, base)
                                 for r in rows[1:]] for f in fields}
                 yield pd.DataFrame(out)
 
@@ -189,6 +219,10 @@ def write_workbooks(df: DataFrame, path: str) -> int:
     ship_package(df.sparkSession)
     columns = df.columns
     tag = uuid.uuid4().hex[:8]
+    # a path without a scheme belongs to the cluster's default filesystem
+    sc = df.sparkSession.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    uri = place.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
     def write(batches):
         from pyarrow import fs as pafs
@@ -200,7 +234,6 @@ def write_workbooks(df: DataFrame, path: str) -> int:
                         for r in pdf.itertuples(index=False, name=None))
         part = TaskContext.get().partitionId()
         if rows:
-            uri = path if re.match(r"^[A-Za-z][A-Za-z0-9+.-]*:", path) else f"file://{path}"
             filesystem, base = pafs.FileSystem.from_uri(uri)
             filesystem.create_dir(base, recursive=True)
             with filesystem.open_output_stream(f"{base}/part-{part:05d}-{tag}.xlsx") as out:

@@ -83,14 +83,41 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or current
 
 
+#: Application -> paths of the tables that ``cut_lineage`` wrote and that are
+#: still there.
+_CUTS: dict[str, list[str]] = {}
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a Parquet table in the shared checkpoint folder
     and read it back: one job, lineage cut, and the files survive executor
     loss (unlike a local checkpoint).  ``DataFrame.checkpoint`` would compute
-    the data twice unless it were also persisted."""
+    the data twice unless it were also persisted.  The table stays until
+    ``drop_cuts`` is told that nothing reads it any more."""
     import uuid
 
-    root = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{root}/quarry-cut-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.parquet(path)
+
+
+def cuts_of(spark: SparkSession) -> list[str]:
+    """The tables that ``cut_lineage`` has written and not dropped, in order."""
+    return list(_CUTS.get(spark.sparkContext.applicationId, []))
+
+
+def drop_cuts(spark: SparkSession, paths: list[str], still_read_by: DataFrame | None = None) -> None:
+    """Delete tables written by ``cut_lineage`` in this application, but for
+    those that ``still_read_by`` reads."""
+    sc = spark.sparkContext
+    mine = _CUTS.get(sc.applicationId, [])
+    files = still_read_by.inputFiles() if still_read_by is not None and paths else []
+    for path in paths:
+        name = path.rsplit("/", 1)[-1]
+        if path in mine and not any(f"/{name}/" in f for f in files):
+            place = sc._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+            mine.remove(path)

@@ -270,7 +270,8 @@ def copies(blocks: DataFrame, min_len: int) -> DataFrame:
     rows = blocks.select("block", F.posexplode(F.arrays_zip("ids", "hashes", "sizes")).alias("nth", "d")).select(
         "block", "nth", "d.*").filter(F.col("ids").isNotNull() & (F.col("sizes") >= min_len))
     least = rows.groupBy("hashes").agg(F.min("ids").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(least, "hashes").filter("ids > least").select("block", "nth")
+    # written first, so the join sees both sides' sizes and can split a large group of copies
+    return rows.join(cut_lineage(least), "hashes").filter("ids > least").select("block", "nth")
 
 
 #: Bytes of texts whose keys are computed together (small enough for a cache).

@@ -37,6 +37,41 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+_SLACK = ", ".join(f"('{k}', {v})" for k, v in quality_rules.SLACK.items())
+_RATES = ", ".join(f"{{'k': '{k}', 'v': {k}}}" for k in quality_rules.SLACK)
+ORACLES["op2_quality_rules"] = rf"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \t-\r]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) AS lines FROM t),
+g AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS gram
+      FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
+d AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM g) WHERE c > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM d CROSS JOIN (VALUES (0), (1), (2)) o(k) GROUP BY 1),
+b AS (SELECT doc_id, lang, source, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, len(lines) AS n_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+             length(regexp_replace(text, '[^\p{{Lu}}]+', '', 'g')) AS caps, length(regexp_replace(text, '[^!?]+', '', 'g')) AS bangs
+      FROM w LEFT JOIN c USING (doc_id)),
+r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+             1000 * n_symbols // greatest(word_chars, 1) AS symbol_rate, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup_line_rate,
+             1000 * n_repeat_words // greatest(n_words, 1) AS repeat_rate, 1000 * caps // greatest(word_chars, 1) AS capital_rate,
+             1000 * bangs // greatest(word_chars, 1) AS bang_rate, 1000 * word_chars // greatest(n_words, 1) AS word_length FROM b),
+u AS (SELECT doc_id, lang, source, base_failed, unnest([{_RATES}], recursive := true) FROM r),
+l AS (SELECT 0 AS lev, lang AS a, source AS b, k, least(v, {quality_rules.TOP}) AS v FROM u WHERE NOT base_failed
+      UNION ALL SELECT 1, lang, '', k, least(v, {quality_rules.TOP}) FROM u WHERE NOT base_failed
+      UNION ALL SELECT 2, '', '', k, least(v, {quality_rules.TOP}) FROM u WHERE NOT base_failed),
+o AS (SELECT *, row_number() OVER (PARTITION BY lev, a, b, k ORDER BY v) AS rn, count(*) OVER (PARTITION BY lev, a, b, k) AS n FROM l),
+q AS (SELECT lev, a, b, k, max(n) AS n, min(v) FILTER (rn >= 0.25 * n) AS q1, min(v) FILTER (rn >= 0.5 * n) AS q2,
+             min(v) FILTER (rn >= 0.75 * n) AS q3 FROM o GROUP BY 1, 2, 3, 4),
+f AS (SELECT q.*, greatest(q3 + 3 * (q3 - q1), q2 + s.slack) AS fence FROM q JOIN (VALUES {_SLACK}) s(k, slack) USING (k)),
+x AS (SELECT u.doc_id, bool_and(u.v <= CASE WHEN f0.n >= {quality_rules.MIN_GROUP} THEN f0.fence
+                                            WHEN f1.n >= {quality_rules.MIN_GROUP} THEN f1.fence ELSE f2.fence END) AS within
+      FROM u JOIN f f0 ON f0.lev = 0 AND f0.a = u.lang AND f0.b = u.source AND f0.k = u.k
+      JOIN f f1 ON f1.lev = 1 AND f1.a = u.lang AND f1.k = u.k JOIN f f2 ON f2.lev = 2 AND f2.k = u.k GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(within, true) AS kept FROM r LEFT JOIN x USING (doc_id)"""
+
+
 @_register
 def op3_chat_format(spark, sf_dir):
     return chat_format.format_chats(table(spark, sf_dir, "conversations"))

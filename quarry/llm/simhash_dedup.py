@@ -223,9 +223,11 @@ def simhash_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     prepare(docs.sparkSession)
     prints = cut_lineage(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), words=words))
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    rooted = classes.join(fingerprint_components(prints, max_bits), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.join(ids, "root").select("fp", "component_id")
+    # written in between, so the joins can split a large component and a large group of copies
+    rooted = cut_lineage(classes.join(fingerprint_components(prints, max_bits), "fp", "left").withColumn(
+        "root", F.coalesce("root", "fp")))
+    ids = cut_lineage(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    by_print = cut_lineage(rooted.join(ids, "root").select("fp", "component_id"))
     return prints.join(by_print, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

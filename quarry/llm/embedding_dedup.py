@@ -266,8 +266,10 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str
         roots = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "key")
         known = (classes.select("key", "w", "least").join(counts, "key", "left").join(roots, "key", "left")
                  .withColumn("root", F.coalesce("root", "key")))
-        known = known.join(known.groupBy("root").agg(F.min("least").alias("c")), "root").select(
-            "key", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), "c")
+        # written in between, so the joins can split a large component and a large group of copies
+        known = cut_lineage(known)
+        names = cut_lineage(known.groupBy("root").agg(F.min("least").alias("c")))
+        known = cut_lineage(known.join(names, "root").select("key", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), "c"))
         usable_key = F.when(F.length("v") == usual["size"], F.col("key"))
         alone = every.select("vec_id", usable_key.alias("key")).join(known, "key", "left").select(
             "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))

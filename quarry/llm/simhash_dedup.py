@@ -244,4 +244,7 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     classes = prints.groupBy("fp").agg(first)
     kept = (classes.join(fingerprint_components(prints, max_bits), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
             .groupBy("root").agg(F.min("first").alias("first")).select(F.col("first._quarry_uid").alias("_quarry_uid")))
-    return numbered.join(kept, "_quarry_uid", "left_semi").select(*docs.columns)
+    # the rows that go are fewer than those that stay; written, their size is
+    # known, and the texts need no shuffle while Spark can broadcast them
+    gone = cut_lineage(prints.select("_quarry_uid").join(kept, "_quarry_uid", "left_anti"))
+    return numbered.join(gone, "_quarry_uid", "left_anti").select(*docs.columns)

@@ -5,10 +5,11 @@ lines and word windows, capitals); rates per mille of these counts are
 summarised per language and source in quantile sketches, and a document is
 rejected when it fails the fixed base rules or lies beyond its group's fence.
 
-A sketch is a histogram of one rate at a resolution of 1 per mille, at most
-``TOP + 1`` counters.  Sketches merge by adding counters, so the result does
-not depend on the order or number of partitions, and a quantile is off by one
-counter's width at most.  A group with few documents uses its language's merged
+A sketch is a histogram of one rate, a counter per whole per mille and no
+upper end, so quantiles are exact.  Shares have 1,001 counters at most; V
+different mean word lengths take texts of V * V / 40 characters together.
+Sketches merge by adding counters, so the result does not depend on the order
+or number of partitions.  A group with few documents uses its language's merged
 sketch, a language with few the sketch of all.
 
 The fence lies ``spread`` interquartile ranges above the upper quartile, and at
@@ -36,7 +37,7 @@ SYMBOLS = "[^#*$%&|<>]+"
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 
-#: Counters of a sketch above 0; larger rates share the last one.
+#: Where the SQL twin caps rates; the operator does not.
 TOP = 4000
 #: Rate -> least distance in per mille between the median and the fence.
 SLACK = {"symbol_rate": 60, "dup_line_rate": 500, "repeat_rate": 400, "capital_rate": 300, "bang_rate": 60,
@@ -133,7 +134,7 @@ def sketches(counted: DataFrame, *, lang_col: str = "lang", source_col: str = "s
     """``level, lang, source, rate, value, n``: the counters of every sketch.
     Level 0 is language and source, 1 the language, 2 all; the upper levels
     are merged from level 0.  Documents that fail the base rules don't count."""
-    values = F.explode(F.array(*[F.struct(F.lit(k).alias("rate"), F.least(v, F.lit(TOP)).cast("int").alias("value"))
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("rate"), v.cast("long").alias("value"))
                                  for k, v in rates().items()]))
     fine = (counted.filter(~base_failed())
             .select(_key(lang_col).alias("lang"), _key(source_col).alias("source"), values.alias("v"))

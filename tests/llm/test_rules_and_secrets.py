@@ -57,6 +57,18 @@ def test_thresholds_follow_the_group(spark):
     assert 2000 not in kept and 2002 in kept
 
 
+def test_long_words_are_usual_in_their_group(spark):
+    """A group whose words have 12 characters stays; words far beyond go."""
+    def text(k, size):
+        return " ".join(f"{(k * 7919 + i * 104729) % 100003:0{size}d}" for i in range(80))
+
+    rows = [(i, text(i, 5), "en", "plain") for i in range(150)] + [(1000 + i, text(i, 12), "de", "long") for i in range(150)]
+    rows += [(2000, text(7, 40), "de", "long"), (2001, text(7, 12), "en", "plain")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality_rules.quality_rules(df).collect() if r["kept"]}
+    assert kept == {r[0] for r in rows[:300]}
+
+
 def test_sketches_merge(spark):
     df = quality_rules.with_counts(messy(spark).select("doc_id", "text", "lang", "source"))
     s = quality_rules.sketches(df)

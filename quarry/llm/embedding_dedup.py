@@ -8,10 +8,11 @@ more than ``slack``, and is compared, in double precision, with every vector
 of the cells it visits.
 
 The codebooks are fitted on a sample of about ``SAMPLE`` vectors, chosen by
-hash; every vector is indexed.  ``slack`` is set on the same sample: each
-sampled vector is moved by a random direction to exactly the threshold, the
-farthest a link can be, and ``slack`` is the ``target_recall`` quantile of how
-much later the moved vector's cell comes than the nearest.
+hash; every vector is indexed.  ``slack`` is set on the same sample: sampled
+vectors are moved to exactly the threshold, the farthest a link can be, in a
+random direction and towards near and farther neighbours in the sample, and
+``slack`` is the largest ``target_recall`` quantile of how much later the moved
+vector's cell comes than the nearest, or that of the links inside the sample.
 
 Equal vectors are one class, so a group of copies is indexed once.  A cell
 with many members or visitors is dealt out in square blocks of at most
@@ -42,6 +43,9 @@ SAMPLE = 20_000
 #: Vectors per cell that the size of the codebooks aims at, and its bound.
 PER_CELL = 32
 MOST_WORDS = 1_000
+#: Sampled vectors that are moved towards others, and the ranks of those others.
+PROBES = 4_000
+RANKS = (1, 2, 4, 8, 16, 32, 64, 128)
 #: Members and visitors of a cell in one task.
 BLOCK = 2048
 
@@ -63,6 +67,15 @@ def _distances(x: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ book.T + (book * book).sum(1), 0)
 
 
+def _moved(unit: np.ndarray, towards: np.ndarray, threshold: float) -> np.ndarray:
+    """Vectors turned towards others until their cosine is the threshold."""
+    side = towards - (towards * unit).sum(1)[:, None] * unit
+    norm = np.linalg.norm(side, axis=1)
+    side[norm > 1e-6] /= norm[norm > 1e-6, None]
+    side[norm <= 1e-6] = 0                                # the same direction but for rounding
+    return threshold * unit + np.sqrt(max(0.0, 1 - threshold**2)) * side
+
+
 class MultiIndex:
     """Two codebooks over the halves of unit vectors."""
 
@@ -74,15 +87,45 @@ class MultiIndex:
         words = int(min(MOST_WORDS, max(1, len(unit) // 8), max(1, np.ceil(np.sqrt(n / PER_CELL)))))
         half = unit.shape[1] // 2
         index = cls((fit_codebook(unit[:, :half], words), fit_codebook(unit[:, half:], words)), 0.0)
-        rng = np.random.default_rng(0)
-        side = rng.standard_normal(unit.shape)
-        side -= (side * unit).sum(1)[:, None] * unit
-        side /= np.maximum(np.linalg.norm(side, axis=1), 1e-300)[:, None]
-        moved = threshold * unit + np.sqrt(max(0.0, 1 - threshold**2)) * side
-        late = index.lateness(unit, index.home(moved))
-        index.slack = float(np.quantile(late, target_recall)) + 1e-9
+        late = index.lateness(unit, index.home(_moved(unit, np.random.default_rng(0).standard_normal(unit.shape), threshold)))
+        index.slack = max(float(np.quantile(late, target_recall)), index._near_slack(unit, threshold, target_recall)) + 1e-9
         return index
 
+    def _near_slack(self, unit: np.ndarray, threshold: float, target_recall: float) -> float:
+        """The slack that finds moves towards neighbours of each rank, and the
+        links inside the sample, whichever is larger: links may lie along few
+        directions."""
+        probes = np.linspace(0, len(unit) - 1, min(PROBES, len(unit))).astype(int)
+        ranks = [r for r in RANKS if r < len(unit)]
+        if not ranks:
+            return 0.0
+        home = self.home(unit)
+        i, j = np.divmod(home, len(self.books[1]))
+        left, right = unit[:, : self.half], unit[:, self.half :]
+        at_home = ((left - self.books[0][i]) ** 2).sum(1) + ((right - self.books[1][j]) ** 2).sum(1)
+        moves: list[list[np.ndarray]] = [[] for _ in ranks]
+        edges = np.linspace(0, 8, (1 << 16) + 1)          # a lateness is under 8
+        linked = np.zeros(len(edges) - 1, np.int64)
+        # a link is found where either end visits the other's home
+        for k in range(0, len(probes), 200):
+            at = probes[k : k + 200]
+            x = unit[at]
+            cosine = x @ unit.T
+            cosine[np.arange(len(at)), at] = -np.inf
+            a, b = self.parts(x)
+            late = a[:, i] + b[:, j] - at_home[at][:, None]
+            late = np.minimum(late, (_distances(left, self.books[0][i[at]]) + _distances(right, self.books[1][j[at]])
+                                     - at_home[:, None]).T)
+            linked += np.histogram(np.clip(late[cosine >= threshold], 0, 8), edges)[0]
+            order = np.argpartition(-cosine, [rank - 1 for rank in ranks], axis=1)
+            for found, rank in zip(moves, ranks, strict=True):
+                moved = _moved(x, unit[order[:, rank - 1]], threshold)
+                found.append(np.minimum(self.lateness(x, self.home(moved)), self.lateness(moved, home[at])))
+        slack = max(float(np.quantile(np.concatenate(found), target_recall)) for found in moves)
+        if linked.any():
+            slack = max(slack, float(edges[1:][np.searchsorted(np.cumsum(linked), target_recall * linked.sum())]))
+        return slack
+
     def parts(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _distances(unit[:, : self.half], self.books[0]), _distances(unit[:, self.half :], self.books[1])
 

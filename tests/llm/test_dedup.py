@@ -262,3 +262,21 @@ def test_multi_sequence_order():
         assert cells[0] == home
         late = index.lateness(np.repeat(x[None], len(cells), 0), cells)
         assert (np.diff(late) >= -1e-12).all() and late.max() <= index.slack + 1e-12
+
+
+@pytest.mark.parametrize("dims", [4, 6])
+def test_recall_near_a_subspace(dims):
+    """Links along few directions, at the codebook size of 3e7 rows, on
+    vectors that the index was not fitted on."""
+    r = np.random.default_rng(dims)
+    x = r.standard_normal((12_000, dims)) @ r.standard_normal((dims, 64)) + 0.01 * r.standard_normal((12_000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    index = embedding_dedup.MultiIndex.fit(x[:8000], 30_000_000, 0.95, 0.995)
+    assert len(index.books[0]) > 900
+    x = x[8000:]
+    a, b = np.nonzero(np.triu(x @ x.T >= 0.95, 1))
+    home, found = index.home(x), []
+    for k in range(0, min(len(a), 60_000), 4000):
+        u, v = a[k : k + 4000], b[k : k + 4000]
+        found.append(np.minimum(index.lateness(x[u], home[v]), index.lateness(x[v], home[u])) <= index.slack)
+    assert np.concatenate(found).mean() >= 0.98

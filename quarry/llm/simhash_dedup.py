@@ -197,13 +197,18 @@ def links(distinct: DataFrame, max_bits: int) -> DataFrame:
     few = shared.filter(F.col("c") <= CROWD).groupBy("k", "v").agg(F.collect_list("fp").alias("all"))
     near = few.select("all", F.explode("all").alias("a")).select(
         "a", F.explode(F.filter("all", lambda y: (y > F.col("a")) & (distance(F.col("a"), y) <= max_bits))).alias("b"))
-    # one-bit neighbours; for smaller distances fewer of them are needed
+    if max_bits == 0:                                     # different fingerprints never link
+        return near.distinct()
+    # one-bit neighbours: two with a neighbour in common are 2 bits apart at most
     flips = F.concat(F.array(F.lit(0).cast("long")), F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)),
                                                                  lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), b)))
-    crowd = (shared.filter(F.col("c") > CROWD).select("fp").distinct()
-             .select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("w"))
-             .groupBy("w").agg(F.collect_set("fp").alias("all")).filter(F.size("all") > 1)
-             .select(F.array_min("all").alias("a"), F.explode("all").alias("b")).filter("a != b"))
+    around = (shared.filter(F.col("c") > CROWD).select("fp").distinct()
+              .select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("w"))
+              .groupBy("w").agg(F.collect_set("fp").alias("all")).filter(F.size("all") > 1))
+    if max_bits == 1:                                     # only the neighbour itself is 1 bit apart from all
+        around = around.filter(F.array_contains("all", F.col("w")))
+    hub = F.col("w") if max_bits == 1 else F.array_min("all")
+    crowd = around.select(hub.alias("a"), F.explode("all").alias("b")).filter("a != b")
     return near.unionByName(crowd).distinct()
 
 

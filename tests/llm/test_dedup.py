@@ -185,6 +185,23 @@ def test_crowded_fingerprints(spark, bits):
     assert [got.get(x, x) for x in signed] == groups(signed, prints, bits)
 
 
+@pytest.mark.parametrize("bits", [0, 1, 2])
+def test_every_signature_is_a_crowd(spark, monkeypatch, bits):
+    """The path of crowded signatures links within the distance only."""
+    monkeypatch.setattr(simhash_dedup, "CROWD", 1)
+    r = random.Random(2)
+    base, found = r.getrandbits(62), set()
+    while len(found) < 200:
+        x = base
+        for _ in range(r.randint(0, 4)):
+            x ^= 1 << r.randrange(62)
+        found.add(x)
+    prints = sorted(found)
+    df = spark.createDataFrame([(x,) for x in prints], "fp long")
+    got = {x["fp"]: x["root"] for x in simhash_dedup.fingerprint_components(df, bits).collect()}
+    assert [got.get(x, x) for x in prints] == groups(prints, prints, bits)
+
+
 def test_allocation_is_the_cheapest():
     costs = [{-1: 0.0, 0: 5.0, 1: 50.0}, {-1: 0.0, 0: 1.0, 1: 9.0}, {-1: 0.0, 0: 2.0, 1: 30.0}]
     cost, chosen = simhash_dedup.allocate(costs, 0)

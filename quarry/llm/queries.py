@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (bpe_codec, chat_format, embedding_dedup, packing, quality_rules, secret_scan, simhash_dedup,
-                        suffix_dedup, token_counts, warc_fixity)
+from quarry.llm import (bpe_codec, chat_format, collocations, embedding_dedup, packing, quality_classifier, quality_rules,
+                        secret_scan, simhash_dedup, suffix_dedup, token_counts, warc_fixity)
 from quarry.llm._common import prepare
 
 QUERIES: dict = {}
@@ -132,3 +132,36 @@ def op9_secret_scan(spark, sf_dir):
 @_register
 def op10_embedding_dedup(spark, sf_dir):
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@_register
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH t AS (SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+                  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(unnest(regexp_split_to_array(text, '[.,;:!?\n-\r]')), '[ \t]+'),
+                               lambda x: x <> '') AS w FROM t),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
+      FROM p CROSS JOIN (VALUES (1), (2), (3)) s(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10),
+u AS (SELECT *, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT u.lang, u.k, u.phrase, u.a, l.a AS l, r.a AS r, cut,
+             ((1000000::HUGEINT * u.a * u.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
+      FROM u JOIN f l ON l.lang = u.lang AND l.k = cut AND l.phrase = array_to_string(u.w[1 : cut], ' ')
+      JOIN f r ON r.lang = u.lang AND r.k = u.k - cut AND r.phrase = array_to_string(u.w[cut + 1 : u.k], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+x AS (SELECT lang, phrase, max(a) AS longest FROM (
+        SELECT lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+      FROM b LEFT JOIN x USING (lang, phrase) WHERE longest IS NULL OR 100 * longest < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+@_register
+def op12_quality_classifier(spark, sf_dir):
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -182,7 +182,7 @@ def fit_on_labels(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
              .groupBy("doc_id").agg((F.avg("y") >= 0.5).cast("double").alias("y")))
     rows = (stats.join(marks, "doc_id").select("stats", "y", F.xxhash64("doc_id", "stats").alias("order"))
             .orderBy("order", "y").limit(sample).toArrow())
-    x = rows.column("stats").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(rows.num_rows, -1)
+    x = rows.column("stats").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(FEATURES))
     return fit(x, rows.column("y").to_numpy())
 
 

@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import (bpe_codec, chat_format, collocations, embedding_dedup, packing, quality_classifier, quality_rules,
-                        secret_scan, simhash_dedup, suffix_dedup, token_counts, warc_fixity)
+from quarry.llm import (bpe_codec, chat_format, collocations, conversation_trie, embedding_dedup, packing, quality_classifier,
+                        quality_rules, secret_scan, simhash_dedup, suffix_dedup, token_counts, warc_fixity)
 from quarry.llm._common import prepare
 
 QUERIES: dict = {}
@@ -165,3 +165,39 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM o JOIN n USING (lang) WHERE ra
 @_register
 def op12_quality_classifier(spark, sf_dir):
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_register
+def op13_conversation_trie(spark, sf_dir):
+    return conversation_trie.conversation_trie(table(spark, sf_dir, "conversations"), regroup=True)
+
+
+# DuckDB has no CRC-32: a table of eight steps per byte, then a fold over the digits.
+ORACLES["op13_conversation_trie"] = r"""
+WITH crc AS (
+  SELECT list_transform(range(0, 256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT *, sha256(length(role)::VARCHAR || ':' || role || text) AS sha, len(regexp_extract_all(text, '[^ \t-\r]+'))::BIGINT AS words FROM t),
+c AS (SELECT conv_id, sha, words, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, left(sha, 30)) AS p,
+             count(*) OVER (PARTITION BY conv_id) AS n FROM s),
+o AS (SELECT DISTINCT conv_id, n FROM c),
+h AS (SELECT conv_id, n, conv_id - conv_id % 20 AS lead,
+             xor(list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)),
+                             lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295) % 4 AS h FROM o, crc),
+v AS (SELECT h.conv_id, h.lead, h.h, least(h.h, coalesce(o.n, 0)) AS k, h.n FROM h LEFT JOIN o ON o.conv_id = h.lead),
+r AS (SELECT v.conv_id, c.p AS d, sha, words FROM v JOIN c ON c.conv_id = v.lead AND c.p <= v.h
+      UNION ALL SELECT c.conv_id, v.k + c.p - v.h, sha, words FROM c JOIN v USING (conv_id) WHERE c.p > v.h),
+m AS (SELECT conv_id, k + greatest(n - h, 0) AS len FROM v),
+w AS (SELECT conv_id, d, words, string_agg(sha, '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM m),
+nodes AS (SELECT d, path, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words FROM w GROUP BY ALL),
+kids AS (SELECT left(path, 64 * (d - 1)) AS path, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1),
+val AS (SELECT nodes.*, coalesce(kids.n, 0) AS n_children, (n_convs - 1) * words AS saved FROM nodes LEFT JOIN kids USING (path)),
+up AS (SELECT left(path, 64 * i) AS path, sum((n_children = 0)::INT)::BIGINT AS n_leaves, sum(saved)::BIGINT AS saved_tokens
+       FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM val) GROUP BY 1),
+ends AS (SELECT path, sha256(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id)) AS ends_sha256
+         FROM w JOIN m USING (conv_id) WHERE d = len GROUP BY 1)
+SELECT val.conv_id, val.d::BIGINT AS depth, parent.conv_id AS parent_conv_id, val.n_convs, val.n_children, n_leaves, saved_tokens,
+       coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM val JOIN up USING (path) LEFT JOIN ends USING (path) LEFT JOIN nodes parent ON val.d > 0 AND parent.path = left(val.path, 64 * (val.d - 1))"""

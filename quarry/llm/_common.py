@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,3 +29,17 @@ def text_or_empty(col: str = "text") -> Column:
 
 def shuffle_width(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def begin_task(own: str = "") -> None:
+    """Python workers outlive tasks, and some modules keep tables in them from
+    task to task.  Forget those of all modules but ``own``, and hand freed
+    memory back, so that the operators of a pipeline don't add up."""
+    for name in ("bpe_codec", "packing", "token_counts"):
+        module = sys.modules.get(f"quarry.llm.{name}")
+        if module is not None and name != own:
+            module._WORKER.clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:                               # the C library of GNU systems
+        trim(0)

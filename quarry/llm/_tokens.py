@@ -34,6 +34,10 @@ _SEPARATORS = re.compile("[\x1c-\x1f]")
 _PLAIN = re.compile("[\t\n\r -~\xa1-ɏ]*")
 
 
+def is_plain(chunk: str) -> bool:
+    return chunk.isascii() and chunk.isprintable() or _PLAIN.fullmatch(chunk) is not None
+
+
 @dataclass(frozen=True, eq=False)
 class Vocabulary:
     """A BPE tokenizer file, read on the driver and sent to the workers (a few
@@ -74,7 +78,7 @@ class Vocabulary:
         return [p for p in self.added_pattern.split(chunk) if p] if self.added else [chunk]
 
     def pre_tokens(self, piece: str) -> list[bytes]:
-        if piece.isascii() and piece.isprintable() or _PLAIN.fullmatch(piece):
+        if is_plain(piece):
             text = piece.lower() if self.lower else piece
             if text.isalpha() or text[:1] == " " and text[1:].isalpha():
                 return [text.encode()]                # one run of letters
@@ -126,9 +130,21 @@ class PairTable:
         self.base = max(vocab.ids.values()) + 1
         pairs = [(vocab.ids[a] * self.base + vocab.ids[b], r, vocab.ids[a + b]) for r, (a, b) in enumerate(vocab.merges)]
         self.merged = np.array([p[2] for p in pairs], np.int64)
-        pairs.sort()
-        self.keys = np.array([p[0] for p in pairs], np.int64)
-        self.order = np.array([p[1] for p in pairs], np.int64)
+        # open addressing, a tenth full: most pairs that are asked for are none
+        # and meet an empty slot at once
+        self.shift = np.uint64(64 - max(4, (10 * len(pairs)).bit_length()))
+        slots = 1 << (64 - int(self.shift))
+        self.keys, self.order = np.full(slots, -1, np.int64), np.zeros(slots, np.int64)
+        key = np.array([p[0] for p in pairs], np.int64)
+        rank = np.array([p[1] for p in pairs], np.int64)
+        at = self._slot(key)
+        while len(key):
+            free = self.keys[at] == -1
+            self.keys[at[free]], self.order[at[free]] = key[free], rank[free]
+            out = self.keys[at] != key
+            # of several in one slot the last stays
+            self.order[at[~out]] = rank[~out]
+            key, rank, at = key[out], rank[out], (at[out] + 1) & (slots - 1)
         self.none = len(pairs)                         # the rank of no pair
         chars = {b: c for c, b in byte_alphabet().items()}
         self.inner = np.array([vocab.ids[chars[b]] for b in range(256)], np.int64)
@@ -138,8 +154,22 @@ class PairTable:
         """Rank of each pair, ``none`` where it cannot be merged (an id below
         0 stands for no symbol)."""
         key = a * self.base + b
-        at = np.minimum(np.searchsorted(self.keys, key), self.none - 1)
-        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.order[at], self.none)
+        at = self._slot(key)
+        found = self.keys[at]
+        out = np.where((found == key) & (a >= 0) & (b >= 0), self.order[at], self.none)
+        left = np.nonzero((found != key) & (found != -1))
+        while len(left[0]):
+            at_left = (at[left] + 1) & (len(self.keys) - 1)
+            at[left] = at_left
+            found, wanted = self.keys[at_left], key[left]
+            hit = (found == wanted) & (np.broadcast_to(a, key.shape)[left] >= 0) & (np.broadcast_to(b, key.shape)[left] >= 0)
+            out[left] = np.where(hit, self.order[at_left], self.none)
+            more = (found != wanted) & (found != -1)
+            left = tuple(x[more] for x in left)
+        return out
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def symbols(self, word: bytes) -> np.ndarray:
         raw = np.frombuffer(word, np.uint8)

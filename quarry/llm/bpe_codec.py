@@ -79,9 +79,10 @@ def merge_in_trees(sym: np.ndarray, table: PairTable) -> np.ndarray:
 _CELLS = 1 << 19
 
 
-def encode_words(words: list[bytes], table: PairTable) -> list[list[int]]:
-    """Ids of each pre-token."""
-    out: list[list[int]] = [[]] * len(words)
+def encode_flat(words: list[bytes], table: PairTable):
+    """Numbers of words, their ids one after another, and where each word's
+    end, for groups of words that are merged together; empty words are left
+    out."""
     size = np.array([len(w) for w in words], np.int64)
     order = np.argsort(size, kind="stable")
     at = int((size == 0).sum())
@@ -100,9 +101,15 @@ def encode_words(words: list[bytes], table: PairTable) -> list[list[int]]:
         sym[np.arange(len(part)), sizes - 1] = table.last[raw[np.cumsum(sizes) - 1]]
         sym = merge_in_trees(sym, table)
         kept = sym >= 0
-        flat, ends = sym[kept].tolist(), np.cumsum(kept.sum(axis=1)).tolist()
-        start = 0
-        for k, stop in zip(part.tolist(), ends, strict=True):
+        yield part, sym[kept], np.cumsum(kept.sum(axis=1))
+
+
+def encode_words(words: list[bytes], table: PairTable) -> list[list[int]]:
+    """Ids of each pre-token."""
+    out: list[list[int]] = [[]] * len(words)
+    for part, ids, ends in encode_flat(words, table):
+        flat, start = ids.tolist(), 0
+        for k, stop in zip(part.tolist(), ends.tolist(), strict=True):
             out[k] = flat[start:stop]
             start = stop
     return out

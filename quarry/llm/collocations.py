@@ -1,14 +1,20 @@
 """Phrase collocation mining with HAT-trie counting.
 
-Every task counts all phrases of up to ``max_words`` words in a trie over word
-ids.  Its leaves are hash containers that each hold a range of the trie; one
-that grows past ``BURST`` phrases bursts at the shallowest word border that
-parts its phrases, so a container first shares many first words, then belongs
-to one, then to a two-word prefix.  Past ``MEMORY`` phrases the largest
-subtrees are spilled whole, as sorted runs, until half are left, and go on
-empty.  A run is cut into prefix partitions by the leading bits of its mixed
-path (the whole path, so that one hot first word or pair is dealt over all
-partitions), and the runs of a partition are merged by one task.
+Every task counts, in a trie over word ids, each word and the longest phrase of
+up to ``max_words`` words that starts there; what a shorter phrase counts is the
+sum of its subtree.  The trie's leaves are hash containers that each hold a
+range of it; one that grows past ``BURST`` phrases bursts at the shallowest word
+border that parts its phrases, so a container first shares many first words,
+then belongs to one, then to a two-word prefix.  Past ``MEMORY`` phrases the
+largest subtrees are spilled whole, as sorted runs, until half are left, and go
+on empty.  A run is cut into prefix partitions by the first two words, and the
+runs of a partition are merged by one task.
+
+A prefix that alone makes up more of a run than a partition's share is *hot*:
+the run deals its phrases by all their words and leaves a marker at the
+prefix's own partition.  Sums of a prefix that any run found hot are partial
+and are added up once more by their ids.  So no partition gets much more than
+its share, whatever follows a frequent pair.
 
 Phrases travel as 64-bit word ids, a hash of language and word.  That no two
 words share an id is proved while the runs are merged (equal ids bring their
@@ -35,12 +41,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import prepare, shuffle_width, text_or_empty
+from quarry.llm._common import begin_task, prepare, shuffle_width, text_or_empty
 from quarry.session import cut_lineage, cuts_of, drop_cuts
 
 #: Phrases of a container before it bursts; phrases and words of a task's trie
 #: before subtrees are spilled.
 BURST, MEMORY, WORDS = 1 << 16, 1_500_000, 1 << 20
+#: Phrases of a run that share their first two words, at least, for these to be hot.
+HOT = 64
 #: Bytes of text that are split into words at a time.
 SLICE = 4 << 20
 #: Prefix partitions for each shuffle partition.
@@ -170,9 +178,10 @@ class _Ids(dict):
 
 
 class Counter:
-    """Counts the phrases of a task; ``rows`` of spilled runs are yielded as
-    ``part, ids, counts, words``: per phrase length the word ids, one column
-    after the other, and the counts; for single words the words too."""
+    """Counts the phrases of a task; ``rows`` of spilled runs are ``part, ids,
+    counts, words, hot``: for each section (words, longest phrases by length,
+    the same of hot prefixes) the word ids, one column after the other, and the
+    counts; the words; the prefixes that are hot."""
 
     def __init__(self, max_words: int, parts: int, seed: int):
         self.trie, self.parts, self.seed = HatTrie(max_words), parts, seed
@@ -186,7 +195,7 @@ class Counter:
         """Count texts of one language; yields rows of what is spilled."""
         raw = _BORDER.join(texts).lower().translate(_TO_BORDER).replace(_BORDER, b" \xff ")
         tail = np.zeros(0, np.int64)
-        at = 0
+        at, more = 0, self.trie.max_words - 1
         limit = min(WORDS, (1 << self.trie.bits) - 1)
         while at < len(raw):
             end = raw.find(b" ", at + SLICE)
@@ -204,67 +213,88 @@ class Counter:
                 ids = self.ids.setdefault(lang, _Ids(lang, self.words))
                 ids.setdefault(_BORDER, 0)
                 new = np.fromiter(map(ids.__getitem__, part), np.int64, len(part))
-                self.count(np.concatenate([tail, new]), len(tail))
-                tail = np.concatenate([tail, new])[-(self.trie.max_words - 1):] if self.trie.max_words > 1 else new[:0]
+                self.count_words(new)
+                tail = self.count_phrases(np.concatenate([tail, new]))
                 if self.trie.size > MEMORY:
                     yield from self.rows(MEMORY // 2)
+        self.count_phrases(np.concatenate([tail, np.zeros(more, np.int64)]))
 
     def id_of(self, lang: bytes, word: bytes) -> int:
         return 0 if word == _BORDER else self.ids.setdefault(lang, _Ids(lang, self.words))[word]
 
-    def count(self, ids: np.ndarray, known: int) -> None:
-        """Phrases that end behind the first ``known`` ids."""
-        n, bits, width = len(ids), self.trie.bits, self.trie.max_words
-        whole = np.ones(n, bool)
-        path = np.zeros(n, np.int64)
-        for length in range(1, width + 1):
-            # path[k]: the phrase of this length that ends at k
-            shift = np.int64(bits * (width - length))
-            if length == 1:
-                path = ids << shift
-                whole = ids > 0
-            else:
-                path[1:] = path[:-1] | (ids[1:] << shift)
-                whole[1:] = whole[:-1] & (ids[1:] > 0)
-                whole[: length - 1] = False
-            keys, counts = np.unique(path[known:][whole[known:]], return_counts=True)
-            if len(keys):
-                self.trie.add(keys, counts)
+    def count_words(self, ids: np.ndarray) -> None:
+        keys, counts = np.unique(ids[ids > 0], return_counts=True)
+        if len(keys):
+            self.trie.add(keys << np.int64(self.trie.bits * (self.trie.max_words - 1)), counts)
+
+    def count_phrases(self, ids: np.ndarray) -> np.ndarray:
+        """The longest phrase, two words at least, from every place that has
+        all words it may need behind it; returns the ids of the other places."""
+        bits, width = self.trie.bits, self.trie.max_words
+        n = len(ids) - width + 1
+        if n <= 0 or width < 2:
+            return ids if width > 1 else ids[:0]
+        path, whole = np.zeros(n, np.int64), np.ones(n, bool)
+        for d in range(width):
+            word = ids[d : d + n]
+            whole &= word > 0
+            path |= np.where(whole, word, 0) << np.int64(bits * (width - 1 - d))
+        long = (path & ((1 << (bits * (width - 1))) - 1)) > 0
+        keys, counts = np.unique(path[long], return_counts=True)
+        if len(keys):
+            self.trie.add(keys, counts)
+        return ids[n:]
 
     def rows(self, keep: int):
+        """Spill until ``keep`` phrases are left; a row for each partition."""
         runs = self.trie.spill(keep)
         if not runs:
             return
         keys, counts = (np.concatenate(c) for c in zip(*runs, strict=True))
         bits, width = self.trie.bits, self.trie.max_words
-        codes = np.zeros(len(self.words) + 1, np.uint64)
-        seeds = {lang: xxhash.xxh64_intdigest(lang, self.seed) for lang in self.ids}
-        # only words of the runs are hashed
         steps = [keys >> (bits * (width - d)) & ((1 << bits) - 1) for d in range(1, width + 1)]
-        used = np.zeros(len(codes), bool)
+        # only words of the runs are hashed
+        codes, used = np.zeros(len(self.words) + 1, np.uint64), np.zeros(len(self.words) + 1, bool)
         for step in steps:
             used[step] = True
+        seeds = {lang: xxhash.xxh64_intdigest(lang, self.seed) for lang in self.ids}
         for i in (np.nonzero(used[1:])[0] + 1).tolist():
             lang, word = self.words[i - 1]
             codes[i] = xxhash.xxh64_intdigest(word, seeds[lang])
         columns = [codes[step] for step in steps]
         length = sum((step > 0).astype(np.int64) for step in steps)
-        del steps
-        part = (digest(columns) >> np.uint64(32)) % np.uint64(self.parts)
-        order = np.lexsort((length, part))             # stable: runs stay sorted
-        part, length = part[order], length[order]
-        starts = np.concatenate([[0], np.nonzero(np.diff(part))[0] + 1, [len(part)]])
-        for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-            cuts = a + np.searchsorted(length[a:b], np.arange(1, width + 2))
+        home = self.part_of(columns[:2])
+        part, section = home, length - 1
+        markers = np.zeros(0, np.int64)
+        if width > 2:
+            prefix = keys >> (bits * (width - 2))
+            start = np.nonzero(np.append(True, prefix[1:] != prefix[:-1]))[0]
+            n = np.diff(np.append(start, len(keys)))
+            hot = n > max(HOT, len(keys) // self.parts)
+            markers = start[hot]
+            spread = np.repeat(hot, n) & (length > 2)
+            part = np.where(spread, self.part_of(columns), home)
+            section = np.where(spread, width + length - 3, section)
+        order = np.lexsort((section, part))            # stable: runs stay sorted
+        part, section = part[order], section[order]
+        marks = markers[np.argsort(home[markers], kind="stable")]
+        n_sections = max(1, 2 * width - 2)             # words, longest phrases by length, those of hot prefixes
+        for p in np.union1d(part, home[marks]).tolist():
+            a, b = np.searchsorted(part, [p, p + 1]).tolist()
+            cuts = (a + np.searchsorted(section[a:b], np.arange(n_sections + 1))).tolist()
             ids_out, counts_out, words_out = [], [], b""
-            for d in range(1, width + 1):
-                own = order[cuts[d - 1] : cuts[d]]
-                ids_out.append(b"".join(columns[k][own].tobytes() for k in range(d)))
+            for k in range(n_sections):
+                own = order[cuts[k] : cuts[k + 1]]
+                d = k + 1 if k < width else k - width + 3
+                ids_out.append(b"".join(columns[c][own].tobytes() for c in range(d)))
                 counts_out.append(counts[own].tobytes())
-                if d == 1:
-                    first = keys[own] >> (bits * (width - 1))
-                    words_out = b"\xfe".join(b"\xff".join(self.words[i - 1]) for i in first.tolist())
-            yield int(part[a]), ids_out, counts_out, words_out
+                if k == 0:
+                    words_out = b"\xfe".join(b"\xff".join(self.words[i - 1]) for i in steps[0][own].tolist())
+            own = marks[slice(*np.searchsorted(home[marks], [p, p + 1]).tolist())]
+            yield p, ids_out, counts_out, words_out, b"".join(c[own].tobytes() for c in columns[:2])
+
+    def part_of(self, columns: list[np.ndarray]) -> np.ndarray:
+        return ((digest(columns) >> np.uint64(32)) % np.uint64(self.parts)).astype(np.int64)
 
 
 def digest(columns: list[np.ndarray]) -> np.ndarray:
@@ -274,7 +304,8 @@ def digest(columns: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-_RUNS = pa.schema([("part", pa.int64()), ("ids", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary())), ("words", pa.binary())])
+_RUNS = pa.schema([("part", pa.int64()), ("ids", pa.list_(pa.binary())), ("counts", pa.list_(pa.binary())), ("words", pa.binary()),
+                   ("hot", pa.binary())])
 
 
 def count_runs(docs: DataFrame, max_words: int, parts: int, seed: int, *, lang_col: str, text_col: str) -> DataFrame:
@@ -282,6 +313,7 @@ def count_runs(docs: DataFrame, max_words: int, parts: int, seed: int, *, lang_c
     src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
 
     def run(batches):
+        begin_task()
         counter = Counter(max_words, parts, seed)
 
         def out(rows):
@@ -295,43 +327,71 @@ def count_runs(docs: DataFrame, max_words: int, parts: int, seed: int, *, lang_c
                 yield from out(counter.add(lang.encode(), own))
         yield from out(counter.rows(0))
 
-    return src.mapInArrow(run, "part long, ids array<binary>, counts array<binary>, words binary")
+    return src.mapInArrow(run, "part long, ids array<binary>, counts array<binary>, words binary, hot binary")
+
+
+def _sums(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct columns of ``ids`` and their sums: an order of the columns,
+    where each group starts in it, and its sum."""
+    mixed = digest(list(ids))
+    order = np.argsort(mixed, kind="stable")
+    changed = (ids[:, order[1:]] != ids[:, order[:-1]]).any(axis=0)
+    if (changed & (mixed[order[1:]] == mixed[order[:-1]])).any():        # equal digests of different phrases
+        order = np.lexsort(ids[::-1])
+        changed = (ids[:, order[1:]] != ids[:, order[:-1]]).any(axis=0)
+    starts = np.concatenate([[0], np.nonzero(changed)[0] + 1])
+    return order, starts, np.add.reduceat(counts[order], starts)
 
 
-def merge_runs(table: pa.Table, max_words: int, least: int):
-    """Merged counts of one prefix partition: ``(ids, counts)`` per length,
-    phrases under ``least`` left out; the languages and words of the kept
-    single words; total occurrences per language; ids that two words share."""
-    ids_rows, counts_rows = table.column("ids").to_pylist(), table.column("counts").to_pylist()
+def merge_words(table: pa.Table):
+    """Ids, words with their languages, and counts of the single words of one
+    partition; the number of words that share an id with another one."""
+    ids = np.concatenate([np.frombuffer(r[0], np.uint64) for r in table.column("ids").to_pylist()])
+    counts = np.concatenate([np.frombuffer(r[0], np.int64) for r in table.column("counts").to_pylist()])
     words = [w for raw in table.column("words").to_pylist() if raw for w in raw.split(b"\xfe")]
-    merged, kept_words, totals, clashes = [], [], {}, 0
-    for d in range(1, max_words + 1):
-        counts = np.concatenate([np.frombuffer(r[d - 1], np.int64) for r in counts_rows])
-        blocks = [np.frombuffer(r[d - 1], np.uint64).reshape(d, -1) for r in ids_rows]
-        ids = np.concatenate(blocks, axis=1)
+    if not len(ids):
+        return ids, [], counts, 0
+    order, starts, sums = _sums(ids[None], counts)
+    first = [words[i] for i in order[starts].tolist()]
+    group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(order)]))
+    clashes = sum(words[i] != first[g] for i, g in zip(order.tolist(), group.tolist(), strict=True))
+    return ids[order[starts]], [w.split(b"\xff", 1) for w in first], sums, clashes
+
+
+def merge_phrases(table: pa.Table, max_words: int):
+    """Of one partition, per phrase length from 2: ids, counts, and whether the
+    count is partial (its first two words are a hot prefix)."""
+    blocks, sizes, spread = [], [], []
+    counts_rows = table.column("counts").to_pylist()
+    for r, c in zip(table.column("ids").to_pylist(), counts_rows, strict=True):
+        for k in range(1, len(r)):
+            d = k + 1 if k < max_words else k - max_words + 3
+            if r[k]:
+                block = np.zeros((max_words, len(c[k]) // 8), np.uint64)
+                block[:d] = np.frombuffer(r[k], np.uint64).reshape(d, -1)
+                blocks.append(block)
+                sizes.append(np.full(block.shape[1], d))
+                spread.append(np.full(block.shape[1], k >= max_words))
+    if not blocks:
+        return []
+    ids, size, hot = np.concatenate(blocks, axis=1), np.concatenate(sizes), np.concatenate(spread)
+    counts = np.concatenate([np.frombuffer(c[k], np.int64) for c in counts_rows for k in range(1, len(c)) if c[k]])
+    del blocks, sizes, spread
+    marked = [np.frombuffer(raw, np.uint64).reshape(2, -1) for raw in table.column("hot").to_pylist() if raw]
+    if marked:
+        pairs = set(zip(*np.concatenate(marked, axis=1).tolist(), strict=True))
+        some = np.nonzero(np.isin(ids[0], np.array([p[0] for p in pairs], np.uint64)))[0]
+        hot[some] |= np.array([p in pairs for p in zip(ids[0, some].tolist(), ids[1, some].tolist(), strict=True)], bool)
+    out = []
+    for d in range(2, max_words + 1):
+        if d > 2:
+            own = size >= d
+            ids, size, hot, counts = ids[:, own], size[own], hot[own], counts[own]
         if not len(counts):
-            merged.append((ids, counts))
-            continue
-        mixed = digest(list(ids))
-        order = np.argsort(mixed, kind="stable")
-        changed = (ids[:, order[1:]] != ids[:, order[:-1]]).any(axis=0)
-        if (changed & (mixed[order[1:]] == mixed[order[:-1]])).any():    # equal digests of different phrases
-            order = np.lexsort(ids[::-1])
-            changed = (ids[:, order[1:]] != ids[:, order[:-1]]).any(axis=0)
-        starts = np.concatenate([[0], np.nonzero(changed)[0] + 1])
-        sums = np.add.reduceat(counts[order], starts)
-        if d == 1:
-            group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(order)]))
-            first = [words[i] for i in order[starts].tolist()]
-            clashes = sum(words[i] != first[g] for i, g in zip(order.tolist(), group.tolist(), strict=True))
-            for w, n in zip(first, sums.tolist(), strict=True):
-                lang = w.split(b"\xff", 1)[0]
-                totals[lang] = totals.get(lang, 0) + n
-        keep = np.nonzero(sums >= least)[0]
-        merged.append((ids[:, order[starts[keep]]], sums[keep]))
-        if d == 1:
-            kept_words = [first[k].split(b"\xff", 1) for k in keep.tolist()]
-    return merged, kept_words, totals, clashes
+            break
+        order, starts, sums = _sums(ids[:d], counts)
+        out.append((ids[:d, order[starts]], sums, hot[order[starts]]))
+    return out
 
 
 def phrase_counts(docs: DataFrame, *, max_words: int = 3, least: int = 10, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
@@ -344,30 +404,38 @@ def phrase_counts(docs: DataFrame, *, max_words: int = 3, least: int = 10, lang_
     parts = PARTS * shuffle_width(docs)
 
     def merge(table: pa.Table) -> pa.Table:
-        merged, words, totals, clashes = merge_runs(table, max_words, least)
-        out = {"size": [], "ids": [], "f": [], "lang": [], "word": []}
-        for d, (ids, counts) in enumerate(merged, 1):
-            n = len(counts)
-            out["size"] += [d] * n
-            out["ids"] += ids.T.astype(np.uint64).view(np.int64).tolist() if n else []
-            out["f"] += counts.tolist()
-            out["lang"] += [w[0].decode() for w in words] if d == 1 else [None] * n
-            out["word"] += [w[1].decode() for w in words] if d == 1 else [None] * n
-        for lang, n in totals.items():
-            for key, v in (("size", 0), ("ids", []), ("f", n), ("lang", lang.decode()), ("word", None)):
-                out[key].append(v)
+        out: list[tuple[int, list, list, list, list, bool]] = []     # size, ids, counts, languages, words, partial
+        ids, words, counts, clashes = merge_words(table)
+        totals: dict[bytes, int] = {}
+        for (lang, _), n in zip(words, counts.tolist(), strict=True):
+            totals[lang] = totals.get(lang, 0) + n
+        keep = np.nonzero(counts >= least)[0]
+        out.append((1, ids[keep].view(np.int64)[:, None].tolist(), counts[keep].tolist(),
+                    *([words[k][at].decode() for k in keep.tolist()] for at in (0, 1)), False))
+        out.append((0, [[]] * len(totals), list(totals.values()), [k.decode() for k in totals], [None] * len(totals), False))
         if clashes:
-            for key, v in (("size", -1), ("ids", []), ("f", clashes), ("lang", None), ("word", None)):
-                out[key].append(v)
-        return pa.table({"size": pa.array(out["size"], pa.int32()), "ids": pa.array(out["ids"], pa.list_(pa.int64())),
-                         "f": pa.array(out["f"], pa.int64()), "lang": pa.array(out["lang"], pa.string()),
-                         "word": pa.array(out["word"], pa.string())})
+            out.append((-1, [[]], [clashes], [None], [None], False))
+        del words
+        for d, (ids, counts, hot) in enumerate(merge_phrases(table, max_words), 2):
+            for partial in (False, True):
+                keep = (hot == partial) & (partial | (counts >= least))
+                n = int(keep.sum())
+                out.append((d, ids[:, keep].T.astype(np.uint64).view(np.int64).tolist() if n else [], counts[keep].tolist(),
+                            [None] * n, [None] * n, partial))
+        return pa.table({"size": pa.array([o[0] for o in out for _ in o[1]], pa.int32()),
+                         "ids": pa.array([x for o in out for x in o[1]], pa.list_(pa.int64())),
+                         "f": pa.array([x for o in out for x in o[2]], pa.int64()),
+                         "lang": pa.array([x for o in out for x in o[3]], pa.string()),
+                         "word": pa.array([x for o in out for x in o[4]], pa.string()),
+                         "partial": pa.array([o[5] for o in out for _ in o[1]], pa.bool_())})
 
     for seed in range(1 << 30):
         runs = count_runs(docs, max_words, parts, seed, lang_col=lang_col, text_col=text_col)
-        found = cut_lineage(runs.groupBy("part").applyInArrow(merge, "size int, ids array<long>, f long, lang string, word string"))
-        if found.filter("size = -1").isEmpty():
-            return found
+        merged = cut_lineage(runs.groupBy("part").applyInArrow(
+            merge, "size int, ids array<long>, f long, lang string, word string, partial boolean"))
+        if merged.filter("size = -1").isEmpty():
+            summed = merged.filter("partial").groupBy("size", "ids").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+            return merged.filter("not partial").drop("partial").unionByName(summed, allowMissingColumns=True)
         drop_cuts(spark, cuts_of(spark)[-1:])
     raise RuntimeError("no seed gave every word its own id")
 
@@ -419,7 +487,7 @@ def collocations(docs: DataFrame, *, min_words: int = 2, max_words: int = 3, lea
                  lang_col: str = "lang", text_col: str = "text") -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: each language's ``top``
     phrases."""
-    found = phrase_counts(docs, max_words=max_words, least=least, lang_col=lang_col, text_col=text_col)
+    found = cut_lineage(phrase_counts(docs, max_words=max_words, least=least, lang_col=lang_col, text_col=text_col))
     scored = cut_lineage(with_scores(found, min_words=min_words, max_words=max_words))
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
     ranked = (without_covered(scored, min_words=min_words, max_words=max_words)

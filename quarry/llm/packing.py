@@ -25,12 +25,13 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import prepare, text_or_empty
-from quarry.llm._tokens import load_vocabulary
-from quarry.llm.bpe_codec import worker_table
+from quarry.llm._common import begin_task, prepare, text_or_empty
+from quarry.llm._tokens import ChunkTable, PairTable, Vocabulary, is_plain, load_vocabulary, pre_token_plan
+from quarry.llm.bpe_codec import encode_flat
 from quarry.session import cut_lineage
 
 #: Length classes of the fit: a class is ``max_len / CLASSES`` tokens wide.
@@ -39,6 +40,79 @@ CLASSES = 64
 GAP_CLASSES = 2
 
 
+#: Stands behind a chunk among the ids of many; no vocabulary has this id.
+_STOP = np.array([0xFFFFFFFF], "<u4")
+
+
+class RawIds:
+    """Ids of texts as little-endian bytes.  Chunks are looked up whole; what
+    new ones consist of is looked up by pre-token, so a word is merged once
+    per worker whatever stands around it."""
+
+    def __init__(self, vocab: Vocabulary, entries: int = 250_000):
+        self.vocab, self.pairs, self.entries = vocab, PairTable(vocab), entries
+        self.find = regex.compile(f"{vocab.pattern}|\n").findall
+        self.words: dict[str, bytes] = {"\n": _STOP.tobytes()}
+        self.chunks = ChunkTable(vocab, self.encode_chunks, entries=entries)
+
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Where white space is dropped, plain chunks (all but special strings
+        and rare characters) are split together, one to a line."""
+        out = [b""] * len(chunks)
+        plain = [self.vocab.end_of_word and is_plain(c) and self.vocab.added_start not in c for c in chunks]
+        lines = [c for c, p in zip(chunks, plain, strict=True) if p]
+        if lines:
+            text = "\n".join(lines) + "\n"
+            found = self.find(text.lower() if self.vocab.lower else text)
+            raw = b"".join(map(self.known(found).__getitem__, found))
+            stops = np.nonzero(np.frombuffer(raw, "<u4") == _STOP)[0].tolist()
+            at = 0
+            for k, stop in zip([k for k, p in enumerate(plain) if p], stops, strict=True):
+                out[k] = raw[at : 4 * stop]
+                at = 4 * stop + 4
+        other = [k for k, p in enumerate(plain) if not p]
+        plan, new = pre_token_plan(self.vocab, [chunks[k] for k in other], lambda pre: None)
+        raws = encode_raw(new, self.pairs)
+        for k, parts in zip(other, plan, strict=True):
+            out[k] = b"".join([np.array(p, "<u4").tobytes() if isinstance(p, list) else raws[p] for p in parts])
+        return out
+
+    def known(self, found: list[str]) -> dict[str, bytes]:
+        """The table of pre-tokens, with those of ``found`` added."""
+        if len(self.words) > self.entries:
+            self.words = {"\n": self.words["\n"]}
+        new = [w for w in set(found) if w not in self.words]
+        coded = dict(zip(new, encode_raw([w.encode() for w in new], self.pairs), strict=True))
+        long = {w for w in new if len(w) > self.chunks.longest}
+        if long:                                       # for this call only
+            self.words.update((w, r) for w, r in coded.items() if w not in long)
+            return self.words | {w: coded[w] for w in long}
+        self.words.update(coded)
+        return self.words
+
+
+def encode_raw(words: list[bytes], pairs: PairTable) -> list[bytes]:
+    """Ids of each pre-token, as little-endian bytes."""
+    out = [b""] * len(words)
+    for part, flat, ends in encode_flat(words, pairs):
+        raw, start = flat.astype("<u4").tobytes(), 0
+        for k, stop in zip(part.tolist(), (4 * ends).tolist(), strict=True):
+            out[k] = raw[start:stop]
+            start = stop
+    return out
+
+
+_WORKER: dict[int, RawIds] = {}
+
+
+def worker_ids(vocab: Vocabulary) -> RawIds:
+    """The worker's tables of this vocabulary."""
+    key = hash(vocab.source)
+    if key not in _WORKER:
+        _WORKER[key] = RawIds(vocab)
+    return _WORKER[key]
+
+
 def pieces(docs: DataFrame, vocab_path: str, *, max_len: int = 4096, end_id: int = 1, id_col: str = "doc_id",
            text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Tokenise whole texts, add ``end_id``, and cut what is longer than
@@ -49,7 +123,8 @@ def pieces(docs: DataFrame, vocab_path: str, *, max_len: int = 4096, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        table = worker_table(shared.value, "raw", lambda codec, ids: np.array(ids, "<u4").tobytes())
+        begin_task("packing")
+        table = worker_ids(shared.value).chunks
         for b in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
             for k, values in enumerate(table.rows(b.column("_text").to_pylist())):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import prepare, text_or_empty
+from quarry.llm._common import begin_task, prepare, text_or_empty
 from quarry.llm.components import components
 from quarry.session import cut_lineage
 
@@ -75,6 +75,7 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", words: int = 3) ->
     schema = ", ".join([f"`{c}` {src.schema[c].dataType.simpleString()}" for c in kept] + ["fp long"])
 
     def run(batches):
+        begin_task()
         for b in batches:
             fp = np.array([fingerprint(t, words) for t in b.column("_text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(fp)], names=[*kept, "fp"])

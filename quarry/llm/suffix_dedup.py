@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import prepare, shuffle_width
+from quarry.llm._common import begin_task, prepare, shuffle_width
 from quarry.session import cut_lineage
 
 #: Bytes of the strings whose least hash is a window's key.
@@ -244,6 +244,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = "block long, ids array<long>, hashes array<binary>, sizes array<long>, data binary"
 
     def run(batches):
+        begin_task()
         base, nth = TaskContext.get().partitionId() << 33, 0
         for b in batches:
             sizes = np.array([len(t) for t in _texts(b)], np.int64)
@@ -399,6 +400,7 @@ def _from_five(raw: bytes) -> np.ndarray:
 
 def ask_keys(blocks: DataFrame, min_len: int, buckets: int) -> DataFrame:
     def run(batches):
+        begin_task()
         for b in batches:
             for block, ids, data in zip(*(b.column(c).to_pylist() for c in ("block", "ids", "data")), strict=True):
                 bucket, low, docs, _ = _Block(ids, data, min_len).distinct_keys(buckets)
@@ -451,6 +453,7 @@ def _read_status(answers: dict[int, bytes], bucket: np.ndarray) -> np.ndarray:
 
 def send_contents(joined: DataFrame, min_len: int, key_buckets: int, buckets: int) -> DataFrame:
     def run(batches):
+        begin_task()
         for b in batches:
             for row in b.to_pylist():
                 _, bucket_of, contents, least, _ = _judge_block(row, min_len, key_buckets, buckets)
@@ -590,6 +593,7 @@ def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     id_type = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
+        begin_task()
         for b in batches:
             for row in b.to_pylist():
                 block, masks = removed(row)
@@ -617,6 +621,7 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     schema = docs.schema
 
     def run(batches):
+        begin_task()
         for b in batches:
             for row in b.to_pylist():
                 block, masks = removed(row)

@@ -44,6 +44,25 @@ def brute(rows, least=10, top=2000, min_words=2, max_words=3):
     return sorted(out)
 
 
+def merged(rows, parts, max_words):
+    """Counts of all phrases out of the rows of a ``Counter``."""
+    got, names = Counter(), {}
+    for part in range(parts):
+        own = [x for x in rows if x[0] == part]
+        table = pa.table({k: [x[i] for x in own] for k, i in (("ids", 1), ("counts", 2), ("words", 3), ("hot", 4))})
+        ids, words, counts, clashes = collocations.merge_words(table)
+        assert clashes == 0
+        names |= {i: w[1].decode() for i, w in zip(ids.tolist(), words, strict=True)}
+        got.update(dict(zip(((i,) for i in ids.tolist()), counts.tolist(), strict=True)))
+        final = Counter()
+        for ids, counts, hot in collocations.merge_phrases(table, max_words):
+            for key, n, partial in zip(map(tuple, ids.T.tolist()), counts.tolist(), hot.tolist(), strict=True):
+                assert partial or key not in got                       # only partial sums come from several partitions
+                final[key] += n
+        got.update(final)
+    return Counter({tuple(names[i] for i in k): n for k, n in got.items()})
+
+
 def run(df, **options):
     return sorted(map(tuple, collocations.collocations(df, **options).collect()))
 
@@ -70,6 +89,9 @@ def test_spills_bursts_and_new_ids(spark, monkeypatch):
     monkeypatch.setattr(collocations, "BURST", 50)
     monkeypatch.setattr(collocations, "MEMORY", 2_000)
     monkeypatch.setattr(collocations, "SLICE", 300)
+    monkeypatch.setattr(collocations, "HOT", 2)
+    texts += [f"hot pair w{i}" for i in range(3_000)] + ["hot pair", "hot pair. hot pair", "hot"]
+    want = counts_of(texts, 3)
     for limit in (1 << 20, 700):
         monkeypatch.setattr(collocations, "WORDS", limit)
         counter = collocations.Counter(3, 4, 9)
@@ -77,15 +99,8 @@ def test_spills_bursts_and_new_ids(spark, monkeypatch):
         assert len(counter.trie.boxes) > 20 and all(b.size <= 50 for b in counter.trie.boxes)
         rows += list(counter.rows(0))
         assert len(rows) > 8 and counter.trie.size == 0
-        got, names = Counter(), {}
-        for part in range(4):
-            own = [x for x in rows if x[0] == part]
-            table = pa.table({"ids": [x[1] for x in own], "counts": [x[2] for x in own], "words": [x[3] for x in own]})
-            merged, kept, totals, clashes = collocations.merge_runs(table, 3, 1)
-            assert clashes == 0
-            names |= {i: w[1].decode() for i, w in zip(merged[0][0][0].tolist(), kept, strict=True)}
-            got.update({tuple(c): n for ids, n_s in merged for c, n in zip(ids.T.tolist(), n_s.tolist(), strict=True)})
-        assert Counter({tuple(names[i] for i in k): n for k, n in got.items()}) == want
+        assert any(x[4] for x in rows)                                 # hot prefixes
+        assert merged(rows, 4, 3) == want
 
 
 def test_runs_are_sorted_and_parted_by_prefix():
@@ -102,17 +117,16 @@ def test_runs_are_sorted_and_parted_by_prefix():
 
 def test_words_that_share_an_id_are_found():
     table = {"ids": [[np.array([7, 7], np.uint64).tobytes()]], "counts": [[np.array([3, 4]).tobytes()]], "words": [b"en\xffone\xfeen\xfftwo"]}
-    assert collocations.merge_runs(pa.table(table), 1, 1)[3] == 1
+    assert collocations.merge_words(pa.table(table))[3] == 1
     table["words"] = [b"en\xffone\xfeen\xffone"]
-    assert collocations.merge_runs(pa.table(table), 1, 1)[3] == 0
+    assert collocations.merge_words(pa.table(table))[3] == 0
 
 
 def test_equal_digests_of_different_phrases(monkeypatch):
     monkeypatch.setattr(collocations, "digest", lambda columns: columns[0] * np.uint64(0))
     ids = np.array([[1, 2, 1, 1], [5, 5, 5, 6]], np.uint64)
-    table = pa.table({"ids": [[b"", ids.tobytes()]], "counts": [[b"", np.array([1, 2, 3, 4]).tobytes()]], "words": [b""]})
-    merged = collocations.merge_runs(table, 2, 1)[0][1]
-    assert dict(zip(map(tuple, merged[0].T.tolist()), merged[1].tolist(), strict=True)) == {(1, 5): 4, (2, 5): 2, (1, 6): 4}
+    order, starts, sums = collocations._sums(ids, np.array([1, 2, 3, 4]))
+    assert dict(zip(map(tuple, ids[:, order[starts]].T.tolist()), sums.tolist(), strict=True)) == {(1, 5): 4, (2, 5): 2, (1, 6): 4}
 
 
 def test_large_counts_are_exact(spark):
@@ -136,7 +150,4 @@ def test_long_text_over_slices(spark, monkeypatch):
     monkeypatch.setattr(collocations, "SLICE", 1_000)
     counter = collocations.Counter(3, 1, 0)
     rows_out = [x for _, t, _ in rows for x in counter.add(b"en", [t.encode()])] + list(counter.rows(0))
-    table = pa.table({"ids": [x[1] for x in rows_out], "counts": [x[2] for x in rows_out], "words": [x[3] for x in rows_out]})
-    merged = collocations.merge_runs(table, 3, 1)[0]
-    want = counts_of([t for _, t, _ in rows], 3)
-    assert sorted(merged[2][1].tolist()) == sorted(n for p, n in want.items() if len(p) == 3)
+    assert merged(rows_out, 1, 3) == counts_of([t for _, t, _ in rows], 3)

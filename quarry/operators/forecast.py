@@ -23,8 +23,9 @@ series in one task:
   each series' last ``TAIL`` rows (a bounded number per key) are joined to
   the fitted parameters.
 
-Estimates are least-squares ones, close to but not digit for digit equal
-to exact maximum likelihood.
+These estimates are least-squares ones.  F5 (``likelihood``) maximises the
+exact likelihood from them, for series of any length, and F4 and F6 forecast
+from either.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ TIME_FORMATS = ["M/d/yyyy", "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "yyyy/M/d", "yy
 AR_ORDER = 6            # order of the long autoregression (first stage)
 LAGS = AR_ORDER + 2     # y lags needed for d_t .. d_{t-7}
 CLIP = 0.99             # |phi|, |theta| bound
-MIN_POINTS = 20         # shorter series are not fitted
+MIN_POINTS = LAGS + 3   # F3 regresses rows with all their lags on two others; F5 fits shorter series too
 TAIL = 4000             # 0.99 ** 4000 < 1e-17
 BLOCK_ROWS = 100_000
 
@@ -234,6 +235,14 @@ def _fit_state(series: DataFrame, key=None, block_rows: int = BLOCK_ROWS) -> Dat
     return params.join(shocks, keys, "left")
 
 
+def _ends(series: DataFrame, keys: list[str]) -> DataFrame:
+    """Per series its last value, difference and time, and its least and largest gap."""
+    rows = with_lags(series, keys, 1).select(*keys, "t", "ts", "y", (F.col("y") - F.col("y1")).alias("d0"),
+                                             F.timestamp_diff("MICROSECOND", F.col("ts1"), F.col("ts")).alias("gap"))
+    return rows.groupBy(*keys).agg(F.max_by("y", "t").alias("y_last"), F.max_by("d0", "t").alias("d_last"), F.max_by("ts", "t").alias("ts_last"),
+                                   F.min("gap").alias("gap_min"), F.max("gap").alias("gap_max"))
+
+
 def arima_fit(series: DataFrame, key=None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(keys..., phi, theta, sigma2, n, status)`` per series."""
     keys = _keys(key)
@@ -245,11 +254,16 @@ def forecast_steps(dialect: str, steps_col: str = "step") -> list[tuple[str, str
     return [("yhat", f"y_last + {g} * " + div(f"1 - power(phi, {steps_col})", "1 - phi", dialect))]
 
 
-def arima_forecast(series: DataFrame, key=None, steps: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def arima_forecast(series: DataFrame, key=None, steps: int = 10, block_rows: int = BLOCK_ROWS,
+                   fit: DataFrame | None = None) -> DataFrame:
     """``(keys..., step, ts, yhat)``, steps 1..``steps`` ahead.  ``ts`` is
-    last time + step × gap when the series' gaps are all equal, else null."""
+    last time + step × gap when the series' gaps are all equal, else null.
+    ``fit``: a result of ``arima_refine`` to forecast from instead of F3's."""
     keys = _keys(key)
-    state = _fit_state(series, keys, block_rows)
+    if fit is not None and not keys:
+        return arima_forecast(series.withColumn("__one", F.lit(0)), ["__one"], steps, block_rows, fit.withColumn("__one", F.lit(0))).drop("__one")
+    state = _fit_state(series, keys, block_rows) if fit is None else lookup_join(
+        _ends(series, keys), fit.select(*keys, "phi", "theta", "e_last"), keys)
     ahead = state.select("*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step"))
     out = _apply_steps(ahead, forecast_steps("spark"))
     regular = (F.col("gap_min") == F.col("gap_max")) & (F.col("gap_min") > 0)
@@ -257,12 +271,13 @@ def arima_forecast(series: DataFrame, key=None, steps: int = 10, block_rows: int
     return out.select(*keys, F.col("step").cast("int").alias("step"), ts.alias("ts"), "yhat")
 
 
-def series_with_forecast(series: DataFrame, key=None, steps: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def series_with_forecast(series: DataFrame, key=None, steps: int = 10, block_rows: int = BLOCK_ROWS,
+                         fit: DataFrame | None = None) -> DataFrame:
     """history and forecast in one result: ``(keys..., kind, t, ts, y)``
-    with kind ``history`` or ``forecast`` (t continues past n)."""
+    with kind ``history`` or ``forecast`` (t continues past n); ``fit`` as in F4."""
     keys = _keys(key)
     hist = series.select(*keys, F.lit("history").alias("kind"), "t", "ts", "y")
-    fc = arima_forecast(series, keys, steps, block_rows)
+    fc = arima_forecast(series, keys, steps, block_rows, fit)
     n = series.groupBy(*keys).agg(F.max("n").alias("__n")) if keys else None
     if keys:
         fc = fc.join(n, keys, "left")
@@ -275,149 +290,19 @@ def series_with_forecast(series: DataFrame, key=None, steps: int = 10, block_row
 
 # ------------------------------------------------------------------ F5 refine
 
-_BASIS = ["le", "la", "b1", "b2", "g"]
-_GRAM = [(i, j) for i in range(5) for j in range(i, 5)]
-
-
-def _block_pass(pdf):
-    """One (key, block) group: local residual and derivative recurrences from
-    zero carry, reduced to end values and the Gram matrix of the basis
-    sequences (see ``arima_refine``)."""
-    import numpy as np
-    import pandas as pd
-
-    pdf = pdf.sort_values("t")
-    d0 = pdf["d0"].to_numpy(dtype=float)
-    d1 = np.nan_to_num(pdf["d1"].to_numpy(dtype=float), nan=0.0)
-    phi, theta = float(pdf["__phi"].iloc[0]), float(pdf["__theta"].iloc[0])
-    c = -theta
-    m = len(d0)
-    ue, ua = d0 - phi * d1, -d1
-    le, la, b1, b2, g = (np.empty(m) for _ in range(5))
-    pe_l, pe_g = 0.0, 1.0      # e_{s-1} = pe_l + pe_g * E_in
-    x_e = x_a = x_b1 = x_b2 = 0.0
-    gp = 1.0
-    for i in range(m):
-        x_b1 = c * x_b1 - pe_l
-        x_b2 = c * x_b2 - pe_g
-        x_e = c * x_e + ue[i]
-        x_a = c * x_a + ua[i]
-        gp = gp * c
-        le[i], la[i], b1[i], b2[i], g[i] = x_e, x_a, x_b1, x_b2, gp
-        pe_l, pe_g = x_e, gp
-    basis = [le, la, b1, b2, g]
-    out = {k: [pdf[k].iloc[0]] for k in pdf.columns if k.startswith("__k_")}
-    out.update({"blk": [int(pdf["blk"].iloc[0])], "m": [m],
-                "le_end": [x_e], "la_end": [x_a], "b1_end": [x_b1], "b2_end": [x_b2], "g_end": [gp]})
-    for i, j in _GRAM:
-        out[f"m{i}{j}"] = [float(basis[i] @ basis[j])]
-    return pd.DataFrame(out)
-
-
-def _chain_and_step(pdf):
-    """One key: resolve block carries in order, sum the Gauss–Newton
-    quantities, and move the state (with step halving if the cost rose)."""
-    import numpy as np
-    import pandas as pd
-
-    pdf = pdf.sort_values("blk")
-    E = A = B = 0.0
-    sums = dict.fromkeys(["ee", "aa", "bb", "ab", "ae", "be"], 0.0)
-    for r in pdf.itertuples(index=False):
-        M = np.zeros((5, 5))
-        for i, j in _GRAM:
-            M[i, j] = M[j, i] = getattr(r, f"m{i}{j}")
-        ce = np.array([1, 0, 0, 0, E])
-        ca = np.array([0, 1, 0, 0, A])
-        cb = np.array([0, 0, 1, E, B])
-        sums["ee"] += ce @ M @ ce
-        sums["aa"] += ca @ M @ ca
-        sums["bb"] += cb @ M @ cb
-        sums["ab"] += ca @ M @ cb
-        sums["ae"] += ca @ M @ ce
-        sums["be"] += cb @ M @ ce
-        E, A, B = (r.le_end + r.g_end * E, r.la_end + r.g_end * A,
-                   r.b1_end + r.b2_end * E + r.g_end * B)
-    first = pdf.iloc[0]
-    st = {k: first[k] for k in pdf.columns if k.startswith("__k_") or k.startswith("s_")}
-    cost = sums["ee"]
-    if pd.isna(st["s_best"]) or cost <= st["s_best"]:
-        st["s_best"], st["s_bphi"], st["s_btheta"] = cost, st["s_phi"], st["s_theta"]
-        jj = np.array([[sums["aa"], sums["ab"]], [sums["ab"], sums["bb"]]])
-        je = np.array([sums["ae"], sums["be"]])
-        try:
-            step = -np.linalg.solve(jj, je)
-        except np.linalg.LinAlgError:
-            step = np.zeros(2)
-        st["s_dphi"], st["s_dtheta"], st["s_scale"] = float(step[0]), float(step[1]), 1.0
-    else:
-        st["s_scale"] = st["s_scale"] / 2.0
-    st["s_phi"] = float(np.clip(st["s_bphi"] + st["s_scale"] * st["s_dphi"], -CLIP, CLIP))
-    st["s_theta"] = float(np.clip(st["s_btheta"] + st["s_scale"] * st["s_dtheta"], -CLIP, CLIP))
-    st["s_n"] = int(pdf["m"].sum())
-    return pd.DataFrame({k: [v] for k, v in st.items()})
-
-
-def arima_refine(series: DataFrame, key=None, iterations: int = 8, block_rows: int = BLOCK_ROWS,
-                 start: DataFrame | None = None, tol: float = 1e-9) -> DataFrame:
-    """refine φ, θ by conditional sum of squares (Gauss–Newton, started
-    from F3, cost never allowed to rise): ``(keys..., phi, theta, sigma2, n,
-    status, css_start, css)``.
-
-    The residual recursion e_s = d_s − φ·d_{s−1} − θ·e_{s−1} and its
-    derivatives are first-order linear recurrences, so they split exactly
-    over position blocks: each (key, block) group runs them from a zero carry
-    in a grouped pandas function (at most ``block_rows`` rows), reduced to
-    end values and a 5 × 5 Gram matrix; the carries are then chained over the
-    blocks of each key (one small row per block) and the sums of squares
-    follow by linearity.  One pass over the data per iteration; the lagged
-    input is checkpointed to the shared folder once, and the per-key state
-    after each iteration, so lineage stays short.  Iteration stops early
-    when no series' next step exceeds ``tol``.
-    """
-    from quarry.session import cut_lineage, ship_package
-
-    ship_package(series.sparkSession)
+def arima_refine(series: DataFrame, key=None, start: DataFrame | None = None, tol: float = 1e-6,
+                 block_points: int | None = None) -> DataFrame:
+    """φ, θ by exact maximum likelihood, started from F3 and a grid:
+    ``(keys..., phi, theta, sigma2, n, status, converged, rounds, loglik_start,
+    loglik, e_last)``, a row per series of three points or more and one with
+    status ``too_short_or_constant`` for the others.  Rounds go on until no
+    series moves (see ``likelihood``); ``converged`` tells whether the last
+    Newton step was below ``tol`` or had nothing left to gain."""
+    from quarry.operators import likelihood
+
     keys = _keys(key)
-    kcols = [f"__k_{k}" for k in keys] or ["__k_all"]
-    lagged = with_lags(series, keys, 2, block_rows)
-    data = lagged.where(F.col("y1").isNotNull()).select(
-        *[F.col(k).alias(f"__k_{k}") for k in keys] or [F.lit(0).alias("__k_all")],
-        "t", (F.col("y") - F.col("y1")).alias("d0"), (F.col("y1") - F.col("y2")).alias("d1"),
-        F.floor((F.col("t") - 2) / F.lit(block_rows)).cast("long").alias("blk"))
-    data = cut_lineage(data)
-    init = start if start is not None else arima_fit(series, keys, block_rows)
-    init = init.select(*[F.col(k).alias(f"__k_{k}") for k in keys] or [F.lit(0).alias("__k_all")],
-                       F.col("phi").alias("s_phi"), F.col("theta").alias("s_theta"))
-    state = init.select(*kcols, "s_phi", "s_theta", F.lit(None).cast("double").alias("s_best"),
-                        F.lit(None).cast("double").alias("s_bphi"), F.lit(None).cast("double").alias("s_btheta"),
-                        F.lit(0.0).alias("s_dphi"), F.lit(0.0).alias("s_dtheta"), F.lit(1.0).alias("s_scale"),
-                        F.lit(0).cast("long").alias("s_n"))
-    key_fields = [data.schema[k] for k in kcols]
-    block_schema = T.StructType(key_fields + [T.StructField("blk", T.LongType()), T.StructField("m", T.LongType())]
-                                + [T.StructField(f"{b}_end", T.DoubleType()) for b in _BASIS]
-                                + [T.StructField(f"m{i}{j}", T.DoubleType()) for i, j in _GRAM])
-    state_schema = state.schema
-    first_cost = None
-    for it in range(iterations + 1):
-        params = state.select(*kcols, F.col("s_phi").alias("__phi"), F.col("s_theta").alias("__theta"))
-        blocks = (lookup_join(data, params, kcols).groupBy(*kcols, "blk")
-                  .applyInPandas(_block_pass, block_schema))
-        stepped = (blocks.join(state, kcols, "inner").groupBy(*kcols)
-                   .applyInPandas(_chain_and_step, state_schema))
-        state = cut_lineage(stepped)
-        if it == 0:
-            first_cost = state.select(*kcols, F.col("s_best").alias("css_start"))
-        # stop once no key would move: one aggregate row of the stored state
-        move = state.agg(F.max(F.greatest(F.abs(F.col("s_scale") * F.col("s_dphi")),
-                                          F.abs(F.col("s_scale") * F.col("s_dtheta"))))).first()[0]
-        if it > 0 and (move is None or move < tol):
-            break
-    out = state.join(first_cost, kcols, "left").select(
-        *[F.col(f"__k_{k}").alias(k) for k in keys],
-        F.col("s_bphi").alias("phi"), F.col("s_btheta").alias("theta"),
-        F.try_divide(F.col("s_best"), F.col("s_n")).alias("sigma2"),
-        (F.col("s_n") + 1).alias("n"),
-        F.when(F.col("s_n") + 1 < MIN_POINTS, "too_short_or_constant").otherwise("ok").alias("status"),
-        "css_start", F.col("s_best").alias("css"))
-    return out
+    if not keys:
+        one = start.withColumn("__one", F.lit(0)) if start is not None else None
+        return arima_refine(series.withColumn("__one", F.lit(0)), ["__one"], one, tol, block_points).drop("__one")
+    init = start if start is not None else arima_fit(series, keys)
+    return likelihood.maximise(series, init, keys, points=block_points or likelihood.BLOCK_POINTS, tol=tol)

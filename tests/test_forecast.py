@@ -2,8 +2,10 @@ import datetime as dt
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.operators import forecast as fc
+from quarry.operators import likelihood
 
 
 def _arima_series(phi, theta, n, seed):
@@ -100,16 +102,83 @@ def test_parse_time_strict_and_lenient(spark):
         fc.parse_time(df, "s").collect()
 
 
-def test_refine_lowers_cost_and_ignores_block_size(spark):
-    df = _frame(spark, {1: _arima_series(0.5, 0.8, 1500, 21), 2: _arima_series(0.6, 0.3, 800, 22)})
-    s = fc.as_series(df, "ts", "y", "key", "id")
-    a = {r.key: r for r in fc.arima_refine(s, "key", 5).collect()}
-    b = {r.key: r for r in fc.arima_refine(s, "key", 5, block_rows=97).collect()}
-    for k in (1, 2):
-        assert a[k].css <= a[k].css_start
-        assert abs(a[k].phi - b[k].phi) < 1e-9 and abs(a[k].theta - b[k].theta) < 1e-9
-        assert abs(a[k].css - b[k].css) < 1e-6
-    assert abs(a[1].theta - 0.8) < 0.08
+def _filter(d, phi, theta):
+    """The Kalman filter a step at a time: log-likelihood and last shock."""
+    r = (1 + 2 * phi * theta + theta * theta) / (1 - phi * phi)
+    v = d[0]
+    s, g = v * v / r, np.log(r)
+    for t in range(1, len(d)):
+        v = d[t] - phi * d[t - 1] - theta * v / r
+        r = 1 + theta * theta - theta * theta / r
+        s, g = s + v * v / r, g + np.log(r)
+    m = len(d)
+    return -0.5 * (m * (np.log(2 * np.pi * s / m) + 1) + g), v / r
+
+
+@pytest.mark.parametrize("points", [3, 16, 4096])
+def test_likelihood_equals_a_sequential_filter(spark, points):
+    series = {1: _arima_series(0.5, 0.8, 300, 21), 2: _arima_series(-0.6, 0.3, 41, 22), 3: np.array([1.0, 4.0, 2.0])}
+    s = fc.as_series(_frame(spark, series), "ts", "y", "key", "id")
+    at = [(0.3, 0.2), (-0.9, 0.95), (0.0, 0.0), (0.7, -0.7), (0.99, -0.999)]
+    got = likelihood.exact_log_likelihood(s, at, "key", points=points).collect()
+    assert len(got) == 15
+    for r in got:
+        assert r.loglik == pytest.approx(_filter(np.diff(series[r.key]), r.phi, r.theta)[0], rel=1e-9, abs=1e-8)
+
+
+def test_elements_compose_in_a_tree(spark):
+    """More blocks than are combined at once."""
+    ys = _arima_series(0.4, 0.5, 900, 7)
+    s = fc.as_series(_frame(spark, {1: ys}), "ts", "y", "key", "id")
+    blocks = likelihood.packed_blocks(s, ["key"], 5)
+    at = blocks.select("key").distinct().withColumn("at", F.expr("array(struct(0.4d AS phi, 0.5d AS theta))"))
+    parts = likelihood.elements(blocks, at, ["key"])
+    few, many = (likelihood.combined(parts, ["key"], 179, fan).first()["e"][0] for fan in (4, 1024))
+    assert list(few) == pytest.approx(list(many), rel=1e-9)
+
+
+def test_refine_finds_the_maximum_whatever_the_blocks(spark):
+    series = {1: _arima_series(0.5, 0.8, 1500, 21), 2: _arima_series(0.6, 0.3, 120, 22), 3: _arima_series(0.2, -0.5, 12, 5),
+              4: np.array([3.0, 5.0, 4.0, 9.0]), 5: np.array([5.0] * 30), 6: np.array([1.0, 2.0]), 7: np.array([8.0])}
+    s = fc.as_series(_frame(spark, series), "ts", "y", "key", "id", materialize=True)
+    a = {r.key: r for r in fc.arima_refine(s, "key").collect()}
+    b = {r.key: r for r in fc.arima_refine(s, "key", block_points=97).collect()}
+    grid = [(p, q) for p in np.linspace(-.97, .97, 25) for q in np.linspace(-.97, .97, 25)]
+    for k in (1, 2, 3, 4):
+        d = np.diff(series[k])
+        assert a[k].status == "ok" and a[k].converged and b[k].converged and a[k].rounds > 1
+        assert a[k].loglik >= a[k].loglik_start
+        loglik, shock = _filter(d, a[k].phi, a[k].theta)
+        assert a[k].loglik == pytest.approx(loglik, abs=1e-7) and a[k].e_last == pytest.approx(shock, abs=1e-7)
+        assert max(_filter(d, p, q)[0] for p, q in grid[:: 1 if k > 1 else 16]) <= a[k].loglik + 1e-7
+        assert a[k].loglik == pytest.approx(b[k].loglik, abs=1e-6)
+    assert abs(a[1].phi - b[1].phi) < 1e-4 and abs(a[1].theta - 0.8) < 0.08 and abs(a[1].phi - 0.5) < 0.08
+    assert all(a[k].status == "too_short_or_constant" and a[k].phi == 0.0 for k in (5, 6, 7)) and set(a) == set(series)
+
+
+def test_forecast_from_the_refined_fit(spark):
+    ys = _arima_series(0.5, 0.4, 80, 5)
+    s = fc.as_series(_frame(spark, {7: ys, 8: ys[:3], 9: [4.0] * 5}), "ts", "y", "key", "id", materialize=True)
+    fit = fc.arima_refine(s, "key")
+    r = fit.where("key = 7").first()
+    step, want, last = r.phi * (ys[-1] - ys[-2]) + r.theta * _filter(np.diff(ys), r.phi, r.theta)[1], [], ys[-1]
+    for _ in range(5):
+        last += step
+        want.append(last)
+        step *= r.phi
+    got = fc.arima_forecast(s, "key", 5, fit=fit).orderBy("key", "step").collect()
+    assert [x.yhat for x in got if x.key == 7] == pytest.approx(want)
+    assert [x.yhat for x in got if x.key == 9] == [4.0] * 5 and len(got) == 15
+    alone = fc.as_series(_frame(spark, {7: ys}).drop("key"), "ts", "y", None, "id")
+    got = fc.arima_forecast(alone, None, 5, fit=fc.arima_refine(alone)).orderBy("step").collect()
+    assert [x.yhat for x in got] == pytest.approx(want)
+    assert fc.series_with_forecast(s, "key", 5, fit=fit).count() == 88 + 15
+
+
+def test_refine_with_missing_values_and_empty_table(spark):
+    df = _frame(spark, {1: [1.0, float("nan"), 3.0, 2.0, 5.0]})
+    assert fc.arima_refine(fc.as_series(df, "ts", "y", "key", "id"), "key").first().status == "missing_values"
+    assert fc.arima_refine(fc.as_series(df.limit(0), "ts", "y", "key", "id"), "key").collect() == []
 
 
 def test_single_series_without_key(spark):

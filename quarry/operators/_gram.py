@@ -1,43 +1,54 @@
-"""Second moments of many columns at once.
+"""Second moments of many columns at once, inside the engine.
 
 The columns' means come first (``attach``: one aggregation, read as a scalar
-subquery or joined per group), then one pass over the centred values adds up
-pair sums in numpy, a matrix product per Arrow batch, over the rows in which
-both values of a pair are present.  Every task emits one row per group and
-pair; the rows are added by an ordinary aggregation, combined before its
-shuffle.  The plan has the same few expressions for two columns or hundreds.
+subquery or joined per group).  Then one aggregation over the centred values
+sums each pair over the rows in which both of its values are present.  Up to
+``DIRECT`` columns every pair has its own sums in one aggregate, few enough for
+compiled code.  More columns are cut into tiles of ``TILE``: a row is exploded
+to its pairs of tiles, and every (tile, tile) group sums its small product,
+combined map-side, so the number of expressions does not grow with the columns.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators._stats import attach, grouped_agg
-from quarry.session import ship_package
 
-_SUMS = ["n", "sx", "sy", "sxx", "syy", "sxy"]
+#: Columns whose pairs fit one compiled aggregate; columns of a tile.
+DIRECT, TILE = 4, 3
 
 
-def _whole(x: np.ndarray, lo, hi):
-    """Pair sums of one group: matrices of the six sums, and the range of x
-    over the rows in which y is present."""
-    here = ~np.isnan(x)
-    z = np.where(here, x, 0.0)
-    m = here.astype(float)
-    sx, sxx = z.T @ m, (z * z).T @ m
-    if here.all():
-        low, high = (np.repeat(f(axis=0)[:, None], x.shape[1], 1) for f in (x.min, x.max))
+def _pair_sums(i: Column, j: Column, x: Column, y: Column, same: bool) -> Column:
+    """Sums of one pair over the rows with both values, as a struct."""
+    def where(v: Column, other: Column) -> Column:
+        return v if same else F.when(other.isNotNull(), v)
+
+    a, b = where(x, y), where(y, x)
+    first = [F.count(a).alias("n"), F.sum(a).alias("sx"), F.sum(a * a).alias("sxx"), F.min(a).alias("lo_i"), F.max(a).alias("hi_i")]
+    if same:
+        n, s, ss, lo, hi = first
+        rest = [s.alias("sy"), ss.alias("syy"), ss.alias("sxy"), lo.alias("lo_j"), hi.alias("hi_j")]
     else:
-        low, high = np.full((x.shape[1],) * 2, np.inf), np.full((x.shape[1],) * 2, -np.inf)
-        for j in range(x.shape[1]):
-            part = x[here[:, j]]
-            if len(part):
-                low[:, j] = np.where(np.isnan(part), np.inf, part).min(0)
-                high[:, j] = np.where(np.isnan(part), -np.inf, part).max(0)
-    return [m.T @ m, sx, sx.T, sxx, sxx.T, z.T @ z], np.minimum(lo, low), np.maximum(hi, high)
+        rest = [F.sum(b).alias("sy"), F.sum(b * b).alias("syy"), F.sum(x * y).alias("sxy"), F.min(b).alias("lo_j"), F.max(b).alias("hi_j")]
+    return F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), *first, *rest)
+
+
+def _sums(centred: DataFrame, names: list[str], by: list[str]) -> DataFrame:
+    """``by..., i, j`` (i <= j) and the pair's sums."""
+    k = len(names)
+    if k <= DIRECT:
+        pairs = F.array(*[_pair_sums(F.lit(i), F.lit(j), F.col(names[i]), F.col(names[j]), i == j) for i in range(k) for j in range(i, k)])
+        return grouped_agg(centred, by, [pairs.alias("pairs")]).select(*by, F.inline("pairs"))
+    tiles = -(-k // TILE)
+    index = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(tiles) for b in range(a, tiles)])
+    rows = centred.select(*by, F.array(*names).alias("x"), F.explode(index).alias("t"))
+    cells = rows.select(*by, "t.a", "t.b", *[F.get("x", F.col(f"t.{s}") * TILE + c).alias(f"{s}{c}") for s in "ab" for c in range(TILE)])
+    pairs = F.array(*[_pair_sums(F.lit(p), F.lit(q), F.col(f"a{p}"), F.col(f"b{q}"), False) for p in range(TILE) for q in range(TILE)])
+    found = cells.groupBy(*by, "a", "b").agg(pairs.alias("pairs")).select(*by, "a", "b", F.inline("pairs"))
+    return (found.withColumns({"i": (F.col("a") * TILE + F.col("i")).cast("int"), "j": (F.col("b") * TILE + F.col("j")).cast("int")})
+            .drop("a", "b").where((F.col("i") <= F.col("j")) & (F.col("j") < k)))
 
 
 def pair_moments(df: DataFrame, values: list[Column], by: list[str] | None = None) -> DataFrame:
@@ -45,56 +56,13 @@ def pair_moments(df: DataFrame, values: list[Column], by: list[str] | None = Non
     i <= j: over the rows in which both values are present, their number,
     means and centred sums of squares and products; flat: all values equal."""
     by = by or []
-    ship_package(df.sparkSession)
     k = len(values)
     names = [f"__x{i}" for i in range(k)]
     base = df.select(*by, *[v.cast("double").alias(n) for v, n in zip(values, names, strict=True)])
     means = grouped_agg(base, by, [F.avg(n).alias(f"__m{i}") for i, n in enumerate(names)])
     frame, stat = attach(base, means, by)
     centred = frame.select(*by, *[(F.col(n) - stat(f"__m{i}")).alias(n) for i, n in enumerate(names)])
-    at_i, at_j = np.triu_indices(k)
-
-    def run(batches):
-        total: dict = {}
-        schema = None
-        for b in batches:
-            schema = schema or b.schema
-            x = np.column_stack([b.column(n).to_numpy(zero_copy_only=False).astype(float) for n in names])
-            if by:
-                keys = list(zip(*[b.column(c).to_pylist() for c in by], strict=True))
-                number: dict = {}
-                code = np.array([number.setdefault(key, len(number)) for key in keys], np.int64)
-                order = np.argsort(code, kind="stable")
-                parts = np.split(order, np.cumsum(np.bincount(code, minlength=len(number)))[:-1]) if len(order) else []
-                groups = [(key, x[p]) for key, p in zip(number, parts, strict=True)]
-            else:
-                groups = [((), x)] if len(x) else []
-            for key, part in groups:
-                old = total.get(key)
-                sums, lo, hi = _whole(part, *(old[1:] if old else (np.inf, -np.inf)))
-                total[key] = ([a + s for a, s in zip(old[0], sums, strict=True)] if old else sums, lo, hi)
-            if len(total) * k * k > 1 << 18:              # a bound on what a task holds
-                yield emit(total, schema)
-                total = {}
-        if total:
-            yield emit(total, schema)
-
-    def emit(total, schema):
-        columns = [pa.array([key[c] for key in total for _ in at_i], schema.field(name).type) for c, name in enumerate(by)]
-        columns += [pa.array(np.tile(a, len(total)).astype(np.int32)) for a in (at_i, at_j)]
-        for s in range(len(_SUMS)):
-            columns.append(pa.array(np.concatenate([t[0][s][at_i, at_j] for t in total.values()])))
-        for pick in (1, 2):
-            columns.append(pa.array(np.concatenate([t[pick][at_i, at_j] for t in total.values()])))
-            columns.append(pa.array(np.concatenate([t[pick][at_j, at_i] for t in total.values()])))
-        return pa.RecordBatch.from_arrays(columns, names=[*by, "i", "j", *_SUMS, "lo_i", "lo_j", "hi_i", "hi_j"])
-
-    fields = ", ".join([*[f"`{c}` {centred.schema[c].dataType.simpleString()}" for c in by], "i int, j int",
-                        *[f"{s} double" for s in [*_SUMS, "lo_i", "lo_j", "hi_i", "hi_j"]]])
-    added = centred.mapInArrow(run, fields).groupBy(*by, "i", "j").agg(
-        *[F.sum(s).alias(s) for s in _SUMS], *[F.min(s).alias(s) for s in ("lo_i", "lo_j")],
-        *[F.max(s).alias(s) for s in ("hi_i", "hi_j")])
-    out, mean = attach(added, means, by)
+    out, mean = attach(_sums(centred, names, by), means, by)
     n = F.col("n")
     some = n > 0
 
@@ -108,4 +76,5 @@ def pair_moments(df: DataFrame, values: list[Column], by: list[str] | None = Non
     return out.select(*by, "i", "j", n.cast("bigint").alias("n"), mean_of("i", "sx").alias("mean_i"),
                       mean_of("j", "sy").alias("mean_j"), spread("sx", "sx", "sxx").alias("sii"),
                       spread("sy", "sy", "syy").alias("sjj"), spread("sx", "sy", "sxy").alias("sij"),
-                      (F.col("lo_i") == F.col("hi_i")).alias("flat_i"), (F.col("lo_j") == F.col("hi_j")).alias("flat_j"))
+                      F.coalesce(F.col("lo_i") == F.col("hi_i"), F.lit(True)).alias("flat_i"),
+                      F.coalesce(F.col("lo_j") == F.col("hi_j"), F.lit(True)).alias("flat_j"))

@@ -5,11 +5,10 @@ slope, intercept, R² and the sums of squares; the slope's standard error and
 t statistic are arithmetic on that one row (per group with ``by``), and its
 p-value is computed on the result row only.
 
-Several predictors (R5): the centred normal equations.  One aggregation
-computes every pairwise covariance (a stable one-pass moment algorithm, so
-large, nearly collinear predictors do not lose precision the way raw sums
-of squares do); the (k × k) system is then solved per group in an
-Arrow-batched grouped pandas function whose input is one row per group.
+Several predictors (R5): tall-skinny QR (``_tsqr``).  Every task reduces its
+rows to a triangular factor, the factors are merged in a tree, and the fit is
+solved from the last one, so one scan is all that is read and the condition
+number of the data is not squared.
 """
 
 from __future__ import annotations
@@ -21,9 +20,8 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import as_double, require_numeric, safe_div
 from quarry.functions.pvalues import t_pvalue
-from quarry.operators._gram import pair_moments
-from quarry.operators._lookup import lookup_join
 from quarry.operators._stats import attach, grouped_agg
+from quarry.operators._tsqr import factors, solve
 from quarry.operators.outliers import KEEP, with_outlier_mask
 from quarry.session import ship_package
 
@@ -127,30 +125,6 @@ def residuals(df: DataFrame, x: str, y: str, model: DataFrame, by: list[str] | N
 
 # ---------------------------------------------------------------- several x
 
-def _solve(mean: np.ndarray, s: np.ndarray) -> tuple[float, np.ndarray, float, str]:
-    """Least squares from the centred products ``s`` of k predictors and y (last):
-    intercept, coefficients, R², status.
-
-    The predictors are brought to unit spread first, so scales that differ by
-    many powers of ten are no obstacle.  Where predictors depend on each other
-    (status ``collinear``) the coefficients with the least norm are returned,
-    the fit itself being the same for all choices."""
-    k = len(mean) - 1
-    size = np.sqrt(np.diag(s)[:k])
-    unit = np.where(size > 0, size, 1.0)
-    r, c = s[:k, :k] / np.outer(unit, unit), s[:k, k] / unit
-    values, vectors = np.linalg.eigh(r)
-    used = values > max(values.max(initial=0.0), 1e-300) * 1e-11
-    beta = (vectors[:, used] @ ((vectors[:, used].T @ c) / values[used])) / unit
-    status = "ok"
-    if not used.all():
-        status = "collinear"
-        free, _ = np.linalg.qr(vectors[:, ~used] / unit[:, None])
-        beta = beta - free @ (free.T @ beta)
-    r2 = float(beta @ s[:k, k] / s[k, k]) if s[k, k] > 0 else float("nan")
-    return float(mean[k] - beta @ mean[:k]), beta, r2, status
-
-
 def ols_multiple(df: DataFrame, xs: list[str], y: str, by: list[str] | None = None) -> DataFrame:
     """Fit y on k ≥ 1 predictors with an intercept.
 
@@ -160,47 +134,30 @@ def ols_multiple(df: DataFrame, xs: list[str], y: str, by: list[str] | None = No
     estimates (the reference refuses to fit).  ``collinear``: the predictors
     depend on each other and the least-norm coefficients are given.
 
-    One path for any number of predictors and groups: the normal equations'
-    sums come from ``_gram.pair_moments``, and the groups are solved in
-    batches, one row per group.
+    One scan: triangular factors of all tasks, merged in a tree (``_tsqr``),
+    which keep what nearly dependent predictors still say; the groups are solved
+    in batches, one row per group.
     """
     if not xs:
         raise ValueError("select at least one predictor")
     require_numeric(df, xs + [y])
     by = by or []
     k = len(xs)
-    ship_package(df.sparkSession)
-    columns = [*xs, y]
-    pairs = pair_moments(df, [as_double(df, c) for c in columns], by)
-    rows = grouped_agg(df, by, [F.count(F.lit(1)).alias("__rows")])
-    cells = F.collect_list(F.struct("i", "j", "n", "mean_i", "mean_j", "sii", "sjj", "sij", "flat_i"))
-    if by:
-        groups = lookup_join(rows, pairs.groupBy(*by).agg(cells.alias("__cells")), by)
-    else:
-        groups = rows.withColumn("__cells", pairs.agg(cells).scalar())
+    groups = factors(df, [as_double(df, c) for c in [*xs, y]], by)
+    if not by:                                        # a table without rows has a result too
+        groups = groups.agg(F.sum("__n").alias("__n"), F.sum("__missing").alias("__missing"), F.first("__r").alias("__r"))
     names = ["__intercept__", *xs]
 
     def run(batches):
         for b in batches:
             out = {c: [] for c in ("which", "variable", "coefficient", "r2", "n", "status")}
-            for g, (total, found) in enumerate(zip(b.column("__rows").to_pylist(), b.column("__cells").to_pylist(), strict=True)):
-                s, mean, least = np.zeros((k + 1, k + 1)), np.full(k + 1, np.nan), total
-                for c in found or ():
-                    i, j = c["i"], c["j"]
-                    least = min(least, c["n"])
-                    if c["n"]:
-                        s[i, j] = s[j, i] = (0.0 if c["flat_i"] else c["sii"]) if i == j else c["sij"]
-                        if i == j:
-                            mean[i] = c["mean_i"]
-                if not total or least < total:
-                    fit = (None, [None] * k, None, "missing_values" if total else "too_few_rows")
-                elif total < 2:
-                    fit = (None, [None] * k, None, "too_few_rows")
-                else:
-                    fit = _solve(mean, s)
+            for g, (n, missing, raw) in enumerate(zip(*[b.column(c).to_pylist() for c in ("__n", "__missing", "__r")], strict=True)):
+                fit = (None, [None] * k, None, "missing_values" if missing else "too_few_rows")
+                if not missing and (n or 0) >= 2:
+                    fit = solve(np.frombuffer(raw).reshape(k + 2, k + 2), n)
                 r2 = None if fit[2] is None or np.isnan(fit[2]) else fit[2]
                 for name, value in zip(names, [fit[0], *fit[1]], strict=True):
-                    for col, v in zip(out, (g, name, value, r2, least if fit[3] != "missing_values" else total, fit[3]), strict=True):
+                    for col, v in zip(out, (g, name, value, r2, n or 0, fit[3]), strict=True):
                         out[col].append(v)
             which = pa.array(out["which"], pa.int64())
             yield pa.RecordBatch.from_arrays(

@@ -138,7 +138,7 @@ def test_ols_multiple_missing_and_singular(spark):
     assert {r.status for r in regress.ols_multiple(sing, ["a", "b"], "y").collect()} == {"collinear"}
 
 
-def test_ols_multiple_many_predictors_uses_gram_matrix(spark):
+def test_ols_multiple_many_predictors(spark):
     rng = np.random.default_rng(9)
     k = 40
     X = rng.normal(size=(400, k))
@@ -171,6 +171,43 @@ def test_scales_and_collinear_predictors(spark):
     assert abs(both["b"].coefficient * 5 - one["b"].coefficient) < 1e-6
 
 
+def test_nearly_collinear_predictors(spark):
+    """Two predictors that differ by one part in 10^7: the normal equations
+    would lose them (their condition number is 10^14), QR does not."""
+    from fractions import Fraction
+
+    rng = np.random.default_rng(12)
+    a = rng.integers(-1000, 1000, 400).astype(float)
+    b = a + rng.integers(-50, 50, 400) * 2.0 ** -20
+    y = 3 * a - 2 * b + 7
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(a, b, y)], "a double, b double, y double").repartition(7)
+    fit = {r.variable: r for r in regress.ols_multiple(df, ["a", "b"], "y").collect()}
+    assert fit["a"].status == "ok"
+    assert abs(fit["a"].coefficient - 3) < 1e-6 and abs(fit["b"].coefficient + 2) < 1e-6 and abs(fit["__intercept__"].coefficient - 7) < 1e-6
+    assert all(Fraction(v) == Fraction(3) * Fraction(p) - 2 * Fraction(q) + 7 for p, q, v in zip(a, b, y))
+
+
+def test_factors_of_parts_are_the_factor_of_the_whole():
+    from quarry.operators import _tsqr
+
+    x = np.random.default_rng(2).normal(size=(100, 5))
+    parts = np.vstack([_tsqr.factor(p) for p in np.split(x, [2, 3, 40, 77])])
+    assert np.allclose(np.abs(_tsqr.factor(parts)), np.abs(_tsqr.factor(x)))
+
+
+def test_ols_multiple_by_group_with_missing_and_empty(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(a), float(b), float(1.0 + a * (i + 1) - b)) for i, g in enumerate(["u", "v", None]) for a, b in rng.normal(size=(40, 2))]
+    rows += [("gap", 1.0, 2.0, None), ("gap", 2.0, 1.0, 3.0), ("one", 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, a double, b double, y double").repartition(5)
+    fit = {(r.g, r.variable): r for r in regress.ols_multiple(df, ["a", "b"], "y", by=["g"]).collect()}
+    for i, g in enumerate(["u", "v", None]):
+        assert abs(fit[g, "a"].coefficient - (i + 1)) < 1e-9 and abs(fit[g, "b"].coefficient + 1) < 1e-9 and abs(fit[g, "a"].r2 - 1) < 1e-12
+    assert fit["gap", "a"].status == "missing_values" and fit["one", "a"].status == "too_few_rows" and fit["gap", "a"].n == 2
+    assert {r.status for r in regress.ols_multiple(df.limit(0), ["a", "b"], "y").collect()} == {"too_few_rows"}
+    assert regress.ols_multiple(df.limit(0), ["a", "b"], "y", by=["g"]).collect() == []
+
+
 def test_many_columns(spark):
     import pandas as pd
 

@@ -70,29 +70,53 @@ def cluster_scatter(spark, sf):
     return cluster.cluster_scatter(cluster.kmeans(table(spark, sf, "customer"), _CUST, k=3, seed=42))
 
 
-@register("decision_tree")
+# An unlimited tree gives every distinct vector its most frequent label, the
+# smallest one of several.
+_TREE_SQL = """
+WITH c AS (SELECT CAST(l_quantity AS FLOAT) AS a, CAST(l_discount AS FLOAT) AS b, l_returnflag AS y, count(*) AS n FROM lineitem GROUP BY ALL),
+v AS (SELECT a, b, arg_min(y, (-n, y)) AS prediction FROM c GROUP BY a, b),
+p AS (SELECT l_orderkey, l_linenumber, l_returnflag, prediction FROM lineitem JOIN v ON a = CAST(l_quantity AS FLOAT) AND b = CAST(l_discount AS FLOAT))"""
+
+
+@register("decision_tree", headline=True, sql=_TREE_SQL + "SELECT * FROM p")
 def decision_tree(spark, sf):
     pred, _ = tree.decision_tree(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "l_returnflag")
     return pred.select("l_orderkey", "l_linenumber", "l_returnflag", "prediction")
 
 
-@register("decision_tree_accuracy")
+@register("decision_tree_accuracy", sql=_TREE_SQL + """
+SELECT round(avg(CASE WHEN l_returnflag = prediction THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS accuracy, count(*)::BIGINT AS n FROM p""")
 def decision_tree_accuracy(spark, sf):
     pred, _ = tree.decision_tree(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "l_returnflag")
-    return tree.accuracy(pred, "l_returnflag", "prediction")
+    return rounded(tree.accuracy(pred, "l_returnflag", "prediction"))
 
 
 @register("decision_tree_rule", sql="""
 SELECT l_orderkey, l_linenumber,
-       CASE WHEN l_quantity <= 24 THEN 'low' WHEN l_discount <= 0.05 THEN 'mid' ELSE 'high' END AS prediction FROM lineitem""")
+       CASE WHEN l_quantity <= 24 THEN 'low' WHEN l_discount <= 0.05 THEN 'mid' WHEN l_tax <= 0.03 THEN 'up' ELSE 'high' END AS prediction
+FROM lineitem""")
 def decision_tree_rule(spark, sf):
-    """M1 on a label that two splits separate: the tree must find the rule."""
+    """M1 on a label that three splits separate, by the distributed search."""
     li = table(spark, sf, "lineitem").withColumn("label", F.when(F.col("l_quantity") <= 24, "low").when(
-        F.col("l_discount") <= 0.05, "mid").otherwise("high"))
-    pred, _ = tree.decision_tree(li, ["l_quantity", "l_discount"], "label", max_bins=64)
+        F.col("l_discount") <= 0.05, "mid").when(F.col("l_tax") <= 0.03, "up").otherwise("high"))
+    pred, _ = tree.decision_tree(li, ["l_quantity", "l_discount", "l_tax"], "label", small=500)
     return pred.select("l_orderkey", "l_linenumber", "prediction")
 
 
+@register("decision_tree_stump", sql="""
+WITH u AS (SELECT l_returnflag AS y, unnest([{'f': 'l_quantity', 'v': l_quantity}, {'f': 'l_discount', 'v': l_discount}], recursive := true) FROM lineitem),
+c AS (SELECT f, v, y, count(*) AS n FROM u GROUP BY ALL),
+g AS (SELECT x.f, x.v, c.y, sum(CASE WHEN c.v <= x.v THEN n ELSE 0 END) AS l, sum(CASE WHEN c.v > x.v THEN n ELSE 0 END) AS r
+      FROM (SELECT DISTINCT f, v FROM c) x JOIN c ON c.f = x.f GROUP BY ALL),
+s AS (SELECT f, v, sum(l * l) / sum(l) + sum(r * r) / sum(r) AS score FROM g GROUP BY ALL HAVING sum(r) > 0),
+b AS (SELECT f AS feature, v FROM s ORDER BY round(score, 9) DESC, f DESC, v LIMIT 1)
+SELECT feature, round((b.v + (SELECT min(c.v) FROM c WHERE c.f = b.feature AND c.v > b.v)) / 2, 6) + 0.0 AS threshold FROM b""")
+def decision_tree_stump(spark, sf):
+    """M1: the root's split, found by the distributed search, against every split tried."""
+    _, nodes = tree.decision_tree(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "l_returnflag", max_depth=1, small=1)
+    return rounded(nodes.where("depth = 0").select("feature", "threshold"))
+
+
 @register("accuracy", sql="""
 SELECT round(avg(CASE WHEN l_returnflag = (CASE WHEN l_linestatus = 'O' THEN 'N' ELSE 'A' END) THEN 1.0 ELSE 0.0 END), 6)
        + 0.0 AS accuracy, count(*)::BIGINT AS n FROM lineitem""")

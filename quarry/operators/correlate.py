@@ -11,11 +11,9 @@ Spearman: Pearson on average ranks (A8), ranks taken per pair after
 dropping that pair's missing rows.  One aggregate row tells whether any
 selected value is missing.  If none is, each column is ranked once (one rank
 pass for all columns), the ranks are attached to the rows and the Pearson
-aggregation above runs on them.  Otherwise each row becomes one record per
-column pair with both values present, combined map-side into weighted
-distinct cells (pair, a, b, w); ranks of each side come from the weights
-summed per value (so they are the pair's complete-row ranks), and the
-correlation is the weighted Pearson of the rank pairs.
+aggregation above runs on them.  Otherwise each column is still put in order
+once, with a count of present rows per partner at each value, and the running
+sums of these counts are the pairs' ranks.
 """
 
 from __future__ import annotations
@@ -27,7 +25,9 @@ from pyspark.sql import functions as F
 
 from quarry.functions.columns import as_double, require_numeric, safe_div
 from quarry.operators._gram import pair_moments
+from quarry.operators._lookup import lookup_join
 from quarry.operators._stats import grouped_agg
+from quarry.operators.carried import running_sums
 from quarry.operators.rank import _default_buckets, attach_ranks, value_ranks
 from quarry.session import cut_lineage
 
@@ -75,7 +75,7 @@ def _spearman(df: DataFrame, cols: list[str], by: list[str]) -> DataFrame:
     any_missing = base.agg(F.max(F.greatest(*[F.col(n).isNull().cast("int") for n in names]))).first()[0]
     if not any_missing:
         return _spearman_complete(base, cols, names, by, buckets)
-    return _spearman_pairwise(base, cols, names, by, buckets)
+    return _spearman_pairwise(base, cols, names, by)
 
 
 def _spearman_complete(base: DataFrame, cols: list[str], names: list[str], by: list[str],
@@ -95,43 +95,45 @@ def _spearman_complete(base: DataFrame, cols: list[str], names: list[str], by: l
     return _pearson_matrix(ranked, cols, [F.col(f"{n}_r") for n in names], by)
 
 
-def _spearman_pairwise(base: DataFrame, cols: list[str], names: list[str], by: list[str],
-                       buckets: int) -> DataFrame:
+def _spearman_pairwise(base: DataFrame, cols: list[str], names: list[str], by: list[str]) -> DataFrame:
     """Missing values: ranks per pair over that pair's complete rows.  Each
-    row becomes one record per column pair with both values present,
-    combined map-side into weighted distinct cells (pair, a, b, w); the
-    weights summed per value give each side's pairwise-complete ranks."""
-    pairs = list(combinations(range(len(cols)), 2))
-    recs = F.explode(F.filter(F.array(*[
-        F.struct(F.lit(p).alias("p"), F.col(names[i]).alias("a"), F.col(names[j]).alias("b"))
-        for p, (i, j) in enumerate(pairs)]), lambda s: s["a"].isNotNull() & s["b"].isNotNull()))
-    keys = by + ["p"]
-    cells = (base.select(*by, recs.alias("__rec")).select(*by, "__rec.p", "__rec.a", "__rec.b")
-             .groupBy(*keys, "a", "b").agg(F.count(F.lit(1)).alias("w")))
-    # the cells feed several consumers: written once to the shared folder
-    cells = cut_lineage(cells)
-    ranked = cells
-    for side in ("a", "b"):
-        counts = cells.groupBy(*keys, F.col(side).alias("__v")).agg(F.sum("w").alias("__cnt"))
-        ranks = value_ranks(counts, keys, buckets, max_groups=None if by else len(pairs))
-        ranked = attach_ranks(ranked, F.col(side), ranks, f"r{side}", "average", keys)
-    w, ra, rb = F.col("w").cast("double"), F.col("ra"), F.col("rb")
-    sums = ranked.groupBy(*keys).agg(
-        F.sum(w).alias("W"), F.sum(w * ra).alias("Sa"), F.sum(w * rb).alias("Sb"),
-        F.sum(w * ra * ra).alias("Saa"), F.sum(w * rb * rb).alias("Sbb"), F.sum(w * ra * rb).alias("Sab"))
-    cov = F.col("Sab") - F.col("Sa") * F.col("Sb") / F.col("W")
-    va = F.greatest(F.col("Saa") - F.col("Sa") * F.col("Sa") / F.col("W"), F.lit(0.0))
-    vb = F.greatest(F.col("Sbb") - F.col("Sb") * F.col("Sb") / F.col("W"), F.lit(0.0))
-    r = F.least(F.greatest(safe_div(cov, F.sqrt(va * vb)), F.lit(-1.0)), F.lit(1.0))
-    per_pair = sums.select(*keys, F.when((va > 0) & (vb > 0), r).alias("r"))
-    lookup = F.create_map(*[x for p, (i, j) in enumerate(pairs) for x in (F.lit(p), F.lit(f"{i},{j}"))])
-    ij = F.split(lookup[F.col("p")], ",")
-    fwd = per_pair.select(*by, ij[0].cast("int").alias("i"), ij[1].cast("int").alias("j"), "r")
+    column is put in order once; at each of its values the rows in which every
+    other column is present are counted, and running sums of these counts are
+    the value's ranks for all partners at once.  A row meets its columns' ranks
+    in one join, so there is one record per row and column, none per pair."""
+    k = len(cols)
+    flags = F.array(*[F.col(n).isNotNull().cast("long") for n in names]).alias("flags")
+    cells = F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("ci"), F.col(n).alias("v")) for i, n in enumerate(names)]),
+                               lambda c: c["v"].isNotNull())).alias("c")
+    counts = (base.select(*by, flags, cells).groupBy(*by, "c.ci", "c.v")
+              .agg(*[F.sum(F.get("flags", F.lit(j))).alias(f"c{j}") for j in range(k)]))
+    placed = running_sums(counts, [*by, "ci"], ["v"], {f"b{j}": F.col(f"c{j}") for j in range(k)}, inclusive=False)
+    rank = F.array(*[(F.col(f"b{j}") + (F.col(f"c{j}") + 1) / 2).cast("double") for j in range(k)]).alias("r")
+    ranks = cut_lineage(placed.select(*by, "ci", "v", rank, F.array(*[F.col(f"c{j}").cast("double") for j in range(k)]).alias("w")))
+    # numbers of rows and squares of ranks per (column, partner), from the values alone
+    own = ranks.select(*by, "ci", F.posexplode(F.arrays_zip("r", "w")).alias("j", "x")).groupBy(*by, F.col("ci").alias("i"), "j").agg(
+        F.sum("x.w").alias("n"), F.sum(F.col("x.w") * F.col("x.r") * F.col("x.r")).alias("square"))
+    rows = base.withColumn("rid", F.monotonically_increasing_id()).select(*by, "rid", cells).select(*by, "rid", "c.ci", "c.v")
+    met = lookup_join(rows, ranks.drop("w"), [*by, "ci", "v"])
+    per_row = met.groupBy(*by, "rid").agg(F.map_from_entries(F.collect_list(F.struct("ci", "r"))).alias("m"))
+
+    def product(i: int, j: int) -> Column:
+        return F.sum(F.get(F.col("m")[i], F.lit(j)) * F.get(F.col("m")[j], F.lit(i)))
+
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), product(i, j).alias("both")) for i, j in combinations(range(k), 2)])
+    products = grouped_agg(per_row, by, [pairs.alias("p")]).select(*by, F.inline("p"))
+    there = lookup_join(products, own.select(*by, "i", "j", "n", F.col("square").alias("sa")), [*by, "i", "j"])
+    back = own.select(*by, F.col("j").alias("i"), F.col("i").alias("j"), F.col("square").alias("sb"))
+    s = lookup_join(there, back, [*by, "i", "j"])
+    middle = F.col("n") * F.pow((F.col("n") + 1) / 2, F.lit(2))
+    va, vb = F.col("sa") - middle, F.col("sb") - middle
+    r = F.least(F.greatest((F.col("both") - middle) / F.sqrt(va * vb), F.lit(-1.0)), F.lit(1.0))
+    fwd = s.select(*by, "i", "j", F.when((va > 0) & (vb > 0), r).alias("r"))
     mirrored = fwd.unionByName(fwd.select(*by, F.col("j").alias("i"), F.col("i").alias("j"), "r"))
     # diagonal: 1 for a column with spread, null for a constant or empty one
     diag = grouped_agg(base, by, [_self_r(F.col(n)).alias(f"d{i}") for i, n in enumerate(names)])
     diag = diag.select(*by, F.inline(F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.col(f"d{i}").alias("r")) for i in range(len(cols))])))
+        F.struct(F.lit(i).alias("i"), F.lit(i).alias("j"), F.col(f"d{i}").alias("r")) for i in range(k)])))
     label = F.create_map(*[x for i, c in enumerate(cols) for x in (F.lit(i), F.lit(c))])
     return mirrored.unionByName(diag).select(*by, label[F.col("i")].alias("var_a"),
                                              label[F.col("j")].alias("var_b"), "r")

@@ -9,7 +9,12 @@ from pyspark.sql import functions as F
 from quarry.sources import crypto, files, history, workbooks
 from quarry.plans.registry import register, table
 
-KEY = b"0123456789abcdef0123456789abcdef"
+
+def _ring(spark) -> str:
+    """A key ring of its own for the query, with one random key."""
+    path = files.scratch_path(spark, "keys")
+    crypto.add_key(spark, path)
+    return path
 
 
 @register("read_csv", sql="SELECT * FROM customer")
@@ -55,17 +60,18 @@ def read_workbooks_inferred(spark, sf):
 
 @register("encrypt_table")
 def encrypt_table(spark, sf):
-    return crypto.encrypt_table(table(spark, sf, "customer"), ["c_name", "c_acctbal"], KEY)
+    return crypto.encrypt_table(table(spark, sf, "customer"), ["c_name", "c_acctbal"], _ring(spark))
 
 
 @register("encrypt_lengths", sql="""
-SELECT c_custkey, (12 + strlen(c_name) + 16)::INTEGER AS cell_bytes, true AS hidden, c_name FROM customer""")
+SELECT c_custkey, (4 + 12 + strlen(c_name) + 16)::INTEGER AS cell_bytes, true AS hidden, c_name FROM customer""")
 def encrypt_lengths(spark, sf):
-    """S4 cell by cell: a random nonce, as many bytes as the text and a tag,
+    """S4 cell by cell: a key number, a random nonce, as many bytes as the text and a tag,
     none of the text in it, and the text comes back."""
     cust = table(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_name").alias("clear"))
-    sealed = crypto.encrypt_table(cust, ["c_name"], KEY)
-    back = crypto.decrypt_table(sealed, cust.schema, KEY, ["c_name"]).select("c_custkey", "c_name")
+    ring = _ring(spark)
+    sealed = crypto.encrypt_table(cust, ["c_name"], ring)
+    back = crypto.decrypt_table(sealed, cust.schema, ring, ["c_name"]).select("c_custkey", "c_name")
     cells = sealed.select(F.col("c_custkey").alias("k"), F.octet_length("c_name").alias("cell_bytes"),
                           (F.expr("instr(hex(c_name), hex(clear))") == 0).alias("hidden"))
     return cells.join(back, cells["k"] == back["c_custkey"]).select("c_custkey", "cell_bytes", "hidden", "c_name")
@@ -75,8 +81,25 @@ def encrypt_lengths(spark, sf):
 def decrypt_table(spark, sf):
     cust = table(spark, sf, "customer")
     path = files.scratch_path(spark, "enc")
-    crypto.encrypt_table(cust, None, KEY).write.parquet(path)
-    return crypto.decrypt_table(spark.read.parquet(path), cust.schema, KEY)
+    ring = _ring(spark)
+    crypto.encrypt_table(cust, None, ring).write.parquet(path)
+    return crypto.decrypt_table(spark.read.parquet(path), cust.schema, ring)
+
+
+@register("rotate_keys", sql="""
+SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 = 0 THEN 3 WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS key_id FROM customer""")
+def rotate_keys(spark, sf):
+    """S4 and S5 over three keys: a part of the table is written under the
+    first, a part under the second, and every third row is moved to the newest."""
+    cust, ring, path = table(spark, sf, "customer").select("c_custkey", "c_name"), _ring(spark), files.scratch_path(spark, "enc")
+    crypto.encrypt_table(cust.where("c_custkey % 2 = 1"), ["c_name"], ring).write.parquet(path)
+    crypto.add_key(spark, ring)
+    crypto.encrypt_table(cust.where("c_custkey % 2 = 0"), ["c_name"], ring).write.mode("append").parquet(path)
+    crypto.add_key(spark, ring)
+    sealed = spark.read.parquet(path)
+    sealed = sealed.where("c_custkey % 3 != 0").unionByName(crypto.rotate_table(sealed.where("c_custkey % 3 = 0"), ["c_name"], ring))
+    numbers = sealed.select("c_custkey", crypto.cell_key(F.col("c_name")).alias("key_id"))
+    return crypto.decrypt_table(sealed, cust.schema, ring, ["c_name"]).join(numbers, "c_custkey")
 
 
 @register("snapshot_save", sql="SELECT * FROM nation")

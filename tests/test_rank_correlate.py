@@ -80,6 +80,41 @@ def test_spearman_pairwise_complete_matches_pandas(spark):
             assert abs(m[(x, y)] - want.loc[x, y]) < 1e-9, (x, y)
 
 
+def test_spearman_by_group_with_missing_hot_and_constant_columns(spark):
+    rng = np.random.default_rng(13)
+    n = 400
+    pdf = pd.DataFrame({"g": rng.choice(["u", "v"], n), "a": rng.integers(0, 5, n).astype(float), "b": rng.normal(size=n), "c": 1.0,
+                        "d": rng.integers(0, 3, n).astype(float), "e": np.nan})
+    for c, share in (("a", .4), ("b", .1), ("d", .2)):
+        pdf.loc[rng.random(n) < share, c] = np.nan
+    cols = ["a", "b", "c", "d", "e"]
+    df = spark.createDataFrame(pdf).repartition(6)
+    got = {(r.g, r.var_a, r.var_b): r.r for r in correlate.correlation(df, cols, "spearman", by=["g"]).collect()}
+    assert len(got) == 2 * 25
+    for g, part in pdf.groupby("g"):
+        want = part[cols].corr(method="spearman")
+        for x in cols:
+            for y in cols:
+                w = want.loc[x, y]
+                assert got[g, x, y] is None if np.isnan(w) else abs(got[g, x, y] - w) < 1e-9, (g, x, y)
+
+
+def test_running_sums_cross_partitions(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators.carried import running_sums
+
+    rows = [(g, i, i % 7) for g, n in (("hot", 3000), ("x", 5), (None, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, o long, v long").repartition(9)
+    for inclusive in (True, False):
+        got = {(r.g, r.o): r.s for r in running_sums(df, ["g"], ["o"], {"s": F.col("v")}, inclusive).collect()}
+        assert len(got) == len(rows)
+        for g in ("hot", "x", None):
+            own = np.array([v for k, _, v in rows if k == g])
+            want = np.cumsum(own) - (0 if inclusive else own)
+            assert [got[g, o] for o in range(len(own))] == want.tolist()
+
+
 def test_spearman_invariant_under_monotone_map(spark):
     rng = np.random.default_rng(5)
     a = rng.normal(size=100)

@@ -140,24 +140,33 @@ def column_stats(df: DataFrame, cols: list[str] | None = None, by: list[str] | N
     return wide.select(*(by or []), F.inline(F.array(*rows)))
 
 
+#: Keys of one side of a dense crosstab that are expanded together.
+CHUNK_KEYS = 1000
+
+
 def crosstab(df: DataFrame, a: str, b: str, dense: bool = False) -> DataFrame:
     """Long contingency table ``(a, b, n)``; rows with a missing key are
     dropped.
 
     The observed counts come from one partial+final aggregation, so a hot
     pair costs one row per task, never a hot task.  By default only observed
-    pairs are returned; ``dense=True`` also emits the zero cells: every
-    distinct key of ``a`` is expanded by the array of the distinct keys of
-    ``b`` (a scalar subquery), which is the size of one row of the table that
-    is asked for.
+    pairs are returned; ``dense=True`` also emits the zero cells: the distinct
+    keys of ``b`` are dealt into chunks of about ``CHUNK_KEYS``, every distinct
+    key of ``a`` is expanded to the chunks' numbers, meets them in a join on
+    the number, and is expanded to their keys.  No task and no driver holds all
+    keys of either side.
     """
     require_columns(df, [a, b])
     base = df.select(clean_value(df, a).alias("__a"), clean_value(df, b).alias("__b")).where(
         F.col("__a").isNotNull() & F.col("__b").isNotNull())
     observed = base.groupBy("__a", "__b").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
     if dense:
-        keys = base.agg(F.collect_set("__b")).scalar()
-        grid = base.select("__a").distinct().select("__a", F.explode(keys).alias("__b"))
+        chunks = F.coalesce(F.ceil(base.agg(F.count_distinct("__b")).scalar() / CHUNK_KEYS), F.lit(1)).cast("int")
+        chunks = F.greatest(chunks, F.lit(1))
+        keys = (base.select("__b").distinct().withColumn("__chunk", F.pmod(F.xxhash64("__b"), chunks).cast("int"))
+                .groupBy("__chunk").agg(F.collect_list("__b").alias("__keys")))
+        wide = base.select("__a").distinct().select("__a", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("__chunk"))
+        grid = wide.join(keys, "__chunk").select("__a", F.explode("__keys").alias("__b"))
         observed = grid.join(observed, ["__a", "__b"], "left").select(
             "__a", "__b", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
     return observed.select(F.col("__a").alias(a), F.col("__b").alias(b), "n")

@@ -9,14 +9,15 @@ bins², whatever the data size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.columns import as_double, numeric_columns, require_columns, require_numeric, safe_div
+from quarry.functions.columns import as_double, clean_value, numeric_columns, require_columns, require_numeric, safe_div
 from quarry.operators._stats import attach, grouped_agg
-from quarry.operators.clean import missing_counts
-from quarry.operators.explore import column_stats, profile_shape
 
 
 def _bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
@@ -75,33 +76,70 @@ def residual_points(residuals: DataFrame, bins: int = 50) -> DataFrame:
     return scatter_bins(residuals, ["y_hat", "residual"], bins)
 
 
-def analysis_report(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
+def _report_metrics(df: DataFrame, cols: list[str]) -> list[Column]:
+    """Every number of the report as one aggregate over the rows."""
+    num = set(numeric_columns(df, cols))
+    out = [F.count(F.lit(1)).cast("double").alias("n")]
+    for i, c in enumerate(cols):
+        out.append((F.count(F.lit(1)) - F.count(clean_value(df, c))).cast("double").alias(f"m{i}"))
+        if c in num:
+            x = as_double(df, c)
+            exact = F.col(c) if isinstance(df.schema[c].dataType, T.DecimalType) else x
+            out += [F.count(x).cast("double").alias(f"count{i}"), F.avg(exact).cast("double").alias(f"mean{i}"),
+                    F.stddev_samp(x).alias(f"std{i}"), F.min(x).cast("double").alias(f"min{i}"), F.max(x).cast("double").alias(f"max{i}")]
+    return out
+
+
+def _report_rows(cols: list[str], num: list[str], value) -> list[Column]:
+    """The report's rows from the metrics, which ``value`` names."""
+    def row(section: str, name: str, metric: str, v: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), F.lit(name).alias("name"), F.lit(metric).alias("metric"), v.cast("double").alias("value"))
+
+    rows = [row("shape", "table", "n_rows", value("n")), row("shape", "table", "n_cols", F.lit(len(cols)))]
+    rows += [row("statistics", c, m, value(f"{m}{cols.index(c)}")) for c in num for m in ("count", "mean", "std", "min", "max")]
+    return rows + [row("missing", c, "n_missing", value(f"m{i}")) for i, c in enumerate(cols)]
+
+
+def result_section(section: str, result: DataFrame) -> DataFrame:
+    """An operator's result as report rows: its numbers are metrics, its other
+    columns together the name."""
+    kinds = {f.name: f.dataType for f in result.schema.fields}
+    numbers = [c for c, k in kinds.items() if isinstance(k, (T.NumericType, T.BooleanType))]
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in kinds if c not in numbers]
+    name = F.concat_ws(" ", *texts) if texts else F.lit("table")
+    return result.select(F.lit(section).alias("section"), name.alias("name"), F.inline(F.array(*[
+        F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in numbers])))
+
+
+def analysis_report(df: DataFrame, cols: list[str] | None = None, results: dict[str, DataFrame] | None = None) -> DataFrame:
     """``(section, name, metric, value)`` rows: the shape, the column
-    statistics of the numeric columns and the missing counts of all columns.
-    Write it with ``df.write`` (Parquet or CSV)."""
+    statistics of the numeric columns, the missing counts of all columns, and a
+    section for each of ``results`` (fits, tests, matrices: any operator's
+    table).  One aggregation over one scan gives all but the results.  Write it
+    with ``df.write`` (Parquet or CSV)."""
     cols = cols if cols is not None else df.columns
-    num = numeric_columns(df, cols)
-    shape = profile_shape(df.select(*cols)).select(F.inline(F.array(
-        F.struct(F.lit("shape").alias("section"), F.lit("table").alias("name"), F.lit("n_rows").alias("metric"),
-                 F.col("n_rows").cast("double").alias("value")),
-        F.struct(F.lit("shape").alias("section"), F.lit("table").alias("name"), F.lit("n_cols").alias("metric"),
-                 F.col("n_cols").cast("double").alias("value")))))
-    parts = [shape]
-    if num:
-        stats = column_stats(df, num)
-        parts.append(stats.select(F.inline(F.array(*[
-            F.struct(F.lit("statistics").alias("section"), F.col("column").alias("name"),
-                     F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
-            for m in ("count", "mean", "std", "min", "max")]))))
-    miss = missing_counts(df, cols)
-    parts.append(miss.select(F.lit("missing").alias("section"), F.col("column").alias("name"),
-                             F.lit("n_missing").alias("metric"), F.col("n_missing").cast("double").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    out = df.agg(*_report_metrics(df, cols)).select(F.inline(F.array(*_report_rows(cols, numeric_columns(df, cols), F.col))))
+    for section, result in (results or {}).items():
+        out = out.unionByName(result_section(section, result))
     return out
 
 
+def observed_report(df: DataFrame, cols: list[str] | None = None) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """G6 without a pass of its own: ``df`` to be written or counted by the
+    caller, and a function that gives the report of the rows that passed, once
+    they have."""
+    cols = cols if cols is not None else df.columns
+    seen = Observation(f"report-{uuid.uuid4().hex[:8]}")
+    frame = df.observe(seen, *_report_metrics(df, cols))
+
+    def report() -> DataFrame:
+        found = seen.get
+        rows = _report_rows(cols, numeric_columns(df, cols), lambda name: F.lit(found[name]).cast("double"))
+        return df.sparkSession.range(1).select(F.inline(F.array(*rows)))
+
+    return frame, report
+
+
 def write_report(report: DataFrame, path: str, fmt: str = "parquet") -> str:
     """G6 sink: write the report rows as one Parquet or CSV file (the report
     has 2 + 6 rows per column, so one file is the right size)."""

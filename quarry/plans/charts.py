@@ -92,3 +92,22 @@ def _report_sql() -> str:
 def analysis_report(spark, sf):
     li = as_money(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
     return rounded(plotdata.analysis_report(li, _REPORT_COLS))
+
+
+_RESULTS_SQL = f"""
+SELECT * FROM ({_report_sql()}) UNION ALL
+SELECT 'regression', 'table', m.metric, round(m.value, 6) + 0.0
+FROM (SELECT unnest([{{'metric': 'n', 'value': n::DOUBLE}}, {{'metric': 'r2', 'value': r2}}, {{'metric': 'intercept', 'value': a}},
+                     {{'metric': 'slope', 'value': b}}]) AS m
+      FROM (SELECT regr_count(l_extendedprice, l_quantity) AS n, regr_r2(l_extendedprice, l_quantity) AS r2,
+                   regr_intercept(l_extendedprice, l_quantity) AS a, regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem)) UNION ALL
+SELECT 'groups', l_returnflag, 'n', count(*)::DOUBLE FROM lineitem GROUP BY ALL"""
+
+
+@register("analysis_report_results", sql=_RESULTS_SQL)
+def analysis_report_results(spark, sf):
+    """G6 with fitted results as further sections."""
+    li = as_money(table(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"])
+    fit = regress.ols(table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice", with_pvalue=False).select("n", "r2", "intercept", "slope")
+    groups = li.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(plotdata.analysis_report(li, _REPORT_COLS, {"regression": fit, "groups": groups}))

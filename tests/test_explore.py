@@ -83,3 +83,13 @@ def test_select_prunes_scan(spark):
     plan = explore.select_columns(li.where(F.col("l_quantity") > 10), ["l_orderkey"])._jdf.queryExecution() \
         .executedPlan().toString()
     assert "l_quantity" in plan and "PushedFilters" in plan and "l_comment" not in plan
+
+
+def test_dense_crosstab_over_many_chunks(spark, monkeypatch):
+    """More keys than a chunk holds; an empty table."""
+    monkeypatch.setattr(explore, "CHUNK_KEYS", 3)
+    df = spark.createDataFrame([(i % 5, f"k{i % 23}") for i in range(60)], "p long, q string")
+    dense = {(r.p, r.q): r.n for r in explore.crosstab(df, "p", "q", dense=True).collect()}
+    assert len(dense) == 5 * 23 and sum(dense.values()) == 60
+    assert all(dense[p, q] == sum(1 for i in range(60) if i % 5 == p and f"k{i % 23}" == q) for p, q in dense)
+    assert explore.crosstab(df.limit(0), "p", "q", dense=True).collect() == []

@@ -41,3 +41,22 @@ def test_report_written_as_parquet_and_csv(spark):
     c = plotdata.write_report(rep, scratch_path(spark, "report_csv"), "csv")
     back = {(r.section, r.name, r.metric): r.value for r in read_csv(spark, c).collect()}
     assert back[("shape", "table", "n_rows")] == ev.count()
+
+
+def test_report_reads_once_and_holds_results(spark):
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet")
+    fit = spark.createDataFrame([("a", "u", 1.5, 3, True), (None, "v", None, 4, False)], "g string, h string, slope double, n long, ok boolean")
+    rep = plotdata.analysis_report(ev, ["value", "event_type"])
+    assert rep._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {(r.section, r.name, r.metric): r.value for r in plotdata.analysis_report(ev, ["value"], {"fit": fit}).collect()}
+    assert got["fit", "a u", "slope"] == 1.5 and got["fit", " v", "n"] == 4.0 and got["fit", "a u", "ok"] == 1.0
+    assert got["fit", " v", "slope"] is None and got["shape", "table", "n_cols"] == 1.0
+
+
+def test_report_of_rows_that_pass(spark, tmp_path):
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").selectExpr("event_id", "if(event_id % 7 = 0, null, value) AS value", "event_type")
+    frame, report = plotdata.observed_report(ev)
+    frame.write.parquet(f"{tmp_path}/out")
+    seen = {tuple(r)[:3]: r.value for r in report().collect()}
+    want = {tuple(r)[:3]: r.value for r in plotdata.analysis_report(ev).collect()}
+    assert set(seen) == set(want) and all(abs(seen[k] - want[k]) < 1e-9 * (1 + abs(want[k])) for k in want)

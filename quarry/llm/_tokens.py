@@ -38,6 +38,10 @@ def is_plain(chunk: str) -> bool:
     return chunk.isascii() and chunk.isprintable() or _PLAIN.fullmatch(chunk) is not None
 
 
+def is_plain_text(text: str) -> bool:
+    return _PLAIN.fullmatch(text) is not None
+
+
 @dataclass(frozen=True, eq=False)
 class Vocabulary:
     """A BPE tokenizer file, read on the driver and sent to the workers (a few

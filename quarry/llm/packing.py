@@ -19,6 +19,7 @@ an empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
@@ -29,8 +30,8 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import begin_task, prepare, text_or_empty
-from quarry.llm._tokens import ChunkTable, PairTable, Vocabulary, is_plain, load_vocabulary, pre_token_plan
+from quarry.llm._common import prepare, text_or_empty, tidy_task
+from quarry.llm._tokens import ChunkTable, PairTable, Vocabulary, is_plain_text, load_vocabulary, pre_token_plan
 from quarry.llm.bpe_codec import encode_flat
 from quarry.session import cut_lineage
 
@@ -40,48 +41,70 @@ CLASSES = 64
 GAP_CLASSES = 2
 
 
-#: Stands behind a chunk among the ids of many; no vocabulary has this id.
+#: Stands behind a text among the ids of many; no vocabulary has this id.
 _STOP = np.array([0xFFFFFFFF], "<u4")
+#: Characters that are split together; longer texts are cut at white space.
+_TOGETHER = 2_000_000
 
 
 class RawIds:
-    """Ids of texts as little-endian bytes.  Chunks are looked up whole; what
-    new ones consist of is looked up by pre-token, so a word is merged once
-    per worker whatever stands around it."""
+    """Ids of texts as little-endian bytes.
+
+    Where a vocabulary drops white space, plain texts (no special strings or
+    rare characters) are split into pre-tokens many at a time, one text to a
+    line, and every pre-token is looked up in one table; only new ones are
+    merged, all of a batch together.  Other texts go by chunks."""
 
     def __init__(self, vocab: Vocabulary, entries: int = 250_000):
         self.vocab, self.pairs, self.entries = vocab, PairTable(vocab), entries
-        self.find = regex.compile(f"{vocab.pattern}|\n").findall
         self.words: dict[str, bytes] = {"\n": _STOP.tobytes()}
-        self.chunks = ChunkTable(vocab, self.encode_chunks, entries=entries)
-
-    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Where white space is dropped, plain chunks (all but special strings
-        and rare characters) are split together, one to a line."""
-        out = [b""] * len(chunks)
-        plain = [self.vocab.end_of_word and is_plain(c) and self.vocab.added_start not in c for c in chunks]
-        lines = [c for c, p in zip(chunks, plain, strict=True) if p]
-        if lines:
-            text = "\n".join(lines) + "\n"
-            found = self.find(text.lower() if self.vocab.lower else text)
+        self.chunks = ChunkTable(vocab, self.encode_chunks, entries=entries // 8)
+        self.find = regex.compile(f"{vocab.pattern}|\n").findall
+        # the same pattern for texts of ASCII only, where it can be said without properties
+        classes = re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"), vocab.pattern)
+        self.find_ascii = re.compile(f"{classes}|\n", re.ASCII).findall if r"\p" not in classes else self.find
+
+    def rows(self, texts: list[str]):
+        """The ids of each text."""
+        part: list[str] = []
+        size = 0
+        for t in texts:
+            if len(t) > _TOGETHER:
+                yield from self._batch(part)
+                part, size = [], 0
+                yield b"".join(x for piece in _slices(t) for x in self._batch([piece]))
+                continue
+            part.append(t)
+            size += len(t)
+            if size >= _TOGETHER:
+                yield from self._batch(part)
+                part, size = [], 0
+        yield from self._batch(part)
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        out = [b""] * len(texts)
+        plain = [bool(self.vocab.end_of_word) and self.vocab.added_start not in t and is_plain_text(t) for t in texts]
+        for ascii_only, find in ((True, self.find_ascii), (False, self.find)):
+            own = [k for k, p in enumerate(plain) if p and texts[k].isascii() == ascii_only]
+            if not own:
+                continue
+            lines = "\n".join([texts[k].replace("\n", " ") for k in own]) + "\n"
+            found = find(lines.lower() if self.vocab.lower else lines)
             raw = b"".join(map(self.known(found).__getitem__, found))
-            stops = np.nonzero(np.frombuffer(raw, "<u4") == _STOP)[0].tolist()
             at = 0
-            for k, stop in zip([k for k, p in enumerate(plain) if p], stops, strict=True):
+            for k, stop in zip(own, np.nonzero(np.frombuffer(raw, "<u4") == _STOP)[0].tolist(), strict=True):
                 out[k] = raw[at : 4 * stop]
                 at = 4 * stop + 4
         other = [k for k, p in enumerate(plain) if not p]
-        plan, new = pre_token_plan(self.vocab, [chunks[k] for k in other], lambda pre: None)
-        raws = encode_raw(new, self.pairs)
-        for k, parts in zip(other, plan, strict=True):
-            out[k] = b"".join([np.array(p, "<u4").tobytes() if isinstance(p, list) else raws[p] for p in parts])
+        for k, values in zip(other, self.chunks.rows([texts[k] for k in other]), strict=True):
+            out[k] = b"".join(values)
         return out
 
     def known(self, found: list[str]) -> dict[str, bytes]:
         """The table of pre-tokens, with those of ``found`` added."""
         if len(self.words) > self.entries:
             self.words = {"\n": self.words["\n"]}
-        new = [w for w in set(found) if w not in self.words]
+        new = list(set(found).difference(self.words))
         coded = dict(zip(new, encode_raw([w.encode() for w in new], self.pairs), strict=True))
         long = {w for w in new if len(w) > self.chunks.longest}
         if long:                                       # for this call only
@@ -90,6 +113,27 @@ class RawIds:
         self.words.update(coded)
         return self.words
 
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        plan, new = pre_token_plan(self.vocab, chunks, lambda pre: None)
+        raws = encode_raw(new, self.pairs)
+        return [b"".join([np.array(p, "<u4").tobytes() if isinstance(p, list) else raws[p] for p in parts]) for parts in plan]
+
+
+def _slices(text: str):
+    """A long text in pieces, cut at white space where there is some."""
+    at = 0
+    while at < len(text):
+        end = at + _TOGETHER
+        if end < len(text):
+            cut = max(text.rfind(" ", at, end), text.rfind("\n", at, end))
+            if cut > at:
+                end = cut
+            else:                                      # one word over the limit: up to its end
+                later = [x for x in (text.find(" ", end), text.find("\n", end)) if x > 0]
+                end = min(later, default=len(text))
+        yield text[at:end]
+        at = end
+
 
 def encode_raw(words: list[bytes], pairs: PairTable) -> list[bytes]:
     """Ids of each pre-token, as little-endian bytes."""
@@ -123,12 +167,11 @@ def pieces(docs: DataFrame, vocab_path: str, *, max_len: int = 4096, end_id: int
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        begin_task("packing")
-        table = worker_ids(shared.value).chunks
+        table = worker_ids(shared.value)
         for b in batches:
             row, piece, start, length, crc, ids = [], [], [], [], [], []
-            for k, values in enumerate(table.rows(b.column("_text").to_pylist())):
-                raw = b"".join(values) + end
+            for k, raw in enumerate(table.rows(b.column("_text").to_pylist())):
+                raw += end
                 for p, at in enumerate(range(0, len(raw), 4 * max_len)):
                     part = raw[at : at + 4 * max_len]
                     row.append(k)
@@ -148,7 +191,7 @@ def pieces(docs: DataFrame, vocab_path: str, *, max_len: int = 4096, end_id: int
     src = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     schema = (f"_id {src.schema['_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
               + (", ids array<int>" if with_ids else ""))
-    return src.mapInArrow(run, schema).withColumnRenamed("_id", "doc_id")
+    return src.mapInArrow(tidy_task(run, "packing"), schema).withColumnRenamed("_id", "doc_id")
 
 
 def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:

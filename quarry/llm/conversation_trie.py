@@ -57,6 +57,7 @@ def numbered_turns(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str
                         F.regexp_count(text, F.lit(WORD)).cast("long").alias("words")).filter("conv is not null")
            .select("conv", "turn", *[F.conv(F.substring("sha", at, 15), 16, 10).cast("long").alias(c) for c, at in (("ta", 1), ("tb", 16))],
                    "words"))
+    src = cut_lineage(src)                             # ranges are sampled first: texts are hashed once
     order = [F.asc("conv"), F.asc_nulls_first("turn"), F.asc("ta"), F.asc("tb")]
     ranged = cut_lineage(src.repartitionByRange(shuffle_width(turns), *order).sortWithinPartitions(*order)
                          .drop("turn").withColumn("seq", F.monotonically_increasing_id()))

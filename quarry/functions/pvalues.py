@@ -1,11 +1,9 @@
-"""Upper-tail probabilities of the t and chi-square distributions.
+"""Upper-tail probabilities of the t and chi-square distributions, as
+column expressions (no Python runs on the workers).
 
-Spark SQL has neither distribution, so the tails are integrated numerically
-in Arrow-batched pandas UDFs, applied to *result* rows only (one per test or
-per group), never to data rows.
-
-Both densities are rewritten so that nothing cancels for large degrees of
-freedom.  With t = a·e^v, a = dof/2, the chi-square (gamma) density is
+Spark SQL has neither distribution.  Both densities are rewritten so that
+nothing cancels for large degrees of freedom: with t = a·e^v, a = dof/2, the
+chi-square (gamma) density is
 
     C(a) · exp(−a · (e^v − 1 − v)) dv,   C(a) = a^a e^−a / Γ(a),
 
@@ -13,138 +11,134 @@ and with t = √ν · sinh w the t density is
 
     K(ν) · cosh(w)^−ν dw,   K(ν) = Γ((ν+1)/2) / (√π · Γ(ν/2)).
 
-Both integrands are smooth and fall off at least exponentially.  They are
-integrated by Gauss-Legendre panels up to where nothing is left in double
-precision, with two numbers of panels; a disagreement is an error, not an
-answer.
+The smaller tail of either is integrated from its edge to where the integrand
+has fallen by e^−60 (found by bisection) with Gauss-Legendre panels, whose sums
+are folds over literal arrays.  Two numbers of panels must agree to 1e-9, else
+the expression raises an error instead of giving an answer.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(24)
 #: exp(-_GONE) is nothing beside 1 in double precision.
 _GONE = 60.0
 _TOLERANCE = 1e-9
+_HALVINGS, _PANELS = 60, (24, 48)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _tail(log_f: Callable[[Column], Column], start: Column, direction: Column, most: Column) -> Column:
+    """ln of the integral of exp(log_f) from ``start`` on; log_f falls by more
+    than ``_GONE`` within ``most``."""
+    top = log_f(start)
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = (s["lo"] + s["hi"]) / 2
+        above = log_f(start + direction * middle) > top - _GONE
+        return F.struct(F.when(above, middle).otherwise(s["lo"]).alias("lo"), F.when(above, s["hi"]).otherwise(middle).alias("hi"))
+
+    reach = F.aggregate(F.sequence(F.lit(1), F.lit(_HALVINGS)), F.struct(F.lit(0.0).alias("lo"), most.alias("hi")), halve)["hi"]
+    nodes = F.array(*[F.struct(F.lit(float((x + 1) / 2)).alias("x"), F.lit(float(w / 2)).alias("w")) for x, w in zip(_NODES, _WEIGHTS, strict=True)])
 
+    def panels(n: int, r: Column) -> Column:
+        def one(acc: Column, i: Column) -> Column:
+            return acc + F.aggregate(nodes, F.lit(0.0), lambda a, p: a + p["w"] * F.exp(log_f(start + direction * (r * ((i + p["x"]) / n))) - top))
 
-def _panels(f, lo: float, hi: float, n: int) -> float:
-    edges = np.linspace(lo, hi, n + 1)
-    half = (edges[1:] - edges[:-1]) / 2
-    x = (edges[1:] + edges[:-1])[:, None] / 2 + half[:, None] * _NODES
-    return float((half[:, None] * _WEIGHTS * np.exp(f(x))).sum())
-
-
-def _integral(log_f, lo: float, direction: int, scale: float) -> tuple[float, float]:
-    """∫ exp(log_f) from ``lo`` to infinity in ``direction`` as (m, r) with
-    value exp(m) · r; log_f falls monotonically from ``lo``."""
-    top = float(log_f(np.array(lo)))
-    reach = scale
-    while float(log_f(np.array(lo + direction * reach))) > top - _GONE:
-        reach *= 2
-    while float(log_f(np.array(lo + direction * reach / 2))) <= top - _GONE:
-        reach /= 2
-    low, high = reach / 2, reach
-    for _ in range(40):                      # where the integrand has fallen by _GONE
-        mid = (low + high) / 2
-        if float(log_f(np.array(lo + direction * mid))) > top - _GONE:
-            low = mid
-        else:
-            high = mid
-    a, b = sorted((lo, lo + direction * high))
-    coarse, fine = (_panels(lambda x: log_f(x) - top, a, b, n) for n in (24, 48))
-    if not abs(coarse - fine) <= _TOLERANCE * fine:
-        raise ArithmeticError(f"tail integral from {lo} did not converge: {coarse} and {fine}")
-    return top, fine
-
-
-def _excess(v: np.ndarray) -> np.ndarray:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), one) * r / n
+
+    def checked(r: Column) -> Column:
+        def both(x: Column) -> Column:
+            agree = F.abs(x["coarse"] - x["fine"]) <= _TOLERANCE * x["fine"]
+            return F.when(agree, top + F.log(x["fine"])).otherwise(F.raise_error(F.lit("a tail integral did not converge")).cast("double"))
+
+        return _let(F.struct(panels(_PANELS[0], r).alias("coarse"), panels(_PANELS[1], r).alias("fine")), both)
+
+    return _let(reach, checked)
+
+
+def _excess(v: Column) -> Column:
     """e^v − 1 − v without cancellation near 0."""
-    v = np.asarray(v, float)
-    near = np.abs(v) < 0.05
-    s = np.where(near, v, 0.0)
-    series = s * s / 2 * (1 + s / 3 * (1 + s / 4 * (1 + s / 5 * (1 + s / 6 * (1 + s / 7 * (1 + s / 8))))))
-    with np.errstate(over="ignore"):
-        return np.where(near, series, np.expm1(v) - v)
-
-
-def _log_c(a: float) -> float:
-    """ln(a^a e^−a / Γ(a)), by Stirling's series where lgamma would cancel."""
-    if a < 50:
-        return a * math.log(a) - a - math.lgamma(a)
-    return 0.5 * math.log(a / (2 * math.pi)) - (1 / 12 - (1 / 360 - 1 / (1260 * a * a)) / (a * a)) / a
-
-
-def chi2_upper(x: float, dof: float) -> float:
-    if math.isnan(x) or math.isnan(dof):
-        return float("nan")
-    if dof <= 0 or x <= 0:
-        return 1.0
-    if math.isinf(x):
-        return 0.0
-    a, half = dof / 2.0, x / 2.0
-    start = math.log1p((half - a) / a) if 0.5 < half / a < 2 else math.log(half / a)
-    upper = start >= 0                       # integrate the smaller tail
-    m, r = _integral(lambda v: -a * _excess(v), start, 1 if upper else -1, 1 / (1 + math.sqrt(a)))
-    tail = math.exp(min(0.0, m + _log_c(a) + math.log(r)))
-    return tail if upper else 1.0 - tail
-
-
-def _log_cosh(w: np.ndarray) -> np.ndarray:
-    w = np.abs(np.asarray(w, float))
-    small = np.minimum(w, 1.0)
-    return np.where(w < 1, 0.5 * np.log1p(np.sinh(small) ** 2), w + np.log1p(np.exp(-2 * w)) - math.log(2))
-
-
-def _log_k(dof: float) -> float:
-    """ln(Γ((ν+1)/2) / (√π Γ(ν/2))); for large ν by the asymptotic series of
-    the ratio of gamma functions."""
-    z = dof / 2
-    if z < 50:
-        return math.lgamma(z + 0.5) - math.lgamma(z) - 0.5 * math.log(math.pi)
-    ratio = 1 - 1 / (8 * z) + 1 / (128 * z**2) + 5 / (1024 * z**3) - 21 / (32768 * z**4)
-    return 0.5 * math.log(z / math.pi) + math.log(ratio)
+    series = F.lit(1.0)
+    for k in (8, 7, 6, 5, 4, 3):
+        series = 1 + v / k * series
+    return F.when(F.abs(v) < 0.05, v * v / 2 * series).otherwise(F.expm1(v) - v)
 
 
-def t_two_sided(t: float, dof: float) -> float:
-    if math.isnan(t) or math.isnan(dof) or dof <= 0:
-        return float("nan")
-    if t == 0:
-        return 1.0
-    if math.isinf(t):
-        return 0.0
-    m, r = _integral(lambda w: -dof * _log_cosh(w), math.asinh(abs(t) / math.sqrt(dof)), 1, 1 / (1 + math.sqrt(dof)))
-    return math.exp(min(0.0, m + _log_k(dof) + math.log(2 * r)))
+def _log_cosh(w: Column) -> Column:
+    s = F.sinh(F.least(w, F.lit(1.0)))
+    return F.when(w < 1, 0.5 * F.log1p(s * s)).otherwise(w + F.log1p(F.exp(-2 * w)) - math.log(2))
 
 
-def _apply(fn, a: pd.Series, b: pd.Series) -> pd.Series:
-    out = [None if (pd.isna(x) or pd.isna(y)) else fn(float(x), float(y)) for x, y in zip(a, b, strict=True)]
-    res = pd.Series(out, dtype="float64")
-    return res.where(~res.isna(), None)
+def _log_gamma(z: Column) -> Column:
+    """ln Γ(z): Stirling's series at z + 10, and back by the product."""
+    shifted = z + 10
+    product = F.lit(0.0)
+    for k in range(10):
+        product = product + F.log(z + k)
+    u = 1 / (shifted * shifted)
+    series = (1 / 12 - u * (1 / 360 - u * (1 / 1260 - u * (1 / 1680 - u / 1188)))) / shifted
+    return (shifted - 0.5) * F.log(shifted) - shifted + 0.5 * math.log(2 * math.pi) + series - product
 
 
-@F.pandas_udf(T.DoubleType())
-def _t_p_udf(t: pd.Series, dof: pd.Series) -> pd.Series:
-    return _apply(t_two_sided, t, dof)
+def _log_c(a: Column) -> Column:
+    """ln(a^a e^−a / Γ(a)), by Stirling's series where ln Γ would cancel."""
+    large = 0.5 * F.log(a / (2 * math.pi)) - (1 / 12 - (1 / 360 - 1 / (1260 * a * a)) / (a * a)) / a
+    return F.when(a < 50, a * F.log(a) - a - _log_gamma(a)).otherwise(large)
 
 
-@F.pandas_udf(T.DoubleType())
-def _chi2_p_udf(x: pd.Series, dof: pd.Series) -> pd.Series:
-    return _apply(chi2_upper, x, dof)
+def _log_k(dof: Column) -> Column:
+    """ln(Γ((ν+1)/2) / (√π Γ(ν/2))); for large ν by the asymptotic series of
+    the ratio of gamma functions."""
+    z = dof / 2
+    ratio = 1 - 1 / (8 * z) + 1 / (128 * z * z) + 5 / (1024 * z * z * z) - 21 / (32768 * z * z * z * z)
+    return F.when(z < 50, _log_gamma(z + 0.5) - _log_gamma(z) - 0.5 * math.log(math.pi)).otherwise(
+        0.5 * F.log(z / math.pi) + F.log(ratio))
 
 
-def t_pvalue(t: Column, dof: Column) -> Column:
-    """Two-sided p of a t statistic (null when t or dof is null)."""
-    return _t_p_udf(t.cast("double"), dof.cast("double"))
+def _within(scale: Column) -> Column:
+    """A distance within which the integrands have fallen by more than _GONE."""
+    return F.sqrt(250 / scale) + 250 / scale
 
 
 def chi2_pvalue(stat: Column, dof: Column) -> Column:
     """Upper-tail p of a chi-square statistic; dof 0 gives 1."""
-    return _chi2_p_udf(stat.cast("double"), dof.cast("double"))
+    def tail(s: Column) -> Column:
+        a, half = s["dof"] / 2, s["x"] / 2
+        mean = (half - a) / a
+        start = F.when((half > a / 2) & (half < 2 * a), F.log1p(mean)).otherwise(F.log(half / a))
+
+        def of(v: Column) -> Column:
+            upper = v >= 0                             # the smaller tail
+            p = F.exp(F.least(F.lit(0.0), _tail(lambda x: -a * _excess(x), v, F.when(upper, 1.0).otherwise(-1.0), _within(a)) + _log_c(a)))
+            return F.when(upper, p).otherwise(1 - p)
+
+        return (F.when(F.isnan(s["x"]) | F.isnan(s["dof"]), F.lit(float("nan"))).when((s["dof"] <= 0) | (s["x"] <= 0), 1.0)
+                .when(s["x"] == float("inf"), 0.0).otherwise(_let(start, of)))
+
+    x, n = stat.cast("double"), dof.cast("double")
+    return F.when(x.isNotNull() & n.isNotNull(), _let(F.struct(x.alias("x"), n.alias("dof")), tail))
+
+
+def t_pvalue(t: Column, dof: Column) -> Column:
+    """Two-sided p of a t statistic (null when t or dof is null)."""
+    def tail(s: Column) -> Column:
+        n = s["dof"]
+        start = F.asinh(s["t"] / F.sqrt(n))
+        p = _let(start, lambda w: F.exp(F.least(
+            F.lit(0.0), _tail(lambda x: -n * _log_cosh(x), w, F.lit(1.0), _within(n)) + _log_k(n) + math.log(2))))
+        return (F.when(F.isnan(s["t"]) | F.isnan(n) | (n <= 0), F.lit(float("nan"))).when(s["t"] == 0, 1.0)
+                .when(s["t"] == float("inf"), 0.0).otherwise(p))
+
+    value, n = F.abs(t.cast("double")), dof.cast("double")
+    return F.when(value.isNotNull() & n.isNotNull(), _let(F.struct(value.alias("t"), n.alias("dof")), tail))

@@ -3,6 +3,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from quarry.functions.pvalues import chi2_pvalue, t_pvalue
 from quarry.operators import correlate, hypothesis
 from quarry.plans.registry import EVENTS_WITH_NULLS_SQL, events_with_nulls, register, rounded, table
 
@@ -120,6 +123,20 @@ def chi_square_pvalue(spark, sf):
     return hypothesis.chi_square(table(spark, sf, "labels"), "quality", "toxic")
 
 
+@register("p_values", sql="""
+WITH s AS (SELECT p_size, p_size / 10.0::DOUBLE AS t, p_size::DOUBLE AS x, count(*) AS n FROM part GROUP BY ALL)
+SELECT p_size, n, round(1 - 2 / pi() * atan(t), 9) + 0.0 AS t1, round(1 - t / sqrt(2 + t * t), 9) + 0.0 AS t2,
+       round(1 - 2 / pi() * (atan(t / sqrt(3)) + t * sqrt(3) / (3 + t * t)), 9) + 0.0 AS t3,
+       round(exp(-x / 2), 9) + 0.0 AS c2, round(exp(-x / 2) * (1 + x / 2), 9) + 0.0 AS c4,
+       round(exp(-x / 2) * (1 + x / 2 + x * x / 8), 9) + 0.0 AS c6 FROM s""")
+def p_values(spark, sf):
+    """X1 against closed forms: t with 1, 2 and 3 degrees of freedom, chi-square with 2, 4 and 6."""
+    sizes = table(spark, sf, "part").groupBy("p_size").agg(F.count(F.lit(1)).alias("n"))
+    t, x = F.col("p_size") / F.lit(10.0), F.col("p_size").cast("double")
+    return rounded(sizes.select("p_size", "n", *[t_pvalue(t, F.lit(k)).alias(f"t{k}") for k in (1, 2, 3)],
+                                *[chi2_pvalue(x, F.lit(k)).alias(f"c{k}") for k in (2, 4, 6)]), 9)
+
+
 @register("expected_counts", sql="""
 WITH c AS (SELECT l_returnflag, l_linestatus, count(*) AS o FROM lineitem GROUP BY 1, 2),
 ra AS (SELECT l_returnflag, sum(o) AS ra FROM c GROUP BY 1), cb AS (SELECT l_linestatus, sum(o) AS cb FROM c GROUP BY 1)

@@ -23,7 +23,7 @@ def test_chi_square_absent_cells_match_dense_formula(spark):
     r = hypothesis.chi_square(df, "p", "q").first()
     e = counts.sum(1, keepdims=True) * counts.sum(0, keepdims=True) / counts.sum()
     assert abs(r.stat - ((counts - e) ** 2 / e).sum()) < 1e-9 and r.dof == 4
-    assert abs(r.p - pvalues.chi2_upper(r.stat, 4)) < 1e-12
+    assert r.dof == 4 and abs(r.p - np.exp(-r.stat / 2) * (1 + r.stat / 2)) < 1e-12
 
 
 def test_chi_square_single_category_has_zero_dof(spark):
@@ -48,23 +48,36 @@ def test_ttest_two_samples(spark):
     assert r.t is None and r.status == "missing_values"
 
 
-def test_pvalue_functions():
-    assert abs(pvalues.t_two_sided(1.8676, 8) - 0.0988) < 1e-4
-    assert abs(pvalues.chi2_upper(3.0, 2) - np.exp(-1.5)) < 1e-12
-    # closed forms: chi-square with even dof and dof 1, t with dof 1 and 2
+def _p(spark, kind, cases):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, float(x), float(n)) for i, (x, n) in enumerate(cases)], "i int, x double, n double")
+    out = df.select("i", getattr(pvalues, f"{kind}_pvalue")(F.col("x"), F.col("n")).alias("p"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    return [r.p for r in out.orderBy("i").collect()]
+
+
+def test_pvalue_functions(spark):
+    # closed forms: chi-square with even dof and dof 1, t with dof 1, 2 and 3
     term = total = 1.0
     for k in range(1, 30):
         term *= 30.0 / k
         total += term
-    assert abs(pvalues.chi2_upper(60.0, 60) - np.exp(-30.0) * total) < 1e-12
-    assert abs(pvalues.chi2_upper(3.84, 1) - math.erfc(math.sqrt(1.92))) < 1e-12
-    assert abs(pvalues.t_two_sided(12.0, 1) - 2 * math.atan2(1, 12) / math.pi) < 1e-12
-    assert abs(pvalues.t_two_sided(1.0, 2) - (1 - 1 / math.sqrt(3))) < 1e-12
+    chi = [((3.0, 2), np.exp(-1.5)), ((60.0, 60), np.exp(-30.0) * total), ((3.84, 1), math.erfc(math.sqrt(1.92))),
+           ((1e-6, 1), math.erfc(math.sqrt(5e-7))), ((90.0, 1), math.erfc(math.sqrt(45))), ((0.0, 3), 1.0), ((5.0, 0), 1.0), ((float("inf"), 2), 0.0),
+           ((9.0, 4), np.exp(-4.5) * 5.5), ((1.5, 3), math.erfc(math.sqrt(.75)) + math.sqrt(3 / math.pi) * np.exp(-.75))]
+    for got, (case, want) in zip(_p(spark, "chi2", [c for c, _ in chi]), chi, strict=True):
+        assert got == pytest.approx(want, rel=1e-10, abs=1e-300), case
+    t = [((12.0, 1), 2 * math.atan2(1, 12) / math.pi), ((1.0, 2), 1 - 1 / math.sqrt(3)), ((0.0, 5), 1.0), ((-0.3, 1), 1 - 2 * math.atan(0.3) / math.pi),
+         ((1.7, 3), 1 - 2 / math.pi * (math.atan(1.7 / math.sqrt(3)) + 1.7 * math.sqrt(3) / (3 + 1.7 ** 2))), ((1e300, 5), 0.0), ((float("inf"), 4), 0.0)]
+    for got, (case, want) in zip(_p(spark, "t", [c for c, _ in t]), t, strict=True):
+        assert got == pytest.approx(want, rel=1e-10, abs=1e-200), case
+    assert abs(_p(spark, "t", [(1.8676, 8)])[0] - 0.0988) < 1e-4
     # large dof: the normal limit with its skewness term
-    for dof in (1e6, 1e8, 1e12):
-        assert abs(1 - pvalues.chi2_upper(dof + math.sqrt(2 * dof), dof) - 0.8413447460685429) < 1e-6
-        assert abs(pvalues.t_two_sided(1.959963984540054, dof) - 0.05) < 3e-7
-    assert pvalues.chi2_upper(1e5, 3) == 0.0 and 0 <= pvalues.t_two_sided(1e300, 5) < 1e-200
+    large = (1e6, 1e8, 1e12)
+    assert all(abs(1 - p - 0.8413447460685429) < 1e-6 for p in _p(spark, "chi2", [(d + math.sqrt(2 * d), d) for d in large]))
+    assert all(abs(p - 0.05) < 3e-7 for p in _p(spark, "t", [(1.959963984540054, d) for d in large]))
+    assert _p(spark, "chi2", [(1e5, 3)]) == [0.0] and math.isnan(_p(spark, "t", [(1.0, 0)])[0])
 
 
 def test_ols_line4(spark):

@@ -19,8 +19,9 @@ with many members or visitors is dealt out in square blocks of at most
 ``BLOCK`` each, so no task gets a cell whole.  Tasks return sums and a few
 links that keep what they found connected, never all pairs.
 
-Results: a vector that is null, empty, zero, of another length than most, or
-holds null or non-finite components links with nothing; a null id is counted
+Results: a vector that is null, empty, zero, or holds null or non-finite
+components links with nothing; vectors of different lengths never link, those
+of each length have an index of their own; a null id is counted
 as a vector but never names a component unless it has no other id; repeated
 rows are vectors of their own; an empty table gives an empty result.
 """
@@ -296,15 +297,19 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str
     spark = rows.sparkSession
     prepare(spark)
     every = cut_lineage(vectors(rows, id_col, vector_col))
-    usual = every.filter("key is not null").groupBy(F.length("v").alias("size")).count().orderBy(
-        F.desc("count"), "size").first()
-    usable = every.filter(F.col("key").isNotNull() & (F.length("v") == (usual["size"] if usual else 0)))
-    classes = cut_lineage(usable.groupBy("key").agg(F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("least"), F.first("v").alias("v")))
-    index = fit_index(classes, threshold, target_recall)
-    if index is None:
+    classes = cut_lineage(every.filter("key is not null").groupBy("key").agg(
+        F.count(F.lit(1)).alias("w"), F.min("vec_id").alias("least"), F.first("v").alias("v")))
+    # vectors of different lengths are never compared: an index for each length
+    found = None
+    for size in sorted(r["size"] for r in classes.groupBy(F.length("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()):
+        own = classes.filter(F.length("v") == size)
+        index = fit_index(own, threshold, target_recall)
+        if index is not None:
+            links = find_links(own, spark.sparkContext.broadcast(index), threshold)
+            found = links if found is None else found.unionByName(links)
+    if found is None:
         alone = every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     else:
-        found = find_links(classes, spark.sparkContext.broadcast(index), threshold)
         counts = found.filter("n is not null").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
         roots = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "key")
         known = (classes.select("key", "w", "least").join(counts, "key", "left").join(roots, "key", "left")
@@ -313,7 +318,6 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str
         known = cut_lineage(known)
         names = cut_lineage(known.groupBy("root").agg(F.min("least").alias("c")))
         known = cut_lineage(known.join(names, "root").select("key", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"), "c"))
-        usable_key = F.when(F.length("v") == usual["size"], F.col("key"))
-        alone = every.select("vec_id", usable_key.alias("key")).join(known, "key", "left").select(
+        alone = every.select("vec_id", "key").join(known, "key", "left").select(
             "vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), F.coalesce("c", "vec_id").alias("component_id"))
     return alone.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -261,13 +261,25 @@ def test_embeddings_empty(spark):
     assert {tuple(r) for r in only} == {(1, 0, 1, True), (2, 0, 2, True)}
 
 
-def test_recall_on_supplied_vectors(spark):
-    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
-    x = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()], np.float64)
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    true = int((x @ x.T >= 0.95).sum()) - len(x)
-    found = sum(r["n_links"] for r in embedding_dedup.near_duplicates(df).collect())
-    assert 0.9 * true <= found <= true
+def test_recall_on_planted_vectors(spark, tmp_path):
+    """End to end on a written table: vectors of two lengths, each with copies
+    turned by up to the threshold, against all pairs."""
+    r = np.random.default_rng(7)
+    rows, true = [], 0
+    for dims, n in ((48, 3_000), (10, 700)):
+        x = r.standard_normal((n, dims))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        near = x[r.integers(0, n, n // 2)] + r.uniform(0, 0.33, (n // 2, 1)) * (lambda d: d / np.linalg.norm(d, axis=1)[:, None])(
+            r.standard_normal((n // 2, dims)))
+        x = np.vstack([x, near, x[: n // 20]]) * r.uniform(0.1, 9, (n + n // 2 + n // 20, 1))
+        unit = x / np.linalg.norm(x, axis=1)[:, None]
+        true += int((unit @ unit.T >= 0.95).sum()) - len(x)
+        rows += [(len(rows) + k, v) for k, v in enumerate(x.tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/e")
+    got = embedding_dedup.near_duplicates(spark.read.parquet(f"{tmp_path}/e")).collect()
+    found = sum(v["n_links"] for v in got)
+    assert len(got) == len(rows) and true > 2_000
+    assert 0.99 * true <= found <= true
 
 
 def test_multi_sequence_order():

@@ -9,12 +9,13 @@ A sketch is a histogram of one rate, a counter per whole per mille and no
 upper end, so quantiles are exact.  Shares have 1,001 counters at most; V
 different mean word lengths take texts of V * V / 40 characters together.
 Sketches merge by adding counters, so the result does not depend on the order
-or number of partitions.  A group with few documents uses its language's merged
-sketch, a language with few the sketch of all.
+or number of partitions.
 
-The fence lies ``spread`` interquartile ranges above the upper quartile, and at
-least ``slack`` above the median: a group without junk loses nothing, however
-alike its documents are.
+A sketch's fence lies ``spread`` interquartile ranges above the upper quartile,
+and at least ``slack`` above the median: a group without junk loses nothing,
+however alike its documents are.  A group of n documents is judged by its own
+fence with weight n / (n + ``PRIOR``) and its language's with the rest, a
+language likewise by its own and that of all, so no verdict jumps at a count.
 
 Results: a null text has no words and fails the base rules; null languages and
 sources form groups of their own; repeated rows count as often as they occur;
@@ -37,13 +38,11 @@ SYMBOLS = "[^#*$%&|<>]+"
 MIN_WORDS = 50
 REPEAT_PERCENT = 50
 
-#: Where the SQL twin caps rates; the operator does not.
-TOP = 4000
 #: Rate -> least distance in per mille between the median and the fence.
 SLACK = {"symbol_rate": 60, "dup_line_rate": 500, "repeat_rate": 400, "capital_rate": 300, "bang_rate": 60,
          "word_length": 4000}
-#: Documents a sketch needs to stand for its group.
-MIN_GROUP = 100
+#: Documents that a group's parent counts for beside the group's own.
+PRIOR = 20
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -171,14 +170,21 @@ def fences(sketch: DataFrame, *, spread: float = 3.0) -> DataFrame:
     def struct_of(name: str) -> Column:
         return F.struct("total", *SLACK).alias(name)
 
-    # the upper levels: a row per language, and one row
+    # the upper levels: a row per language, and one row, read as a scalar subquery
     by_lang = at(1).select("lang", struct_of("by_lang"))
-    whole = at(2).select(struct_of("whole"), F.lit(1).alias("one"))
-    joined = (at(0).select("lang", "source", struct_of("own"), F.lit(1).alias("one"))
-              .join(by_lang, "lang").join(F.broadcast(whole), "one"))
-    pick = (F.when(F.col("own.total") >= MIN_GROUP, F.col("own"))
-            .when(F.col("by_lang.total") >= MIN_GROUP, F.col("by_lang")).otherwise(F.col("whole")))
-    return joined.select("lang", "source", pick.alias("fence"))
+    joined = (at(0).select("lang", "source", struct_of("own")).join(by_lang, "lang")
+              .withColumn("whole", at(2).select(struct_of("whole")).scalar()))
+
+    def blended(k: str) -> Column:
+        """A group's own fence and its parent's, by their numbers of documents;
+        the parent's is blended in the same way."""
+        def weight(c: str) -> Column:
+            return F.col(f"{c}.total") / (F.col(f"{c}.total") + float(PRIOR))
+
+        upper = weight("by_lang") * F.col(f"by_lang.{k}") + (1 - weight("by_lang")) * F.col(f"whole.{k}")
+        return weight("own") * F.col(f"own.{k}") + (1 - weight("own")) * upper
+
+    return joined.select("lang", "source", F.struct(*[blended(k).alias(k) for k in SLACK]).alias("fence"))
 
 
 #: Up to so many fence rows (about 100 bytes each) are broadcast; more are

@@ -57,15 +57,15 @@ r AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
              1000 * n_repeat_words // greatest(n_words, 1) AS repeat_rate, 1000 * caps // greatest(word_chars, 1) AS capital_rate,
              1000 * bangs // greatest(word_chars, 1) AS bang_rate, 1000 * word_chars // greatest(n_words, 1) AS word_length FROM b),
 u AS (SELECT doc_id, lang, source, base_failed, unnest([{_RATES}], recursive := true) FROM r),
-l AS (SELECT 0 AS lev, lang AS a, source AS b, k, least(v, {quality_rules.TOP}) AS v FROM u WHERE NOT base_failed
-      UNION ALL SELECT 1, lang, '', k, least(v, {quality_rules.TOP}) FROM u WHERE NOT base_failed
-      UNION ALL SELECT 2, '', '', k, least(v, {quality_rules.TOP}) FROM u WHERE NOT base_failed),
+l AS (SELECT 0 AS lev, lang AS a, source AS b, k, v FROM u WHERE NOT base_failed
+      UNION ALL SELECT 1, lang, '', k, v FROM u WHERE NOT base_failed
+      UNION ALL SELECT 2, '', '', k, v FROM u WHERE NOT base_failed),
 o AS (SELECT *, row_number() OVER (PARTITION BY lev, a, b, k ORDER BY v) AS rn, count(*) OVER (PARTITION BY lev, a, b, k) AS n FROM l),
 q AS (SELECT lev, a, b, k, max(n) AS n, min(v) FILTER (rn >= 0.25 * n) AS q1, min(v) FILTER (rn >= 0.5 * n) AS q2,
              min(v) FILTER (rn >= 0.75 * n) AS q3 FROM o GROUP BY 1, 2, 3, 4),
 f AS (SELECT q.*, greatest(q3 + 3 * (q3 - q1), q2 + s.slack) AS fence FROM q JOIN (VALUES {_SLACK}) s(k, slack) USING (k)),
-x AS (SELECT u.doc_id, bool_and(u.v <= CASE WHEN f0.n >= {quality_rules.MIN_GROUP} THEN f0.fence
-                                            WHEN f1.n >= {quality_rules.MIN_GROUP} THEN f1.fence ELSE f2.fence END) AS within
+x AS (SELECT u.doc_id, bool_and(u.v <= f0.n / (f0.n + {quality_rules.PRIOR}.0::DOUBLE) * f0.fence + (1 - f0.n / (f0.n + {quality_rules.PRIOR}.0::DOUBLE))
+                                * (f1.n / (f1.n + {quality_rules.PRIOR}.0::DOUBLE) * f1.fence + (1 - f1.n / (f1.n + {quality_rules.PRIOR}.0::DOUBLE)) * f2.fence)) AS within
       FROM u JOIN f f0 ON f0.lev = 0 AND f0.a = u.lang AND f0.b = u.source AND f0.k = u.k
       JOIN f f1 ON f1.lev = 1 AND f1.a = u.lang AND f1.k = u.k JOIN f f2 ON f2.lev = 2 AND f2.k = u.k GROUP BY 1)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

@@ -57,6 +57,22 @@ def test_thresholds_follow_the_group(spark):
     assert 2000 not in kept and 2002 in kept
 
 
+def test_no_verdict_jumps_with_the_size_of_a_group(spark):
+    """The fence of a group moves by a few per mille a document, from its
+    parents' towards its own, whatever its size."""
+    def fence(n):
+        rows = [("=en", "=big", "symbol_rate", 0, 400), ("=en", "=big", "symbol_rate", 300, 400), ("=en", "=small", "symbol_rate", 40, n)]
+        both = [(level, a if level < 2 else "", b if level == 0 else "", k, v, c) for level in (0, 1, 2) for a, b, k, v, c in rows]
+        sketch = spark.createDataFrame(both, "level int, lang string, source string, rate string, value long, n long").groupBy(
+            "level", "lang", "source", "rate", "value").agg(F.sum("n").alias("n"))
+        return next(r["fence"]["symbol_rate"] for r in quality_rules.fences(sketch).collect() if r["source"] == "=small")
+
+    own, upper = 40 + quality_rules.SLACK["symbol_rate"], 300 + 3 * 300
+    seen = [fence(n) for n in (1, 5, 98, 99, 100, 101, 102)]
+    assert all(own < b < a < upper for a, b in zip(seen, seen[1:], strict=False))
+    assert all(abs(a - b) < 3 for a, b in zip(seen[2:], seen[3:], strict=False))
+
+
 def test_long_words_are_usual_in_their_group(spark):
     """A group whose words have 12 characters stays; words far beyond go."""
     def text(k, size):

@@ -13,7 +13,10 @@ from quarry.session import ensure_checkpoint_dir
 
 #: Bytes of one Arrow batch handed to Python, so that batches of very long
 #: texts stay small (rows alone would not bound them).
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+
+# Options of mallopt.
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
 
 
 def prepare(spark: SparkSession) -> None:
@@ -31,15 +34,32 @@ def shuffle_width(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def begin_task(own: str = "") -> None:
-    """Python workers outlive tasks, and some modules keep tables in them from
-    task to task.  Forget those of all modules but ``own``, and hand freed
-    memory back, so that the operators of a pipeline don't add up."""
+def _tidy(own: str) -> None:
+    """Forget the tables of all modules but ``own`` and hand freed memory back."""
+    gc.unfreeze()
     for name in ("bpe_codec", "packing", "token_counts"):
         module = sys.modules.get(f"quarry.llm.{name}")
         if module is not None and name != own:
             module._WORKER.clear()
     gc.collect()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:                               # the C library of GNU systems
-        trim(0)
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):                   # the C library of GNU systems
+        # large arrays stay mappings of their own, which are handed back when freed
+        for option in (M_MMAP_THRESHOLD, M_TRIM_THRESHOLD):
+            libc.mallopt(option, 4 << 20)
+        libc.malloc_trim(0)
+
+
+def tidy_task(run, own: str = ""):
+    """``run`` for ``mapInArrow``.  Python workers outlive tasks, and some
+    modules keep tables in them from task to task; the operators of a pipeline
+    must not add up.  So tables of other modules are forgotten before a task,
+    and what the task has freed is handed back after it."""
+    def tidy(batches):
+        _tidy(own)
+        gc.freeze()                                    # what is left stays: no need to look through it again
+        gc.set_threshold(100_000, 20, 50)              # tasks make millions of small objects, hardly any in cycles
+        yield from run(batches)
+        _tidy(own)
+
+    return tidy

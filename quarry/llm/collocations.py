@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import begin_task, prepare, shuffle_width, text_or_empty
+from quarry.llm._common import prepare, shuffle_width, text_or_empty, tidy_task
 from quarry.session import cut_lineage, cuts_of, drop_cuts
 
 #: Phrases of a container before it bursts; phrases and words of a task's trie
@@ -313,7 +313,6 @@ def count_runs(docs: DataFrame, max_words: int, parts: int, seed: int, *, lang_c
     src = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), text_or_empty(text_col).alias("text"))
 
     def run(batches):
-        begin_task()
         counter = Counter(max_words, parts, seed)
 
         def out(rows):
@@ -327,7 +326,7 @@ def count_runs(docs: DataFrame, max_words: int, parts: int, seed: int, *, lang_c
                 yield from out(counter.add(lang.encode(), own))
         yield from out(counter.rows(0))
 
-    return src.mapInArrow(run, "part long, ids array<binary>, counts array<binary>, words binary, hot binary")
+    return src.mapInArrow(tidy_task(run), "part long, ids array<binary>, counts array<binary>, words binary, hot binary")
 
 
 def _sums(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import begin_task, prepare, text_or_empty
+from quarry.llm._common import prepare, text_or_empty, tidy_task
 from quarry.llm.components import components
 from quarry.session import cut_lineage
 
@@ -75,12 +75,11 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", words: int = 3) ->
     schema = ", ".join([f"`{c}` {src.schema[c].dataType.simpleString()}" for c in kept] + ["fp long"])
 
     def run(batches):
-        begin_task()
         for b in batches:
             fp = np.array([fingerprint(t, words) for t in b.column("_text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(fp)], names=[*kept, "fp"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidy_task(run), schema)
 
 
 def bit_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
@@ -95,7 +94,7 @@ def bit_counts(distinct: DataFrame) -> tuple[int, np.ndarray]:
             n += len(bits)
         yield pa.RecordBatch.from_arrays([pa.array([[n, *total.ravel().tolist()]], pa.list_(pa.int64()))], names=["c"])
 
-    rows = (distinct.select("fp").mapInArrow(run, "c array<long>").select(F.posexplode("c").alias("k", "v"))
+    rows = (distinct.select("fp").mapInArrow(tidy_task(run), "c array<long>").select(F.posexplode("c").alias("k", "v"))
             .groupBy("k").agg(F.sum("v").alias("v")).collect())              # 64 x 64 + 1 rows
     flat = np.zeros(BITS * BITS + 1, np.int64)
     for r in rows:

@@ -18,8 +18,9 @@ the shared checkpoint folder, and the work on them is dealt out by content:
 2. A block sends the contents of its segments with shared keys, each distinct
    content once with its smallest id, to buckets by key.  A bucket runs the
    transform over its contents and answers with the smallest id of every
-   window.  The segments of a key that very many documents have go window by
-   window instead, each dealt by its own content.
+   window.  The segments of a key with more than ``CROWD`` bytes of them (all
+   occurrences counted, also those inside one document) go window by window
+   instead, each dealt by its own content.
 3. Blocks read the answers and cut their texts.
 
 Copies of a whole text are found first by hash: all but the one with the
@@ -43,18 +44,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import begin_task, prepare, shuffle_width
+from quarry.llm._common import prepare, shuffle_width, tidy_task
 from quarry.session import cut_lineage
 
 #: Bytes of the strings whose least hash is a window's key.
 GRAM = 20
 #: Text bytes of a block, and of a bucket's contents.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 1 << 20
 #: Keys that a bucket of the first step gets.
 BUCKET_KEYS = 1 << 20
-#: A key that more documents than this have is dealt window by window.
-CROWD = 50_000
+#: A key whose segments have more bytes than this is dealt window by window.
+CROWD = 2 << 20
 #: A run of windows is cut here, so that repetitive texts have segments of bounded size.
 LONGEST_RUN = 256
 
@@ -244,7 +245,6 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     schema = "block long, ids array<long>, hashes array<binary>, sizes array<long>, data binary"
 
     def run(batches):
-        begin_task()
         base, nth = TaskContext.get().partitionId() << 33, 0
         for b in batches:
             sizes = np.array([len(t) for t in _texts(b)], np.int64)
@@ -263,7 +263,7 @@ def pack_blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 nth += 1
                 at = stop
 
-    return cut_lineage(src.mapInArrow(run, schema))
+    return cut_lineage(src.mapInArrow(tidy_task(run), schema))
 
 
 def copies(blocks: DataFrame, min_len: int) -> DataFrame:
@@ -328,8 +328,8 @@ class _Block:
             self.texts, [k for k, i in enumerate(ids) if i is not None], min_len)
 
     def distinct_keys(self, buckets: int):
-        """Distinct keys by bucket, then low bits; and for each the number of
-        documents."""
+        """Distinct keys by bucket, then low bits; for each the number of
+        documents and the bytes of its segments."""
         bucket = ((self.key >> _U(40)) % _U(buckets)).astype(np.int64)
         order = np.lexsort((self.key & _LOW, bucket)) if buckets >= 1 << 22 else np.argsort(
             bucket << 40 | (self.key & _LOW).astype(np.int64))
@@ -343,7 +343,8 @@ class _Block:
         pair = np.sort(number * (len(self.texts) + 1) + row)
         pair = pair[np.concatenate([[True], pair[1:] != pair[:-1]])[: len(pair)]]
         docs = np.bincount(pair // (len(self.texts) + 1), minlength=int(fresh.sum()))
-        return bucket[fresh], low[fresh], docs, inverse
+        load = np.bincount(inverse, self.n + self.min_len - 1, minlength=int(fresh.sum()))
+        return bucket[fresh], low[fresh], docs, load, inverse
 
     def contents(self, status: np.ndarray, inverse: np.ndarray, buckets: int):
         """Distinct contents by bucket, as (bucket, content, smallest id), and
@@ -383,7 +384,7 @@ def _by_bucket(bucket: np.ndarray):
         yield int(bucket[a]), slice(a, b)
 
 
-_ASKED = "bucket long, block long, keys binary, docs binary"
+_ASKED = "bucket long, block long, keys binary, docs binary, loads binary"
 _SENT = "bucket long, block long, sizes binary, contents binary, ids binary"
 _ANSWER = "block long, step int, bucket long, answer binary"
 
@@ -400,27 +401,27 @@ def _from_five(raw: bytes) -> np.ndarray:
 
 def ask_keys(blocks: DataFrame, min_len: int, buckets: int) -> DataFrame:
     def run(batches):
-        begin_task()
         for b in batches:
             for block, ids, data in zip(*(b.column(c).to_pylist() for c in ("block", "ids", "data")), strict=True):
-                bucket, low, docs, _ = _Block(ids, data, min_len).distinct_keys(buckets)
-                out = [[], [], [], []]
+                bucket, low, docs, load, _ = _Block(ids, data, min_len).distinct_keys(buckets)
+                out = [[], [], [], [], []]
                 for k, part in _by_bucket(bucket):
                     for col, v in zip(out, (k, block, _five_bytes(low[part]),
-                                            np.minimum(docs[part], 255).astype(np.uint8).tobytes()), strict=True):
+                                            np.minimum(docs[part], 255).astype(np.uint8).tobytes(),
+                                            np.minimum(load[part], 0xFFFFFFFF).astype("<u4").tobytes()), strict=True):
                         col.append(v)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)],
-                    names=["bucket", "block", "keys", "docs"])
+                    [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
+                    names=["bucket", "block", "keys", "docs", "loads"])
 
-    return blocks.select("block", "ids", "data").mapInArrow(run, _ASKED)
+    return blocks.select("block", "ids", "data").mapInArrow(tidy_task(run), _ASKED)
 
 
 def answer_keys(asked: DataFrame, crowd: int) -> DataFrame:
     """Per block and bucket a byte for each key: 0 one document has it, 1
-    several, 2 more than ``crowd``."""
+    several, 2 several with more than ``crowd`` bytes of segments."""
     def run(table: pa.Table) -> pa.Table:
-        block, keys, docs = (table.column(c).to_pylist() for c in ("block", "keys", "docs"))
+        block, keys, docs, loads = (table.column(c).to_pylist() for c in ("block", "keys", "docs", "loads"))
         parts = [_from_five(k) for k in keys]
         key = np.concatenate(parts)
         order = np.argsort(key)
@@ -429,7 +430,8 @@ def answer_keys(asked: DataFrame, crowd: int) -> DataFrame:
         inverse[order] = np.cumsum(fresh) - 1
         # counts per block stop at 255, enough to tell one document from several
         total = np.bincount(inverse, weights=np.concatenate([np.frombuffer(d, np.uint8) for d in docs]))
-        status = ((total > 1).astype(np.uint8) + (total > crowd))[inverse]
+        load = np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, "<u4") for x in loads]))
+        status = ((total > 1).astype(np.uint8) * (1 + (load > crowd)))[inverse].astype(np.uint8)
         ends = np.cumsum([len(p) for p in parts])
         answer = [np.packbits(np.stack([s & 1 | s >> 1, s >> 1])).tobytes() if s.any() else b""
                   for s in np.split(status, ends[:-1])]
@@ -453,9 +455,8 @@ def _read_status(answers: dict[int, bytes], bucket: np.ndarray) -> np.ndarray:
 
 def send_contents(joined: DataFrame, min_len: int, key_buckets: int, buckets: int) -> DataFrame:
     def run(batches):
-        begin_task()
         for b in batches:
-            for row in b.to_pylist():
+            for row in (b.slice(k, 1).to_pylist()[0] for k in range(b.num_rows)):
                 _, bucket_of, contents, least, _ = _judge_block(row, min_len, key_buckets, buckets)
                 order = np.argsort(np.array(bucket_of, np.int64), kind="stable")
                 sorted_bucket = np.array(bucket_of, np.int64)[order]
@@ -471,7 +472,7 @@ def send_contents(joined: DataFrame, min_len: int, key_buckets: int, buckets: in
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, types, strict=True)],
                                                  names=["bucket", "block", "sizes", "contents", "ids"])
 
-    return joined.mapInArrow(run, _SENT)
+    return joined.mapInArrow(tidy_task(run), _SENT)
 
 
 def _judge_block(row: dict, min_len: int, key_buckets: int, buckets: int):
@@ -480,7 +481,7 @@ def _judge_block(row: dict, min_len: int, key_buckets: int, buckets: int):
     skip = frozenset(row["copies"] or ())
     # keys are asked for over all texts of the block, segments are sent without copies
     asked = _Block(row["ids"], row["data"], min_len)
-    bucket, _, _, inverse = asked.distinct_keys(key_buckets)
+    bucket, _, _, _, inverse = asked.distinct_keys(key_buckets)
     status = _read_status(answers, bucket)
     if skip:
         keep = ~np.isin(asked.row, list(skip))
@@ -593,9 +594,8 @@ def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     id_type = slim.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        begin_task()
         for b in batches:
-            for row in b.to_pylist():
+            for row in (b.slice(k, 1).to_pylist()[0] for k in range(b.num_rows)):
                 block, masks = removed(row)
                 out = []
                 for t, m in zip(block.texts, masks, strict=True):
@@ -609,7 +609,7 @@ def removal_digests(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([block.batch.column("doc_id"), *cols, pa.array([o[3] for o in out], pa.string())],
                                                  names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return joined.mapInArrow(run, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(tidy_task(run), f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_len: int = 50,
@@ -621,9 +621,8 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     schema = docs.schema
 
     def run(batches):
-        begin_task()
         for b in batches:
-            for row in b.to_pylist():
+            for row in (b.slice(k, 1).to_pylist()[0] for k in range(b.num_rows)):
                 block, masks = removed(row)
                 kept = [t if m is None else np.frombuffer(t, np.uint8)[~m].tobytes()
                         for t, m in zip(block.texts, masks, strict=True)]
@@ -632,4 +631,4 @@ def cut_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
                     [texts if f.name == text_col else block.batch.column(f.name) for f in schema.fields],
                     names=[f.name for f in schema.fields])
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(tidy_task(run), schema)

@@ -7,9 +7,12 @@ updated in O(log n), until the root holds no rank.  Words of similar length
 are merged together: one row of a numpy matrix is one word's tree, and every
 round applies one merge to every word that still has one.
 
-Results: a null text is encoded like an empty one (no ids, empty decoded
-text); special strings inside texts become their special ids; repeated rows
-and null ids are kept as they are; an empty table gives an empty result.
+Results: a null text is encoded like an empty one (no ids, empty decoded text);
+special strings inside texts become their special ids; repeated rows and null
+ids are kept as they are; an empty table gives an empty result.  A very long
+text is encoded whole, in a batch of its own if need be (memory of a few times
+its length); columns other than the id and the text are not read, whatever
+their names.
 """
 
 from __future__ import annotations

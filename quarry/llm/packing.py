@@ -12,9 +12,11 @@ numbers whatever the data), on the driver; it says, per length, which run of
 its pieces goes to which run of sequences at which offset.  Pieces get their
 numbers within a length and their places on Spark.
 
-Results: a null text is packed as an empty one (its end token alone);
-repeated rows are packed separately; null ids are kept; an empty table gives
-an empty result.
+Results: a null text is packed as an empty one (its end token alone); repeated
+rows are packed separately; null ids are kept; an empty table gives an empty
+result.  Texts over two million characters are split into tokens piece by
+piece, at white space; columns other than the id and the text are not read,
+whatever their names.
 """
 
 from __future__ import annotations

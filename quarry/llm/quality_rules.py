@@ -19,7 +19,10 @@ language likewise by its own and that of all, so no verdict jumps at a count.
 
 Results: a null text has no words and fails the base rules; null languages and
 sources form groups of their own; repeated rows count as often as they occur;
-an empty table gives an empty result.
+an empty table gives an empty result.  A very long text is one array of words
+in the engine, its windows of words are sorted there as whole numbers.
+``keep_good`` hands all columns on; its own begin with ``_quarry``, so names
+cannot clash.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ between its matches, and running sums of gaps and matches give the starts.
 
 Results: a null text has no spans; repeated rows are scanned one by one and
 count as one repository; null owners are an owner of their own; an empty table
-gives an empty result.  Starts and ends are code points, ends exclusive.
+gives an empty result.  A very long text is split at its matches in the engine,
+whole; ``redact`` hands all columns on, others are not read, whatever their
+names.  Starts and ends are code points, ends exclusive.
 """
 
 from __future__ import annotations

@@ -19,9 +19,11 @@ member; those of many are split again by exact one-bit neighbours (two
 fingerprints within two bits always have one in common, and no more than 65
 share it), so no group's work grows with its square and nothing is dropped.
 
-Results: null and empty texts and texts of white space have fingerprint 0;
-null ids get a component but are never its smallest id unless it has no other;
-repeated rows fall into one class; an empty table gives an empty result.
+Results: null and empty texts and texts of white space have fingerprint 0; null
+ids get a component but are never its smallest id unless it has no other;
+repeated rows fall into one class; an empty table gives an empty result.  A
+very long text is hashed in portions of 2^20 shingles; ``keep_one`` hands all
+columns on, its own begin with ``_quarry``, so names cannot clash.
 """
 
 from __future__ import annotations

@@ -30,7 +30,10 @@ third of all documents share grows with the number of blocks, not documents.
 
 Results: null texts count as empty; texts shorter than ``min_len`` are kept;
 rows with equal ids don't remove anything from each other; rows with a null id
-neither lose nor remove anything; an empty table gives an empty result.
+neither lose nor remove anything; an empty table gives an empty result.  A text
+longer than a block is a block of its own, its segments are cut every
+``LONGEST_RUN`` windows; ``cut_repeats`` hands all columns on, packed with
+their row, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -348,31 +351,50 @@ class _Block:
 
     def contents(self, status: np.ndarray, inverse: np.ndarray, buckets: int):
         """Distinct contents by bucket, as (bucket, content, smallest id), and
-        per segment or window that was sent (row, first window, windows,
-        number of its content)."""
+        per segment that was sent (row, first window, windows, number of its
+        content).  A crowded key's segment has ``~k`` for its number, and its
+        windows' contents are the k-th list of the last result."""
         of_segment = status[inverse] if len(status) else np.empty(0, np.int64)
         chosen = np.nonzero(of_segment)[0]
         found: dict[bytes, int] = {}
         bucket_of, least, places = [], [], []
         more = self.min_len - 1
+        # a crowded key's segment -> its number; its windows' contents, its smallest id
+        crowded: dict[bytes, int] = {}
+        windows: list[list[int]] = []
+        smallest: list[int] = []
+
+        def number(content: bytes, doc: int, bucket: int) -> int:
+            at = found.setdefault(content, len(least))
+            if at == len(least):
+                least.append(doc)
+                bucket_of.append(bucket)
+            elif doc < least[at]:
+                least[at] = doc
+            return at
+
         # a key's bucket; crowded ones are dealt by the window itself
         with np.errstate(over="ignore"):
             dealt = ((self.key[chosen] * _MIX) >> _U(20)) % _U(buckets)
         for status_k, row, start, n, bucket in zip(of_segment[chosen].tolist(), self.row[chosen].tolist(), self.start[chosen].tolist(),
                                                    self.n[chosen].tolist(), dealt.astype(np.int64).tolist(), strict=True):
-            text, doc = self.texts[row], self.ids[row]
-            for s, c in ((start, n),) if status_k == 1 else [(start + w, 1) for w in range(n)]:
-                content = text[s : s + c + more]
-                at = found.setdefault(content, len(least))
-                if at == len(least):
-                    least.append(doc)
-                    if status_k != 1:
-                        bucket = int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "little") % buckets
-                    bucket_of.append(bucket)
-                elif doc < least[at]:
+            content, doc = self.texts[row][start : start + n + more], self.ids[row]
+            if status_k == 1:
+                places.append((row, start, n, number(content, doc, bucket)))
+                continue
+            at = crowded.setdefault(content, len(windows))
+            if at == len(windows):
+                parts = [content[w : w + self.min_len] for w in range(n)]
+                windows.append([number(p, doc, int.from_bytes(hashlib.blake2b(p, digest_size=8).digest(), "little") % buckets) for p in parts])
+                smallest.append(doc)
+            elif doc < smallest[at]:
+                smallest[at] = doc
+            places.append((row, start, n, ~at))
+        for numbers, doc in zip(windows, smallest, strict=True):
+            for at in numbers:
+                if doc < least[at]:
                     least[at] = doc
-                places.append((row, s, c, at))
-        return bucket_of, list(found), least, places
+        return bucket_of, list(found), least, places, windows
 
 
 def _by_bucket(bucket: np.ndarray):
@@ -457,7 +479,7 @@ def send_contents(joined: DataFrame, min_len: int, key_buckets: int, buckets: in
     def run(batches):
         for b in batches:
             for row in (b.slice(k, 1).to_pylist()[0] for k in range(b.num_rows)):
-                _, bucket_of, contents, least, _ = _judge_block(row, min_len, key_buckets, buckets)
+                _, bucket_of, contents, least, _, _ = _judge_block(row, min_len, key_buckets, buckets)
                 order = np.argsort(np.array(bucket_of, np.int64), kind="stable")
                 sorted_bucket = np.array(bucket_of, np.int64)[order]
                 out = [[], [], [], [], []]
@@ -487,8 +509,7 @@ def _judge_block(row: dict, min_len: int, key_buckets: int, buckets: int):
         keep = ~np.isin(asked.row, list(skip))
         asked.key, asked.start, asked.n, asked.row = (x[keep] for x in (asked.key, asked.start, asked.n, asked.row))
         inverse = inverse[keep]
-    bucket_of, contents, least, places = asked.contents(status, inverse, buckets)
-    return asked, bucket_of, contents, least, places
+    return asked, *asked.contents(status, inverse, buckets)
 
 
 def answer_contents(sent: DataFrame, min_len: int) -> DataFrame:
@@ -533,7 +554,7 @@ def _read_ids(raw: bytes) -> np.ndarray:
 def _removed(row: dict, min_len: int, key_buckets: int, buckets: int):
     """The block, and for each of its texts the mask of bytes to remove (None:
     nothing)."""
-    block, bucket_of, contents, _, places = _judge_block(row, min_len, key_buckets, buckets)
+    block, bucket_of, contents, _, places, windows = _judge_block(row, min_len, key_buckets, buckets)
     per_content: dict[int, np.ndarray] = {}
     answers = {a["bucket"]: a["answer"] for a in row["answers"] or [] if a["step"] == 2}
     order = np.argsort(np.array(bucket_of, np.int64), kind="stable")
@@ -544,8 +565,9 @@ def _removed(row: dict, min_len: int, key_buckets: int, buckets: int):
             per_content[c] = ids[at : at + n]
             at += n
     starts: dict[int, list[np.ndarray]] = defaultdict(list)
-    for text, s, n, c in places:
-        hit = np.nonzero(per_content[c] < block.ids[text])[0]
+    by_window = [np.concatenate([per_content[c] for c in numbers]) for numbers in windows]
+    for text, s, _, c in places:
+        hit = np.nonzero((per_content[c] if c >= 0 else by_window[~c]) < block.ids[text])[0]
         if len(hit):
             starts[text].append(hit + s)
     masks: list[np.ndarray | None] = [None] * len(block.texts)

@@ -7,7 +7,9 @@ pre-tokens are merged, the distinct ones of a batch together.
 
 Results: a null text counts like an empty one (0 bytes, 0 tokens); repeated
 rows each get their own result; a null ``doc_id`` is kept as null; an empty
-table gives an empty result.
+table gives an empty result.  A very long text is counted whole, in a batch of
+its own if need be (memory of a few times its length); columns other than the
+id and the text are not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -57,8 +57,9 @@ BLOCK_BYTES = 4 << 20
 BUCKET_BYTES = 1 << 20
 #: Keys that a bucket of the first step gets.
 BUCKET_KEYS = 1 << 20
-#: A key whose segments have more bytes than this is dealt window by window.
-CROWD = 2 << 20
+#: A key whose segments have more bytes than this is dealt window by window
+#: (which costs a copied segment about ten times its size, once per block).
+CROWD = 8 << 20
 #: A run of windows is cut here, so that repetitive texts have segments of bounded size.
 LONGEST_RUN = 256
 

@@ -42,7 +42,7 @@ def read_csv_quoted(spark, sf):
 
 @register("read_workbooks", sql="SELECT * FROM customer")
 def read_workbooks(spark, sf):
-    """customer written as workbooks by the executors (one per partition),
+    """customer written as workbooks by the executors (one or more per partition),
     then read back with one task per file."""
     cust = table(spark, sf, "customer")
     root = files.scratch_path(spark, "xlsx")

@@ -126,3 +126,68 @@ def test_two_writers_keep_both_versions(spark):
     assert {r.n_regionkey for r in both.current().collect()} == {2}
     assert {r.n_regionkey for r in both.undo().collect()} == {1}
     assert a.undo().count() == 25                         # one step back from the newest manifest, not from what a knew
+
+
+def test_a_long_sheet_is_read_and_written_as_a_stream():
+    import io
+    import tracemalloc
+
+    n = 30_000
+    out = io.BytesIO()
+    tracemalloc.start()
+    try:
+        assert workbooks._write_workbook(out, ["k", "name"], ((k, f"name {k}") for k in range(n))) == n
+        written = tracemalloc.get_traced_memory()[1]
+        content = out.getvalue()
+        del out
+        tracemalloc.reset_peak()
+        count = sum(1 for _ in workbooks.first_sheet_rows(content))
+        read = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert count == n + 1
+    assert max(written, read) < len(content) * 2 + (4 << 20)   # as a whole tree this sheet took 56 MB
+
+
+def test_a_partition_becomes_several_workbooks_where_a_sheet_is_full(spark, monkeypatch):
+    cust = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    n = cust.count()
+    for name, most, least in (("_SHEET_ROWS", 41, -(-n // 40)), ("_SHEET_BYTES", 4096, 3)):
+        with monkeypatch.context() as m:
+            m.setattr(workbooks, name, most)
+            root = files.scratch_path(spark, "wb")
+            assert workbooks.write_workbooks(cust.coalesce(1), root) == n
+        found = spark.read.format("binaryFile").load(root).select("content").collect()
+        assert len(found) >= least
+        if name == "_SHEET_ROWS":
+            assert max(len(list(workbooks.first_sheet_rows(bytes(f.content)))) for f in found) == 41
+        assert rows(workbooks.read_workbooks(spark, root, cust.schema)) == rows(cust)
+
+
+def test_shared_strings_rich_text_and_spaced_parts(spark, tmp_path, monkeypatch):
+    import io
+    import zipfile
+
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    sheet = f"""<worksheet {ns}>
+      <cols><col min="1" max="1"/></cols>
+      <sheetData>
+        <row r="1"> <c r="A1" t="s"><v>0</v></c> <c r="B1" t="s"><v>1</v></c> </row>
+        <row r="2"> <c r="A2" t="s"><v>2</v></c> <c r="B2"><v>7</v></c> </row>
+        <row r="3"/>
+        <row r="4"> <c r="B4"><v>9</v></c> </row>
+      </sheetData>
+      <mergeCells><mergeCell ref="A1:A2"/></mergeCells></worksheet>"""
+    strings = f"<sst {ns}>\n <si><t>näme</t></si>\n <si><t>k</t></si> <si><r><t>two </t></r><r><t>runs</t></r></si></sst>"
+    out = io.BytesIO()
+    with zipfile.ZipFile(io.BytesIO(workbooks.workbook_bytes(["x"], []))) as z, zipfile.ZipFile(out, "w") as to:
+        for name in z.namelist():
+            to.writestr(name, sheet if name.endswith("sheet1.xml") else z.read(name))
+        to.writestr("xl/sharedStrings.xml", strings)
+    (tmp_path / "b.xlsx").write_bytes(out.getvalue())
+    schema = T.StructType([T.StructField("k", T.LongType()), T.StructField("näme", T.StringType())])
+    want = {(7, "two runs"), (None, None), (9, None)}
+    assert set(map(tuple, workbooks.read_workbooks(spark, str(tmp_path), schema).collect())) == want
+    monkeypatch.setattr(workbooks, "_BATCH_CELLS", 2)            # one row to a batch
+    assert set(map(tuple, workbooks.read_workbooks(spark, str(tmp_path), schema).collect())) == want
+    assert set(map(tuple, workbooks.read_workbooks(spark, str(tmp_path)).select("k", "`näme`").collect())) == want

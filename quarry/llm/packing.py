@@ -21,7 +21,6 @@ whatever their names.
 
 from __future__ import annotations
 
-import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
@@ -43,28 +42,74 @@ CLASSES = 64
 GAP_CLASSES = 2
 
 
-#: Stands behind a text among the ids of many; no vocabulary has this id.
-_STOP = np.array([0xFFFFFFFF], "<u4")
 #: Characters that are split together; longer texts are cut at white space.
 _TOGETHER = 2_000_000
 
+# Fixed value: the split pattern whose words ``Splitter`` finds.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+
+
+class Splitter:
+    """Pre-tokens of ``WORD_PATTERN`` in UTF-8 text, all of a text at a time.
+
+    A word starts where the kind of character changes and at every number; an
+    apostrophe that starts a word takes the letters of a contraction with it.
+    Kinds are those of ``regex``."""
+
+    def __init__(self):
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+        self.kinds = np.full(1 << 16, _OTHER, np.uint8)
+        for kind, name in ((_SPACE, r"\s"), (_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}")):
+            self.kinds[[ord(c) for c in regex.findall(name, every)]] = kind
+        self.by_byte = self.kinds[:256].tobytes()
+
+    def starts(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Per byte of a text that ends in a line break and has no character
+        past U+FFFF: whether a word starts there, and whether it is in one."""
+        raw = np.frombuffer(text, np.uint8)
+        kind = np.frombuffer(bytearray(text.translate(self.by_byte)), np.uint8)
+        wide = np.nonzero(raw >= 0xC0)[0]
+        if len(wide):
+            lead, second = raw[wide].astype(np.int64), (raw[wide + 1] & 0x3F).astype(np.int64)
+            three = lead >= 0xE0
+            kind[wide] = kind[wide + 1] = self.kinds[(lead & 0x1F) << 6 | second]
+            at = wide[three]
+            kind[at] = kind[at + 1] = kind[at + 2] = self.kinds[(lead[three] & 0x0F) << 12 | second[three] << 6 | raw[at + 2] & 0x3F]
+        inside = kind != _SPACE
+        start = kind == _NUMBER
+        start[:1] = True
+        start[1:] |= kind[1:] != kind[:-1]
+        start &= inside
+        if len(wide):
+            start &= (raw & 0xC0) != 0x80              # not within a character
+        quote = np.nonzero(raw == ord("'"))[0]
+        quote = quote[start[quote]]
+        a, b = raw[quote + 1], raw[np.minimum(quote + 2, len(raw) - 1)]
+        one = (a == ord("s")) | (a == ord("t")) | (a == ord("m")) | (a == ord("d"))
+        two = ((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))
+        start[quote[one | two] + 1] = False
+        for end in (quote[one] + 2, quote[two] + 3):
+            start[end] |= inside[end]
+        return start, inside
+
 
 class RawIds:
     """Ids of texts as little-endian bytes.
 
-    Where a vocabulary drops white space, plain texts (no special strings or
-    rare characters) are split into pre-tokens many at a time, one text to a
-    line, and every pre-token is looked up in one table; only new ones are
-    merged, all of a batch together.  Other texts go by chunks."""
+    Plain texts (no special strings or rare characters) under
+    ``WORD_PATTERN``, where a vocabulary drops white space, are split into
+    pre-tokens many at a time, one text to a line; their distinct pre-tokens
+    are looked up in one table, and only new ones are merged, all of a batch
+    together.  Other texts go by chunks."""
 
-    def __init__(self, vocab: Vocabulary, entries: int = 250_000):
+    def __init__(self, vocab: Vocabulary, entries: int = 500_000):
         self.vocab, self.pairs, self.entries = vocab, PairTable(vocab), entries
-        self.words: dict[str, bytes] = {"\n": _STOP.tobytes()}
-        self.chunks = ChunkTable(vocab, self.encode_chunks, entries=entries // 8)
-        self.find = regex.compile(f"{vocab.pattern}|\n").findall
-        # the same pattern for texts of ASCII only, where it can be said without properties
-        classes = re.sub(r"\[[^\]]*\]", lambda m: m[0].replace(r"\p{L}", "a-zA-Z").replace(r"\p{N}", "0-9"), vocab.pattern)
-        self.find_ascii = re.compile(f"{classes}|\n", re.ASCII).findall if r"\p" not in classes else self.find
+        # pre-tokens looked up lately, and those of the time before
+        self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.chunks = ChunkTable(vocab, self.encode_chunks, entries=entries // 16)
+        self.splitter = Splitter() if vocab.end_of_word and vocab.pattern == WORD_PATTERN else None
 
     def rows(self, texts: list[str]):
         """The ids of each text."""
@@ -85,35 +130,54 @@ class RawIds:
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         out = [b""] * len(texts)
-        plain = [bool(self.vocab.end_of_word) and self.vocab.added_start not in t and is_plain_text(t) for t in texts]
-        for ascii_only, find in ((True, self.find_ascii), (False, self.find)):
-            own = [k for k, p in enumerate(plain) if p and texts[k].isascii() == ascii_only]
-            if not own:
-                continue
-            lines = "\n".join([texts[k].replace("\n", " ") for k in own]) + "\n"
-            found = find(lines.lower() if self.vocab.lower else lines)
-            raw = b"".join(map(self.known(found).__getitem__, found))
-            at = 0
-            for k, stop in zip(own, np.nonzero(np.frombuffer(raw, "<u4") == _STOP)[0].tolist(), strict=True):
-                out[k] = raw[at : 4 * stop]
-                at = 4 * stop + 4
+        plain = [self.splitter is not None and self.vocab.added_start not in t and is_plain_text(t) for t in texts]
+        if own := [k for k, p in enumerate(plain) if p]:
+            for k, raw in zip(own, self._lines([texts[k] for k in own]), strict=True):
+                out[k] = raw
         other = [k for k, p in enumerate(plain) if not p]
         for k, values in zip(other, self.chunks.rows([texts[k] for k in other]), strict=True):
             out[k] = b"".join(values)
         return out
 
-    def known(self, found: list[str]) -> dict[str, bytes]:
-        """The table of pre-tokens, with those of ``found`` added."""
-        if len(self.words) > self.entries:
-            self.words = {"\n": self.words["\n"]}
-        new = list(set(found).difference(self.words))
-        coded = dict(zip(new, encode_raw([w.encode() for w in new], self.pairs), strict=True))
-        long = {w for w in new if len(w) > self.chunks.longest}
-        if long:                                       # for this call only
-            self.words.update((w, r) for w, r in coded.items() if w not in long)
-            return self.words | {w: coded[w] for w in long}
-        self.words.update(coded)
-        return self.words
+    def _lines(self, texts: list[str]):
+        """The ids of each of some plain texts."""
+        lines = [t.replace("\n", " ") for t in texts]
+        text = "\n".join([t.lower() for t in lines] if self.vocab.lower else lines).encode() + b"\n"
+        start, inside = self.splitter.starts(text)
+        raw = np.frombuffer(text, np.uint8)
+        # words one behind the other, without the white space between them
+        data, first = raw[inside], np.nonzero(start[inside])[0]
+        borders = np.append(first, len(data)).astype(np.int32)
+        found = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(borders), pa.py_buffer(data)]).dictionary_encode()
+        coded = self.known(found.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        flat, code = np.frombuffer(b"".join(coded), "<u4"), found.indices.to_numpy()
+        n = sizes[code]
+        ends = np.append(0, np.cumsum(n))
+        ids = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[code] - ends[:-1], n)].tobytes()
+        at = 0
+        for stop in (4 * ends[np.searchsorted(np.nonzero(start)[0], np.nonzero(raw == ord("\n"))[0])]).tolist():
+            yield ids[at:stop]
+            at = stop
+
+    def known(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct pre-tokens.  They are kept until half of
+        ``entries`` others have come since the last look at them."""
+        if len(self.words) > self.entries // 2:
+            self.words, self.older = {}, self.words
+        out = list(map(self.words.get, words))
+        new = []
+        for k in [k for k, raw in enumerate(out) if raw is None]:
+            out[k] = self.older.get(words[k])
+            if out[k] is None:
+                new.append(k)
+            else:
+                self.words[words[k]] = out[k]
+        for k, raw in zip(new, encode_raw([words[k] for k in new], self.pairs), strict=True):
+            out[k] = raw
+            if len(words[k]) <= self.chunks.longest:
+                self.words[words[k]] = raw
+        return out
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         plan, new = pre_token_plan(self.vocab, chunks, lambda pre: None)

@@ -173,3 +173,40 @@ def test_pack_messy(spark):
             at += length
         assert at <= 256
     assert packing.pack_documents(empty(spark), WORD).collect() == []
+
+
+def test_words_are_split_as_by_the_pattern():
+    import regex
+
+    r = random.Random(11)
+    chars = "aAsStTmMdDrReEvVlL''''  \t\n\r01²½ª.,-\"!éÉßİȺȾŉǅɏ¡×÷"
+    texts = ["".join(r.choice(chars) for _ in range(r.randint(0, 80))) for _ in range(3000)]
+    texts += ["", "'", "''s", "'s", "x'", "'r", "'l", "'ve'll're", "'samé'tis 'd1's", " \n ", "1'm2", "\"'s", "İ's", "'é"]
+    texts += ["".join(map(chr, range(0xA1, 0x250))), "'" * 50 + "s", "don't " * 400]
+    splitter, find = packing.Splitter(), regex.compile(packing.WORD_PATTERN).findall
+    for t in texts:
+        text = t.lower() + "\n"
+        start, inside = splitter.starts(text.encode())
+        raw = np.frombuffer(text.encode(), np.uint8)
+        got = [bytes(w).decode() for w in np.split(raw[inside], np.nonzero(start[inside])[0])[1:]]
+        assert got == find(text)
+    table, tok = packing.RawIds(load_vocabulary(WORD)), Tokenizer.from_file(WORD)
+    want = [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(table.rows(texts)) == want
+    assert [list(table.rows([t])) for t in texts] == [[w] for w in want]
+
+
+def test_frequent_words_are_merged_once(monkeypatch):
+    """Though more rare words come by than the table holds."""
+    merged = Counter()
+    plain = packing.encode_raw
+    monkeypatch.setattr(packing, "encode_raw", lambda words, pairs: merged.update(words) or plain(words, pairs))
+    table = packing.RawIds(load_vocabulary(WORD), entries=160)
+    long = "y" * 70
+    texts = [f"common {long} " + " ".join("q" + "abcdefghij"[k] * (i + 1) for k in range(10)) + " often" for i in range(40)]
+    got = [raw for t in texts for raw in table.rows([t])]
+    tok = Tokenizer.from_file(WORD)
+    assert got == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert len(merged) > 400 and merged[b"common"] == merged[b"often"] == 1
+    assert merged[long.encode()] == len(texts)             # long words are not kept
+    assert len(table.words) + len(table.older) <= 160 + 40

@@ -14,16 +14,25 @@ from quarry.session import ensure_checkpoint_dir
 #: Bytes of one Arrow batch handed to Python, so that batches of very long
 #: texts stay small (rows alone would not bound them).
 BATCH_BYTES = 8 << 20
+#: Rows that the Parquet reader decodes at once, and bytes of the pages that are
+#: written.  The reader holds a column of a batch in one array, the writer a page;
+#: for texts, Spark's defaults (4,096 rows, 1 MB) give arrays so large that the
+#: executors' collector starts cycle after cycle and doubles the heap.
+READ_ROWS = 128
+PAGE_BYTES = 256 << 10
 
 # Options of mallopt.
 M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3
 
 
 def prepare(spark: SparkSession) -> None:
-    """Shared checkpoint folder, package on the workers, bounded Arrow batches."""
+    """Shared checkpoint folder, package on the workers, bounded Arrow batches,
+    short Parquet batches and pages."""
     ensure_checkpoint_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+    spark.conf.set("parquet.page.size", str(PAGE_BYTES))
 
 
 def text_or_empty(col: str = "text") -> Column:

@@ -7,6 +7,7 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[2]))
@@ -82,3 +83,24 @@ def test_stages_keep_columns(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").schema.simpleString() == docs.schema.simpleString()
         assert stage(spark, docs.limit(0), "").collect() == []
+
+
+def test_texts_in_small_batches_and_pages(spark, tmp_path):
+    for key in ("spark.sql.parquet.columnarReaderBatchSize", "parquet.page.size"):
+        spark.conf.unset(key)
+    words = F.concat_ws(" ", *[F.hex(F.xxhash64("id", F.lit(k))) for k in range(50)])
+    docs = spark.range(0, 8000, 1, 2).select(F.col("id").alias("doc_id"), words.alias("text"))
+    size = docs.agg(F.sum(F.length("text"))).first()[0]
+    kept = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert int(spark.conf.get("spark.sql.parquet.columnarReaderBatchSize")) <= 128
+    kept.coalesce(1).write.parquet(f"{tmp_path}/out")
+    path, = (tmp_path / "out").glob("*.parquet")
+    hadoop, parquet = spark._jvm.org.apache.hadoop, spark._jvm.org.apache.parquet.hadoop
+    reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(hadoop.fs.Path(str(path)), hadoop.conf.Configuration()))
+    try:
+        columns = [c for b in reader.getFooter().getBlocks() for c in b.getColumns() if c.getPath().toDotString() == "text"]
+        pages = sum(reader.readOffsetIndex(c).getPageCount() for c in columns)
+    finally:
+        reader.close()
+    assert size / pages < 512 << 10
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 8000
